@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from pricewell.plans import market_queries
+
+QUERIES: dict = {**market_queries.QUERIES}
+ORACLES: dict = {**market_queries.ORACLES}
