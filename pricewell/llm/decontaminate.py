@@ -3,8 +3,9 @@
 Test items are cut into windows of `size` consecutive words (a shorter item is one window). Term counts over the whole
 corpus give each window its rarest terms; the corpus' postings (term, document, position) of those terms are stored as a
 table. Offset-adjusted postings lists (position in the text less position in the item) are intersected per document and
-item: places where the rarest terms of a window meet are candidates, which are verified word by word against the text;
-places where they come within `slop` words of each other are proximity matches.
+item: places where the rarest terms of a window meet, and the words between agree (postings carry the words around
+them), are exact matches; places where they come within `slop` words of each other are proximity matches. Texts are
+read where they lie: only postings, matches and word counts are shuffled.
 
 The test vocabulary is broadcast only where it has at most MOST_TERMS terms, else joined by shuffle.
 
@@ -62,17 +63,28 @@ def anchors_of(items: DataFrame, counts: DataFrame, rarest: int = 2) -> DataFram
     return ranked.where((F.col("least") > 0) & (F.col("rank") <= rarest)).select("item", "pos", "term").distinct()
 
 
-def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """The positional index of terms: (term, document, pos), positions from 0."""
-    tokens = _keyed(docs).select(*DOC, F.posexplode("words").alias("pos", "term"))
-    return tokens.join(_bounded(terms), "term")
+def postings(docs: DataFrame, terms: DataFrame, size: int = WINDOW) -> DataFrame:
+    """The positional index of terms: (term, document, at, context, left): positions from 0, and the words up to
+    size - 1 places around, `left` of them before the term."""
+    tokens = _keyed(docs).select(*DOC, "words", F.posexplode("words").alias("at", "term"))
+    near = _bounded(terms)
+    left = F.least("at", F.lit(size - 1))
+    return tokens.join(near, "term").select("term", *DOC, "at", F.slice("words", F.col("at") - left + 1, left + size).alias("context"), left.alias("left"))
 
 
 def alignments(index: DataFrame, anchors: DataFrame, items: DataFrame, slop: int = SLOP) -> tuple[DataFrame, DataFrame]:
-    """(exact candidates: document, item, shift), (proximity matches: document, item). shift: text place of the item's word 0."""
-    met = index.withColumnRenamed("pos", "at").join(anchors, "term").groupBy(*DOC, "item", (F.col("at") - F.col("pos")).alias("shift")).agg(F.collect_set("pos").alias("met"))
-    width = items.select("item", "width")
-    exact = met.join(width, "item").where(F.size("met") >= F.least(F.lit(2), "width")).select(*DOC, "item", "shift")
+    """(exact matches: document, item, shift, starts; proximity matches: document, item). shift: text place of the item's
+    word 0; starts: places in the item where windows begin that the text has.
+
+    A posting is verified against the item in its own row, by its context; what moves on is small. An exact match is
+    where the offset-adjusted lists of a window's rarest terms intersect, and the words between agree."""
+    met = index.join(anchors, "term").join(items.select("item", "item_words", "width"), "item")
+    first, last = F.greatest(F.lit(0), F.col("pos") - F.col("width") + 1, F.col("pos") - F.col("left")), F.least("pos", F.size("item_words") - F.col("width"))
+    same = lambda s: F.slice("context", F.col("left") + s - F.col("pos") + 1, F.col("width")) == F.slice("item_words", s + 1, F.col("width"))
+    starts = F.when(last >= first, F.filter(F.sequence(first, last), same)).otherwise(F.array().cast("array<int>"))
+    met = met.select(*DOC, "item", "width", (F.col("at") - F.col("pos")).alias("shift"), "pos", starts.alias("starts"))
+    met = met.groupBy(*DOC, "item", "width", "shift").agg(F.collect_set("pos").alias("met"), F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts"))
+    exact = met.where((F.size("met") >= F.least(F.lit(2), "width")) & (F.size("starts") > 0)).select(*DOC, "item", "shift", "width", "starts")
     w = Window.partitionBy(*DOC, "item").orderBy("shift")
     near = met.withColumns({"before": F.lag("shift").over(w), "met_before": F.lag("met").over(w)})
     near = near.where((F.col("shift") - F.col("before") <= slop) & ((F.size("met") > 1) | (F.size(F.array_union("met", "met_before")) > 1)))
@@ -84,24 +96,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, slo
     items = settle(items_of(benchmark, size), "items")
     terms = settle(items.select(F.explode("item_words").alias("term")).distinct(), "terms")
     anchors = settle(anchors_of(items, settle(term_counts(docs, terms), "term-counts")), "anchors")
-    index = settle(postings(docs, anchors.select("term").distinct()), "postings")
+    index = settle(postings(docs, anchors.select("term").distinct(), size), "postings")
     exact, near = alignments(index, anchors, items, slop)
-    hits = exact.join(items, "item").groupBy(*DOC).agg(F.collect_list(F.struct("name", "shift", "item_words", "width")).alias("found"))
-    close = near.join(items.select("item", "name"), "item").groupBy(*DOC).agg(F.collect_set("name").alias("near_names"))
-    hits = settle(hits.join(close, DOC, "full"), "candidates")
-
-    def window_starts(c: Column) -> Column:
-        first = F.greatest(F.lit(0), -c["shift"])
-        last = F.least(F.size(c["item_words"]), F.size("words") - c["shift"]) - c["width"]
-        same = lambda s: F.slice("words", c["shift"] + s + 1, c["width"]) == F.slice(c["item_words"], s + 1, c["width"])
-        return F.when(last >= first, F.filter(F.sequence(first, last), same)).otherwise(F.array().cast("array<int>"))
-
-    verified = F.filter(F.transform("found", lambda c: F.struct(c["name"].alias("name"), c["shift"].alias("shift"), c["width"].alias("width"), window_starts(c).alias("starts"))), lambda c: F.size(c["starts"]) > 0)
-    rows = _keyed(docs).join(hits, DOC, "left").withColumn("verified", verified)
-    places = F.flatten(F.transform("verified", lambda c: F.flatten(F.transform(c["starts"], lambda s: F.sequence(c["shift"] + s, c["shift"] + s + c["width"] - 1)))))
-    named = F.array_sort(F.array_distinct(F.transform("verified", lambda c: c["name"])))
+    names = items.select("item", "name")
+    places = F.flatten(F.transform("starts", lambda s: F.sequence(F.col("shift") + s, F.col("shift") + s + F.col("width") - 1)))
+    hits = exact.join(names, "item").select(*DOC, "name", places.alias("places")).groupBy(*DOC)
+    hits = hits.agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("n_hit"), F.array_sort(F.collect_set("name")).alias("items"))
+    close = near.join(names, "item").groupBy(*DOC).agg(F.collect_set("name").alias("near_names"))
+    found = hits.join(close, DOC, "full")
     none = F.array().cast("array<string>")
-    rows = rows.select(F.when(~F.col("no_id"), F.col("id0")).alias("doc_id"), "text_key", F.size("words").cast("long").alias("n_words"), F.coalesce(F.size(F.array_distinct(places)), F.lit(0)).cast("long").alias("n_hit"), F.coalesce(named, none).alias("items"), F.coalesce("near_names", none).alias("near_names"))
+    rows = _keyed(docs).select(*DOC, F.size("words").cast("long").alias("n_words")).join(found, DOC, "left")
+    rows = rows.select(F.when(~F.col("no_id"), F.col("id0")).alias("doc_id"), "text_key", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", none).alias("items"), F.coalesce("near_names", none).alias("near_names"))
     rows = rows.withColumn("near_items", F.array_sort(F.array_except("near_names", "items"))).drop("near_names")
     return rows.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
