@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pricewell.plans import market_queries
+from pricewell.plans import market_queries, table_queries
 
-QUERIES: dict = {**market_queries.QUERIES}
-ORACLES: dict = {**market_queries.ORACLES}
+MODULES = (market_queries, table_queries)
+QUERIES: dict = {k: v for m in MODULES for k, v in m.QUERIES.items()}
+ORACLES: dict = {k: v for m in MODULES for k, v in m.ORACLES.items()}
