@@ -198,7 +198,7 @@ def blacklist_candidates(spark, d):
     return state.blacklist_candidates(V.tasks(spark, d), "3", ["error"])
 
 
-@query(f"""WITH {sql.QUOTES} SELECT run_key, count(*) AS scanned, count(CASE WHEN condition_bucket='open_excluded' OR (contains(dstatus,'AF') AND condition_bucket='open_hard_excluded' AND false) THEN 1 END) AS updated FROM quotes GROUP BY 1""")
+@query(f"""WITH {sql.QUOTES} SELECT run_key, count(*) AS scanned, count(CASE WHEN condition_bucket='open_excluded' THEN 1 END) AS updated FROM quotes GROUP BY 1""")
 def reclassify(spark, d):
     """Rows that changed rules would classify anew."""
     from dataclasses import replace
