@@ -15,10 +15,13 @@ def upsert(stored: DataFrame, incoming: DataFrame, keys: list[str], order: list[
     both = stored.withColumn("_new", F.lit(0)).unionByName(incoming.withColumn("_new", F.lit(1)), allowMissingColumns=True)
     w = Window.partitionBy(*keys)
     arrival = [F.asc("_new"), *[F.asc(c) for c in order]]
-    for c in keep_first:
-        both = both.withColumn(c, F.first(c).over(w.orderBy(*arrival).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     last = [F.desc("_new"), *[F.desc(c) for c in order]]
-    return both.withColumn("_nth", F.row_number().over(w.orderBy(*last))).where("_nth = 1").drop("_nth", "_new")
+    both = both.withColumn("_nth", F.row_number().over(w.orderBy(*last)))
+    for c in keep_first:
+        both = both.withColumn(f"_{c}", F.first(c).over(w.orderBy(*arrival).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    if keep_first:
+        both = both.withColumns({c: F.col(f"_{c}") for c in keep_first})
+    return both.where("_nth = 1").drop("_nth", "_new", *[f"_{c}" for c in keep_first])
 
 
 def seed_tasks(stored: DataFrame, planned: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from pricewell.plans import market_queries, search_queries, table_queries
+from pricewell.plans import market_queries, search_queries, stream_queries, table_queries
 
-MODULES = (market_queries, table_queries, search_queries)
+MODULES = (market_queries, table_queries, search_queries, stream_queries)
 QUERIES: dict = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES: dict = {k: v for m in MODULES for k, v in m.ORACLES.items()}
