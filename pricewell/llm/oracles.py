@@ -1 +1,46 @@
-ORACLES: dict[str, str] = {}
+"""DuckDB SQL for the queries that SQL can express. The others (2: determinant estimates, 6: components of fingerprints,
+7: byte-pair merges, 8: the language model's doubles, 9: fitted trees) are held against brute force in tests/llm."""
+
+from __future__ import annotations
+
+_CHAT = r"""WITH c AS (SELECT conv_id, turn, coalesce(role,'') AS role, coalesce(text,'') AS text FROM conversations UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+e AS (SELECT *, CASE WHEN regexp_matches(text, '### |</turn>|\\\\|\\$') THEN replace(replace(replace(text,'\','\\'),'### ','\### '),'</turn>','\</turn>') ELSE text END AS body, CASE role WHEN 'user' THEN 4 WHEN 'system' THEN 6 WHEN 'assistant' THEN 9 ELSE 4 END AS label FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role||chr(10)||text||chr(10), '' ORDER BY turn, role, text)) AS turns_sha256, coalesce(sum(CASE WHEN role='assistant' THEN length(text) END),0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(CASE WHEN role='assistant' THEN text END, '' ORDER BY turn, role, text),'')) AS loss_sha256, sum(length(body)+label+14)::BIGINT AS formatted_chars FROM e GROUP BY conv_id"""
+
+
+def _places(kind: int, name: str, pattern: str, keep: str) -> str:
+    """Rows (doc_id, k, name, s, e) of one rule: the pieces between matches and the matches' own lengths give the places."""
+    return f"""SELECT doc_id, {kind} AS k, '{name}' AS name, s, s+length(m) AS e FROM (SELECT doc_id, m, (list_sum(list_transform(pieces[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:i-1], lambda x: length(x))),0))::BIGINT AS s FROM (
+ SELECT doc_id, found, pieces, unnest(found) AS m, generate_subscripts(found,1) AS i FROM (SELECT doc_id, regexp_extract_all(text,'{pattern}') AS found, regexp_split_to_array(text,'{pattern}') AS pieces FROM d) WHERE len(found)>0)) WHERE {keep}"""
+
+
+_ASSIGN = r"(?:(?i:password|passwd|secret|token|api_?key))[\"'']?\x20*[:=]\x20*[\"'']?[A-Za-z0-9+/_.=-]+"
+_VALUE = r"length(regexp_extract(m,'^(?:(?i:password|passwd|secret|token|api_?key))[\"'']?\x20*[:=]\x20*[\"'']?([A-Za-z0-9+/_.=-]+)',1))>=6"
+_SPANS = " UNION ALL ".join([
+    _places(0, "assign", _ASSIGN, _VALUE), _places(1, "access", "AKIA[A-Z0-9]+", "length(m)>=20"), _places(2, "hex", "[0-9a-f]+", "length(m)>=24"), _places(3, "forge", "gh[opsur]_[A-Za-z0-9]+", "length(m)>=40"),
+    _places(4, "chat", "xox[abprs]-[A-Za-z0-9-]+", "length(m)>=15"), _places(5, "cloud", "AIza[A-Za-z0-9_-]+", "length(m)>=39"), _places(6, "pem", "-----BEGIN [A-Z ]*PRIVATE KEY-+", "length(m)>=5"),
+])
+_SECRETS = f"""WITH d AS (SELECT doc_id, coalesce(text,'') AS text FROM documents), spans AS ({_SPANS}),
+a AS (SELECT doc_id, count(CASE WHEN k=0 THEN 1 END) AS n_assign, count(CASE WHEN k=1 THEN 1 END) AS n_access, count(CASE WHEN k=2 THEN 1 END) AS n_hex, string_agg(CASE WHEN k<3 THEN name||':'||s||':'||e END, ',' ORDER BY s, k) AS base, string_agg(name||':'||s||':'||e, ',' ORDER BY s, k) AS spans FROM spans GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign,0) AS n_assign, coalesce(n_access,0) AS n_access, coalesce(n_hex,0) AS n_hex, sha256(coalesce(base,'')) AS base_sha256, coalesce(spans,'') AS spans FROM d LEFT JOIN a USING (doc_id)"""
+
+_WARC = """WITH p AS (SELECT page_id, coalesce(html,'') AS t, sha256(coalesce(html,'')) AS payload_digest, strlen(coalesce(html,''))::BIGINT AS payload_bytes FROM pages), f AS (SELECT payload_digest, min(page_id) AS first_id FROM p WHERE payload_bytes>=100 GROUP BY 1)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first_id IS NULL OR first_id=page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first_id<>page_id THEN first_id END AS refers_to FROM p LEFT JOIN f USING (payload_digest)"""
+
+#: The given tables hold one page template; the article's blocks are h1 and p, its character references these four.
+_HTML = r"""WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html,''),'(?s)<article>(.*?)</article>',1) AS x FROM pages), b AS (SELECT page_id, url, regexp_replace(regexp_replace(x,'</?(?:p|h1|br)>',' ','g'),'</?[a-z][^>]*>','','g') AS x FROM a),
+c AS (SELECT page_id, url, replace(replace(replace(replace(replace(x,'&quot;','"'),'&lt;','<'),'&gt;','>'),'&#39;',''''),'&amp;','&') AS x FROM b), d AS (SELECT page_id, url, trim(regexp_replace(x,'[ \t\n\r\f\x0b]+',' ','g'),' ') AS text FROM c) SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM d"""
+
+_WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'),'[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w<>'')"
+#: n_near_items follows the index's anchors, which SQL states as in the operator: the two rarest places of each window.
+_HITS = f"""WITH docs AS (SELECT doc_id, {_WORDS} AS w FROM documents), items AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark), it AS (SELECT item, w, least(13,len(w)) AS width FROM items WHERE len(w)>0),
+win AS (SELECT item, width, w, unnest(generate_series(0, len(w)-width)) AS s FROM it), win2 AS (SELECT item, width, s, list_slice(w, s+1, s+width) AS ws FROM win), places AS (SELECT item, s, width, unnest(ws) AS term, s+generate_subscripts(ws,1)-1 AS pos FROM win2),
+tok AS (SELECT doc_id, unnest(w) AS term, generate_subscripts(w,1)-1 AS loc FROM docs), terms AS (SELECT DISTINCT term FROM places), cnt AS (SELECT term, count(*) AS n FROM tok WHERE term IN (SELECT term FROM terms) GROUP BY term),
+rk AS (SELECT item, s, pos, term, width, min(coalesce(n,0)) OVER (PARTITION BY item, s) AS least_n, row_number() OVER (PARTITION BY item, s ORDER BY n ASC NULLS FIRST, pos) AS r FROM places LEFT JOIN cnt USING (term)), anchors AS (SELECT DISTINCT item, pos, term, width FROM rk WHERE least_n>0 AND r<=2),
+met AS (SELECT doc_id, item, any_value(width) AS width, loc-pos AS shift, list(DISTINCT pos) AS met FROM tok JOIN anchors USING (term) GROUP BY doc_id, item, loc-pos),
+nr AS (SELECT *, lag(shift) OVER (PARTITION BY doc_id, item ORDER BY shift) AS before, lag(met) OVER (PARTITION BY doc_id, item ORDER BY shift) AS mb FROM met), near AS (SELECT DISTINCT doc_id, item FROM nr WHERE shift-before<=4 AND (len(met)>1 OR len(list_distinct(list_concat(met,mb)))>1)),
+cand AS (SELECT m.doc_id, m.item, m.shift, x.s, x.ws, x.width FROM met m JOIN win2 x ON m.item=x.item WHERE len(m.met)>=least(2,m.width)), hit AS (SELECT c.doc_id, c.item, unnest(generate_series(c.shift+c.s, c.shift+c.s+c.width-1)) AS p FROM cand c JOIN docs d USING (doc_id) WHERE c.shift+c.s>=0 AND list_slice(d.w, c.shift+c.s+1, c.shift+c.s+c.width)=c.ws),
+h AS (SELECT doc_id, count(DISTINCT p) AS n_hit, count(DISTINCT item) AS n_items FROM hit GROUP BY doc_id), hs AS (SELECT doc_id, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id), nn AS (SELECT doc_id, count(*) AS n_near_items FROM near WHERE (doc_id, item) NOT IN (SELECT (doc_id, item) FROM hit) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit,0) AS n_hit, coalesce(n_items,0) AS n_items, sha256(coalesce(items,'')) AS items_sha256, coalesce(n_hit,0)>0 AND 20*coalesce(n_hit,0)>=len(w) AS contaminated, coalesce(n_near_items,0) AS n_near_items FROM docs LEFT JOIN h USING (doc_id) LEFT JOIN hs USING (doc_id) LEFT JOIN nn USING (doc_id)"""
+
+ORACLES: dict[str, str] = {"op1_chat_format": _CHAT, "op3_secret_scan": _SECRETS, "op4_warc": _WARC, "op5_html_extract": _HTML, "op10_decontaminate": _HITS}
