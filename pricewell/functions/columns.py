@@ -213,3 +213,56 @@ def search_text(*parts: Column | str) -> Column:
 
 def task_key(model: Column | str, city: Column | str, day: Column | str) -> Column:
     return F.concat_ws("__", plain(model), plain(city), plain(day))
+
+
+#: Status texts with a spelling of their own (fixed values); others get blanks around the slash.
+STATUS_TEXT = (
+    ("公司纯原封/特定区域销售", "公司纯原封（特定区域）"), ("公司纯原封/可出全国", "公司纯原封（可出全国）"), ("公司纯原封/不怕串", "公司纯原封（不怕串）"), ("公司纯原封/默认", "公司纯原封（默认）"),
+    ("全国纯原不怕串", "全国纯原（不怕串）"), ("保证全国纯原", "全国纯原"), ("保证全国纯原/可出全国", "全国纯原（可出全国）"), ("保证省内纯原", "省内纯原"),
+)
+
+
+def status_text(x: Column | str) -> Column:
+    """A dealer status as it is shown; '--' where there is none."""
+    text = plain(x)
+    shown = F.replace(text, F.lit("/"), F.lit(" / "))
+    for known, own in STATUS_TEXT:
+        shown = F.when(text == known, own).otherwise(shown)
+    return F.when(text == "", "--").otherwise(shown)
+
+
+def candidate_label(source: Column, external_title: Column, family: Column, model: Column) -> Column:
+    own = F.coalesce(filled(family), filled(model), F.lit("未命名机型"))
+    return F.when(source == "external", F.coalesce(filled(external_title), filled(model), F.lit(""))).otherwise(own)
+
+
+def candidate_meta(source: Column, source_title: Column, row_count: Column, brand: Column, series: Column) -> Column:
+    outside = F.concat(F.coalesce(filled(source_title), F.lit("外部行情图")), F.lit(" / "), coerce_int(row_count).cast("string"), F.lit(" 条参考"))
+    return F.when(source == "external", outside).otherwise(F.concat_ws(" / ", filled(brand), filled(series)))
+
+
+def strip_alias(surface: Column, aliases: Sequence[str]) -> Column:
+    """The compact surface without the longest alias that it begins with."""
+    text = F.regexp_replace(F.lower(plain(surface)), r"[^\p{L}\p{N}]", "")
+    out = text
+    for alias in sorted(aliases, key=len):
+        out = F.when(text.startswith(alias), F.substring(text, F.lit(len(alias) + 1), F.length(text))).otherwise(out)
+    return out
+
+
+def refinement_phrase(query: Column, family: Column, aliases: Sequence[str]) -> Column:
+    """Capacities and spec-like words (with a digit) of a phrase that are no part of the family's or brand's name."""
+    tokens = F.array_distinct(F.regexp_extract_all(F.lower(plain(query)), F.lit(r"([\p{L}\p{N}+#]+)"), F.lit(1)))
+    name = F.regexp_replace(F.lower(plain(family)), r"[^\p{L}\p{N}]", "")
+    size = lambda t: t.rlike(r"^[0-9]+(\+[0-9]+)?(g|gb|t|tb)$")
+    sizes = F.array_sort(F.transform(F.filter(tokens, size), capacity_label))
+    known = lambda t: F.contains(name, t) | F.contains(t, name)
+
+    def branded(t: Column) -> Column:
+        hit = F.lit(False)
+        for a in aliases:
+            hit = hit | t.contains(a) | F.contains(F.lit(a), t)
+        return hit
+
+    words = F.filter(tokens, lambda t: ~size(t) & t.rlike("[0-9]") & (F.length(t) > 1) & ~known(t) & ~branded(t))
+    return F.array_join(F.concat(sizes, words), " ")

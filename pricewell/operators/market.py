@@ -46,6 +46,19 @@ def recent_days(df: DataFrame, min_samples: int, max_labels: int, by: list[str]
     return df.withColumn("day_label", F.col("_bucket.label")).where(taken).drop("_newest", "_first", "_upto", "_bucket")
 
 
+def recent_days_wide(df: DataFrame, min_samples: int, max_labels: int, by: list[str]) -> DataFrame:
+    """The same rows for few and large keys: buckets are aggregated first, ranked as the small table they are, and joined back."""
+    df = recency(df).withColumn("_bucket", P.day_bucket())
+    days = df.groupBy(*by, F.col("_bucket.key").alias("_key")).agg(F.max(F.struct("_stamp", "_md", "_rid")).alias("_newest"), F.count(F.lit(1)).alias("day_rows"), F.first("_bucket.label").alias("day_label"))
+    ordered = Window.partitionBy(*by).orderBy(F.desc("_newest"), F.desc("day_rows"), F.desc("day_label"), F.desc("_key"))
+    days = days.withColumns({"day_rank": F.row_number().over(ordered), "_upto": F.sum("day_rows").over(ordered.rowsBetween(Window.unboundedPreceding, 0))})
+    days = days.where((F.col("_upto") - F.col("day_rows") < max(1, min_samples)) & (F.col("day_rank") <= max(1, max_labels)))
+    on = df["_bucket"]["key"].eqNullSafe(days["_key"])
+    for k in by:
+        on = on & df[k].eqNullSafe(days[k])
+    return df.join(days.select(*[days[k] for k in by], "_key", "day_rows", "day_label", "day_rank"), on).drop(*[days[k] for k in by]).drop("_key", "_bucket")
+
+
 def density(n: Column) -> Column:
     return F.when(n < 8, "sparse").when(n < 15, "balanced").otherwise("dense")
 

@@ -166,3 +166,12 @@ def overview(marker: DataFrame, hot: DataFrame) -> DataFrame:
     """The live marker with the hot list as one array."""
     best = hot.agg(F.array_sort(F.collect_list(F.struct("place", "label"))).alias("hot"))
     return marker.join(best, how="cross").withColumn("hot_count", F.size("hot"))
+
+
+def stage_figures(source: DataFrame, deduped: DataFrame, recent: DataFrame) -> DataFrame:
+    """Rows by stage of the cleaner, and the ten largest brands, in long form."""
+    one = lambda df, name: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n")
+    target = deduped.where("is_target_price = 1")
+    brands = deduped.where("brand_title <> ''").groupBy("brand_title").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "brand_title").limit(10)
+    out = one(source, "source_rows").unionByName(one(deduped, "deduped_rows")).unionByName(one(recent, "recent_rows")).unionByName(one(target, "target_rows"))
+    return out.unionByName(brands.select(F.concat(F.lit("brand:"), F.col("brand_title")).alias("name"), "n"))
