@@ -37,6 +37,15 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A side of a join with at most so many rows (of a few numbers each) is broadcast; beyond it, Spark shuffles both sides.
+MOST_BROADCAST = 500_000
+
+
+def bounded(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """df, to be broadcast where a count shows that it has few enough rows."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """The same rows in small slices, so that few texts are Python strings at a time."""
     for batch in batches:

@@ -7,7 +7,7 @@ item: places where the rarest terms of a window meet, and the words between agre
 them), are exact matches; places where they come within `slop` words of each other are proximity matches. Texts are
 read where they lie: only postings, matches and word counts are shuffled.
 
-The test vocabulary is broadcast only where it has at most MOST_TERMS terms, else joined by shuffle.
+The test vocabulary is broadcast only where it has at most common.MOST_BROADCAST terms, else joined by shuffle.
 
 Defined results: a null or empty text has no words, no hits and is clean; an item without words has no window; an item
 with a null id is named ''; items of equal id count once; documents with equal doc_id and text share their result, with
@@ -18,10 +18,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, settle
+from .common import ascii_lower, bounded, settle
 
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WINDOW, SLOP, MOST_TERMS = 13, 4, 500_000
+WINDOW, SLOP = 13, 4
 
 
 def words_of(text: Column) -> Column:
@@ -43,15 +43,10 @@ def items_of(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     return rows.select(F.xxhash64("name", "item_words").alias("item"), "name", "item_words", F.least(F.size("item_words"), F.lit(size)).alias("width"))
 
 
-def _bounded(df: DataFrame, most: int = MOST_TERMS) -> DataFrame:
-    """df, to be broadcast where it has few enough rows."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
 def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """(term, n): occurrences in the corpus of the terms that occur."""
     tokens = docs.select(F.explode(words_of(F.col("text"))).alias("term"))
-    return tokens.join(_bounded(terms), "term").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    return tokens.join(bounded(terms), "term").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
 def anchors_of(items: DataFrame, counts: DataFrame, rarest: int = 2) -> DataFrame:
@@ -67,7 +62,7 @@ def postings(docs: DataFrame, terms: DataFrame, size: int = WINDOW) -> DataFrame
     """The positional index of terms: (term, document, at, context, left): positions from 0, and the words up to
     size - 1 places around, `left` of them before the term."""
     tokens = _keyed(docs).select(*DOC, "words", F.posexplode("words").alias("at", "term"))
-    near = _bounded(terms)
+    near = bounded(terms)
     left = F.least("at", F.lit(size - 1))
     return tokens.join(near, "term").select("term", *DOC, "at", F.slice("words", F.col("at") - left + 1, left + size).alias("context"), left.alias("left"))
 
@@ -116,4 +111,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) ->
     bad = contamination(docs, benchmark, size).where("contaminated")
     bad = settle(bad.select(F.coalesce("doc_id", F.lit(0)).alias("bad_id"), F.col("doc_id").isNull().alias("bad_null"), F.col("text_key").alias("bad_key")).distinct(), "contaminated")
     doc_id, key = docs["doc_id"].cast("long"), F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
-    return docs.join(bad, (F.coalesce(doc_id, F.lit(0)) == F.col("bad_id")) & (doc_id.isNull() == F.col("bad_null")) & (key == F.col("bad_key")), "left_anti")
+    return docs.join(bounded(bad), (F.coalesce(doc_id, F.lit(0)) == F.col("bad_id")) & (doc_id.isNull() == F.col("bad_null")) & (key == F.col("bad_key")), "left_anti")

@@ -24,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import bounded, settle
 
 WORD, BLANK, SYMBOLS = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]+", r"[^#*$%&|<>]+"
 STATS = ("log_words", "log_word_chars", "symbols", "dup_lines", "repeats")
@@ -200,4 +200,4 @@ def keep_quality(docs: DataFrame, cutoff: float = CUTOFF, least: int = 50) -> Da
     missing = F.lit("null")
     lang, source = (known(c) if c in docs.columns else missing for c in ("lang", "source"))
     key = F.xxhash64(docs["doc_id"].cast("long"), lang, source, F.coalesce(docs["text"].cast("string"), F.lit("")))
-    return docs.join(bad, (F.coalesce(docs["doc_id"].cast("long"), F.lit(0)) == F.col("bad_id")) & (key == F.col("bad_key")), "left_anti")
+    return docs.join(bounded(bad), (F.coalesce(docs["doc_id"].cast("long"), F.lit(0)) == F.col("bad_id")) & (key == F.col("bad_key")), "left_anti")
