@@ -1,8 +1,8 @@
 """Text matching by blocking: titles of price sheets to the catalog, search phrases to product families.
 
-A pair scores only where some token of the one is inside the text of the other. Every token therefore meets texts by one
-of its character grams, the one that fewest texts have; no such pair can be missed, and no token is left out. `block=False`
-scores all pairs, for checking."""
+A token meets texts by one of its character grams, the one that fewest texts have, so that no pair is missed in which the
+token is inside the text. Search lets every token meet texts; sheet titles, whose decisions need nearly all of their
+tokens, only their rarest (see match_references). `block=False` scores all pairs, for checking."""
 
 from __future__ import annotations
 
@@ -19,13 +19,14 @@ def grams(text: Column, size: int) -> Column:
     return F.when(n >= 1, F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(text, i, F.lit(size))))).otherwise(F.array().cast("array<string>"))
 
 
-def block_pairs(left: DataFrame, left_id: str, tokens: str, right: DataFrame, right_id: str, text: str) -> DataFrame:
-    """(left_id, right_id) of all pairs in which some token of the left is inside the text of the right."""
+def block_pairs(left: DataFrame, left_id: str, tokens: str, right: DataFrame, right_id: str, text: str, every: bool = True) -> DataFrame:
+    """(left_id, right_id) of all pairs in which some token of the left is inside the text of the right; with every=False,
+    in which its rarest token is (enough where all tokens must be inside)."""
     parts = left.select(left_id, F.explode(F.array_distinct(tokens)).alias("t")).where("t <> ''")
     keys = parts.select(left_id, "t", F.explode(grams(F.col("t"), GRAM)).alias("g")).unionByName(parts.where(F.length("t") < GRAM).select(left_id, "t", F.col("t").alias("g")))
     own = right.select(right_id, F.explode(F.array_union(F.array_union(grams(F.col(text), 3), grams(F.col(text), 2)), grams(F.col(text), 1))).alias("g"))
     sizes = own.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(left_id, "t").orderBy(F.coalesce("n", F.lit(0)), "g")
+    w = Window.partitionBy(left_id, *(["t"] if every else [])).orderBy(F.coalesce("n", F.lit(0)), "g")
     rarest = keys.join(sizes, "g", "left").withColumn("_k", F.row_number().over(w)).where("_k = 1").select(left_id, "g")
     return rarest.join(own, "g").select(left_id, right_id).distinct()
 
@@ -59,6 +60,10 @@ def match_score() -> Column:
 def match_references(rows: DataFrame, candidates: DataFrame, threshold: float = 1900, margin: float = 120, block: bool = True) -> DataFrame:
     """Best candidate of every title and how sure it is: exact, model_only or unmatched.
 
+    Pairs are scored whose candidate has the title's rarest token, or whose model is inside the title. A pair without
+    either lacks a token, so neither its title nor its core is inside the candidate's text, and with the model unrelated
+    up to five matching tokens stay under what a decision needs (threshold less margin).
+
     rows: row_id, raw_title; candidates: candidate_id, brand_title, series_title, model_title, group_title, condition_bucket, row_count."""
     core, model = signatures(F.col("raw_title"))
     q = rows.select("row_id", "raw_title", P.normalize_search("raw_title").alias("q_norm"), core.alias("q_core"), model.alias("q_model"), F.filter(F.transform(F.split(F.replace(P.plain("raw_title"), F.lit("/"), F.lit(" ")), r"\s+"), P.normalize_search), lambda t: t != "").alias("q_tokens"))
@@ -66,7 +71,7 @@ def match_references(rows: DataFrame, candidates: DataFrame, threshold: float =
     c_core, _ = signatures(title)
     c = candidates.select("candidate_id", "brand_title", "series_title", "model_title", "group_title", "condition_bucket", "row_count", P.normalize_search(P.search_text("brand_title", "series_title", "model_title", "group_title", "condition_bucket")).alias("c_full"), P.normalize_search(title).alias("c_group"), c_core.alias("c_core"), P.normalize_search("model_title").alias("c_model"))
     if block:
-        there = block_pairs(q, "row_id", "q_tokens", c, "candidate_id", "c_full")
+        there = block_pairs(q, "row_id", "q_tokens", c, "candidate_id", "c_full", every=False)
         back = block_pairs(c.select("candidate_id", F.array("c_model").alias("t")), "candidate_id", "t", q, "row_id", "q_norm")
         pairs = there.unionByName(back.select("row_id", "candidate_id")).distinct().join(q, "row_id").join(c, "candidate_id")
     else:
