@@ -1,15 +1,17 @@
 """Text matching by blocking: titles of price sheets to the catalog, search phrases to product families.
 
 A token meets texts by one of its character grams, the one that fewest texts have, so that no pair is missed in which the
-token is inside the text. Search lets every token meet texts; sheet titles, whose decisions need nearly all of their
-tokens, only their rarest (see match_references). `block=False` scores all pairs, for checking."""
+token is inside the text. Every token meets texts; `block=False` scores all pairs, for checking."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricewell.functions import columns as P
+from pricewell.settled import settle
 
 GRAM = 3
 
@@ -19,16 +21,23 @@ def grams(text: Column, size: int) -> Column:
     return F.when(n >= 1, F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(text, i, F.lit(size))))).otherwise(F.array().cast("array<string>"))
 
 
-def block_pairs(left: DataFrame, left_id: str, tokens: str, right: DataFrame, right_id: str, text: str, every: bool = True) -> DataFrame:
-    """(left_id, right_id) of all pairs in which some token of the left is inside the text of the right; with every=False,
-    in which its rarest token is (enough where all tokens must be inside)."""
+def all_grams(text: Column) -> Column:
+    return F.array_union(F.array_union(grams(text, 3), grams(text, 2)), grams(text, 1))
+
+
+def rarest_grams(left: DataFrame, left_id: str, tokens: Column | str, right: DataFrame, text: str) -> DataFrame:
+    """(left_id, g): of every token of the left, the gram that fewest texts of the right have."""
     parts = left.select(left_id, F.explode(F.array_distinct(tokens)).alias("t")).where("t <> ''")
     keys = parts.select(left_id, "t", F.explode(grams(F.col("t"), GRAM)).alias("g")).unionByName(parts.where(F.length("t") < GRAM).select(left_id, "t", F.col("t").alias("g")))
-    own = right.select(right_id, F.explode(F.array_union(F.array_union(grams(F.col(text), 3), grams(F.col(text), 2)), grams(F.col(text), 1))).alias("g"))
-    sizes = own.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(left_id, *(["t"] if every else [])).orderBy(F.coalesce("n", F.lit(0)), "g")
-    rarest = keys.join(sizes, "g", "left").withColumn("_k", F.row_number().over(w)).where("_k = 1").select(left_id, "g")
-    return rarest.join(own, "g").select(left_id, right_id).distinct()
+    sizes = right.select(F.explode(all_grams(F.col(text))).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy(left_id, "t").orderBy(F.coalesce("n", F.lit(0)), "g")
+    return keys.join(sizes, "g", "left").withColumn("_k", F.row_number().over(w)).where("_k = 1").select(left_id, "g")
+
+
+def block_pairs(left: DataFrame, left_id: str, tokens: Column | str, right: DataFrame, right_id: str, text: str) -> DataFrame:
+    """(left_id, right_id) of all pairs in which some token of the left is inside the text of the right."""
+    own = right.select(right_id, F.explode(all_grams(F.col(text))).alias("g"))
+    return rarest_grams(left, left_id, tokens, right, text).join(own, "g").select(left_id, right_id).distinct()
 
 
 MEMORY = r"([0-9]{1,2})\s*\+\s*([0-9]{1,4})"
@@ -57,35 +66,75 @@ def match_score() -> Column:
     return F.when(q == "", -1.0).otherwise(core + model + exact + part + tokens + popular)
 
 
+#: A side of a join of pairs with at most so many rows is broadcast.
+MOST_BROADCAST = 200_000
+
+
+def _bounded(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else df
+
+
+def _prefixes(text: Column) -> Column:
+    return F.when(F.length(text) > 0, F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.substring(text, F.lit(1), i)))
+
+
+def title_pairs(q: DataFrame, c: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """A function from titles to all their pairs with candidates that can score over 0, each once, with the columns of
+    both: a token (or the title's model) is inside the candidate's text; the candidate's model is inside the title; one
+    core starts with the other; or a title of one word meets the most popular candidate, as any candidate's popularity
+    is a score then.
+
+    Pairs of the first kind, by far the most, come from the first of a title's grams that is inside the text, so they
+    need not be made distinct; the other kinds are settled as pairs of ids."""
+    keys = rarest_grams(q, "raw_title", F.array_union("q_tokens", F.array("q_model")), c, "c_full").groupBy("raw_title").agg(F.array_sort(F.collect_set("g")).alias("keys"))
+    keys = settle(q.select("raw_title").join(keys, "raw_title", "left").select("raw_title", F.coalesce("keys", F.array().cast("array<string>")).alias("keys")), "title-keys")
+    met = F.filter("keys", lambda k: F.contains("c_full", k))
+    models, cores = (c.select(x).where(f"{x} <> ''").distinct() for x in ("c_model", "c_core"))
+    named = rarest_grams(models, "c_model", F.array("c_model"), q, "q_norm").join(q.select("raw_title", "q_norm", F.explode(all_grams(F.col("q_norm"))).alias("g")), "g").where(F.contains("q_norm", F.col("c_model"))).select("raw_title", "c_model")
+    longer = q.select("raw_title", F.explode(_prefixes(F.col("q_core"))).alias("c_core")).join(cores, "c_core")
+    shorter = cores.select("c_core", F.explode(_prefixes(F.col("c_core"))).alias("q_core")).join(q, "q_core").select("raw_title", "c_core")
+    popular = c.orderBy(F.desc(F.least(F.coalesce("row_count", F.lit(0)), F.lit(200))), "candidate_id").limit(1)
+    lone = q.where(F.size(F.filter("q_tokens", lambda t: t != F.col("q_norm"))) == 0).select("raw_title").join(F.broadcast(popular.select("candidate_id", "c_full")), how="cross")
+    pair = ["raw_title", "candidate_id", "c_full"]
+    rest = named.join(c, "c_model").select(*pair).unionByName(longer.unionByName(shorter).join(c, "c_core").select(*pair)).unionByName(lone.select(*pair))
+    rest = settle(rest.join(keys, "raw_title").where(F.size(met) == 0).select("raw_title", "candidate_id").distinct(), "title-pairs")
+    spread = c.repartition(int(c.sparkSession.conf.get("spark.sql.shuffle.partitions")), "candidate_id").withColumn("g", F.explode(all_grams(F.col("c_full"))))
+
+    def pairs(q: DataFrame) -> DataFrame:
+        there = spread.join(_bounded(q.join(keys, "raw_title").withColumn("g", F.explode("keys"))), "g").where(F.get(met, F.lit(0)) == F.col("g")).drop("g", "keys")
+        return there.unionByName(rest.join(q, "raw_title").join(c, "candidate_id"))
+
+    return pairs
+
+
 def match_references(rows: DataFrame, candidates: DataFrame, threshold: float = 1900, margin: float = 120, block: bool = True) -> DataFrame:
     """Best candidate of every title and how sure it is: exact, model_only or unmatched.
 
-    Pairs are scored whose candidate has the title's rarest token, or whose model is inside the title. A pair without
-    either lacks a token, so neither its title nor its core is inside the candidate's text, and with the model unrelated
-    up to five matching tokens stay under what a decision needs (threshold less margin).
+    Equal titles are scored once. Scores are made twice: for the best of each title, and for the pairs within the margin
+    of it, which alone decide; only those are sorted. block=False meets all pairs, with the same results where
+    threshold - margin is at least 40, the most that popularity gives.
 
     rows: row_id, raw_title; candidates: candidate_id, brand_title, series_title, model_title, group_title, condition_bucket, row_count."""
     core, model = signatures(F.col("raw_title"))
-    q = rows.select("row_id", "raw_title", P.normalize_search("raw_title").alias("q_norm"), core.alias("q_core"), model.alias("q_model"), F.filter(F.transform(F.split(F.replace(P.plain("raw_title"), F.lit("/"), F.lit(" ")), r"\s+"), P.normalize_search), lambda t: t != "").alias("q_tokens"))
+    q = rows.select("raw_title").where("raw_title is not null").distinct()
+    q = q.select("raw_title", P.normalize_search("raw_title").alias("q_norm"), core.alias("q_core"), model.alias("q_model"), F.filter(F.transform(F.split(F.replace(P.plain("raw_title"), F.lit("/"), F.lit(" ")), r"\s+"), P.normalize_search), lambda t: t != "").alias("q_tokens"))
     title = P.search_text("model_title", "group_title")
     c_core, _ = signatures(title)
     c = candidates.select("candidate_id", "brand_title", "series_title", "model_title", "group_title", "condition_bucket", "row_count", P.normalize_search(P.search_text("brand_title", "series_title", "model_title", "group_title", "condition_bucket")).alias("c_full"), P.normalize_search(title).alias("c_group"), c_core.alias("c_core"), P.normalize_search("model_title").alias("c_model"))
-    if block:
-        there = block_pairs(q, "row_id", "q_tokens", c, "candidate_id", "c_full", every=False)
-        back = block_pairs(c.select("candidate_id", F.array("c_model").alias("t")), "candidate_id", "t", q, "row_id", "q_norm")
-        pairs = there.unionByName(back.select("row_id", "candidate_id")).distinct().join(q, "row_id").join(c, "candidate_id")
-    else:
-        pairs = q.join(c, how="cross")
-    scored = pairs.withColumn("score", match_score()).where("score > 0")
-    w = Window.partitionBy("row_id")
+    q, c = settle(q, "titles"), settle(c, "candidates")
+    pairs = title_pairs(q, c) if block else lambda x: x.join(c, how="cross")
+    met = lambda x: pairs(x).withColumn("score", match_score()).where("score > 0")
+    top = settle(met(q).groupBy("raw_title").agg(F.max("score").alias("_top")), "title-scores")
+    scored = met(q.join(top, "raw_title")).where((F.col("score") == F.col("_top")) | (F.col("score") > F.col("_top") - margin))
+    w = Window.partitionBy("raw_title")
     order = w.orderBy(F.desc("score"), "candidate_id")
-    scored = scored.withColumns({"place": F.row_number().over(order), "next_score": F.coalesce(F.lead("score").over(order), F.lit(0.0)), "_family": F.count(F.lit(1)).over(Window.partitionBy("row_id", "score", "brand_title", "series_title", "model_title"))})
+    scored = scored.withColumns({"place": F.row_number().over(order), "next_score": F.coalesce(F.lead("score").over(order), F.lit(0.0)), "_family": F.count(F.lit(1)).over(Window.partitionBy("raw_title", "score", "brand_title", "series_title", "model_title"))})
     best = scored.where("place = 1")
     sure = (F.col("score") >= threshold) & ((F.col("score") - F.col("next_score") >= margin) | (F.col("next_score") == 0))
     same = (F.col("q_core") != "") & (F.col("c_core") == F.col("q_core")) & (F.col("q_model") != "") & (F.col("c_model") == F.col("q_model"))
     level = F.when(sure, "exact").when((F.col("score") >= threshold) & ((F.col("_family") >= 2) | same), "model_only").otherwise("unmatched")
-    best = best.select("row_id", level.alias("match_level"), F.bround("score", 3).alias("best_score"), "candidate_id", F.col("brand_title").alias("matched_brand"), F.col("model_title").alias("matched_model"), F.when(level == "exact", F.col("group_title")).otherwise("").alias("matched_group"))
-    return rows.select("row_id", "raw_title").join(best, "row_id", "left").withColumn("match_level", F.coalesce("match_level", F.lit("unmatched")))
+    best = best.select("raw_title", level.alias("match_level"), F.bround("score", 3).alias("best_score"), "candidate_id", F.col("brand_title").alias("matched_brand"), F.col("model_title").alias("matched_model"), F.when(level == "exact", F.col("group_title")).otherwise("").alias("matched_group"))
+    return rows.select("row_id", "raw_title").join(best, "raw_title", "left").select("row_id", "raw_title", F.coalesce("match_level", F.lit("unmatched")).alias("match_level"), *best.columns[2:])
 
 
 def external_references(rows: DataFrame) -> DataFrame:

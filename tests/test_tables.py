@@ -99,6 +99,17 @@ def test_blocking_loses_no_match(spark):
     assert strong(full) == strong(blocked) and {r[:2] for r in full} == {r[:2] for r in blocked}
 
 
+def test_blocking_gives_all_scores(spark):
+    """Titles of 1 to 10 tokens, with unknown tokens, models inside one another and shared cores."""
+    names = [("Galaxy S24 Ultra 5G", "12+256 Titanium Black"), ("Galaxy S24 Ultra 5G", "12+512 Titanium Black"), ("Galaxy S24", "8+256 Black"), ("Mate60ProPlus", "8+256"), ("小米14Pro", "8+256T 黑"), ("Phone 8GB", "8+128"), ("", "16+1024 only"), ("Pad", "")]
+    skus = spark.createDataFrame([(f"c{k}", "Brand", "Series", m, g, "open_allowed", 7 * k) for k, (m, g) in enumerate(names)], "candidate_id string, brand_title string, series_title string, model_title string, group_title string, condition_bucket string, row_count long")
+    texts = ["5G S24 Ultra Galaxy 12+256 Titanium Black 现货", "5G S24 Ultra Galaxy 12+256 Titanium Black 现货 顺丰 包邮", "Galaxy S24 8+256 Black new sealed", "Mate60Pro8+256GB", "小米14Pro8+256TB", "Mate 60", "Phone 8GB 8+128", "phone8g8128xx", "zzz", "zzz yyy", "", "pad/zzz", "16+1024", None, "Galaxy S24 Ultra 5G 12+256 Titanium Black", "xx"]
+    titles = spark.createDataFrame(list(enumerate([*texts, texts[0]])), "row_id long, raw_title string")
+    full, blocked = ({tuple(r) for r in T.match_references(titles, skus, block=b).collect()} for b in (False, True))
+    assert full == blocked and len(full) == len(texts) + 1
+    assert {r[0]: r[2:5] for r in blocked}[0] == ("exact", 2120.0, "c0")
+
+
 def test_memory_signatures(spark):
     rows = spark.createDataFrame([("Redmi Note 13 8＋256GB",), ("Mate 60",)], "t string").select(*[c.alias(n) for c, n in zip(T.signatures(F.col("t")), ("core", "model"))]).collect()
     assert [tuple(r) for r in rows] == [("redminote138256", "redminote13"), ("mate60", "mate60")]
