@@ -50,12 +50,12 @@ def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def anchors_of(items: DataFrame, counts: DataFrame, rarest: int = 2) -> DataFrame:
-    """(item, pos, term): the `rarest` rarest places of every window all of whose terms occur."""
+    """(item, pos, term): the `rarest` rarest places of every window, of those whose terms occur."""
     starts = items.select("item", "item_words", "width", F.explode(F.sequence(F.lit(0), F.size("item_words") - F.col("width"))).alias("start"))
     places = starts.select("item", "start", F.posexplode(F.slice("item_words", F.col("start") + 1, F.col("width"))).alias("k", "term")).withColumn("pos", F.col("start") + F.col("k"))
     w = Window.partitionBy("item", "start")
-    ranked = places.join(counts, "term", "left").withColumns({"least": F.min(F.coalesce("n", F.lit(0))).over(w), "rank": F.row_number().over(w.orderBy(F.col("n").asc_nulls_first(), "pos"))})
-    return ranked.where((F.col("least") > 0) & (F.col("rank") <= rarest)).select("item", "pos", "term").distinct()
+    ranked = places.join(counts, "term").withColumn("rank", F.row_number().over(w.orderBy("n", "pos")))
+    return ranked.where(F.col("rank") <= rarest).select("item", "pos", "term").distinct()
 
 
 def postings(docs: DataFrame, terms: DataFrame, size: int = WINDOW) -> DataFrame:
@@ -80,9 +80,9 @@ def alignments(index: DataFrame, anchors: DataFrame, items: DataFrame, slop: int
     met = met.select(*DOC, "item", "width", (F.col("at") - F.col("pos")).alias("shift"), "pos", starts.alias("starts"))
     met = met.groupBy(*DOC, "item", "width", "shift").agg(F.collect_set("pos").alias("met"), F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts"))
     exact = met.where((F.size("met") >= F.least(F.lit(2), "width")) & (F.size("starts") > 0)).select(*DOC, "item", "shift", "width", "starts")
-    w = Window.partitionBy(*DOC, "item").orderBy("shift")
-    near = met.withColumns({"before": F.lag("shift").over(w), "met_before": F.lag("met").over(w)})
-    near = near.where((F.col("shift") - F.col("before") <= slop) & ((F.size("met") > 1) | (F.size(F.array_union("met", "met_before")) > 1)))
+    w = Window.partitionBy(*DOC, "item").orderBy("shift").rangeBetween(-slop, 0)
+    near = met.withColumn("close", F.array_distinct(F.flatten(F.collect_list("met").over(w))))
+    near = near.where(F.exists("met", lambda p: F.exists("close", lambda q: (p != q) & (F.abs(p - q) < F.col("width")))))
     return exact, near.select(*DOC, "item").distinct()
 
 

@@ -518,3 +518,37 @@ def test_proximity(spark):
     docs = spark.createDataFrame([(1, "alpha beta gamma delta"), (2, "alpha x beta gamma delta"), (3, "alpha " + "x " * 40 + "beta gamma delta"), (4, "nothing")], "doc_id long, text string")
     got = {r["doc_id"]: (list(r["items"]), list(r["near_items"])) for r in decontaminate.contamination(docs, spark.createDataFrame([(7, "alpha beta gamma delta")], "item_id long, text string")).collect()}
     assert got == {1: (["7"], []), 2: ([], ["7"]), 3: ([], []), 4: ([], [])}
+
+
+
+def brute_near(docs, items, size=13, slop=4):
+    """(document's text, item) where two rarest terms of windows, less than a window apart, are within slop of their places."""
+    cut = lambda x: WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), x or ""))
+    counts = Counter(w for _, t in docs for w in cut(t))
+    out = set()
+    for name, item in items:
+        w = cut(item)
+        width = min(size, len(w))
+        anchors = {p for i in range(len(w) - width + 1) for p in sorted((p for p in range(i, i + width) if counts[w[p]]), key=lambda p: (counts[w[p]], p))[:2]}
+        for _, t in docs:
+            words = cut(t)
+            at = defaultdict(list)
+            for k, x in enumerate(words):
+                at[x].append(k)
+            found = [(p, k - p) for p in anchors for k in at[w[p]]]
+            exact = any(words[k : k + width] == w[i : i + width] for i in range(len(w) - width + 1) for k in at[w[i]])
+            if not exact and any(p != q and abs(p - q) < width and abs(a - b) <= slop for p, a in found for q, b in found):
+                out.add((t, str(name)))
+    return out
+
+
+def test_proximity_of_substitutions(spark):
+    """Words swapped for others, with nothing inserted or deleted; words that no text has; insertions and deletions."""
+    long = [f"v{i * 7 % 31}x{i % 3}" for i in range(60)]
+    short = "one two three four five six".split()
+    swapped = [w if i % 12 != 5 else "swap" for i, w in enumerate(long)]
+    texts = [" ".join(x) for x in (swapped, long[:9] + ["new"] + long[9:18], long[:5] + long[6:13], ["one", "two", "THREE", "other", "five", "six"], long[::-1], long, long[:1] + ["far"] * 9 + long[1:2], ["quite", "other"])]
+    docs, items = list(enumerate(texts)), [(1, " ".join(long)), (2, " ".join(short)), (3, "quite absent")]
+    rows = decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    got = {(texts[r["doc_id"]], name) for r in rows for name in r["near_items"]}
+    assert got == brute_near(docs, items) and {(texts[0], "1"), (texts[3], "2")} <= got and not any(t == texts[5] for t, _ in got)
