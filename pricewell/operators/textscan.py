@@ -39,6 +39,21 @@ def repair_lines(lines: DataFrame) -> DataFrame:
     return lines.withColumn("repaired", mended("line"))
 
 
+def damaged_lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, line_no, line): every line of the texts, with its UTF-8 bytes decoded as GB18030 where that can be undone."""
+
+    @F.udf("string", useArrow=True)
+    def damaged(text):
+        try:
+            bad = text.encode("utf-8").decode("gb18030") if text else text
+            return bad if not text or bad.encode("gb18030") == text.encode("utf-8") else text
+        except UnicodeError:
+            return text
+
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    return lines.select("doc_id", (F.col("i") + 1).alias("line_no"), damaged("line").alias("line"))
+
+
 def decode_content(files: DataFrame) -> DataFrame:
     """Text of binary files: UTF-8 with or without mark, else GB18030."""
 

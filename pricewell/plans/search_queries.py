@@ -198,8 +198,8 @@ def scan_text(spark, d):
 
 @query()
 def repair_text(spark, d):
-    """garbled lines read back; the damage is made from the documents' own texts."""
-    return textscan.repair_lines(V.table(spark, d, "documents").select("doc_id", F.col("text").alias("line"))).select("doc_id", F.length("repaired").alias("n"))
+    """lines read back; the damage is made from the documents' own lines, where GB18030 can hold it."""
+    return textscan.repair_lines(textscan.damaged_lines(V.table(spark, d, "documents"))).select("doc_id", "line_no", "repaired")
 
 
 @query("""WITH m AS (SELECT DISTINCT unnest(regexp_extract_all(html,'<li><a href="/([^"]*)">([^<]*)</a>',1)) AS ID, unnest(regexp_extract_all(html,'<li><a href="/([^"]*)">([^<]*)</a>',2)) AS title FROM pages) SELECT DISTINCT trim(ID) AS ID, trim(title) AS title FROM m WHERE trim(ID) NOT IN ('','0','-1') AND trim(title)<>''""")

@@ -73,6 +73,21 @@ def test_mixed_encodings(spark, tmp_path):
     assert [r["repaired"] for r in textscan.repair_lines(lines).collect()][1:] == ["plain", None]
 
 
+def test_damaged_lines_are_repaired_one_by_one(spark, tmp_path):
+    bad = "中文字符".encode().decode("gb18030")
+    mixed = spark.createDataFrame([(1, f"{bad}\ncafé — 中文\nplain\n")], "doc_id long, text string")
+    lines = mixed.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    assert [r["repaired"] for r in textscan.repair_lines(lines).orderBy("line_no").collect()] == ["中文字符", "café — 中文", "plain", ""]
+    text = "中文字符\ncafé — x\nplain\n\né"
+    damaged = {r["line_no"]: r["line"] for r in textscan.damaged_lines(spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")).collect()}
+    assert damaged[1] == bad and damaged[3] == "plain" and len(damaged) == 5
+    spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    from pricewell.plans import search_queries
+
+    got = sorted(tuple(r) for r in search_queries.QUERIES["repair_text"](spark, str(tmp_path)).collect())
+    assert got == [(1, k, x) for k, x in enumerate(text.split("\n"), 1)]
+
+
 def test_publish_points_last(spark, tmp_path):
     df = spark.createDataFrame([("x", 1)], "sku string, market_price long")
     sinks.publish(df, f"file://{tmp_path}/s", f"file://{tmp_path}/state", "run_1", "now")
