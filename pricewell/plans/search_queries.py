@@ -107,7 +107,7 @@ def _brands():
 
 @query()
 def query_context(spark, d):
-    """Readings and hints of every phrase."""
+    """X3, P28-P31, X4, and X2 in part (README): readings and hints of every phrase."""
     return X.context(_readings(spark, d), _brands(), CATEGORIES)
 
 
@@ -118,13 +118,13 @@ def _search(spark, d):
 
 @query()
 def product_search(spark, d):
-    """The six best families per phrase."""
+    """J7 in part (text, brand and capacity terms; README lists the rest), K2: the six best families per phrase."""
     return _search(spark, d)
 
 
 @query()
 def search_decisions(spark, d):
-    """Preference re-rank, relative cut-off and the answer decision per phrase."""
+    """W13, and K4, K5 in part (README): preference filters, relative cut-off and the answer decision per phrase."""
     found = T.relative_cut(_search(spark, d), 60, 2000)
     ranked = T.preferred(found, F.contains(F.lower("query"), F.lower("brand_title")), F.contains(F.col("query"), F.col("family_title")))
     return T.decisions(ranked)
