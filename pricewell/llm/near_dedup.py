@@ -174,8 +174,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, blocks
 
 
 def keep_first(docs: DataFrame, shingle: int = 4, distance: int = 4, blocks: int = 6) -> DataFrame:
-    """One document of each component, with all its columns: the one whose doc_id names it. Of rows that share this
-    doc_id one stays; rows without a doc_id stay where nothing with one is linked to them, one per component."""
+    """One document of each component, with all its columns: the one whose doc_id names it. Of rows of the
+    component that share this doc_id one stays; rows without a doc_id stay where nothing with one is linked to them, one per component."""
     names = docs.columns
     prints = settle(fingerprints(docs, shingle), "fingerprints")
     own = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
@@ -187,8 +187,13 @@ def keep_first(docs: DataFrame, shingle: int = 4, distance: int = 4, blocks: int
     kept = docs.join(unique, docs["doc_id"].cast("long") == F.col("keep_id"), "left_semi")
     many = prints.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("many_id"))
     if not (many := settle(many, "repeated-ids")).isEmpty():
-        rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(*[F.col(f"`{c}`") for c in names if c != "doc_id"]))
-        twice = kept.join(many, kept["doc_id"].cast("long") == F.col("many_id"), "left_semi").withColumn("__nth", rank).where(F.col("__nth") == 1).select(*names)
+        key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+        twice = kept.join(many, kept["doc_id"].cast("long") == F.col("many_id"), "left_semi")
+        keys = fingerprints(twice.select(key.alias("doc_id"), "text"), shingle).distinct().select(F.col("doc_id").alias("__key"), F.col("fp").alias("__fp"))
+        chosen = first.where("first_id is not null").select(F.col("first_id").alias("__id"), F.col("fp").alias("__fp"))
+        twice = twice.withColumn("__key", key).join(keys, "__key").withColumn("__id", F.col("doc_id").cast("long")).join(chosen, ["__id", "__fp"], "left_semi")
+        rank = F.row_number().over(Window.partitionBy("__id", "__fp").orderBy(*[F.col(f"`{c}`") for c in names if c != "doc_id"]))
+        twice = twice.withColumn("__nth", rank).where(F.col("__nth") == 1).select(*names)
         kept = kept.join(many, kept["doc_id"].cast("long") == F.col("many_id"), "left_anti").unionByName(twice)
     nameless = first.where("first_id is null").select("fp")
     if not nameless.isEmpty():

@@ -514,6 +514,12 @@ def test_contamination_odd_cases(spark):
     assert decontaminate.contamination(df, bench.limit(0)).where("contaminated").count() == 0 and decontaminate.contamination(df.limit(0), bench).count() == 0
 
 
+def test_reused_ids_keep_one_row_of_each_component(spark):
+    a, b = (" ".join(f"{x}{i * i % 997}" for i in range(200)) for x in ("left", "right"))
+    df = spark.createDataFrame([(1, a), (1, a), (1, b), (2, b), (3, a)], "doc_id long, text string")
+    assert Counter(tuple(r) for r in near_dedup.keep_first(df).collect()) == Counter([(1, a), (1, b)])
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "alpha beta gamma delta"), (2, "alpha x beta gamma delta"), (3, "alpha " + "x " * 40 + "beta gamma delta"), (4, "nothing")], "doc_id long, text string")
     got = {r["doc_id"]: (list(r["items"]), list(r["near_items"])) for r in decontaminate.contamination(docs, spark.createDataFrame([(7, "alpha beta gamma delta")], "item_id long, text string")).collect()}
