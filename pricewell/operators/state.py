@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricewell.functions import columns as P
+from pricewell.operators import rules as R
 
 
 def upsert(stored: DataFrame, incoming: DataFrame, keys: list[str], order: list[str], keep_first: tuple[str, ...] = ()) -> DataFrame:
@@ -107,13 +108,15 @@ def blacklist_candidates(tasks: DataFrame, code: str, statuses: list[str]) -> Da
     return first.select("model_id", "brand_title", "series_title", "model_title", F.lit(f"final_code_{code}").alias("reason"), note.alias("note"))
 
 
-def reclassified(stored: DataFrame, fresh: DataFrame, columns: list[str]) -> DataFrame:
-    """Per run: rows scanned, and rows whose classes differ under the new rules. stored and fresh share id and run_key."""
-    a, b = stored.select("id", "run_key", *columns), fresh.select("id", *[F.col(c).alias(f"_{c}") for c in columns])
+def reclassified(stored: DataFrame, rules: R.Rules, columns: list[str]) -> DataFrame:
+    """Per run: rows scanned, and rows whose stored classes differ under the rules. A row is classified again where it
+    lies, so ids need not be unique and only counts are shuffled."""
+    before = {c: f"_stored_{c}" for c in columns}
+    fresh = R.classify(stored.withColumns({b: F.col(c) for c, b in before.items()}), rules)
     same = F.lit(True)
-    for c in columns:
-        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    return a.join(b, "id").groupBy("run_key").agg(F.count(F.lit(1)).alias("scanned"), F.count(F.when(~same, 1)).alias("updated"))
+    for c, b in before.items():
+        same = same & F.col(c).eqNullSafe(F.col(b))
+    return fresh.groupBy("run_key").agg(F.count(F.lit(1)).alias("scanned"), F.count(F.when(~same, 1)).alias("updated"))
 
 
 def catalog_filter(catalog: DataFrame, terms: list[str], columns: list[str]) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 RAW = """raw AS (
- SELECT ((l_orderkey*10+l_linenumber)*100000+l_partkey)*10000+l_suppkey AS id, 'run_'||year(l_shipdate)||'-01-01' AS run_key, CAST(l_orderkey AS VARCHAR) AS task_key, CAST(l_partkey AS VARCHAR) AS model_id,
+ SELECT ('0x'||substr(md5(concat_ws('-',l_orderkey,l_linenumber,l_partkey,l_suppkey,strftime(l_shipdate,'%Y%m%d'))),1,15))::BIGINT AS id, 'run_'||year(l_shipdate)||'-01-01' AS run_key, CAST(l_orderkey AS VARCHAR) AS task_key, CAST(l_partkey AS VARCHAR) AS model_id,
   p_brand AS brand_title, p_type AS series_title, p_name AS model_title, 'color '||p_size||'G' AS group_title, s_name AS sname, '' AS sno, l_returnflag||l_linestatus AS dstatus, strftime(l_shipdate,'%m-%d') AS gprice, '' AS gprice_two,
   CAST(CAST(floor(l_extendedprice/l_quantity) AS BIGINT) AS VARCHAR) AS price_text, CASE WHEN l_discount>=0.10 THEN 'x' ELSE '' END AS activation, strftime(l_shipdate,'%Y-%m-%d %H:%M:%S') AS imported_at
  FROM lineitem JOIN part ON l_partkey=p_partkey JOIN supplier ON l_suppkey=s_suppkey)"""

@@ -203,9 +203,7 @@ def reclassify(spark, d):
     """Rows that changed rules would classify anew."""
     from dataclasses import replace
 
-    rows = V.quotes(spark, d)
-    fresh = R.classify(V.raw_quotes(spark, d), replace(V.demo_rules(), open_exclude=()))
-    return state.reclassified(rows, fresh, ["condition_bucket", "is_target_price"])
+    return state.reclassified(V.quotes(spark, d), replace(V.demo_rules(), open_exclude=()), ["condition_bucket", "is_target_price"])
 
 
 @query("""SELECT p_partkey::VARCHAR AS model_id FROM part WHERE contains(replace(lower(p_brand),' ',''),'brand#1') OR contains(replace(lower(p_name),' ',''),'redwidget')""")

@@ -26,7 +26,8 @@ def demo_rules() -> R.Rules:
 def raw_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     line, part, supplier = (table(spark, sf_dir, t) for t in ("lineitem", "part", "supplier"))
     df = line.join(part, line["l_partkey"] == part["p_partkey"]).join(supplier, line["l_suppkey"] == supplier["s_suppkey"])
-    number = ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100000 + F.col("l_partkey")) * 10000 + F.col("l_suppkey")
+    key = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.date_format("l_shipdate", "yyyyMMdd"))
+    number = F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("bigint")  # 60 bits of the line's whole key, at any size of the tables
     return df.select(
         number.alias("id"), F.concat(F.lit("run_"), F.year("l_shipdate").cast("string"), F.lit("-01-01")).alias("run_key"), F.col("l_orderkey").cast("string").alias("task_key"), F.col("l_partkey").cast("string").alias("model_id"),
         F.col("p_brand").alias("brand_title"), F.col("p_type").alias("series_title"), F.col("p_name").alias("model_title"), F.concat(F.lit("color "), F.col("p_size").cast("string"), F.lit("G")).alias("group_title"),

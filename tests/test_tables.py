@@ -23,6 +23,26 @@ def test_upsert_and_seed(spark):
     assert got == {(1, "a", "t1"), (2, "d", "t1"), (3, "e", "t3")}
 
 
+def test_reclassified_counts_rows_of_equal_id_once(spark):
+    from dataclasses import replace
+
+    rules = V.demo_rules()
+    rows = [(7, "run_a", "Brand#1", "AF"), (7, "run_b", "Brand#1", "NO"), (7, "run_b", "Brand#1", "AF"), (None, "run_b", "Brand#1", "NO")]
+    df = spark.createDataFrame([(i, r, b, "s", "m", "g", s, "") for i, r, b, s in rows], "id long, run_key string, brand_title string, series_title string, model_title string, group_title string, dstatus string, activation string")
+    got = state.reclassified(R.classify(df, rules), replace(rules, open_exclude=()), ["condition_bucket", "is_target_price"])
+    assert {tuple(r) for r in got.collect()} == {("run_a", 1, 1), ("run_b", 3, 1)}
+
+
+def test_quote_ids_are_unique_at_any_size(spark, tmp_path):
+    """200,000 parts, 20,000 suppliers and order keys beyond 10^9: no two lines share an id, and none overflows."""
+    line = spark.range(200_000).select((F.col("id") + 2_000_000_000).alias("l_orderkey"), F.lit(1).alias("l_linenumber"), F.col("id").alias("l_partkey"), (F.col("id") % 20_000).alias("l_suppkey"), F.to_timestamp(F.lit("1998-05-25")).alias("l_shipdate"), F.lit("N").alias("l_returnflag"), F.lit("O").alias("l_linestatus"), F.lit(10.0).alias("l_extendedprice"), F.lit(2.0).alias("l_quantity"), F.lit(0.0).alias("l_discount"))
+    line.write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(200_000).select(F.col("id").alias("p_partkey"), F.lit("b").alias("p_brand"), F.lit("t").alias("p_type"), F.lit("n").alias("p_name"), F.lit(1).alias("p_size")).write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(20_000).select(F.col("id").alias("s_suppkey"), F.lit("s").alias("s_name")).write.parquet(f"{tmp_path}/supplier.parquet")
+    n = V.raw_quotes(spark, str(tmp_path)).agg(F.count_distinct("id").alias("d"), F.count("id").alias("n")).first()
+    assert (n["d"], n["n"]) == (200_000, 200_000)
+
+
 def test_choose_item(spark):
     items = spark.createDataFrame([("1", "Red"), ("2", "Red widget"), ("3", "Blue")], "ID string, title string")
     assert [r["ID"] for r in state.choose_item(items, "red").collect()] == ["1"]
