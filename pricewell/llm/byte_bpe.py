@@ -93,15 +93,16 @@ def latin_pattern(pattern: str) -> str | None:
 
 
 class Codec:
-    def __init__(self, tokens: list[bytes], pattern: str, model: bytes | None = None) -> None:
-        self.tokens, self.find = tokens, regex.compile(pattern).findall
+    def __init__(self, model: bytes, pattern: str) -> None:
+        self.find = regex.compile(pattern).findall
         latin = latin_pattern(pattern)
         self.find_latin = re.compile(latin).findall if latin else self.find
-        self.processor = sentencepiece.SentencePieceProcessor(model_proto=model or serialise(tokens))
-        self.inverse = {c: b for b, c in enumerate(byte_table())}
+        self.processor = sentencepiece.SentencePieceProcessor(model_proto=model)
+        inverse = {c: b for b, c in enumerate(byte_table())}
+        #: The bytes of each id: its piece's characters back through the inverse table.
+        self.decoded = [bytes(map(inverse.__getitem__, self.processor.id_to_piece(i))) for i in range(1, self.processor.get_piece_size())]
         #: UTF-8 has no byte 255; it stands between pre-tokens, as a character that is in no piece.
         self.units = np.array([*map(ord, byte_table()[:255]), 10], "<u2")
-
         self.known: dict[str, bytes] = {}
 
     def encode(self, text: str) -> np.ndarray:
@@ -128,23 +129,18 @@ class Codec:
         return np.frombuffer(b"".join(map(known.__getitem__, words)), np.uint32)
 
     def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids.tolist()))
-
-    def decode_pieces(self, ids: list[int]) -> bytes:
-        """The same through the model's pieces: characters back to bytes by the inverse table."""
-        return bytes(self.inverse[c] for i in ids for c in self.processor.id_to_piece(i + 1))
+        return b"".join(map(self.decoded.__getitem__, ids.tolist()))
 
 
 @lru_cache(2)
-def _codec(tokens: tuple[bytes, ...], pattern: str, model: bytes) -> Codec:
-    return Codec(list(tokens), pattern, model)
+def _codec(model: bytes, pattern: str) -> Codec:
+    return Codec(model, pattern)
 
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, ids array<int>, decoded binary): ids of the whole text, and the bytes they decode to."""
-    tokens = tuple(read_ranks(path))
-    model = serialise(list(tokens))
-    shipped = docs.sparkSession.sparkContext.broadcast((tokens, pattern, model))  # as large as the vocabulary file
+    model = serialise(read_ranks(path))
+    shipped = docs.sparkSession.sparkContext.broadcast((model, pattern))  # as large as the vocabulary file
     kind = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,11 +4,16 @@ Fingerprints are cut into `blocks` blocks. Two that differ in at most `distance`
 blocks - distance whole blocks, so they share the key made of some choice of that many blocks. Rows meet by key, and
 pairs are verified by Hamming distance. Nothing is dropped: a key held by more than TILE fingerprints is dealt in tiles
 of TILE by TILE, each a task group of its own, and every tile is compared whole. A tile returns links that span its
-connected fingerprints instead of all its pairs; components then follow from links by star contraction.
+connected fingerprints instead of all its pairs; components then follow from links by star contraction. The number of
+blocks follows the number of distinct fingerprints (blocks_for), so that keys stay short lists at any size.
 
-Defined results: a null, empty or blank text has fingerprint zero, and links like any other; equal rows share a
-component; a null doc_id keeps a row with its fingerprint, and its component is the smallest non-null doc_id reachable
-(null if there is none); an empty table gives no rows; other columns are not read."""
+What one key can hold a third of is split: keys in tiles; fingerprints with very many rows are joined by broadcast
+(common.meet_counted); the ends of a large component meet its root by broadcast or salted.
+
+Defined results: a null, empty or blank text has fingerprint zero, and links like any other; a text is read whole,
+however long; equal rows share a component; a null doc_id keeps a row with its fingerprint, and its component is the
+smallest non-null doc_id reachable (null if there is none); an empty table gives no rows; other columns are not read by
+near_duplicates() and stay, whatever their names and types, in keep_first()."""
 
 from __future__ import annotations
 
@@ -18,12 +23,14 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, settle, slices
+from .common import _quoted, bounded, bytes_of, fresh, meet, meet_counted, settle, slices, whole_row
 
 TILE = 4096
+#: Fingerprints that a key may have on average.
+PER_KEY = 256
 
 
 def simhash(text: bytes, shingle: int = 4, seed: int = 42) -> int:
@@ -45,15 +52,22 @@ def simhash(text: bytes, shingle: int = 4, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long."""
-    kind = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+    """(doc_id, text_key, fp): text_key is a hash of the text, fp is the fingerprint as a signed long."""
+    kind = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("fp", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             fps = np.array([simhash(x, shingle, seed) for x in bytes_of(batch["text"])], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(fps)], schema=kind)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_key"], pa.array(fps)], schema=kind)
+
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text")).mapInArrow(run, "doc_id long, text_key long, fp long")
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+
+def blocks_for(n: int, distance: int) -> int:
+    """The fewest blocks whose keys are wide enough for n fingerprints to have some PER_KEY to a key at most."""
+    wide = (b for b in range(distance + 2, 2 * distance) if n <= PER_KEY << 64 * (b - distance) // b)
+    return next(wide, max(2 * distance, distance + 2))
 
 
 def block_masks(blocks: int, distance: int) -> list[int]:
@@ -126,9 +140,10 @@ def _links(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.Reco
     yield from work(*rest)
 
 
-def near_links(prints: DataFrame, distance: int = 4, blocks: int = 6, tile: int = TILE) -> DataFrame:
+def near_links(prints: DataFrame, distance: int = 4, blocks: int | None = None, tile: int = TILE) -> DataFrame:
     """(a, b): links between distinct fingerprints of the column fp, at most `distance` bits apart, whose connected
-    components are those of all such pairs."""
+    components are those of all such pairs. prints is counted to choose the blocks where they are not given."""
+    blocks = blocks_for(prints.count(), distance) if blocks is None else blocks
     masks = F.array(*[F.struct(F.lit(i).alias("n"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("part")) for i, m in enumerate(block_masks(blocks, distance))])
     keyed = prints.select("fp").distinct().select("fp", F.explode(masks).alias("k")).select("fp", F.xxhash64("k.n", "k.part").alias("key"))
     full = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > tile)
@@ -149,10 +164,10 @@ def connected(links: DataFrame, most_rounds: int = 50) -> DataFrame:
     seen = mark(edges)
     for _ in range(most_rounds):
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = settle(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "lowest")
+        large = settle(meet(both.where("v > u"), low, "u", F.col("v")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large-stars")
+        low = settle(large.groupBy("u").agg(F.min("v").alias("m")), "lowest")
+        small = meet(large, low, "u", F.col("v")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         new = settle(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "links")
         edges, before, seen = new, seen, mark(new)
         if seen == before:
@@ -162,45 +177,38 @@ def connected(links: DataFrame, most_rounds: int = 50) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, blocks: int = 6, seed: int = 42) -> DataFrame:
-    """(doc_id, fp, component_id): component_id is the smallest doc_id reachable over links."""
-    prints = settle(fingerprints(docs, shingle, seed), "fingerprints")
-    own = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
+def components(prints: DataFrame, distance: int, blocks: int | None) -> DataFrame:
+    """(fp, n, least): of every fingerprint how many rows have it, and the least (no doc_id, doc_id, text_key) of its component."""
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key"))
+    own = settle(prints.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), least.alias("first")), "distinct-fingerprints")
     roots = connected(near_links(own, distance, blocks))
-    rooted = own.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return prints.join(named, "fp", "left").select("doc_id", "fp", "component_id")
+    roots = settle(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()), "roots")
+    best = settle(roots.join(own, F.col("node") == F.col("fp")).groupBy("root").agg(F.min("first").alias("least")), "least-of-components")
+    linked = settle(meet(roots, best, "root", F.col("node")).select(F.col("node").alias("fp"), "least"), "linked")
+    return settle(own.join(linked, "fp", "left").select("fp", "n", F.coalesce("least", "first").alias("least")), "components")
 
 
-def keep_first(docs: DataFrame, shingle: int = 4, distance: int = 4, blocks: int = 6) -> DataFrame:
-    """One document of each component, with all its columns: the one whose doc_id names it. Of rows of the
-    component that share this doc_id one stays; rows without a doc_id stay where nothing with one is linked to them, one per component."""
-    names = docs.columns
+def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, blocks: int | None = None, seed: int = 42) -> DataFrame:
+    """(doc_id, fp, component_id): component_id is the smallest doc_id reachable over links."""
+    prints = settle(fingerprints(docs, shingle, seed), "fingerprints").select("doc_id", "text_key", "fp")
+    named = components(prints, distance, blocks).select("fp", "n", F.col("least.doc_id").alias("component_id"))
+    return meet_counted(prints, named, ["fp"]).select("doc_id", "fp", "component_id")
+
+
+def keep_first(docs: DataFrame, shingle: int = 4, distance: int = 4, blocks: int | None = None) -> DataFrame:
+    """One document of each component, with all its columns: the one with the smallest doc_id (rows without one come
+    last), of rows with this doc_id that with the smallest text hash, of equal ones the first by all their columns."""
     prints = settle(fingerprints(docs, shingle), "fingerprints")
-    own = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
-    roots = connected(near_links(own, distance, blocks))
-    rooted = own.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    first = rooted.groupBy("root").agg(F.min(F.struct(F.col("first_id").isNull(), "first_id", "fp")).alias("f")).select("f.first_id", "f.fp")
-    first = settle(first, "first-of-components")
-    unique = first.where("first_id is not null").select(F.col("first_id").alias("keep_id"))
-    kept = docs.join(unique, docs["doc_id"].cast("long") == F.col("keep_id"), "left_semi")
-    many = prints.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("many_id"))
-    if not (many := settle(many, "repeated-ids")).isEmpty():
-        key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-        twice = kept.join(many, kept["doc_id"].cast("long") == F.col("many_id"), "left_semi")
-        keys = fingerprints(twice.select(key.alias("doc_id"), "text"), shingle).distinct().select(F.col("doc_id").alias("__key"), F.col("fp").alias("__fp"))
-        chosen = first.where("first_id is not null").select(F.col("first_id").alias("__id"), F.col("fp").alias("__fp"))
-        twice = twice.withColumn("__key", key).join(keys, "__key").withColumn("__id", F.col("doc_id").cast("long")).join(chosen, ["__id", "__fp"], "left_semi")
-        rank = F.row_number().over(Window.partitionBy("__id", "__fp").orderBy(*[F.col(f"`{c}`") for c in names if c != "doc_id"]))
-        twice = twice.withColumn("__nth", rank).where(F.col("__nth") == 1).select(*names)
-        kept = kept.join(many, kept["doc_id"].cast("long") == F.col("many_id"), "left_anti").unionByName(twice)
-    nameless = first.where("first_id is null").select("fp")
-    if not nameless.isEmpty():
-        text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-        lone = docs.where(docs["doc_id"].isNull())
-        one = fingerprints(lone.select(F.xxhash64(text).alias("doc_id"), "text"), shingle).join(nameless, "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("text_key"))
-        rank = F.row_number().over(Window.partitionBy("__key").orderBy(*[F.col(f"`{c}`") for c in names]))
-        lone = lone.withColumn("__key", F.xxhash64(text)).join(one, F.col("__key") == F.col("text_key"), "left_semi").withColumn("__nth", rank).where(F.col("__nth") == 1)
-        kept = kept.unionByName(lone.select(*names))
-    return kept
+    first = components(prints, distance, blocks).select("least").distinct()
+    own_id, own_key, first_id, first_key, row = fresh(docs, "own_id", "own_key", "first_id", "first_key", "row")
+    named = lambda df, i, k: df.select(F.col(i).alias(first_id), F.col(k).alias(first_key))
+    same = F.col(own_id).eqNullSafe(F.col(first_id)) & (F.col(own_key) == F.col(first_key))
+    keyed = docs.withColumns({own_id: docs["doc_id"].cast("long"), own_key: F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))})
+    kept = keyed.join(named(first, "least.doc_id", "least.text_key"), same, "left_semi")
+    many = settle(prints.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "repeated-rows")
+    if many.isEmpty():
+        return kept.drop(own_id, own_key)
+    many = bounded(named(many, "doc_id", "text_key"))
+    columns = [F.col(_quoted(c)) for c in docs.columns]
+    one = kept.join(many, same, "left_semi").groupBy(own_id, own_key).agg(F.min_by(F.struct(*columns), whole_row(docs)).alias(row)).select(f"{row}.*")
+    return kept.join(many, same, "left_anti").select(*columns).unionByName(one)

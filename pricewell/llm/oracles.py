@@ -32,13 +32,14 @@ _HTML = r"""WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html,''),'(?
 c AS (SELECT page_id, url, replace(replace(replace(replace(replace(x,'&quot;','"'),'&lt;','<'),'&gt;','>'),'&#39;',''''),'&amp;','&') AS x FROM b), d AS (SELECT page_id, url, trim(regexp_replace(x,'[ \t\n\r\f\x0b]+',' ','g'),' ') AS text FROM c) SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM d"""
 
 _WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'),'[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w<>'')"
-#: n_near_items follows the index's anchors, which SQL states as in the operator: the two rarest places of each window.
+#: n_near_items by its definition: of each window the two rarest places whose terms occur in the corpus are anchors; an
+#: item is near a document that has two of its anchors, less than a window apart, within 4 words of their distance.
 _HITS = f"""WITH docs AS (SELECT doc_id, {_WORDS} AS w FROM documents), items AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark), it AS (SELECT item, w, least(13,len(w)) AS width FROM items WHERE len(w)>0),
 win AS (SELECT item, width, w, unnest(generate_series(0, len(w)-width)) AS s FROM it), win2 AS (SELECT item, width, s, list_slice(w, s+1, s+width) AS ws FROM win), places AS (SELECT item, s, width, unnest(ws) AS term, s+generate_subscripts(ws,1)-1 AS pos FROM win2),
 tok AS (SELECT doc_id, unnest(w) AS term, generate_subscripts(w,1)-1 AS loc FROM docs), terms AS (SELECT DISTINCT term FROM places), cnt AS (SELECT term, count(*) AS n FROM tok WHERE term IN (SELECT term FROM terms) GROUP BY term),
-rk AS (SELECT item, s, pos, term, width, min(coalesce(n,0)) OVER (PARTITION BY item, s) AS least_n, row_number() OVER (PARTITION BY item, s ORDER BY n ASC NULLS FIRST, pos) AS r FROM places LEFT JOIN cnt USING (term)), anchors AS (SELECT DISTINCT item, pos, term, width FROM rk WHERE least_n>0 AND r<=2),
-met AS (SELECT doc_id, item, any_value(width) AS width, loc-pos AS shift, list(DISTINCT pos) AS met FROM tok JOIN anchors USING (term) GROUP BY doc_id, item, loc-pos),
-nr AS (SELECT *, lag(shift) OVER (PARTITION BY doc_id, item ORDER BY shift) AS before, lag(met) OVER (PARTITION BY doc_id, item ORDER BY shift) AS mb FROM met), near AS (SELECT DISTINCT doc_id, item FROM nr WHERE shift-before<=4 AND (len(met)>1 OR len(list_distinct(list_concat(met,mb)))>1)),
+rk AS (SELECT item, pos, term, width, row_number() OVER (PARTITION BY item, s ORDER BY n, pos) AS r FROM places JOIN cnt USING (term)), anchors AS (SELECT DISTINCT item, pos, term, width FROM rk WHERE r<=2),
+fnd AS (SELECT DISTINCT doc_id, item, width, pos, loc-pos AS shift FROM tok JOIN anchors USING (term)), met AS (SELECT doc_id, item, any_value(width) AS width, shift, list(DISTINCT pos) AS met FROM fnd GROUP BY doc_id, item, shift),
+near AS (SELECT DISTINCT a.doc_id, a.item FROM fnd a JOIN fnd b ON a.doc_id=b.doc_id AND a.item=b.item WHERE a.pos<b.pos AND b.pos-a.pos<a.width AND abs(a.shift-b.shift)<=4),
 cand AS (SELECT m.doc_id, m.item, m.shift, x.s, x.ws, x.width FROM met m JOIN win2 x ON m.item=x.item WHERE len(m.met)>=least(2,m.width)), hit AS (SELECT c.doc_id, c.item, unnest(generate_series(c.shift+c.s, c.shift+c.s+c.width-1)) AS p FROM cand c JOIN docs d USING (doc_id) WHERE c.shift+c.s>=0 AND list_slice(d.w, c.shift+c.s+1, c.shift+c.s+c.width)=c.ws),
 h AS (SELECT doc_id, count(DISTINCT p) AS n_hit, count(DISTINCT item) AS n_items FROM hit GROUP BY doc_id), hs AS (SELECT doc_id, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id), nn AS (SELECT doc_id, count(*) AS n_near_items FROM near WHERE (doc_id, item) NOT IN (SELECT (doc_id, item) FROM hit) GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit,0) AS n_hit, coalesce(n_items,0) AS n_items, sha256(coalesce(items,'')) AS items_sha256, coalesce(n_hit,0)>0 AND 20*coalesce(n_hit,0)>=len(w) AS contaminated, coalesce(n_near_items,0) AS n_near_items FROM docs LEFT JOIN h USING (doc_id) LEFT JOIN hs USING (doc_id) LEFT JOIN nn USING (doc_id)"""

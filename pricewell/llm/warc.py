@@ -1,15 +1,22 @@
 """WARC archives: a writer of per-record gzip members, and a reader that salvages damaged files.
 
-The reader checks each record: the member's CRC, the version line, the lengths, and the payload digest. Where a check
-fails it searches on from there for the next gzip member that begins a record, or the next version line in a plain
-file, and goes on; the bytes between are logged as a quarantined gap.
+The reader checks each record: the member's CRC, the version line, the lengths, and the payload digest where it is one
+of a known kind (hex or base 32). Where a check fails it searches on from there for the next gzip member that begins a
+record, or the next version line in a plain file, and goes on; the bytes between are logged as a quarantined gap. Files
+of other writers may have many records in one member; there a record with a wrong digest is a gap of its own, and the
+records of a member whose CRC is wrong are those that came before the damage.
 
-Defined results: a null html is an empty payload; payloads under `least` bytes are always responses; equal rows of one
-page_id are records of their own; a page with a null page_id is a record without a page id, which nothing refers to; an
-empty table gives an empty archive set; of other columns only url is read, and it may be null."""
+Digests are compared apart from payloads: equal pages meet by digest, and revisits meet their responses without any
+payload moving (common.meet_counted).
+
+Defined results: a null html is an empty payload; payloads under `least` bytes are always responses; payloads and
+headers have no greatest length, and a record is in memory as a whole while it is read; equal rows of one page_id are
+records of their own; a page with a null page_id is a record without a page id, which nothing refers to; an empty table
+gives an empty archive set; of other columns only url is read, and it may be null."""
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import uuid
@@ -21,7 +28,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_dir, settle, slices
+from .common import meet_counted, new_dir, settle, slices
 
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 VERSION = b"WARC/1.1\r\n"
@@ -30,8 +37,10 @@ ID = "urn:x-page:"
 #: An archive file is closed at this size.
 ROLL_BYTES = 64 << 20
 READ = 1 << 18
+#: Digests of equal pages are broadcast up to so many (some 100 bytes each).
+MOST_DIGESTS = 200_000
 
-RECORD = "path string, at long, record_type string, page_id long, url string, payload binary, payload_bytes long, payload_digest string, refers_to long"
+RECORD = "path string, at long, record_type string, page_id long, url string, payload binary, payload_bytes long, payload_digest string, stated_digest string, refers_to long"
 GAP = "path string, gap_start long, gap_end long, reason string"
 
 
@@ -39,10 +48,11 @@ def mark_revisits(pages: DataFrame, least: int = 100) -> DataFrame:
     """The pages with digest, payload and refers_to: the smallest page_id of equal payloads where that is another page."""
     payload = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
-    first = rows.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
-    first = first.where("n > 1").select("digest", "first_id")
+    rows = rows.withColumn("key", F.when(F.octet_length("payload") >= least, F.unhex("digest")).otherwise(F.unhex(F.lit(""))))
+    first = rows.where(F.octet_length("payload") >= least).groupBy("key").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
+    first = settle(first.where("n > 1"), "digests")
     other = F.col("page_id").isNotNull() & (F.col("page_id") != F.col("first_id"))
-    return rows.join(first, "digest", "left").withColumn("refers_to", F.when(other, F.col("first_id"))).drop("first_id")
+    return meet_counted(rows, first, ["key"], MOST_DIGESTS).withColumn("refers_to", F.when(other, F.col("first_id"))).drop("first_id", "key")
 
 
 def _member(kind: str, page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
@@ -92,56 +102,87 @@ class _Broken(Exception):
     pass
 
 
-def _gzip_member(file, at: int, size: int) -> tuple[bytes, int]:
-    """The member's bytes and where it ends."""
-    unpacker, parts = zlib.decompressobj(31), []
-    try:
-        while not unpacker.eof:
-            file.seek(at)
-            data = file.read(READ)
-            if not data:
-                raise _Broken("truncated member")
-            parts.append(unpacker.decompress(data))
-            at += len(data)
-    except zlib.error as e:
-        raise _Broken("gzip check failed") from e
-    return b"".join(parts), at - len(unpacker.unused_data)
-
-
-def _plain_record(file, at: int, size: int) -> tuple[bytes, int]:
-    """The record's bytes and where it ends, in a file that isn't compressed."""
-    file.seek(at)
-    data = file.read(READ)
-    while (head := data.find(b"\r\n\r\n")) < 0 and len(data) < 1 << 20 and (more := file.read(READ)):
-        data += more
-    found = re.search(rb"\r\ncontent-length:\s*(\d+)\r\n", data[: head + 2], re.I)
-    if head < 0 or not found:
-        raise _Broken("no header")
-    end = at + head + 4 + int(found[1]) + 4
-    if end > size:
-        raise _Broken("truncated record")
-    file.seek(at)
-    return file.read(end - at), end
+class _Bytes:
+    """The bytes of a plain file from a place on, or of the gzip member there, read as they are asked for."""
+
+    def __init__(self, file, at: int, packed: bool) -> None:
+        self.file, self.at, self.held = file, at, b""
+        self.unpacker = zlib.decompressobj(31) if packed else None
+        self.ended = False
+
+    def fill(self, n: int) -> bool:
+        """Reads on until n bytes are held; False where there are not so many."""
+        parts, have = [self.held], len(self.held)
+        try:
+            while have < n and not self.ended:
+                self.file.seek(self.at)
+                data = self.file.read(READ)
+                self.at += len(data)
+                if self.unpacker is None:
+                    self.ended = not data
+                elif not data:
+                    raise _Broken("truncated member")
+                else:
+                    data = self.unpacker.decompress(data)
+                    if self.unpacker.eof:  # the check sum was right
+                        self.ended, self.at = True, self.at - len(self.unpacker.unused_data)
+                parts.append(data)
+                have += len(data)
+        except zlib.error as e:
+            raise _Broken("gzip check failed") from e
+        finally:
+            self.held = b"".join(parts)
+        return len(self.held) >= n
+
+    def record(self) -> bytes:
+        """The next record's bytes, taken off; a header without its end or a length is broken."""
+        self.fill(10)
+        if not re.match(rb"WARC/1\.[01]\r\n", self.held):
+            raise _Broken("no version line")
+        seen = 0
+        while (head := self.held.find(b"\r\n\r\n", max(seen - 3, 0))) < 0:
+            if b"\0" in self.held[seen:] or re.search(rb"[^\r]\n", self.held[max(seen - 1, 0) :]):
+                raise _Broken("no header")
+            seen = len(self.held)
+            if not self.fill(2 * seen) and len(self.held) == seen:
+                raise _Broken("no header")
+        found = re.search(rb"\r\ncontent-length:[ \t]*(\d+)[ \t]*\r\n", self.held[: head + 2], re.I)
+        if not found:
+            raise _Broken("no length")
+        end = head + 8 + int(found[1])
+        if not self.fill(end):
+            raise _Broken("truncated record")
+        data, self.held = self.held[:end], self.held[end:]
+        if data[-4:] != b"\r\n\r\n":
+            raise _Broken("length check failed")
+        return data
+
+
+def _fits(stated: str, payload: bytes) -> bool:
+    """Whether a stated digest is the payload's; one of an unknown kind, or none, does not tell."""
+    kind, _, value = stated.partition(":")
+    kind = kind.lower().replace("-", "")
+    if kind not in ("md5", "sha1", "sha256", "sha512"):
+        return True
+    digest = hashlib.new(kind, payload).digest()
+    return value.lower() == digest.hex() or value.upper().rstrip("=") == base64.b32encode(digest).decode().rstrip("=")
 
 
 def _record(data: bytes) -> dict | None:
     """The fields of a whole record; None for kinds that hold no page."""
-    head, mid, block = data.partition(b"\r\n\r\n")
-    lines = head.split(b"\r\n")
-    if not mid or not re.fullmatch(rb"WARC/1\.[01]", lines[0]):
-        raise _Broken("no version line")
-    fields = {k.strip().lower(): v.strip() for k, _, v in (x.decode("utf-8", "replace").partition(":") for x in lines[1:])}
-    if not fields.get("content-length", "").isdigit() or len(block) != int(fields["content-length"]) + 4 or block[-4:] != b"\r\n\r\n":
-        raise _Broken("length check failed")
+    head, _, block = data.partition(b"\r\n\r\n")
+    fields = {k.strip().lower(): v.strip() for k, _, v in (x.decode("utf-8", "replace").partition(":") for x in head.split(b"\r\n")[1:])}
     if (kind := fields.get("warc-type")) not in ("response", "revisit"):
         return None
     number = lambda x: int(m[1]) if (m := re.fullmatch(rf"<{ID}(-?\d+)>", fields.get(x, ""))) else None
-    payload = block[:-4].partition(b"\r\n\r\n")[2]
-    digest = fields.get("warc-payload-digest", "").removeprefix("sha256:")
-    if kind == "response":
-        if hashlib.sha256(payload).hexdigest() != digest:
-            raise _Broken("digest check failed")
-    return {"record_type": kind, "page_id": number("warc-record-id"), "url": fields.get("warc-target-uri"), "payload": payload if kind == "response" else None, "payload_bytes": len(payload) if kind == "response" else None, "payload_digest": digest, "refers_to": number("warc-refers-to")}
+    stated, payload = fields.get("warc-payload-digest", ""), block[:-4].partition(b"\r\n\r\n")[2]
+    out = {"record_type": kind, "page_id": number("warc-record-id"), "url": fields.get("warc-target-uri"), "payload": None, "payload_bytes": None, "payload_digest": None, "stated_digest": stated, "refers_to": number("warc-refers-to")}
+    if kind == "revisit":
+        bare = re.fullmatch(r"sha256:([0-9a-fA-F]{64})", stated)
+        return out | {"payload_digest": bare[1].lower() if bare else None}
+    if not _fits(stated, payload):
+        raise _Broken("digest check failed")
+    return out | {"payload": payload, "payload_bytes": len(payload), "payload_digest": hashlib.sha256(payload).hexdigest()}
 
 
 def _next_begin(file, at: int, size: int) -> int:
@@ -165,22 +206,30 @@ def _next_begin(file, at: int, size: int) -> int:
 
 
 def salvage(file, size: int) -> Iterator[tuple[int, dict] | tuple[int, int, str]]:
-    """(at, record) for each record that passes its checks, (start, end, reason) for each gap."""
+    """(at, record) for each record that passes its checks, (start, end, reason) for each gap. at: where the record, or
+    the member that holds it, begins."""
     at = 0
     while at < size:
         file.seek(at)
         start = file.read(10)
         try:
-            if start.startswith(MAGIC):
-                data, end = _gzip_member(file, at, size)
-            elif start.startswith(b"WARC/1."):
-                data, end = _plain_record(file, at, size)
-            else:
+            if not start.startswith((MAGIC, b"WARC/1.")):
                 raise _Broken("no member or version line")
-            record = _record(data)
-            if record:
-                yield at, record
-            at = end
+            packed = start.startswith(MAGIC)
+            source, first = _Bytes(file, at, packed), True
+            while first or packed and source.held:
+                data = source.record()
+                more = packed and source.fill(1)  # at the member's end its check sum is known
+                try:
+                    record = _record(data)
+                    if record:
+                        yield at, record
+                except _Broken as e:
+                    if first and not more:
+                        raise
+                    yield at, source.at, str(e)
+                first = False
+            at = source.at if packed else at + len(data)
         except _Broken as e:
             end = _next_begin(file, at + 1, size)
             yield at, end, str(e)
@@ -189,7 +238,7 @@ def salvage(file, size: int) -> Iterator[tuple[int, dict] | tuple[int, int, str]
 
 def read_archives(spark: SparkSession, manifest: DataFrame, payloads: bool = True) -> tuple[DataFrame, DataFrame]:
     """(records, gaps) of the files in manifest.path; each file is one task's stream, one record in memory at a time."""
-    kind = pa.schema([("path", pa.string()), ("at", pa.int64()), ("record_type", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("gap_end", pa.int64()), ("reason", pa.string())])
+    kind = pa.schema([("path", pa.string()), ("at", pa.int64()), ("record_type", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("stated_digest", pa.string()), ("refers_to", pa.int64()), ("gap_end", pa.int64()), ("reason", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -217,7 +266,13 @@ def read_archives(spark: SparkSession, manifest: DataFrame, payloads: bool = Tru
 
 
 def resolve_revisits(records: DataFrame) -> DataFrame:
-    """The records with payload_bytes of revisits taken from the response they refer to, whose digest must be the same."""
-    full = records.where("record_type = 'response'").groupBy("page_id", "payload_digest").agg(F.max("payload_bytes").alias("full_bytes"))
-    full = full.select(F.col("page_id").alias("refers_to"), "payload_digest", "full_bytes")
-    return records.join(full, ["refers_to", "payload_digest"], "left").withColumn("payload_bytes", F.coalesce("payload_bytes", "full_bytes")).drop("full_bytes")
+    """The records with payload_bytes and payload_digest of revisits taken from the response they refer to, whose stated
+    digest must be the same. Only ids and digests are joined; records keep their payloads where they are."""
+    asks = F.col("refers_to").isNotNull() & (F.col("record_type") == "revisit")
+    key = ["refers_to", "stated_digest"]
+    asked = settle(records.where(asks).groupBy(*key).agg(F.count(F.lit(1)).alias("n")), "asked")
+    full = records.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), "stated_digest", "payload_bytes", "payload_digest")
+    full = full.join(asked, key).groupBy(*key, "n").agg(F.max("payload_bytes").alias("full_bytes"), F.max("payload_digest").alias("full_digest"))
+    found = meet_counted(records.where(asks), settle(full, "referred"), key, MOST_DIGESTS)
+    found = found.withColumns({"payload_bytes": F.coalesce("payload_bytes", "full_bytes"), "payload_digest": F.coalesce("payload_digest", "full_digest")}).drop("full_bytes", "full_digest")
+    return records.where(~asks).unionByName(found)
