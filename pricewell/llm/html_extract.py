@@ -6,11 +6,14 @@ give each node the log-odds of being content. A node may be outside (above the a
 every path from the root the states can only go outside* content* removed*, and the best such labelling of the whole
 page is found by dynamic programming, so an ancestor and a descendant cannot contradict each other.
 
-The model is fitted on a bounded, documented sample: up to `sample_pages` pages of the table (at most SAMPLE_CHARS
-characters each, by hash order), of which each gives its text runs to a few layouts whose content nodes are known.
+The model is fitted on a bounded, documented sample: up to `sample_pages` different pages of the table, of any length, by
+hash order. Each gives up to RUNS of its text runs, evenly spread over the page and cut to RUN_CHARS characters, to a few
+layouts whose content nodes are known; the layouts mix the names that sites use with made-up ones, so that the model also
+learns from structure alone. Where the table has fewer pages, filler text goes on in their place.
 
-Defined results: a null or empty html has the text ''; a page without a content node has ''; equal rows are rows of
-their own; null urls and page_ids are kept; an empty table gives no rows; extra columns are not read."""
+Defined results: a null or empty html has the text ''; a page without a content node has ''; a page is parsed whole, in
+time that grows with its length alone; equal rows are rows of their own; null urls and page_ids are kept; an empty table
+gives no rows; extra columns are not read."""
 
 from __future__ import annotations
 
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 from . import gbt
 from .common import slices
 
-SAMPLE_PAGES, SAMPLE_CHARS = 150, 20_000
+SAMPLE_PAGES, RUNS, RUN_CHARS = 150, 200, 2_000
 
 TAG = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)>|<[!?][^>]*>", re.S)
 RAW = {x: re.compile(f"</{x}[^>]*>", re.I) for x in ("script", "style", "textarea", "title", "noscript", "template", "svg", "iframe")}
@@ -65,11 +68,17 @@ def dom(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
 
     Unclosed and stray tags are mended the way browsers do for the common cases."""
     nodes, runs, stack, at = [Node("#root", "", -1, False, 0)], [], [0], 0
-    end = len(page)
+    places: dict[str, list[int]] = {}  # of each tag, where in the stack it is open
+    blocks = [0]  # where in the stack elements that are not inline are open
+    end, unclosed = len(page), set()
 
     def close(to: int) -> None:
-        del stack[to:]
+        while len(stack) > to:
+            places[nodes[stack.pop()].tag].pop()
+        while blocks[-1] >= to:
+            blocks.pop()
 
+    last = lambda *tags: max((p[-1] for t in tags if (p := places.get(t))), default=-1)
     for m in iter(lambda: TAG.search(page, at), None):
         if m.start() > at:
             runs.append((stack[-1], page[at : m.start()]))
@@ -79,50 +88,49 @@ def dom(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         ending, tag, attrs = m.group(1, 2, 3) if m[2] else m.group(4, 5, 6)
         tag = tag.lower()
         if ending:
-            for i in range(len(stack) - 1, 0, -1):
-                if nodes[stack[i]].tag == tag:
-                    close(i)
-                    break
-                if tag in INLINE and not nodes[stack[i]].inline:
-                    break
+            open_at = last(tag)
+            if open_at > 0 and (tag not in INLINE or open_at >= blocks[-1]):
+                close(open_at)
             continue
         if tag == "br":
             runs.append((stack[-1], ""))
-        if tag in ENDS_P:
-            for i in range(len(stack) - 1, 0, -1):
-                if nodes[stack[i]].tag == "p":
-                    close(i)
-                    break
-                if not nodes[stack[i]].inline:
-                    break
-        if tag in ENDS_OWN:
-            for i in range(len(stack) - 1, 0, -1):
-                if nodes[stack[i]].tag in ENDS_OWN[tag]:
-                    close(i)
-                    break
-                if nodes[stack[i]].tag in ("ul", "ol", "dl", "table", "select"):
-                    break
+        if tag in ENDS_P and nodes[stack[blocks[-1]]].tag == "p":
+            close(blocks[-1])
+        if tag in ENDS_OWN and (own := last(*ENDS_OWN[tag])) > last("ul", "ol", "dl", "table", "select"):
+            close(own)
         marked = " ".join(a or b or c for _, a, b, c in ATTRS.findall(attrs)).lower() if "=" in attrs else ""
         parent = stack[-1]
         nodes.append(Node(tag, marked, parent, tag in INLINE and not marked, nodes[parent].depth + 1))
         nodes[parent].children.append(len(nodes) - 1)
-        if tag in VOID or attrs.endswith("/"):
+        if tag in VOID:  # as in browsers, a slash closes no other element
             continue
         if tag in RAW:
-            last = RAW[tag].search(page, at)
-            if last is None and tag in ("script", "style"):
+            closing = RAW[tag].search(page, at) if tag not in unclosed else None
+            if closing is None and tag in ("script", "style"):
                 at = end
                 break
-            if last is not None:
-                runs.append((len(nodes) - 1, page[at : last.start()]))
-                at = last.end()
+            if closing is not None:
+                runs.append((len(nodes) - 1, page[at : closing.start()]))
+                at = closing.end()
                 continue
+            unclosed.add(tag)
+        places.setdefault(tag, []).append(len(stack))
+        if not nodes[-1].inline:
+            blocks.append(len(stack))
         stack.append(len(nodes) - 1)
     if at < end:
         runs.append((stack[-1], page[at:]))
     return nodes, runs
 
 
+def blocks_of(nodes: list[Node]) -> list[int]:
+    """For each element the nearest one at or above it that is not inline."""
+    out = [0] * len(nodes)
+    for i in range(1, len(nodes)):
+        out[i] = out[nodes[i].parent] if nodes[i].inline else i
+    return out
+
+
 def features(nodes: list[Node], runs: list[tuple[int, str]]) -> tuple[list[int], np.ndarray]:
     """The numbers of the elements that are judged, and their features; plain inline elements go with their parents."""
     for i, text in runs:
@@ -138,16 +146,14 @@ def features(nodes: list[Node], runs: list[tuple[int, str]]) -> tuple[list[int],
     whole = max(nodes[0].chars, 1)
     judged = [i for i in range(1, len(nodes)) if not nodes[i].inline]
     out = np.zeros((len(judged), FEATURES))
+    block = blocks_of(nodes)
     said = {0: (0, 0, 0)}  # of an element and what is above: good words, bad words, a tag that is never an article's
     place: dict[int, int] = {}
     for row, i in enumerate(judged):
         x = nodes[i]
         words = set(WORD.findall(x.attrs)) if x.attrs else ()
         good, bad = len(GOOD.intersection(words)), len(BAD.intersection(words))
-        up = x.parent
-        while up not in said:
-            up = nodes[up].parent
-        above = said[up]
+        above = said[block[x.parent]]
         kind = TAGS.get(x.tag, -1)
         if kind >= 0:
             out[row, kind] = 1
@@ -187,11 +193,9 @@ def decode(nodes: list[Node], judged: list[int], odds: np.ndarray) -> set[int]:
 
 def text_of(nodes: list[Node], runs: list[tuple[int, str]], content: set[int]) -> str:
     """The text of content elements: blocks in page order, white space as one blank."""
-    out, before = [], None
+    out, before, owner = [], None, blocks_of(nodes)
     for i, text in runs:
-        block = i
-        while nodes[block].inline:
-            block = nodes[block].parent
+        block = owner[i]
         if i in content:
             out.append(" " if block != before or not text else "")
             out.append(entities.unescape(text) if "&" in text else text)
@@ -207,32 +211,48 @@ def extract(pages: list[str], model: gbt.Trees) -> list[str]:
     return [text_of(nodes, runs, decode(nodes, judged, own)) for (nodes, runs), (judged, _), own in zip(doms, rows, odds, strict=True)]
 
 
+FILLER = "the of and a to in was it for on as at by from they with his her that were had page more news home about contact terms read week year time people world after first city work back where while many under".split()
+
+
 def layouts(texts: list[str], seed: int) -> Iterator[tuple[str, list[bool]]]:
     """Pages made of given text runs, with the label of each judged element: content where marked so by the layout."""
     rng = np.random.default_rng(seed)
     pick = lambda n: " ".join((texts[int(rng.integers(len(texts)))] or "x").split()[: int(n)]) or "x"
     one = lambda *x: x[int(rng.integers(len(x)))]
-    links = lambda n: "".join(f'<li><a href="/{k}">{pick(2)}</a></li>' for k in range(int(n)))
-    menu = lambda: one(f"<nav><ul>{links(rng.integers(2, 9))}</ul></nav>", f'<div class="{one("menu", "navbar", "site-nav", "breadcrumb")}"><ul>{links(rng.integers(2, 9))}</ul></div>', f'<ul id="{one("menu", "navigation")}">{links(rng.integers(2, 6))}</ul>')
-    advert = lambda: f'<div class="{one("ad", "ads", "advert", "banner-ad", "sponsored", "promo")}">{one(pick(rng.integers(3, 40)), f"<p>{pick(rng.integers(3, 40))}</p>", f"<a href=/x>{pick(4)}</a>")}</div>'
-    notice = lambda: f'<{(t := one("div", "section"))} class="{one("cookie-notice", "gdpr-banner", "consent", "notice", "newsletter-signup")}"><p>{pick(rng.integers(4, 50))}</p><button>OK</button></{t}>'
-    aside = lambda: one(f"<aside><h3>{pick(3)}</h3><p>{pick(rng.integers(3, 60))}</p></aside>", f'<div class="{one("sidebar", "widget", "related-posts", "share-bar")}"><h3>{pick(3)}</h3><ul>{links(3)}</ul><p>{pick(rng.integers(3, 60))}</p></div>')
-    form = lambda: f"<form><label>{pick(2)}</label><input name=q><p>{pick(rng.integers(2, 30))}</p><button>{pick(1)}</button></form>"
-    comments = lambda: f'<{(t := one("section", "div"))} {one("class", "id")}="{one("comments", "comment-list", "discussion", "replies")}"><h2>{pick(2)}</h2>' + "".join(f'<div class="comment"><p>{pick(rng.integers(3, 80))}</p></div>' for _ in range(int(rng.integers(1, 4)))) + f"</{t}>"
-    footer = lambda: one(f"<footer>&copy; {pick(4)} &middot; {pick(rng.integers(3, 30))}</footer>", f'<div class="footer"><p>{pick(rng.integers(3, 30))}</p></div>', f'<div id="footer">{pick(8)}<a href=/p>{pick(2)}</a></div>')
-    head = lambda: one("", f"<header><h2>{pick(3)}</h2><p>{pick(6)}</p></header>", f'<div class="site-header">{pick(4)}</div>')
+    some = lambda a, b: int(rng.integers(a, b))
+    scale = one(1.0, 1.0, 0.2)  # of paragraphs: some sites have short articles
+    long = lambda a, b: some(a, max(a + 1, int(b * scale)))
+    plain_names = rng.random() < 0.4  # a site whose class names say nothing
+    made = lambda: "".join(one("ab", "ku", "row", "c", "x", "tm", "zo", "mod", "blk", "w") for _ in range(some(1, 4))) + one("", "", str(some(1, 60)))
+    cls = lambda *names: made() if plain_names and rng.random() < 0.8 else one(*names)
+    links = lambda n: "".join(f'<li><a href="/{k}">{pick(some(1, 4))}</a></li>' for k in range(int(n)))
+    row = lambda n, gap: gap.join(f'<a href="/{k}">{pick(some(1, 4))}</a>' for k in range(int(n)))
+    menu = lambda: one(f"<nav><ul>{links(some(2, 9))}</ul></nav>", f'<div class="{cls("menu", "navbar", "site-nav", "breadcrumb", "topnav")}"><ul>{links(some(2, 9))}</ul></div>', f'<ul id="{cls("menu", "navigation")}">{links(some(2, 9))}</ul>', f'<div class="{cls("nav", "links", "toolbar")}">{row(some(3, 9), one(" | ", " ", " &middot; "))}</div>')
+    advert = lambda: f'<div class="{one("ad", "ads", "advert", "banner-ad", "sponsored", "promo")}">{one(pick(some(3, 40)), f"<p>{pick(some(3, 40))}</p>", f"<a href=/x>{pick(4)}</a>")}</div>'
+    notice = lambda: f'<{(t := one("div", "section"))} class="{one("cookie-notice", "gdpr-banner", "consent", "notice", "newsletter-signup")}"><p>{pick(some(4, 50))}</p><button>OK</button></{t}>'
+    aside = lambda: one(f"<aside><h3>{pick(3)}</h3><p>{pick(some(3, 60))}</p></aside>", f'<div class="{one("sidebar", "widget", "related-posts", "share-bar")}"><h3>{pick(3)}</h3><ul>{links(3)}</ul><p>{pick(some(3, 60))}</p></div>', f'<div class="{cls("rail", "more", "related")}"><h3>{pick(2)}</h3><ul>{links(some(3, 8))}</ul></div>')
+    form = lambda: f"<form><label>{pick(2)}</label><input name=q><p>{pick(some(2, 30))}</p><button>{pick(1)}</button></form>"
+    comments = lambda: f'<{(t := one("section", "div"))} {one("class", "id")}="{one("comments", "comment-list", "discussion", "replies")}"><h2>{pick(2)}</h2>' + "".join(f'<{(u := one("div", "li", "article"))} class="comment"><p>{pick(some(3, 80))}</p></{u}>' for _ in range(some(1, 4))) + f"</{t}>"
+    footer = lambda: one(f"<footer>&copy; {pick(4)} &middot; {pick(some(3, 30))}</footer>", f'<div class="{cls("footer", "site-footer", "colophon")}"><p>&copy; {pick(some(3, 30))}</p><p>{row(some(2, 6), " | ")}</p></div>', f'<div id="footer">{pick(8)}<a href=/p>{pick(2)}</a></div>')
+    head = lambda: one("", f"<header><h2>{pick(3)}</h2><p>{pick(6)}</p></header>", f'<div class="{cls("site-header", "masthead", "topbar")}"><a href="/">{pick(3)}</a></div>')
     mark = "\x01"
-    inside = lambda: one(f"<p>{pick(rng.integers(4, 200))}</p>", f"<p>{pick(rng.integers(4, 200))}", f"<p><b>{pick(rng.integers(4, 80))}<br>", f"<h2>{pick(4)}</h2>", f"<blockquote><p>{pick(30)}</p></blockquote>", f"<ul><li>{pick(12)}</li><li>{pick(9)}</li></ul>", f'<p>{pick(20)} <a href="/l">{pick(3)}</a> {pick(30)}</p>', f"<table><tr><td>{pick(3)}</td><td>{pick(5)}</td></tr></table>", f"<pre>{pick(20)}</pre>")
+    inside = lambda: one(f"<p>{pick(long(4, 200))}</p>", f"<p>{pick(long(4, 200))}", f"<p>{pick(long(20, 200))}</p>", f"<p><b>{pick(long(4, 80))}<br>", f"<h2>{pick(4)}</h2>", f"<h3>{pick(5)}</h3>", f"<blockquote><p>{pick(30)}</p></blockquote>", f"<ul><li>{pick(12)}</li><li>{pick(9)}</li></ul>", f"<ol><li>{pick(20)}</li><li>{pick(14)}</li><li>{pick(9)}</li></ol>", f'<p>{pick(20)} <a href="/l">{pick(3)}</a> {pick(30)}</p>', f"<table><tr><td>{pick(3)}</td><td>{pick(5)}</td></tr></table>", f"<pre>{pick(20)}</pre>", f"<figure><img src=i.png><figcaption>{pick(12)}</figcaption></figure>", f'<div class="{made()}"><p>{pick(some(10, 120))}</p></div>', f"{pick(some(20, 120))}<br><br>")
     cut = lambda: one(advert(), aside(), form(), comments(), notice(), menu())
     for _ in range(3):
-        shell = one("article", "article", "main", f'div class="{one("content", "post-content", "entry", "article-body", "story")}"', 'div id="content"', 'section class="post"')
-        body = f"<h1>{pick(8)}</h1>" + "".join(f"{mark}{cut()}{mark}" if rng.random() < 0.12 else inside() for _ in range(int(rng.integers(1, 9))))
+        named = ("article", "article", "main", f'div class="{one("content", "post-content", "entry", "article-body", "story")}"', 'div id="content"', 'section class="post"')
+        shell = one(f'div class="{made()}"', f'div id="{made()}"', f'section class="{made()}"', f'td class="{made()}"', "div") if plain_names and rng.random() < 0.6 else one(*named)
+        least = 1 if shell in named else 4
+        body = f"<h1>{pick(8)}</h1>" + "".join(f"{mark}{cut()}{mark}" if rng.random() < 0.12 else inside() for _ in range(some(least, 10)))
+        if shell not in named:
+            body += f"<p>{pick(long(12, 200))}</p><p>{pick(long(12, 150))}</p>"
         article = f"<{shell}>{body}</{shell.split()[0]}>"
         before = "".join(x() for x in (head, menu, notice, advert) if rng.random() < 0.6)
         after = "".join(x() for x in (comments, aside, form, advert) if rng.random() < 0.45) + footer()
-        if rng.random() < 0.3:
-            before, after = f"{before}<div class=\"{one('wrapper', 'container', 'page', 'row')}\">", f"{after}</div>"
+        for _ in range(some(0, 3)):
+            before, after = f"{before}<div class=\"{one('wrapper', 'container', 'page', 'row', made())}\">", f"{after}</div>"
         script = "<script>track(0);</script>" if rng.random() < 0.7 else ""
+        if shell.startswith("td"):
+            before, after = f"{before}<table><tr><td>{menu()}</td>", f"</tr></table>{after}"
         plain = f"<!DOCTYPE html><html><head><title>{pick(6)}</title>{script}</head><body>{before}\x02{article}\x02{after}</body></html>"
         page, places = "", {1: [], 2: []}
         for part in re.split(r"([\x01\x02])", plain):
@@ -247,19 +267,39 @@ def layouts(texts: list[str], seed: int) -> Iterator[tuple[str, list[bool]]]:
         yield page, labels
 
 
+def text_runs(page: str) -> list[str]:
+    """Up to RUNS text runs of a page, evenly spread, cut to RUN_CHARS characters."""
+    runs = [t for _, t in dom(page.translate({1: " ", 2: " "}))[1] if t.strip()]
+    return [t[:RUN_CHARS] for t in runs[:: max(1, -(-len(runs) // RUNS))]]
+
+
+def sample(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> list[list[str]]:
+    """Text runs of up to sample_pages different pages, by hash order; the driver gets hashes and runs, not pages."""
+    pages = pages.select(F.col("html").cast("string").alias("html")).where("html <> ''").withColumn("h", F.xxhash64("html"))
+    last = pages.select("h").distinct().orderBy("h").limit(sample_pages).agg(F.max("h")).first()[0]
+    if last is None:
+        return []
+    kind = pa.schema([("h", pa.int64()), ("runs", pa.list_(pa.string()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 8):
+            yield pa.RecordBatch.from_arrays([batch["h"], pa.array([text_runs(x) for x in batch["html"].to_pylist()], pa.list_(pa.string()))], schema=kind)
+
+    picked = pages.where(F.col("h") <= last).dropDuplicates(["h"]).select("h", "html")
+    return [r["runs"] for r in picked.mapInArrow(run, "h long, runs array<string>").orderBy("h").collect()]
+
+
 def train(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> gbt.Trees:
     """Fits the trees on layouts filled with text runs of the sample."""
-    picked = pages.select(F.col("html").cast("string").alias("html")).where(F.length("html") <= SAMPLE_CHARS)
-    rows = picked.orderBy(F.xxhash64("html"), "html").limit(sample_pages).collect()
-    xs, ys = [np.zeros((0, FEATURES))], [np.zeros(0)]
-    for k, row in enumerate(rows):
-        texts = [t for _, t in dom(row["html"])[1] if t.strip()] or ["x"]
-        for page, labels in layouts(texts, k):
+    texts = [x for x in sample(pages, sample_pages) if x]
+    xs, ys = [], []
+    for k in range(sample_pages):
+        for page, labels in layouts(texts[k] if k < len(texts) else [" ".join(FILLER[j:] + FILLER[:j]) * 5 for j in range(0, len(FILLER), 7)], k):
             nodes, runs = dom(page)
             judged, x = features(nodes, runs)
             xs.append(x)
             ys.append(np.array([labels[i - 1] for i in judged], float))
-    return gbt.fit(np.concatenate(xs), np.concatenate(ys), trees=24, depth=4)
+    return gbt.fit(np.concatenate(xs), np.concatenate(ys), trees=40, depth=5)
 
 
 def extract_text(pages: DataFrame, model: gbt.Trees | None = None) -> DataFrame:
