@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricewell.functions import columns as P
+from pricewell.functions.phrases import Terms
 from pricewell.settled import settle
 
 GRAM = 3
@@ -163,11 +164,32 @@ def latest_import(runs: DataFrame) -> DataFrame:
 # ---- search -----------------------------------------------------------------------------------------------------
 
 
-def family_title(model: Column | str) -> Column:
-    """Model title without screen size and region suffix."""
+def family_title(model: Column | str, brand: Column | str | None = None, series: Column | str | None = None, terms: Terms = Terms()) -> Column:  # noqa: B008
+    """Model title without screen size and region suffix; of the terms' one product line with the line's name before a
+    number, else the series."""
     text = P.plain(model)
     cut = F.trim(F.regexp_replace(F.regexp_replace(text, r"\s+[0-9]+(?:\.[0-9]+)?寸.*$", ""), r"\s+(国行|港版|美版|欧版|日版|韩版|台版|国际版|海外版).*$", ""))
-    return F.coalesce(F.nullif(cut, F.lit("")), text)
+    cut = F.coalesce(F.nullif(cut, F.lit("")), text)
+    if not terms.families or brand is None or series is None:
+        return cut
+    line = (P.plain(brand) == terms.families["brand"]) & F.startswith(P.plain(series), F.lit(terms.families["series"])) & (text != "")
+    return F.when(line & cut.rlike(terms.families["model"]), F.concat(F.lit(terms.families["prefix"]), cut)).when(line, F.trim(P.plain(series))).otherwise(cut)
+
+
+def _array(*values: str) -> Column:
+    return F.array(*map(F.lit, values)) if values else F.array().cast("array<string>")
+
+
+def family_aliases(terms: Terms) -> Column:
+    """What a family (family_title, brand_title, label_norm) is also called: itself, and with the terms' short forms."""
+    label, bare = F.col("label_norm"), terms.family_bare
+    own = [label]
+    if bare:
+        stripped = F.substr(label, F.lit(len(bare["prefix"]) + 1))
+        named = (F.col("brand_title") == bare["brand"]) & F.startswith(label, F.lit(bare["prefix"])) & (stripped != "")
+        own += [F.when(named, stripped), F.when(named & F.endswith(stripped, F.lit("pro")), F.concat(F.expr(f"left(substr(label_norm, {len(bare['prefix']) + 1}), length(label_norm) - {len(bare['prefix']) + 3})"), F.lit(bare["pro"])))]
+    shorter = [F.when(F.contains(x, F.lit(a)), F.replace(x, F.lit(a), F.lit(b))) for x in own[:2] for a, bs in terms.family_short.items() for b in bs]
+    return F.array_sort(F.array_distinct(F.filter(F.array(*own, *shorter), lambda x: x.isNotNull() & (x != ""))))
 
 
 def category(text: Column, ordered: list[tuple[str, tuple[str, ...]]], other: str = "phone") -> Column:
@@ -182,56 +204,96 @@ def bucket_priority(bucket: Column) -> Column:
     return F.when(bucket == "strict_target", 120).when(bucket == "open_allowed", 110).when(bucket.endswith("_target") & ~bucket.contains("non_target"), 100).when(bucket.contains("allowed"), 90).when(bucket.contains("review"), 30).when(bucket.contains("excluded"), 10).when(bucket.contains("non_target"), 5).when(bucket != "", 40).otherwise(0)
 
 
-def model_candidates(skus: DataFrame) -> DataFrame:
-    """SKUs rolled up to product families: sums, ranges, distinct groups and models, the preferred representative."""
-    df = skus.withColumn("family_title", family_title("model_title"))
+def model_candidates(skus: DataFrame, terms: Terms = Terms()) -> DataFrame:  # noqa: B008
+    """SKUs rolled up to product families: sums, ranges, distinct groups and models, the preferred representative, and the
+    texts that search reads: label, series, aliases, first texts (family, models), second texts (with brand; variants)."""
+    df = skus.withColumn("family_title", family_title("model_title", "brand_title", "series_title", terms))
     rank = F.struct(bucket_priority(F.col("condition_bucket")).alias("p"), "row_count", "source_count", "latest_imported_at", "model_title", "group_title")
+    texts = lambda c: F.array_sort(F.array_distinct(F.filter(F.transform(F.collect_set(c), P.normalize_search), lambda t: t != "")))
     out = df.groupBy("brand_title", "series_title", "family_title").agg(
         F.sum("row_count").alias("row_count"), F.max("source_count").alias("source_count"), F.count_distinct("group_title").alias("variant_count"), F.count_distinct("model_title").alias("branch_count"), F.min(F.when(F.col("min_price") > 0, F.col("min_price"))).alias("min_price"), F.max("max_price").alias("max_price"), F.max("latest_imported_at").alias("latest_imported_at"),
-        F.max_by("condition_bucket", rank).alias("condition_bucket"), F.max_by("model_title", rank).alias("model_title"), F.array_join(F.array_sort(F.collect_set("group_title")), " ").alias("groups_text"),
+        F.max_by("condition_bucket", rank).alias("condition_bucket"), F.max_by("model_title", rank).alias("model_title"), texts("model_title").alias("branch_texts"), texts("group_title").alias("variant_texts"),
     )
-    key = F.concat_ws("|", "brand_title", "series_title", "family_title")
-    return out.withColumns({"candidate_id": key, "label_norm": P.normalize_search("family_title"), "series_norm": P.normalize_search("series_title"), "primary_norm": P.normalize_search(P.search_text("model_title", "groups_text")), "full_norm": P.normalize_search(P.search_text("brand_title", "series_title", "model_title", "groups_text"))})
-
-
-def tier_score() -> Column:
-    """The text tier of a reading (norm, tokens) against a family; -1 where nothing fits."""
-    q, label, series, first, full = (F.col(c) for c in ("norm", "label_norm", "series_norm", "primary_norm", "full_norm"))
-    has = lambda a: F.contains(a, q)
+    norm = lambda *c: P.normalize_search(P.search_text(*c))
+    out = out.withColumns({"candidate_id": F.concat_ws("|", "brand_title", "series_title", "family_title"), "label_norm": P.normalize_search("family_title"), "series_norm": P.normalize_search("series_title"), "keyword_text": F.lower(F.concat_ws(" ", "brand_title", "series_title", "family_title", "model_title"))})
+    out = out.withColumns({"alias_texts": family_aliases(terms), "first_texts": F.array_union(F.array(norm("series_title", "family_title")), "branch_texts"), "second_texts": F.array_union(F.array(norm("brand_title", "series_title", "family_title")), "variant_texts"), "category_kind": category(F.col("keyword_text"), list(terms.categories.items()))})
+    return out.withColumn("all_text", F.concat_ws("\n", "label_norm", "series_norm", "alias_texts", "first_texts", "second_texts"))
+
+
+#: The scores of text tiers, tokens, hints and categories.
+LABEL_TIERS, ALIAS_TIERS, SERIES_TIERS = (4200, 3200, 2850, 2250), (3600, 2900, 2100), (3000, 2100, 1600)
+FIRST_EQUAL, SECOND_EQUAL, TEXT_TIERS = 3400, 3000, (2500, 2050, 1650, 1350)
+FIRST_TOKEN, SECOND_TOKEN, ALL_TOKENS, MISSED_TOKEN, CORE = 440, 260, 320, -260, 720
+BRAND_HIT, BRAND_MISS, SERIES_HIT, SERIES_MISS, COLOR_HIT, CAPACITY_HIT = 1850, -900, 950, -850, 180, 220
+EXACT_CATEGORY, SOFT_CATEGORY = 1450, 820
+BARE_PHONE, BARE_OTHER, ANY_PHONE, ANY_ACCESSORY, ANY_DEVICE, DEVICE_PHONE, DEVICE_OTHER = 520, -900, 120, -420, -180, 260, -540
+SOFT, ACCESSORIES, OTHER_DEVICES = ("charger", "case", "accessory"), ("charger", "case", "accessory"), ("earbuds", "tablet", "wearable", "laptop")
+
+
+def tier_score(norm: str = "norm", tokens: str = "tokens") -> Column:
+    """The text tier of a reading against a family; -1 where nothing fits."""
+    q, label, series = F.col(norm), F.col("label_norm"), F.col("series_norm")
+    some = lambda texts, fits: F.exists(texts, lambda t: fits(t, q))
+    equal, starts, ends, inside = (lambda t, x: t == x), F.startswith, F.endswith, F.contains
     tiers = [
-        F.when(label == q, 4200).when(F.endswith(label, q), 3200).when(F.startswith(label, q), 2850).when(has(label), 2250).otherwise(0),
-        F.when(series == q, 3000).when(F.startswith(series, q), 2100).when(has(series), 1600).otherwise(0),
-        F.when(first == q, 3400).otherwise(0), F.when(full == q, 3000).otherwise(0),
-        F.when(F.startswith(first, q), 2500).when(has(first), 2050).when(F.startswith(full, q), 1650).when(has(full), 1350).otherwise(0),
+        F.when(label == q, LABEL_TIERS[0]).when(F.endswith(label, q), LABEL_TIERS[1]).when(F.startswith(label, q), LABEL_TIERS[2]).when(F.contains(label, q), LABEL_TIERS[3]).otherwise(0),
+        F.when(some("alias_texts", equal), ALIAS_TIERS[0]).when(some("alias_texts", ends), ALIAS_TIERS[1]).when(some("alias_texts", inside), ALIAS_TIERS[2]).otherwise(0),
+        F.when(series == q, SERIES_TIERS[0]).when(F.startswith(series, q), SERIES_TIERS[1]).when(F.contains(series, q), SERIES_TIERS[2]).otherwise(0),
+        F.when(some("first_texts", equal), FIRST_EQUAL).otherwise(0), F.when(some("second_texts", equal), SECOND_EQUAL).otherwise(0),
+        F.when(some("first_texts", starts), TEXT_TIERS[0]).when(some("first_texts", inside), TEXT_TIERS[1]).when(some("second_texts", starts), TEXT_TIERS[2]).when(some("second_texts", inside), TEXT_TIERS[3]).otherwise(0),
     ]
-    base = F.greatest(*tiers)
-    others = F.filter("tokens", lambda t: (t != "") & (t != F.col("norm")))
-    gains = F.transform(others, lambda t: F.when(F.contains(first, t), 440).when(F.contains(full, t), 260).otherwise(0))
+    others = F.filter(tokens, lambda t: (t != "") & (t != q))
+    gains = F.transform(others, lambda t: F.when(F.exists("first_texts", lambda x: F.contains(x, t)), FIRST_TOKEN).when(F.exists("second_texts", lambda x: F.contains(x, t)), SECOND_TOKEN).otherwise(0))
     n, hit = F.size(others), F.size(F.filter(gains, lambda g: g > 0))
-    got = base + F.aggregate(gains, F.lit(0), lambda a, g: a + g)
-    got = F.when(n == 0, got).when(hit == n, got + 320).when(hit > 0, got - (n - hit) * 260).otherwise(got)
-    return F.when(((n == 0) | (hit == 0)) & (got <= 0), -1).otherwise(got)
+    got = F.greatest(*tiers) + F.aggregate(gains, F.lit(0), lambda a, g: a + g)
+    got = F.when(n == 0, got).when(hit == n, got + ALL_TOKENS).when(hit > 0, got + (n - hit) * MISSED_TOKEN).otherwise(got)
+    return F.when((q == "") | (((n == 0) | (hit == 0)) & (got <= 0)), -1).otherwise(got)
+
+
+def category_score(terms: Terms) -> Column:
+    """What a family's category is worth to a phrase; null where it rules the family out."""
+    kind, intents = F.col("category_kind"), F.col("category_intents")
+    soft = F.lit(False)
+    for name in SOFT:
+        soft = soft | (F.array_contains(intents, name) & P.any_of(F.col("keyword_text"), list(terms.categories.get(name, ()))))
+    asked = F.when(F.array_contains(intents, kind), EXACT_CATEGORY).when(soft, SOFT_CATEGORY)
+    bare = F.when(kind == "phone", BARE_PHONE).otherwise(BARE_OTHER)
+    plain = F.when(kind == "phone", ANY_PHONE).when(kind.isin("charger", "case"), ANY_ACCESSORY).when(kind.isin(*OTHER_DEVICES), ANY_DEVICE).otherwise(0)
+    device = F.when(~F.col("wants_device"), 0).when(kind == "phone", DEVICE_PHONE).when(kind.isin(*ACCESSORIES), None).when(kind.isin(*OTHER_DEVICES), DEVICE_OTHER).otherwise(0)
+    return F.when(F.size(intents) > 0, asked).otherwise(F.when(F.col("bare_model"), bare).otherwise(plain) + device)
+
+
+HINTS = ["brand_hints", "series_hints", "category_intents", "bare_model", "wants_device", "capacity_hints", "color_hints"]
+
 
+def search(readings: DataFrame, contexts: DataFrame, candidates: DataFrame, most: int = 6, block: bool = True, terms: Terms = Terms()) -> DataFrame:  # noqa: B008
+    """The best `most` families of every phrase, ranked; phrases that only refine find nothing.
 
-def search(readings: DataFrame, contexts: DataFrame, candidates: DataFrame, most: int = 6, block: bool = True) -> DataFrame:
-    """The best `most` families of every phrase, ranked; phrases that only refine find nothing."""
-    asked = readings.join(contexts.where("not only_refinement").select("query", "brand_hints", "category_intents", "bare_model", "capacity_hints"), "query")
-    asked = asked.withColumns({"reading": F.concat_ws("#", "query", F.col("nth").cast("string")), "_all": F.array_union("tokens", F.array("norm"))})
+    The text score of a pair is that of its best reading, or of its best core (the reading without capacities and
+    colours), which counts more; brand, series, category, capacity and colour hints and popularity come on top."""
+    asked = readings.join(contexts.where("not only_refinement").select("query"), "query", "left_semi")
+    asked = asked.withColumns({"reading": F.concat_ws("#", "query", F.col("nth").cast("string")), "_all": F.array_union(F.array_union("tokens", "core_tokens"), F.array("norm", "core"))})
     if block:
-        pairs = block_pairs(asked, "reading", "_all", candidates, "candidate_id", "full_norm").join(asked, "reading").join(candidates, "candidate_id")
+        pairs = block_pairs(asked, "reading", "_all", candidates, "candidate_id", "all_text").join(asked, "reading").join(candidates, "candidate_id")
     else:
         pairs = asked.join(candidates, how="cross")
-    pairs = pairs.withColumn("tier", tier_score()).where("tier >= 0")
-    per = pairs.groupBy("query", "candidate_id").agg(F.max("tier").alias("tier"), *[F.first(c).alias(c) for c in ("brand_title", "series_title", "family_title", "condition_bucket", "row_count", "variant_count", "source_count", "latest_imported_at", "groups_text", "brand_hints", "category_intents", "bare_model", "capacity_hints")])
+    core = tier_score("core", "core_tokens")
+    pairs = pairs.withColumns({"_plain": tier_score(), "_core": F.when(core >= 0, core + CORE).otherwise(-1)}).withColumn("tier", F.greatest("_plain", "_core")).where("tier >= 0")
+    per = pairs.groupBy("query", "candidate_id").agg(F.max("tier").alias("tier"))
+    per = per.join(candidates, "candidate_id").join(contexts.select("query", "has_core", *HINTS), "query")
+    met = lambda hints, texts: F.size(F.filter(hints, lambda h: F.exists(texts, lambda t: F.contains(t, h))))
+    size = F.size
     hinted = F.array_contains("brand_hints", F.col("brand_title"))
-    brand = F.when(F.size("brand_hints") == 0, 0).when(hinted, 1850).otherwise(-900)
-    groups = P.normalize_search("groups_text")
-    sizes = F.size(F.filter("capacity_hints", lambda h: F.contains(groups, h)))
-    capacity = F.when(F.size("capacity_hints") == 0, 0).when(sizes > 0, sizes * 220).otherwise(-F.least(F.size("capacity_hints") * 120, F.lit(280)))
+    brand = F.when(size("brand_hints") == 0, 0).when(hinted, BRAND_HIT).otherwise(BRAND_MISS)
+    lines = met("series_hints", F.array("all_text"))
+    series = F.when(size("series_hints") == 0, 0).when(lines > 0, lines * SERIES_HIT).otherwise(SERIES_MISS)
+    sizes = met("capacity_hints", "variant_texts")
+    capacity = F.when(size("capacity_hints") == 0, 0).when(sizes > 0, sizes * CAPACITY_HIT).when(F.col("has_core"), -F.least(size("capacity_hints") * 120, F.lit(280))).otherwise(0)
     popular = F.least("row_count", F.lit(500)) + F.least(F.col("variant_count") * 25, F.lit(180)) + F.least(F.col("source_count") * 4, F.lit(120))
-    per = per.withColumns({"score": F.col("tier") + brand + capacity + popular, "preferred": (F.size("brand_hints") > 0) & hinted}).where("score >= 0")
+    score = F.col("tier") + brand + series + category_score(terms) + capacity + met("color_hints", "variant_texts") * COLOR_HIT + popular
+    per = per.withColumns({"score": score, "preferred": (size("brand_hints") > 0) & hinted}).where("score >= 0")
     order = [F.desc("preferred"), F.desc("score"), F.desc(bucket_priority(F.col("condition_bucket"))), F.desc("row_count"), F.desc("variant_count"), F.desc("source_count"), F.desc("latest_imported_at"), "candidate_id"]
-    return per.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(*order))).where(F.col("place") <= max(1, min(most, 6))).select("query", "place", "candidate_id", "score", "brand_title", "family_title")
+    return per.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(*order))).where(F.col("place") <= max(1, min(most, 6))).select("query", "place", "candidate_id", "score", "brand_title", "series_title", "family_title")
 
 
 def hot_list(candidates: DataFrame, kind: Column, most: int = 8) -> DataFrame:
@@ -246,20 +308,86 @@ def relative_cut(scored: DataFrame, floor: int = 60, below: int = 40, most: int
     return scored.withColumns({"_top": F.max("score").over(w), "_nth": F.row_number().over(w.orderBy(F.desc("score"), "candidate_id"))}).where((F.col("score") >= F.greatest(F.lit(floor), F.col("_top") - below)) & (F.col("_nth") <= most)).drop("_top", "_nth")
 
 
-def preferred(results: DataFrame, brand: Column, family: Column) -> DataFrame:
-    """Re-rank by preferences: the brand's rows if there are any, then the family's if there are any, in their old order."""
+#: Points of the re-rank by preference, and what makes the first result a clear one.
+NAMED, PARTLY_NAMED, SHARED_TOKEN = 260, 180, 18
+BRAND_KEPT, BRAND_OTHER, FAMILY_EQUAL, FAMILY_INSIDE, BARE_EQUAL, BARE_INSIDE = 220, -120, 200, 140, 160, 110
+CELLULAR, CELLULAR_BOTH, CELLULAR_EXTRA, CELLULAR_MISSING = ("蜂窝", "cellular", "esim"), 40, -60, -20
+SPECS = (("gps", 24, -30), ("降噪", 26, -18), ("标准款", 26, -18), ("p93", 26, -18), ("p63", 26, -18), ("20w", 26, -18), ("30w", 26, -18), ("45w", 26, -18), ("65w", 26, -18))
+CLEAR_POINTS, CLEAR_SCORE, CLEAR_RATIO = 12, 1200, 1.35
+
+
+def _shared(a: Column, b: Column) -> Column:
+    """Points for runs of letters, digits or Han characters that two normalised texts share."""
+    runs = lambda x: F.array_distinct(F.regexp_extract_all(x, F.lit(r"([a-z]+|[0-9]+|[\u4e00-\u9fff]{1,4})")))
+    return F.size(F.array_intersect(runs(a), runs(b))) * SHARED_TOKEN
+
+
+def _bare(x: Column, aliases: Column) -> Column:
+    """A normalised text without the longest of the aliases that begins it."""
+    fitting = F.filter(aliases, lambda a: (a != "") & F.startswith(x, a))
+    longest = F.aggregate(fitting, F.lit(0), lambda n, a: F.greatest(n, F.length(a)))
+    return F.substr(x, longest + 1)
+
+
+def preference_points(aliases: Column) -> Column:
+    """Points of a result (_query, _family, _brand: normalised) under a preference (_want_brand, _want_family, '' for none)."""
+    either = lambda a, b: F.contains(a, b) | F.contains(b, a)
+    q, family, brand, wanted, line = (F.col(c) for c in ("_query", "_family", "_brand", "_want_brand", "_want_family"))
+    some = (q != "") & (family != "")
+    points = F.when(~some, 0).otherwise(F.when(q == family, NAMED).when(either(q, family), PARTLY_NAMED).otherwise(0) + _shared(q, family))
+    own = (brand != "") & F.exists(aliases, lambda a: either(brand, a))
+    points = points + F.when(wanted == "", 0).when(own, BRAND_KEPT).otherwise(BRAND_OTHER)
+    bare_line, bare_family = _bare(line, aliases), _bare(family, aliases)
+    bare = F.when((bare_line == "") | (bare_family == ""), 0).otherwise(F.when(bare_line == bare_family, BARE_EQUAL).when(either(bare_line, bare_family), BARE_INSIDE).otherwise(0))
+    by_line = F.when(line == family, FAMILY_EQUAL).when(either(line, family), FAMILY_INSIDE).otherwise(bare + F.when((bare_line == "") | (bare_family == ""), 0).otherwise(_shared(bare_line, bare_family)))
+    points = points + F.when((line == "") | (family == ""), 0).otherwise(by_line)
+    cellular = lambda x: P.any_of(x, CELLULAR)
+    spec = F.when(cellular(q) & cellular(family), CELLULAR_BOTH).when(cellular(family), CELLULAR_EXTRA).when(cellular(q), CELLULAR_MISSING).otherwise(0)
+    for word, there, missing in SPECS:
+        spec = spec + F.when(~F.contains(q, F.lit(word)), 0).when(F.contains(family, F.lit(word)), there).otherwise(missing)
+    return points + F.when(some, spec).otherwise(0)
+
+
+def preferred(results: DataFrame, preferences: DataFrame, aliases: dict[str, tuple[str, ...]] = {}) -> DataFrame:  # noqa: B006
+    """Results (query, place, brand_title, family_title) re-ranked by preferences (query, preferred_brand,
+    preferred_family; both may be null): the brand's rows if there are any, then the family's if there are any, then by
+    points, equal ones in their old order. Adds points. aliases: other names of a brand."""
+    norm = lambda c: P.normalize_search(F.coalesce(F.col(c), F.lit("")))
+    df = results.join(preferences.select("query", "preferred_brand", "preferred_family"), "query", "left")
+    df = df.withColumns({"_query": norm("query"), "_family": norm("family_title"), "_brand": norm("brand_title"), "_want_brand": norm("preferred_brand"), "_want_family": norm("preferred_family")})
+    wanted, line, family = F.col("_want_brand"), F.col("_want_family"), F.col("_family")
+    names = F.when(wanted == "", F.array().cast("array<string>"))
+    for key, words in aliases.items():
+        known = [P.normalize_search(F.lit(w)) for w in (key, *words)]
+        fits = F.lit(False)
+        for w in known:
+            fits = fits | F.contains(wanted, w) | F.contains(w, wanted)
+        names = names.when(fits, F.array_distinct(F.array(*known)))
+    df = df.withColumn("_names", names.otherwise(F.array(wanted)))
+    either = lambda a, b: F.contains(a, b) | F.contains(b, a)
+    brand_hit = (F.col("_brand") != "") & F.exists("_names", lambda a: either(F.col("_brand"), a))
+    bare_line, bare_family = _bare(line, F.col("_names")), _bare(family, F.col("_names"))
+    line_hit = (line != "") & (family != "") & (either(line, family) | ((bare_line != "") & either(bare_line, bare_family)))
     w = Window.partitionBy("query")
-    for match in (brand, family):
-        results = results.withColumn("_hit", F.coalesce(match, F.lit(False))).withColumn("_any", F.max("_hit").over(w)).where("_hit or not _any").drop("_hit", "_any")
-    return results.withColumn("place", F.row_number().over(w.orderBy("place", "candidate_id")))
+    for match in (brand_hit, line_hit):
+        df = df.withColumn("_hit", F.coalesce(match, F.lit(False))).withColumn("_any", F.max("_hit").over(w)).where("_hit or not _any").drop("_hit", "_any")
+    df = df.withColumn("points", preference_points(F.col("_names")))
+    return df.withColumn("place", F.row_number().over(w.orderBy(F.desc("points"), "place", "candidate_id"))).drop("_query", "_family", "_brand", "_want_brand", "_want_family", "_names")
 
 
-def decisions(results: DataFrame, label: str = "family_title", margin: int = 1200) -> DataFrame:
-    """Per phrase: none, single or ambiguous. Several labels, none of them the phrase, are ambiguous unless the first leads by the margin."""
+def decisions(phrases: DataFrame, results: DataFrame, label: str = "family_title") -> DataFrame:
+    """Per phrase of `phrases`: none, single or ambiguous. Several labels, none of them the phrase, are ambiguous.
+    clear: whether the first result is far enough ahead (points, score or ratio) to be looked at by itself, or has at
+    most one rival. results: query, place, points, score and the label."""
     w = Window.partitionBy("query").orderBy("place")
-    led = results.withColumn("_lead", F.col("score") - F.coalesce(F.lead("score").over(w), F.lit(0)))
-    per = led.groupBy("query").agg(F.count_distinct(label).alias("n_labels"), F.max(P.normalize_search(label) == P.normalize_search("query")).alias("named"), F.max(F.when(F.col("place") == 1, F.col("_lead"))).alias("lead_score"), F.min_by(label, "place").alias("label"))
-    return per.withColumn("decision", F.when((F.col("n_labels") == 1) | F.col("named") | (F.col("lead_score") >= margin), "single").otherwise("ambiguous"))
+    norm = P.normalize_search
+    led = results.withColumns({"_score": F.lead("score").over(w), "_points": F.lead("points").over(w)})
+    first = lambda c: F.max(F.when(F.col("place") == 1, F.col(c)))
+    per = led.groupBy("query").agg(F.count_distinct(norm(label)).alias("n_labels"), F.count(F.lit(1)).alias("n_results"), F.max(norm(label) == norm("query")).alias("named"), F.min_by(label, "place").alias("label"), first("score").alias("score"), first("_score").alias("next_score"), first("points").alias("points"), first("_points").alias("next_points"))
+    ahead = (F.col("points") - F.col("next_points") >= CLEAR_POINTS) | ((F.col("score") > 0) & (F.col("next_score") <= 0)) | (F.col("score") - F.col("next_score") >= CLEAR_SCORE) | ((F.col("next_score") > 0) & (F.col("score") >= F.col("next_score") * CLEAR_RATIO))
+    out = phrases.select("query").distinct().join(per, "query", "left")
+    decision = F.when(F.col("n_labels").isNull(), "none").when((F.col("n_labels") == 1) | F.col("named"), "single").otherwise("ambiguous")
+    return out.select("query", decision.alias("decision"), F.coalesce((F.col("n_results") <= 2) | ahead, F.lit(False)).alias("clear"), F.coalesce("n_labels", F.lit(0)).alias("n_labels"), "label")
 
 
 def representative(variants: DataFrame, by: list[str]) -> DataFrame:

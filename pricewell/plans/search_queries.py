@@ -13,6 +13,7 @@ from pricewell.operators import reports, textscan
 from pricewell.plans import sql
 from pricewell.plans.market_queries import references
 from pricewell.plans.sql import S
+from pricewell.settled import settle
 from pricewell.sources import views as V
 
 QUERIES, ORACLES = {}, {}
@@ -95,39 +96,41 @@ def _phrases(spark, d):
 
 WORDS = ("widget", "gizmo", "bolt", "gear", "ring", "small", "large", "red", "blue", "green", "cold", "hot")
 CATEGORIES = {"ring": ("ring",), "bolt": ("bolt",)}
+#: The stand-in catalog's terms; they put the same branches to work that the phone market's do.
+TERMS = X.Terms(
+    aliases={"gizmo": ("gadget",)}, spelled={"redwidget": ("red widget",)}, known=WORDS, code_tails=("g",), colors=("red", "blue"), brands={f"Brand#{i}": (f"brand {i} ",) for i in range(1, 26)}, series={"small": ("small",), "hot": ("hot",)}, primary_series=("hot",), categories=CATEGORIES,
+    bridges=({"find": "gear", "give": ("cog",)}, {"of": ("ring",), "find": r"\bhot (\w+)", "whole": (r"\1 ring",)}), shorthand={"g": ("gear",)}, family_short={"widget": ("wgt",)},
+)
 
 
 def _readings(spark, d):
-    return X.expand(_phrases(spark, d), {"gizmo": ("gadget",)}, WORDS, ("red", "blue"))
-
-
-def _brands():
-    return {f"Brand#{i}": (f"brand {i} ",) for i in range(1, 26)}
+    return X.expand(_phrases(spark, d), TERMS)
 
 
 @query()
 def query_context(spark, d):
-    """X3, P28-P31, X4, and X2 in part (README): readings and hints of every phrase."""
-    return X.context(_readings(spark, d), _brands(), CATEGORIES)
+    """Readings and hints of every phrase."""
+    return X.context(_readings(spark, d), TERMS)
 
 
 def _search(spark, d):
-    readings = _readings(spark, d)
-    return T.search(readings, X.context(readings, _brands(), {}), T.model_candidates(skus(spark, d)))
+    readings = settle(_readings(spark, d), "readings")
+    return T.search(readings, X.context(readings, TERMS), T.model_candidates(skus(spark, d), TERMS), terms=TERMS)
 
 
 @query()
 def product_search(spark, d):
-    """J7 in part (text, brand and capacity terms; README lists the rest), K2: the six best families per phrase."""
+    """The six best families per phrase, by text tiers and aliases, hints, categories and popularity."""
     return _search(spark, d)
 
 
 @query()
 def search_decisions(spark, d):
-    """W13, and K4, K5 in part (README): preference filters, relative cut-off and the answer decision per phrase."""
+    """Relative cut-off, preferences and the answer decision of every phrase."""
+    phrases = _phrases(spark, d)
     found = T.relative_cut(_search(spark, d), 60, 2000)
-    ranked = T.preferred(found, F.contains(F.lower("query"), F.lower("brand_title")), F.contains(F.col("query"), F.col("family_title")))
-    return T.decisions(ranked)
+    wants = phrases.select("query", F.concat(F.lit("Brand#"), F.regexp_extract("query", "brand#([0-9]+)", 1)).alias("preferred_brand"), F.regexp_extract("query", "(red|blue|hot|cold) [a-z]+", 0).alias("preferred_family"))
+    return T.decisions(phrases, T.preferred(found, wants, {"Brand#1": ("first",)}))
 
 
 @query(f"""WITH {sql.QUOTES}, s AS (SELECT {S}, count(*) AS row_count, count(DISTINCT sname) AS source_count, max(imported_at) AS latest_imported_at, CASE WHEN condition_bucket='strict_target' THEN 120 WHEN condition_bucket='open_allowed' THEN 110 WHEN contains(condition_bucket,'allowed') THEN 90 WHEN contains(condition_bucket,'review') THEN 30 WHEN contains(condition_bucket,'excluded') THEN 10 WHEN contains(condition_bucket,'non_target') THEN 5 ELSE 40 END AS pr FROM quotes GROUP BY {S}),
@@ -159,10 +162,33 @@ def capacity_leaders(spark, d):
 
 @query(LEAF + """, h AS (SELECT *, capacity IN ('12G','30G') AS hit, max(CASE WHEN capacity IN ('12G','30G') THEN 1 ELSE 0 END) OVER (PARTITION BY brand_title, series_title) AS hits FROM leaf) SELECT brand_title, series_title, model_title, group_title, condition_bucket, market_price FROM h WHERE hit OR hits=0""")
 def refine_views(spark, d):
-    """Leaf rows that a phrase leaves."""
+    """N1 in its plain form: leaf rows that a capacity and a colour leave (refined_details has the scored form)."""
     return D.refine(D.leaves(_snapshots(spark, d)), ["12g", "30g"], ["purple"]).select(*M.SKU, "market_price")
 
 
+def _requests(spark, d):
+    """A phrase for every product line of the catalog: of sizes, colours, model words or tokens that no view has."""
+    lines = V.catalog(spark, d).select("brand_title", "series_title", "model_title").groupBy("brand_title", "series_title").agg(F.min("model_title").alias("m"), F.count(F.lit(1)).alias("n"))
+    k = F.pmod(F.xxhash64("brand_title", "series_title"), F.lit(6))
+    text = F.when(k == 0, "12G").when(k == 1, "30g color").when(k == 2, F.col("m")).when(k == 3, "unheard of").when(k == 4, "the phone 12g").otherwise("")
+    tokens = F.filter(F.transform(F.split(F.lower(text), " "), P.normalize_search), lambda t: t != "")
+    sizes = F.filter(tokens, lambda t: t.rlike("^[0-9]+g$"))
+    return lines.select(F.concat_ws("|", "brand_title", "series_title").alias("request_id"), "brand_title", "series_title", P.normalize_search(text).alias("q"), tokens.alias("tokens"), sizes.alias("capacities"), F.filter(tokens, lambda t: t == "color").alias("colors"))
+
+
+@query()
+def refined_details(spark, d):
+    """Detail views of all product lines refined by a phrase each; the surviving groups, re-summarised."""
+    kept, _ = D.refined(D.leaves(_snapshots(spark, d)), _requests(spark, d), ("phone",), ("small",))
+    return D.group_summary(kept, ["request_id", *D.GROUP])
+
+
+@query()
+def refinement_reasons(spark, d):
+    """Why each phrase refined its view or not, and what was left."""
+    return D.refined(D.leaves(_snapshots(spark, d)), _requests(spark, d), ("phone",), ("small",))[1]
+
+
 @query()
 def branch_markets(spark, d):
     """Stored snapshot of each SKU, else the computed one."""

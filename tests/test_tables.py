@@ -153,13 +153,15 @@ def test_memory_signatures(spark):
 def test_phrase_readings():
     assert X.surface("苹果１７ProMax") == "苹果 17 pro max" and X.surface("十七 pro") == "17 pro" and X.numeral_value("二十三") == "23" and X.numeral_value("一二") == "12"
     assert X.alignment_distance("iphnoe", "iphone", 1) == 1 and X.alignment_distance("abc", "xyz", 1) == 2
-    got = X.variants("iphnoe 17 256g 黑色", {"iphone": ("苹果",)}, ("iphone",), frozenset({"黑色"}))
-    assert any("iphone" in v["surface"] for v in got) and got[0]["core"] == "iphnoe17g" or got[0]["capacities"] is not None
+    got = X.variants("iphnoe 17 256g 黑色", X.Terms(aliases={"iphone": ("苹果",)}, known=("iphone",), colors=("黑色",)))
+    assert {"iphone17256g黑色", "苹果17256g黑色"} <= {v["norm"] for v in got} and all(v["capacities"] == ["256"] and v["colors"] == ["黑色"] for v in got)
+    assert got[0]["core"] == "iphnoe17" and got[0]["core_tokens"] == ["iphnoe", "17"]
+    assert [(v["capacities"], v["core"]) for v in X.variants("1t", X.Terms())] == [(["1t"], "")]
 
 
 def test_search_finds_families(spark):
-    readings = X.expand(spark.createDataFrame([("red widget",), ("red widegt",), ("",), ("256g",)], "query string"), {}, ("widget", "red"), ())
-    contexts = X.context(readings, {}, {})
+    readings = X.expand(spark.createDataFrame([("red widget",), ("red widegt",), ("",), ("256g",)], "query string"), X.Terms(known=("widget", "red")))
+    contexts = X.context(readings)
     skus = V.reference_rows(spark, SF).select("brand_title", "series_title", "model_title", "group_title", F.lit("open_allowed").alias("condition_bucket"), F.lit(5).cast("long").alias("row_count"), F.lit(1).cast("long").alias("source_count"), F.lit(1).cast("long").alias("min_price"), F.lit(2).cast("long").alias("max_price"), F.lit("t").alias("latest_imported_at"))
     families = T.model_candidates(skus)
     found = T.search(readings, contexts, families).collect()
