@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, bounded, settle, without
 
-BETWEEN, WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: A word of a text that is not lower-cased yet.
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW, SLOP = 13, 4
 #: Terms that are broadcast in one pass; postings of a term that are joined in one part.
 TERMS_PER_BLOCK, PER_PART = 500_000, 1_000_000
@@ -94,7 +96,7 @@ def alignments(index: DataFrame, anchors: DataFrame, items: DataFrame, slop: int
 
     A posting is verified against the item in its own row, by its context; what moves on is small. An exact match is
     where the offset-adjusted lists of a window's rarest terms intersect, and the words between agree."""
-    dealt = anchors.select("item", "pos", "term", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).cast("int").alias("part"))
+    dealt = anchors.select("item", "pos", "term", F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1)).alias("part"))
     met = index.join(bounded(dealt), ["term", "part"]).join(items.select("item", "item_words", "width"), "item")
     first, last = F.greatest(F.lit(0), F.col("pos") - F.col("width") + 1, F.col("pos") - F.col("left")), F.least("pos", F.size("item_words") - F.col("width"))
     same = lambda s: F.slice("context", F.col("left") + s - F.col("pos") + 1, F.col("width")) == F.slice("item_words", s + 1, F.col("width"))
