@@ -1,40 +1,50 @@
-"""Interpolated modified Kneser-Ney language model (order 2), counted in Spark, stored as sorted hash arrays and scored
+"""Interpolated modified Kneser-Ney language model of any order, counted in Spark, stored as sorted hash arrays and scored
 by workers that map those arrays into memory.
 
-Words are known by their 64-bit hash; a word's number is its place in the sorted array of all hashes. Word pairs are
-64-bit keys (number of the first word, number of the second), also in sorted arrays. Map tasks count words and pairs of
-a stretch of text with numpy and send sorted blocks, cut by key range; each range is merged by one task and written as
-one file in the shared folder, with the context totals of its range beside it. Ranges follow the size of the text, so
-more text means more files, not larger tasks. The driver sees one line per file and the counts of counts.
+Words are known by their 64-bit hash; a word's number is its place in the sorted array of all hashes. An n-gram is the
+tuple of its words' numbers; its key is a 64-bit hash of the tuple, for pairs one that can be undone, so pairs never
+collide. Map tasks count the highest n-grams of a stretch of text with numpy and send blocks cut by ranges of the key;
+each range is merged by one task, tuple by tuple, and written as one file of sorted keys and counts in the shared folder.
+Lower orders follow from the files of the order above: how many different words stand before an n-gram (those at a text's
+begin have none before them and keep their counts), and for each context its sum and how many followers it has with
+count 1, 2 and more.
 
-Files in a folder that the workers' system mounts are mapped; from other stores a worker reads the file it needs.
+Keys are hashes, so a common word or context is spread over all ranges. There are as many ranges as make RANGE_KEYS keys
+each at most; with more than FAN of them blocks go there in two steps, merged on the way, so that more text means more
+ranges, not smaller blocks. The driver sees one line per file and the counts of counts.
 
-Defined results: a null or empty text is the end token alone; equal rows are rows of their own; a null doc_id is kept;
-an empty training table gives a model without words, in which every token has the probability 1; an empty table gives
-no rows; other columns are not read."""
+Files in a folder that the workers' system mounts are mapped; of other stores a worker holds CACHE_BYTES at a time.
+
+Defined results: a null or empty text is the end token alone; a text is scored whole, however long; equal rows are rows
+of their own; a null doc_id is kept; an empty training table gives a model without words, in which every token has the
+probability 1; an empty table gives no rows; other columns are not read. More than 2^32 - 2 different words are refused."""
 
 from __future__ import annotations
 
 import uuid
+from collections import OrderedDict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bytes_of, new_dir, settle, slices
 
-#: Text bytes per key range; tokens per counted stretch; words a worker remembers before it begins anew.
-RANGE_BYTES, STRETCH, REMEMBERED = 48 << 20, 1_500_000, 300_000
+#: Order of the model; text bytes per range of words; keys per range of n-grams; tokens per counted stretch; words a
+#: worker remembers before it begins anew; ranges that blocks are cut into at once.
+ORDER, RANGE_BYTES, RANGE_KEYS, STRETCH, REMEMBERED, FAN = 3, 32 << 20, 2_500_000, 1_000_000, 300_000, 1024
+CACHE_BYTES = 256 << 20
 #: No word holds a blank, so none has this hash.
 END = xxhash.xxh64_intdigest(b" ")
-BLOCK = "part int, keys binary, counts binary"
-BLOCK_ARROW = pa.schema([("part", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+BLOCK = "part int, data binary"
+BLOCK_ARROW = pa.schema([("part", pa.int32()), ("data", pa.binary())])
+MOST_WORDS = (1 << 32) - 2
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -42,31 +52,109 @@ def words_of(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-def _pack(keys: np.ndarray) -> bytes:
-    """Sorted 64-bit keys byte plane by byte plane: the upper planes hardly change, so shuffles compress them away."""
-    return np.ascontiguousarray(keys.view(np.uint8).reshape(-1, 8).T).tobytes()
+def _mix(x: np.ndarray) -> np.ndarray:
+    """A one-to-one mix of 64 bits."""
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+def _unmix(x: np.ndarray) -> np.ndarray:
+    inverse = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
+    x = (x ^ (x >> np.uint64(32))) * inverse
+    x = (x ^ (x >> np.uint64(32))) * inverse
+    return x ^ (x >> np.uint64(32))
+
+
+def next_key(key: np.ndarray | None, first: np.ndarray | None, number: np.ndarray) -> np.ndarray:
+    """The key of a tuple and one more number: key is the tuple's, first its only number where it has one."""
+    number = number.astype(np.uint64)
+    if key is None:
+        return _mix(number)
+    if first is not None:
+        return _mix(first.astype(np.uint64) << np.uint64(32) | number)
+    return _mix(key * np.uint64(0x9E3779B97F4A7C15) + number + np.uint64(1))
+
+
+def keys_of(columns: list[np.ndarray]) -> np.ndarray:
+    """The keys of tuples of word numbers."""
+    key = None
+    for k, c in enumerate(columns):
+        key = next_key(key, columns[0] if k == 1 else None, c)
+    return key
+
+
+def _lows(parts: int) -> np.ndarray:
+    return np.array([-(-(p << 64) // parts) for p in range(parts)], np.uint64)
 
 
-def _unpack(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+Tuples = tuple[list[np.ndarray], list[np.ndarray]]  # columns of word numbers (or one of word hashes), and values to add
 
 
-def _blocks(keys: np.ndarray, counts: np.ndarray, lows: np.ndarray) -> pa.RecordBatch:
-    """Sorted keys cut by the ranges that begin at lows."""
-    cuts = np.append(np.searchsorted(keys, lows), len(keys))
-    full = [(p, a, b) for p, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if b > a]
-    counts = counts.astype(np.uint32)
-    return pa.RecordBatch.from_arrays([pa.array([p for p, _, _ in full], pa.int32()), pa.array([_pack(keys[a:b]) for _, a, b in full], pa.binary()), pa.array([counts[a:b].tobytes() for _, a, b in full], pa.binary())], schema=BLOCK_ARROW)
+def _pack(columns: list[np.ndarray], values: list[np.ndarray]) -> bytes:
+    """Byte planes, differences of the first column: what hardly changes is compressed away."""
+    first = np.concatenate([columns[0][:1], np.diff(columns[0])])
+    planes = [np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes() for x in (first, *columns[1:], *values)]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
 
 
-def _merge(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys and summed counts of a range's blocks."""
-    keys = np.concatenate([_unpack(x) for x in table["keys"].to_pylist()])
-    counts = np.concatenate([np.frombuffer(x, np.uint32) for x in table["counts"].to_pylist()]).astype(np.int64)
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-    return keys[first], np.add.reduceat(counts, first)
+def _unpack(data: bytes, width: int) -> list[np.ndarray]:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(width, 8, -1)
+    out = [np.ascontiguousarray(x.T).view("<u8").ravel() for x in planes]
+    return [np.cumsum(out[0], dtype=np.uint64), *out[1:]]
+
+
+def _summed(columns: list[np.ndarray], values: list[np.ndarray], key: Callable = keys_of) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """(sorted keys, columns, summed values) of distinct tuples."""
+    keys = key(columns)
+    order = np.argsort(keys)
+    keys, columns = keys[order], [c[order] for c in columns]
+    if not len(keys):
+        return keys, columns, values
+    new = keys[1:] != keys[:-1]
+    for c in columns:
+        new |= c[1:] != c[:-1]
+    first = np.flatnonzero(np.append(True, new))
+    return keys[first], [c[first] for c in columns], [np.add.reduceat(v[order], first) for v in values]
+
+
+def _cut(columns: list[np.ndarray], values: list[np.ndarray], parts: int, key: Callable = keys_of) -> pa.RecordBatch:
+    """Distinct tuples with summed values as blocks, one for each range of keys that has some."""
+    keys, columns, values = _summed(columns, values, key)
+    cuts = np.append(np.searchsorted(keys, _lows(parts)), len(keys)).tolist()
+    full = [(p, a, b) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+    packed = []
+    for _, a, b in full:
+        order = np.argsort(columns[0][a:b], kind="stable")
+        packed.append(_pack([c[a:b][order] for c in columns], [v[a:b][order] for v in values]))
+    return pa.RecordBatch.from_arrays([pa.array([p for p, _, _ in full], pa.int32()), pa.array(packed, pa.binary())], schema=BLOCK_ARROW)
+
+
+def _gathered(blocks: list[bytes], n_columns: int, n_values: int) -> Tuples:
+    parts = [_unpack(x, n_columns + n_values) for x in blocks]
+    whole = [np.concatenate([p[k] for p in parts]) for k in range(n_columns + n_values)]
+    return whole[:n_columns], whole[n_columns:]
+
+
+def _exchange(blocks: DataFrame, parts: int, n_columns: int, n_values: int, fan: int, key: Callable = keys_of) -> DataFrame:
+    """Blocks cut into min(parts, fan) ranges, as blocks of all the ranges: with more than fan ranges, blocks meet by coarse
+    range first, are merged some at a time, and are cut finely."""
+    if parts <= fan:
+        return blocks
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in slices(batches, 16):
+            for data in batch["data"].to_pylist():
+                held.append(data)
+                size += len(data)
+            if size > 32 << 20:
+                yield _cut(*_gathered(held, n_columns, n_values), parts, key)
+                held, size = [], 0
+        if held:
+            yield _cut(*_gathered(held, n_columns, n_values), parts, key)
+
+    return blocks.repartition(fan, "part").mapInArrow(run, BLOCK)
 
 
 def _store(folder: str, name: str, *arrays: np.ndarray) -> str:
@@ -80,54 +168,75 @@ def _store(folder: str, name: str, *arrays: np.ndarray) -> str:
     return f"{folder}/{path}"
 
 
-@lru_cache(4096)
+_HELD: OrderedDict[tuple, tuple[np.ndarray, ...]] = OrderedDict()
+
+
 def _open(path: str, n: int, kinds: tuple[str, ...]) -> tuple[np.ndarray, ...]:
-    """The arrays of a file, n items each."""
+    """The arrays of a file, n items each: mapped, or from other stores read, the latest CACHE_BYTES of them held."""
     if not n:
         return tuple(np.zeros(0, k) for k in kinds)
+    if (got := _HELD.get((path, kinds))) is not None:
+        _HELD.move_to_end((path, kinds))
+        return got
     store, place = fs.FileSystem.from_uri(path)
     if isinstance(store, fs.LocalFileSystem):
-        data = np.memmap(place, np.uint8, "r")
+        data, most = np.memmap(place, np.uint8, "r"), 1 << 60
     else:
         with store.open_input_file(place) as file:
-            data = np.frombuffer(file.read(), np.uint8)
+            data, most = np.frombuffer(file.read(), np.uint8), CACHE_BYTES
     out, at = [], 0
     for k in kinds:
         size = n * np.dtype(k).itemsize
         out.append(data[at : at + size].view(k))
         at += size
+    _HELD[path, kinds] = tuple(out)
+    while len(_HELD) > 4096 or (most < 1 << 60 and len(_HELD) > 1 and sum(x.nbytes for xs in _HELD.values() for x in xs) > most):
+        _HELD.popitem(last=False)
     return tuple(out)
 
 
-WORD_ARRAYS, PAIR_ARRAYS, CONTEXT_ARRAYS, FOLLOW_ARRAYS = ("u8", "i8"), ("u8", "u4"), ("i8", "i4", "i4", "i4"), ("i8",)
+WORD_ARRAYS, GRAM_ARRAYS, CONTEXT_ARRAYS, FOLLOW_ARRAYS = ("u8", "i8"), ("u8", "u4"), ("u8", "i8", "u4", "u4", "u4"), ("i8",)
+#: Marks files of n-grams with a count beyond 32 bits.
+WIDE = "wide"
+Files = tuple[tuple[str, int], ...]
+
+
+def _kinds(path: str, kinds: tuple[str, ...]) -> tuple[str, ...]:
+    return ("u8", "u8") if WIDE in path.rsplit("/", 1)[-1] else kinds
+
+
+@dataclass(frozen=True)
+class Level:
+    """An order's n-grams by range of key: keys and counts; its contexts by range of key: keys, sums and followers with
+    count 1, 2 and more; the discounts."""
+
+    grams: Files = ()
+    contexts: Files = ()
+    discounts: tuple[float, float, float] = (0.0, 0.0, 0.0)
 
 
 @dataclass(frozen=True)
 class Model:
-    """Files by range: (path, items). words: hashes, counts; pairs: keys, counts; contexts: totals and followers with
-    count 1, 2 and more; follows: how many words precede each word."""
+    """Files by range: (path, items). words: hashes, counts; follows: by word number, how many words precede each word;
+    levels: orders 2, 3..."""
 
     n_tokens: int = 0
     n_words: int = 0
-    words: tuple[tuple[str, int], ...] = ()
-    pairs: tuple[tuple[str, int], ...] = ()
-    contexts: tuple[tuple[str, int], ...] = ()
-    follows: tuple[tuple[str, int], ...] = ()
+    words: Files = ()
+    follows: Files = ()
     n_pairs: int = 0
-    discounts: tuple[float, float, float] = (0.0, 0.0, 0.0)
     lower_discounts: tuple[float, float, float] = (0.0, 0.0, 0.0)
     lower_left: float = 1.0
+    levels: tuple[Level, ...] = ()
 
     @property
-    def parts(self) -> int:
-        return len(self.words)
-
-    def hash_lows(self) -> np.ndarray:
-        return np.array([-(-(p << 64) // self.parts) for p in range(self.parts)], np.uint64)
+    def order(self) -> int:
+        return len(self.levels) + 1
 
     def number_lows(self) -> np.ndarray:
-        """First word number of each range of contexts; the number n_words stands for a text's begin."""
-        return np.array([-(-p * (self.n_words + 1) // self.parts) for p in range(self.parts + 1)], np.int64)
+        """First word number of each range of follows."""
+        parts = max(len(self.follows), 1)
+        return np.array([-(-p * self.n_words // parts) for p in range(parts + 1)], np.int64)
 
 
 def _in_ranges(sorted_keys: np.ndarray, lows: np.ndarray, found: Callable[[int, np.ndarray], np.ndarray], kind=np.int64) -> np.ndarray:
@@ -141,9 +250,9 @@ class Numbers:
     """Word numbers by the mapped arrays, with the words met lately remembered."""
 
     def __init__(self, model: Model) -> None:
-        self.model, self.lows, self.known = model, model.hash_lows(), {}
+        self.model, self.lows, self.known = model, _lows(max(len(model.words), 1)), {}
         self.firsts = np.cumsum([0] + [n for _, n in model.words])
-        self.end = int(self.lookup(np.array([END], np.uint64))[0]) if model.parts else -1
+        self.end = int(self.lookup(np.array([END], np.uint64))[0]) if model.words else -1
 
     def _part(self, p: int, hashes: np.ndarray) -> np.ndarray:
         path, n = self.model.words[p]
@@ -168,13 +277,13 @@ class Numbers:
             new = set(words)
         if new:
             new = list(new)
-            found = self.lookup(np.fromiter(map(xxhash.xxh64_intdigest, new), np.uint64, len(new))) if self.model.parts else np.full(len(new), -1)
+            found = self.lookup(np.fromiter(map(xxhash.xxh64_intdigest, new), np.uint64, len(new))) if self.model.words else np.full(len(new), -1)
             known.update(zip(new, found.tolist(), strict=True))
         return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
 
 def _numbered(texts: list[bytes], numbers: Numbers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(numbers of all tokens with the ends, number before each, tokens per text)."""
+    """(numbers of all tokens with the ends, place of each in its text from 0, tokens per text)."""
     split = [words_of(x) for x in texts]
     sizes = np.fromiter(map(len, split), np.int64, len(split)) + 1
     ends = np.cumsum(sizes) - 1
@@ -183,23 +292,14 @@ def _numbered(texts: list[bytes], numbers: Numbers) -> tuple[np.ndarray, np.ndar
     inner[ends] = False
     ids[inner] = numbers.of([w for words in split for w in words])
     ids[ends] = numbers.end
-    before = np.empty_like(ids)
-    before[1:] = ids[:-1]
-    before[ends - sizes + 1] = numbers.model.n_words
-    return ids, before, sizes
+    return ids, np.arange(len(ids)) - np.repeat(ends - sizes + 1, sizes), sizes
 
 
-def _stretches(batches: Iterator[pa.RecordBatch], make: Callable[[pa.RecordBatch], np.ndarray], lows: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Counts make()'s keys over stretches of STRETCH tokens and yields their blocks."""
-    held, n = [], 0
-    for batch in slices(batches, 128):
-        held.append(make(batch))
-        n += len(held[-1])
-        if n >= STRETCH:
-            yield _blocks(*np.unique(np.concatenate(held), return_counts=True), lows)
-            held, n = [], 0
-    if held:
-        yield _blocks(*np.unique(np.concatenate(held), return_counts=True), lows)
+def _before(ids: np.ndarray, place: np.ndarray, k: int, begin: int) -> np.ndarray:
+    """The number k tokens before each; the text's begin just before its first token, and nothing sensible before that."""
+    out = np.full(len(ids), begin, np.int64)
+    out[k:] = ids[: len(ids) - k] if k else ids
+    return np.where(place >= k, out, begin)
 
 
 def _count_of_counts(counts: np.ndarray) -> list[int]:
@@ -214,22 +314,57 @@ def discounts_of(n: list[int]) -> tuple[float, float, float]:
     return tuple(float(np.clip(k - (k + 1) * y * n[k] / n[k - 1], 0, k)) if n[k - 1] else 0.5 for k in (1, 2, 3))
 
 
-def train(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> Model:
-    """Counts the texts of docs and writes the model's files to the shared folder."""
+FILE = "part int, path string, n long, tuples string, seen array<long>"
+
+
+def _blocks_of(texts: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Tuples]], parts: int, key: Callable = keys_of) -> DataFrame:
+    """The tuples that make()'s function finds in each batch, counted over stretches of STRETCH tokens, as blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, held, n = make(), [], 0
+        for batch in slices(batches, 128):
+            held.append(found(batch))
+            n += len(held[-1][0][0])
+            if n >= STRETCH:
+                yield _cut(*_joined(held), parts, key)
+                held, n = [], 0
+        if held:
+            yield _cut(*_joined(held), parts, key)
+
+    return texts.mapInArrow(run, BLOCK)
+
+
+def _joined(held: list[Tuples]) -> Tuples:
+    return tuple([np.concatenate([x[k][j] for x in held]) for j in range(len(held[0][k]))] for k in (0, 1))
+
+
+def _files(manifest: DataFrame, parts: int) -> tuple[Files, list[dict]]:
+    rows = [r.asDict() for r in manifest.collect()]  # a line per range
+    made = {r["part"]: r for r in rows}
+    return tuple((made[p]["path"], made[p]["n"]) if p in made else ("", 0) for p in range(parts)), rows
+
+
+def _hash_keys(columns: list[np.ndarray]) -> np.ndarray:
+    return columns[0]
+
+
+def train(docs: DataFrame, order: int | None = None, range_bytes: int = RANGE_BYTES, range_keys: int = RANGE_KEYS, fan: int = FAN) -> Model:
+    """Counts the texts of docs and writes the model's files to the shared folder. order: 2 or more."""
+    order = ORDER if order is None else order
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     size = texts.agg(F.sum(F.octet_length("text")).alias("n"), F.count(F.lit(1)).alias("rows")).first()
     if not size["rows"]:
         return Model()
-    parts = max(1, -(-int(size["n"] or 0) // range_bytes))
     folder = new_dir(spark, "lm")
-    blank = Model(words=(("", 0),) * parts)
-    lows = blank.hash_lows()
 
-    def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # ---- words
+    parts = max(1, -(-int(size["n"] or 0) // range_bytes))
+
+    def words() -> Callable[[pa.RecordBatch], Tuples]:
         known: dict[bytes, int] = {}
 
-        def make(batch: pa.RecordBatch) -> np.ndarray:
+        def found(batch: pa.RecordBatch) -> Tuples:
             split = [words_of(x) for x in bytes_of(batch["text"])]
             words = [w for x in split for w in x]
             new = set(words).difference(known)
@@ -237,120 +372,184 @@ def train(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> Model:
                 known.clear()
                 new = set(words)
             known.update(zip(new, map(xxhash.xxh64_intdigest, new), strict=True))
-            return np.concatenate([np.fromiter(map(known.__getitem__, words), np.uint64, len(words)), np.full(len(split), END, np.uint64)])
+            hashes = np.concatenate([np.fromiter(map(known.__getitem__, words), np.uint64, len(words)), np.full(len(split), END, np.uint64)])
+            return [hashes], [np.ones(len(hashes), np.uint64)]
 
-        return _stretches(batches, make, lows)
+        return found
 
     def merge_words(table: pa.Table) -> pa.Table:
-        keys, counts = _merge(table)
+        keys, _, (counts,) = _summed(*_gathered(table["data"].to_pylist(), 1, 1), _hash_keys)
         return pa.table({"part": pa.array([table["part"][0].as_py()], pa.int32()), "path": [_store(folder, "words", keys, counts)], "n": [len(keys)], "tokens": [int(counts.sum())]})
 
-    blocks = texts.mapInArrow(count_words, BLOCK)
-    made = {r["part"]: r for r in settle(blocks.groupBy("part").applyInArrow(merge_words, "part int, path string, n long, tokens long"), "lm-words").collect()}
-    words = tuple((made[p]["path"], made[p]["n"]) if p in made else ("", 0) for p in range(parts))
-    model = Model(n_tokens=sum(r["tokens"] for r in made.values()), n_words=sum(n for _, n in words), words=words)
-    number_lows = model.number_lows()
-    key_lows = number_lows[:-1].astype(np.uint64) << np.uint64(32)
-
-    def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = Numbers(model)
-
-        def make(batch: pa.RecordBatch) -> np.ndarray:
-            ids, before, _ = _numbered(bytes_of(batch["text"]), numbers)
-            return (before.astype(np.uint64) << np.uint64(32)) | ids.astype(np.uint64)
-
-        return _stretches(batches, make, key_lows)
-
-    def merge_pairs(table: pa.Table) -> pa.Table:
-        keys, counts = _merge(table)
-        part = table["part"][0].as_py()
-        low, n = int(number_lows[part]), int(number_lows[part + 1] - number_lows[part])
-        context = (keys >> np.uint64(32)).astype(np.int64) - low
-        totals = np.bincount(context, counts, n).astype(np.int64)
-        kinds = [np.bincount(context[chosen], minlength=n).astype(np.int32) for chosen in (counts == 1, counts == 2, counts > 2)]
-        return pa.table({"part": pa.array([part], pa.int32()), "path": [_store(folder, "pairs", keys, counts.astype(np.uint32))], "n": [len(keys)], "context_path": [_store(folder, "contexts", totals, *kinds)], "context_n": [n], "seen": [_count_of_counts(counts)]})
-
-    manifest = settle(texts.mapInArrow(count_pairs, BLOCK).groupBy("part").applyInArrow(merge_pairs, "part int, path string, n long, context_path string, context_n long, seen array<long>"), "lm-pairs")
-    made = {r["part"]: r for r in manifest.collect()}
-    lows_of = number_lows
+    blocks = _exchange(_blocks_of(texts, words, min(parts, fan), _hash_keys), parts, 1, 1, fan, _hash_keys)
+    made = settle(blocks.groupBy("part").applyInArrow(merge_words, "part int, path string, n long, tokens long"), "lm-words")
+    files, rows = _files(made, parts)
+    base = Model(n_tokens=sum(r["tokens"] for r in rows), n_words=sum(r["n"] for r in rows), words=files)
+    if base.n_words > MOST_WORDS:
+        raise ValueError(f"{base.n_words} different words; word numbers have 32 bits")
+    begin = base.n_words
+    parts = max(1, -(-base.n_tokens // range_keys))
+
+    # ---- n-grams of the highest order, and shorter ones at a text's begin
+    def grams(k: int) -> Callable[[], Callable[[pa.RecordBatch], Tuples]]:
+        def start() -> Callable[[pa.RecordBatch], Tuples]:
+            numbers = Numbers(base)
+
+            def found(batch: pa.RecordBatch) -> Tuples:
+                ids, place, _ = _numbered(bytes_of(batch["text"]), numbers)
+                at = np.flatnonzero(place >= k - 2) if k == order else np.flatnonzero(place == k - 2)
+                columns = [_before(ids, place, j, begin)[at].astype(np.uint64) for j in range(k - 1, -1, -1)]
+                return columns, [np.ones(len(at), np.uint64)]
+
+            return found
+
+        return start
+
+    def merge_grams(k: int) -> Callable[[pa.Table], pa.Table]:
+        def merge(table: pa.Table) -> pa.Table:
+            keys, columns, (counts,) = _summed(*_gathered(table["data"].to_pylist(), k, 1))
+            wide = len(counts) and counts.max() > 0xFFFFFFFF
+            tuples = _store(folder, f"tuples{k}", *[c.astype(np.uint32) for c in columns]) if k > 2 else ""
+            return pa.table({"part": pa.array([table["part"][0].as_py()], pa.int32()), "path": [_store(folder, f"grams{k}{WIDE if wide else ''}", keys, counts.astype("u8" if wide else "u4"))], "n": [len(keys)], "tuples": [tuples], "seen": [_count_of_counts(counts)]})
+
+        return merge
+
+    def from_files(k: int, make: Callable[[list[np.ndarray], np.ndarray], Tuples], cut: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        """Blocks of what make finds in each file's columns and counts."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for path, n, tuples in zip(batch["path"].to_pylist(), batch["n"].to_pylist(), batch["tuples"].to_pylist(), strict=True):
+                    keys, counts = _open(path, n, _kinds(path, GRAM_ARRAYS))
+                    if k > 2:
+                        columns = [c.astype(np.uint64) for c in _open(tuples, n, ("u4",) * k)]
+                    else:
+                        pair = _unmix(np.asarray(keys))
+                        columns = [pair >> np.uint64(32), pair & np.uint64(0xFFFFFFFF)]
+                    yield _cut(*make(columns, np.asarray(counts)), cut)
+
+        return run
+
+    def contexts(columns: list[np.ndarray], counts: np.ndarray) -> Tuples:
+        one = lambda x: x.astype(np.uint64)
+        return columns[:-1], [one(counts), one(counts == 1), one(counts == 2), one(counts > 2)]
+
+    def suffixes(columns: list[np.ndarray], counts: np.ndarray) -> Tuples:
+        return columns[1:], [np.ones(len(counts), np.uint64)]
+
+    def merge_contexts(k: int) -> Callable[[pa.Table], pa.Table]:
+        def merge(table: pa.Table) -> pa.Table:
+            keys, _, (total, *kinds) = _summed(*_gathered(table["data"].to_pylist(), k - 1, 4))
+            return pa.table({"part": pa.array([table["part"][0].as_py()], pa.int32()), "path": [_store(folder, f"contexts{k}", keys, total, *[x.astype(np.uint32) for x in kinds])], "n": [len(keys)]})
+
+        return merge
+
+    levels: list[Level] = []
+    n_grams = base.n_tokens
+    blocks = _blocks_of(texts, grams(order), min(parts, fan))
+    for k in range(order, 1, -1):
+        manifest = settle(_exchange(blocks, parts, k, 1, fan).groupBy("part").applyInArrow(merge_grams(k), FILE), f"lm-grams{k}")
+        files, rows = _files(manifest, parts)
+        n_grams = sum(r["n"] for r in rows)
+        spread = manifest.select("path", "n", "tuples").repartition(parts, "path")
+        below = max(1, -(-n_grams // range_keys))
+        found = _exchange(spread.mapInArrow(from_files(k, contexts, min(below, fan)), BLOCK), below, k - 1, 4, fan)
+        context_files, _ = _files(settle(found.groupBy("part").applyInArrow(merge_contexts(k), "part int, path string, n long"), f"lm-contexts{k}"), below)
+        levels.insert(0, Level(files, context_files, discounts_of([sum(r["seen"][j] for r in rows) for j in range(4)])))
+        if k > 2:
+            blocks = spread.mapInArrow(from_files(k, suffixes, min(below, fan)), BLOCK).unionByName(_blocks_of(texts, grams(k - 1), min(below, fan)))
+            parts = below
+
+    # ---- words by how many different ones stand before them
+    follow_parts = max(1, -(-base.n_words // range_keys))
+    lows = np.array([-(-p * base.n_words // follow_parts) for p in range(follow_parts + 1)], np.int64)
 
     def count_follows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, n in zip(batch["path"].to_pylist(), batch["n"].to_pylist(), strict=True):
-                second = _open(path, n, PAIR_ARRAYS)[0] & np.uint64(0xFFFFFFFF)
-                yield _blocks(*np.unique(second, return_counts=True), lows_of[:-1].astype(np.uint64))
+                numbers, n_before = np.unique(_unmix(np.asarray(_open(path, n, _kinds(path, GRAM_ARRAYS))[0])) & np.uint64(0xFFFFFFFF), return_counts=True)
+                cuts = np.append(np.searchsorted(numbers, lows[:-1].astype(np.uint64)), len(numbers)).tolist()
+                full = [(p, a, b) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+                yield pa.RecordBatch.from_arrays([pa.array([p for p, _, _ in full], pa.int32()), pa.array([_pack([numbers[a:b]], [n_before[a:b]]) for _, a, b in full], pa.binary())], schema=BLOCK_ARROW)
 
     def merge_follows(table: pa.Table) -> pa.Table:
-        keys, counts = _merge(table)
         part = table["part"][0].as_py()
-        low, n = int(lows_of[part]), int(lows_of[part + 1] - lows_of[part])
-        dense = np.zeros(n, np.int64)
-        dense[keys.astype(np.int64) - low] = counts
-        return pa.table({"part": pa.array([part], pa.int32()), "path": [_store(folder, "follows", dense)], "n": [n], "seen": [_count_of_counts(counts)], "types": [len(keys)]})
-
-    spread = manifest.select("path", "n").repartition(parts, "path")
-    follow = {r["part"]: r for r in settle(spread.mapInArrow(count_follows, BLOCK).groupBy("part").applyInArrow(merge_follows, "part int, path string, n long, seen array<long>, types long"), "lm-follows").collect()}
-    n_pairs = sum(r["n"] for r in made.values())
-    lower_seen = [sum(r["seen"][k] for r in follow.values()) for k in range(4)]
-    lower = discounts_of(lower_seen)
-    more = sum(r["types"] for r in follow.values()) - lower_seen[0] - lower_seen[1]
-    return Model(
-        model.n_tokens, model.n_words, words, tuple((made[p]["path"], made[p]["n"]) if p in made else ("", 0) for p in range(parts)),
-        tuple((made[p]["context_path"], made[p]["context_n"]) if p in made else ("", 0) for p in range(parts)), tuple((follow[p]["path"], follow[p]["n"]) if p in follow else ("", 0) for p in range(parts)),
-        n_pairs, discounts_of([sum(r["seen"][k] for r in made.values()) for k in range(4)]), lower, (lower[0] * lower_seen[0] + lower[1] * lower_seen[1] + lower[2] * more) / n_pairs,
-    )
+        dense = np.zeros(int(lows[part + 1] - lows[part]), np.int64)
+        for data in table["data"].to_pylist():  # dense, so blocks are added one by one
+            numbers, n_before = _unpack(data, 2)
+            dense[numbers.astype(np.int64) - lows[part]] += n_before.astype(np.int64)
+        return pa.table({"part": pa.array([part], pa.int32()), "path": [_store(folder, "follows", dense)], "n": [len(dense)], "seen": [_count_of_counts(dense)], "types": [int((dense > 0).sum())]})
 
+    made = settle(spread.mapInArrow(count_follows, BLOCK).groupBy("part").applyInArrow(merge_follows, "part int, path string, n long, seen array<long>, types long"), "lm-follows")
+    follow_files, rows = _files(made, follow_parts)
+    seen = [sum(r["seen"][j] for r in rows) for j in range(4)]
+    lower = discounts_of(seen)
+    more = sum(r["types"] for r in rows) - seen[0] - seen[1]
+    left = (lower[0] * seen[0] + lower[1] * seen[1] + lower[2] * more) / n_grams
+    return Model(base.n_tokens, base.n_words, base.words, follow_files, n_grams, lower, left, tuple(levels))
 
-class Scorer:
-    def __init__(self, model: Model) -> None:
-        self.model, self.numbers = model, Numbers(model)
-        self.number_lows = model.number_lows()[:-1] if model.parts else np.zeros(0, np.int64)
 
-    def _dense(self, files, kinds: tuple[str, ...], which: int, numbers: np.ndarray, lows: np.ndarray) -> np.ndarray:
-        """Values of one array at sorted word numbers; 0 where a range has no file."""
+def _dense(files: Files, kinds: tuple[str, ...], which: int, numbers: np.ndarray, lows: np.ndarray) -> np.ndarray:
+    """Values of one array at sorted word numbers; 0 where a range has no file."""
 
-        def found(p: int, own: np.ndarray) -> np.ndarray:
-            path, n = files[p]
-            return np.asarray(_open(path, n, kinds)[which][own - lows[p]], np.int64) if n else np.zeros(len(own), np.int64)
+    def found(p: int, own: np.ndarray) -> np.ndarray:
+        path, n = files[p]
+        return np.asarray(_open(path, n, kinds)[which][own - lows[p]], np.int64) if n else np.zeros(len(own), np.int64)
 
-        return _in_ranges(numbers, lows, found)
+    return _in_ranges(numbers, lows, found)
 
-    def _pair_counts(self, keys: np.ndarray) -> np.ndarray:
-        def found(p: int, own: np.ndarray) -> np.ndarray:
-            path, n = self.model.pairs[p]
-            if not n:
-                return np.zeros(len(own), np.int64)
-            stored, counts = _open(path, n, PAIR_ARRAYS)
-            at = np.minimum(np.searchsorted(stored, own), n - 1)
-            return np.where(stored[at] == own, counts[at], 0).astype(np.int64)
 
-        return _in_ranges(keys, self.number_lows.astype(np.uint64) << np.uint64(32), found)
+def _values(files: Files, kinds: tuple[str, ...], keys: np.ndarray) -> np.ndarray:
+    """All arrays but the first at sorted keys, a row each; 0 where a key is not there."""
+
+    def found(p: int, own: np.ndarray) -> np.ndarray:
+        path, n = files[p]
+        if not n:
+            return np.zeros((len(own), len(kinds) - 1), np.int64)
+        stored, *values = _open(path, n, _kinds(path, kinds))
+        at = np.minimum(np.searchsorted(stored, own), n - 1)
+        return np.where((stored[at] == own)[:, None], np.stack([v[at].astype(np.int64) for v in values], 1), 0)
+
+    if not len(keys):
+        return np.zeros((0, len(kinds) - 1), np.int64)
+    return _in_ranges(keys, _lows(len(files)), found)
+
+
+class Scorer:
+    def __init__(self, model: Model) -> None:
+        self.model, self.numbers = model, Numbers(model)
+        self.firsts, self.lows = self.numbers.firsts[:-1], model.number_lows()[:-1]
 
-    def logs(self, ids: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(log10 of the add-one unigram probability, log10 of the model's probability) of each token."""
+    def logs(self, ids: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(log10 of the add-one unigram probability, log10 of the model's probability) of each token; ids in text order,
+        -1 for unknown words, with their places in their texts."""
         m = self.model
         if not m.n_words:
             return np.zeros(len(ids)), np.zeros(len(ids))
         word, inverse = np.unique(ids, return_inverse=True)
         old = word >= 0
         count, follow = np.zeros(len(word), np.int64), np.zeros(len(word), np.int64)
-        count[old] = self._dense(m.words, WORD_ARRAYS, 1, word[old], self.numbers.firsts[:-1])
-        follow[old] = self._dense(m.follows, FOLLOW_ARRAYS, 0, word[old], self.number_lows)
+        count[old] = _dense(m.words, WORD_ARRAYS, 1, word[old], self.firsts)
+        follow[old] = _dense(m.follows, FOLLOW_ARRAYS, 0, word[old], self.lows)
         base = np.log10((count + 1) / (m.n_tokens + m.n_words + 1))
         lower = np.maximum(follow - np.array([0.0, *m.lower_discounts])[np.minimum(follow, 3)], 0) / m.n_pairs + m.lower_left / (m.n_words + 1)
         p = lower[inverse]
-        seen = np.flatnonzero(before >= 0)
-        context, at = np.unique(before[seen], return_inverse=True)
-        total, *kinds = (self._dense(m.contexts, CONTEXT_ARRAYS, k, context, self.number_lows) for k in range(4))
-        left = sum(d * k for d, k in zip(m.discounts, kinds, strict=True))
-        known = total > 0
-        total = np.maximum(total, 1)
-        p[seen] *= np.where(known, left / total, 1.0)[at]
-        both = seen[ids[seen] >= 0]
-        keys, back = np.unique((before[both].astype(np.uint64) << np.uint64(32)) | ids[both].astype(np.uint64), return_inverse=True)
-        c = self._pair_counts(keys)
-        kept = np.maximum(c - np.array([0.0, *m.discounts])[np.minimum(c, 3)], 0)[back]
-        p[both] += kept / total[at[ids[seen] >= 0]]
+        known = np.ones(len(ids), bool)  # whether all words of the context are in the model
+        for k, level in enumerate(m.levels, 2):
+            known &= _before(ids, place, k - 1, 0) >= 0
+            at = np.flatnonzero(known & (place >= k - 2))
+            columns = [_before(ids, place, j, m.n_words)[at] for j in range(k - 1, 0, -1)]
+            context = keys_of([c.astype(np.uint64) for c in columns])
+            keys, back = np.unique(context, return_inverse=True)
+            stats = _values(level.contexts, CONTEXT_ARRAYS, keys)[back]
+            here = stats[:, 0] > 0
+            at, context, stats = at[here], context[here], stats[here]
+            p[at] *= stats[:, 1:] @ np.array(level.discounts) / stats[:, 0]
+            two = np.flatnonzero(ids[at] >= 0)
+            gram = next_key(context[two], columns[0][here][two] if k == 2 else None, ids[at][two])
+            keys, back = np.unique(gram, return_inverse=True)
+            c = _values(level.grams, GRAM_ARRAYS, keys)[back, 0]
+            p[at[two]] += np.maximum(c - np.array([0.0, *level.discounts])[np.minimum(c, 3)], 0) / stats[two, 0]
         return base[inverse], np.log10(p)
 
 
@@ -362,8 +561,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         scorer = Scorer(model)
 
         def flush(held: list) -> pa.RecordBatch:
-            ids, before, sizes = (np.concatenate([x[k] for x in held]) for k in (1, 2, 3))
-            base, own = scorer.logs(ids, before)
+            ids, place, sizes = (np.concatenate([x[k] for x in held]) for k in (1, 2, 3))
+            base, own = scorer.logs(ids, place)
             at = np.cumsum(sizes) - sizes
             sums = [np.add.reduceat(x, at) for x in ((ids >= 0).astype(np.int64), base, own)]
             return pa.RecordBatch.from_arrays([pa.concat_arrays([x[0] for x in held]), pa.array(sizes), *map(pa.array, sums)], schema=kind)

@@ -478,58 +478,83 @@ def test_bpe_against_tiktoken(spark, docs):
 # ---- language model -------------------------------------------------------------------------------------------
 
 
-def brute_lm(train, texts):
-    """The same model in dictionaries: (n_tokens, n_known, base, score) per text."""
+def brute_lm(train, texts, order=2):
+    """The same model in dictionaries, order by order: (n_tokens, n_known, base, score) per text."""
     cut = lambda x: [*re.sub("[A-Z]", lambda m: m[0].lower(), x).encode().split(), None]
-    words, pairs = Counter(), Counter()
+    words, grams = Counter(), {k: Counter() for k in range(2, order + 1)}
     for t in train:
         w = cut(t)
         words.update(w)
-        pairs.update(zip(["<s>", *w[:-1]], w))
+        line = ["<s>", *w]
+        for j in range(1, len(line)):
+            k = min(order, j + 1)
+            grams[k][tuple(line[j - k + 1 : j + 1])] += 1
+    for k in range(order, 2, -1):
+        for g in grams[k]:
+            grams[k - 1][g[1:]] += 1
     n, v = sum(words.values()), len(words)
-    follow = Counter(b for _, b in pairs)
-    total, kinds = Counter(), defaultdict(lambda: [0, 0, 0])
-    for (a, _), c in pairs.items():
-        total[a] += c
-        kinds[a][min(c, 3) - 1] += 1
-    d = lm_score.discounts_of([sum(c == k for c in pairs.values()) for k in (1, 2, 3, 4)])
+    follow = Counter(g[1] for g in grams[2])
+    total, kinds, d = Counter(), defaultdict(lambda: [0, 0, 0]), {}
+    for k, own in grams.items():
+        d[k] = lm_score.discounts_of([sum(c == j for c in own.values()) for j in (1, 2, 3, 4)])
+        for g, c in own.items():
+            total[g[:-1]] += c
+            kinds[g[:-1]][min(c, 3) - 1] += 1
     e = lm_score.discounts_of([sum(c == k for c in follow.values()) for k in (1, 2, 3, 4)])
-    left = sum(e[min(c, 3) - 1] for c in follow.values()) / len(pairs)
+    left = sum(e[min(c, 3) - 1] for c in follow.values()) / len(grams[2])
     out = []
     for t in texts:
-        w, before, base, own = cut(t), "<s>", 0.0, 0.0
-        for x in w:
+        line, base, own = ["<s>", *cut(t)], 0.0, 0.0
+        for j in range(1, len(line)):
+            x = line[j]
             base += math.log10((words[x] + 1) / (n + v + 1))
-            p = max(follow[x] - (e[min(follow[x], 3) - 1] if follow[x] else 0), 0) / len(pairs) + left / (v + 1)
-            if total[before]:
-                c = pairs[before, x]
-                p = max(c - (d[min(c, 3) - 1] if c else 0), 0) / total[before] + sum(a * b for a, b in zip(d, kinds[before])) / total[before] * p
+            p = max(follow[x] - (e[min(follow[x], 3) - 1] if follow[x] else 0), 0) / len(grams[2]) + left / (v + 1)
+            for k in range(2, min(order, j + 1) + 1):
+                h = tuple(line[j - k + 1 : j])
+                if total[h]:
+                    c = grams[k][*h, x]
+                    p = max(c - (d[k][min(c, 3) - 1] if c else 0), 0) / total[h] + sum(a * b for a, b in zip(d[k], kinds[h])) / total[h] * p
             own += math.log10(p)
-            before = x
-        out.append((len(w), sum(words[x] > 0 for x in w), base, own))
+        out.append((len(line) - 1, sum(words[x] > 0 for x in line[1:]), base, own))
     return n, out
 
 
-def test_lm_against_brute_force(spark, docs):
-    texts = [(r["doc_id"], r["text"] or "") for r in docs.collect()] + [(-1, ""), (-2, "zzz unknown words the the"), (-3, None)]
+@pytest.mark.parametrize("order,fan", [(2, 1024), (3, 1024), (3, 3), (4, 1024)])
+def test_lm_against_brute_force(spark, docs, order, fan):
+    """Every order, many small ranges, and (fan 3) blocks that reach their ranges in two steps."""
+    texts = [(r["doc_id"], r["text"] or "") for r in docs.limit(200 if order == 2 else 60).collect()] + [(-1, ""), (-2, "zzz unknown words the the"), (-3, None)]
     df = spark.createDataFrame(texts, "doc_id long, text string").withColumn("score", F.lit("clash"))
     learn = [t or "" for i, t in texts if zlib.crc32(str(i).encode()) % 7 != 2]
-    model = lm_score.train(df.where(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) != 2), range_bytes=100_000)
-    n, want = brute_lm(learn, [t or "" for _, t in texts])
-    assert model.n_tokens == n and model.parts > 1
+    model = lm_score.train(df.where(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) != 2), order, range_bytes=60_000, range_keys=4_000, fan=fan)
+    n, want = brute_lm(learn, [t or "" for _, t in texts], order)
+    assert model.n_tokens == n and len(model.words) > 1 and model.order == order and len(model.levels[-1].grams) > 3
     got = {r["doc_id"]: r for r in lm_score.score(df, model).collect()}
     for (i, _), w in zip(texts, want):
         r = got[i]
         assert (r["n_tokens"], r["n_known"]) == w[:2] and math.isclose(r["base_score"], w[2], rel_tol=1e-9) and math.isclose(r["score"], w[3], rel_tol=1e-9)
 
 
-def test_lm_sums_to_one(spark):
-    df = spark.createDataFrame([(1, "a b a c a b d"), (2, "b c")], "doc_id long, text string")
-    model = lm_score.train(df)
+@pytest.mark.parametrize("order", [2, 3])
+def test_lm_sums_to_one(spark, order):
+    df = spark.createDataFrame([(1, "a b a c a b d"), (2, "b c"), (3, "a b a")], "doc_id long, text string")
+    model = lm_score.train(df, order)
     scorer = lm_score.Scorer(model)
-    for before in range(-1, model.n_words + 1):
-        ids = np.array([*range(model.n_words), -1])
-        assert math.isclose((10 ** scorer.logs(ids, np.full(len(ids), before))[1]).sum(), 1, rel_tol=1e-9)
+    words = [*range(model.n_words), -1]
+    for before in itertools.product(words, repeat=2):
+        for k in range(3):  # after so many words of the text
+            ids = np.array([x for w in words for x in (*before[2 - k :], w)])
+            place = np.tile(np.arange(k + 1), len(words))
+            assert math.isclose((10 ** scorer.logs(ids, place)[1][k :: k + 1]).sum(), 1, rel_tol=1e-9)
+
+
+def test_lm_pair_keys_are_one_to_one_and_caches_bounded(monkeypatch, tmp_path):
+    x = np.random.default_rng(1).integers(0, 2**63, 10_000).astype(np.uint64)
+    assert (lm_score._unmix(lm_score._mix(x)) == x).all()
+    paths = [lm_score._store(f"file://{tmp_path}", "f", np.arange(1000, dtype=np.uint64)) for _ in range(5)]
+    monkeypatch.setattr(lm_score.fs, "LocalFileSystem", type(None))
+    monkeypatch.setattr(lm_score, "CACHE_BYTES", 20_000)
+    lm_score._HELD.clear()
+    assert all((lm_score._open(p, 1000, ("u8",))[0] == np.arange(1000)).all() for p in paths) and len(lm_score._HELD) <= 2
 
 
 def test_lm_odd_cases(spark):
