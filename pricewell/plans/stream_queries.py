@@ -27,8 +27,7 @@ def _stream(spark, d):
     path = f"{d}/events.parquet"
     schema = spark.read.parquet(path).schema
     source = spark.readStream.schema(schema).parquet(path) if _is_folder(spark, path) else spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    key = F.concat_ws("-", F.col("user_id").cast("string"), "event_type")
-    return source.select(F.col("event_id").cast("string").alias("message_id"), F.col("user_id").cast("string").alias("user_id"), F.col("ts").cast("timestamp").alias("ts"), "event_type", key.alias("key"))
+    return _keyed(source)
 
 
 def _is_folder(spark, path):
@@ -43,18 +42,49 @@ def _result(spark, stream, mode="append"):
     return spark.read.parquet(out).drop("epoch")
 
 
+def _restarted(spark, d, run, parts=3):
+    """Calls run(stream) again and again while the events' files arrive in `parts` portions by time: every call is a restart
+    from the same checkpoint, and a batch of its own."""
+    folder = jobs.scratch(spark, "arriving")
+    events = spark.read.parquet(f"{d}/events.parquet")
+    bounds = events.agg(F.percentile_approx("ts", [k / parts for k in range(1, parts)], 1000).alias("b")).first()["b"] or []
+    lows, highs = [None, *bounds], [*bounds, None]
+    schema = events.schema
+    for low, high in zip(lows, highs, strict=True):
+        own = events.where((F.lit(True) if low is None else F.col("ts") > F.lit(low)) & (F.lit(True) if high is None else F.col("ts") <= F.lit(high)))
+        own.write.mode("append").parquet(folder)
+        run(_keyed(spark.readStream.schema(schema).parquet(folder)))
+
+
+def _keyed(source):
+    key = F.concat_ws("-", F.col("user_id").cast("string"), "event_type")
+    return source.select(F.col("event_id").cast("string").alias("message_id"), F.col("user_id").cast("string").alias("user_id"), F.col("ts").cast("timestamp").alias("ts"), "event_type", key.alias("key"))
+
+
 @query("""SELECT CAST(event_id AS VARCHAR) AS message_id FROM (SELECT event_id, row_number() OVER (PARTITION BY event_id ORDER BY ts) AS n FROM events) WHERE n=1""")
 def stream_deduplicated(spark, d):
-    """Repeated callbacks dropped within 24 hours; the stream meets every event twice."""
-    source = _stream(spark, d)
-    return _result(spark, jobs.drop_repeated(source.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1)))).drop("copy"), ["message_id"])).select("message_id")
+    """Repeated callbacks dropped within 24 hours; the stream meets every event twice, in three batches with restarts."""
+    out, checkpoint = jobs.scratch(spark, "out"), jobs.scratch(spark, "checkpoint")
+
+    def run(stream):
+        twice = stream.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1)))).drop("copy")
+        jobs.run_available(jobs.drop_repeated(twice, ["message_id"]), lambda batch, epoch: batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}"), checkpoint)
+
+    _restarted(spark, d, run)
+    return spark.read.parquet(out).select("message_id")
 
 
 @query("""SELECT CAST(event_id AS VARCHAR) AS message_id FROM events""")
 def stream_once(spark, d):
-    """Every message id once, by a table of those processed."""
+    """Every message id once, by a table of those processed; each batch also brings what earlier ones had."""
     out, checkpoint = jobs.scratch(spark, "once"), jobs.scratch(spark, "checkpoint")
-    jobs.run_available(_stream(spark, d), jobs.process_once(spark, out, out), checkpoint)
+    sink = jobs.process_once(spark, out)
+
+    def again(batch, epoch):
+        earlier = spark.read.parquet(out).select(*batch.columns) if epoch else batch.limit(0)
+        sink(batch.unionByName(batch).unionByName(earlier), epoch)
+
+    _restarted(spark, d, lambda stream: jobs.run_available(stream, again, checkpoint))
     return spark.read.parquet(out).select("message_id")
 
 
@@ -66,10 +96,37 @@ def stream_counters(spark, d):
 
 @query("""SELECT CAST(user_id AS VARCHAR) AS user_id, CAST(max(event_id) AS VARCHAR) AS message_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, CAST(event_id AS VARCHAR) DESC) AS n FROM events) WHERE n=1 GROUP BY 1""")
 def stream_upserts(spark, d):
-    """T5: last record per user by upserts."""
+    """T5: last record per user by upserts, over three batches with restarts; the last batch is run twice."""
     table, checkpoint = jobs.scratch(spark, "log"), jobs.scratch(spark, "checkpoint")
-    jobs.run_available(_stream(spark, d), jobs.upsert_log(spark, table, ["user_id"], ["ts", "message_id"]), checkpoint)
-    return spark.read.parquet(f"{table}/{spark.read.text(f'{table}/current').first()[0]}").select("user_id", "message_id")
+    sink = jobs.upsert_log(spark, table, ["user_id"], ["ts", "message_id"])
+
+    def twice(batch, epoch):
+        sink(batch, epoch)
+        if epoch:
+            sink(batch, epoch)
+
+    _restarted(spark, d, lambda stream: jobs.run_available(stream, twice, checkpoint))
+    return jobs.current_version(spark, table).select("user_id", "message_id")
+
+
+@query("""WITH p AS (SELECT count(*) AS n FROM events) SELECT 0 AS epoch, true AS rebuilt FROM p UNION ALL SELECT 2, true FROM p""")
+def stream_rebuilds(spark, d):
+    """The index is rebuilt only by batches that find another marker than the last rebuild's, across restarts."""
+    state_path, log, checkpoint = (jobs.scratch(spark, x) for x in ("state", "rebuilds", "checkpoint"))
+    seen = []
+
+    def marker():  # the second batch finds what the first left
+        return "a" if len(seen) < 2 else "b"
+
+    def rebuild(epoch):
+        spark.range(1).select(F.lit(epoch).cast("int").alias("epoch"), F.lit(True).alias("rebuilt")).coalesce(1).write.mode("append").parquet(log)
+
+    def sink(batch, epoch):
+        jobs.on_change(spark, state_path, marker, rebuild)(batch, epoch)
+        seen.append(epoch)
+
+    _restarted(spark, d, lambda stream: jobs.run_available(stream, sink, checkpoint))
+    return spark.read.parquet(log).select("epoch", "rebuilt")
 
 
 def _intents(df):
@@ -96,6 +153,6 @@ def session_windows(spark, d):
 
 @query(f"""WITH {sql.EVENTS}, g AS (SELECT id, task_key, CASE event_type WHEN 'error' THEN 'gap_detected' WHEN 'click' THEN 'gap_replay' WHEN 'purchase' THEN 'gap_resolved' ELSE 'gap_unresolved' END AS event_type FROM run_events) SELECT event_type, count(*) AS n FROM (SELECT task_key, arg_max(event_type, id) AS event_type FROM g GROUP BY 1) GROUP BY 1""")
 def gap_summary(spark, d):
-    """Tasks by how their gap stands."""
+    """Tasks by how their gap stands."""
     kind = F.when(F.col("event_type") == "error", "gap_detected").when(F.col("event_type") == "click", "gap_replay").when(F.col("event_type") == "purchase", "gap_resolved").otherwise("gap_unresolved")
     return state.gap_lifecycle(V.events(spark, d).select("id", "task_key", kind.alias("event_type"))).groupBy(F.col("last_event").alias("event_type")).agg(F.count(F.lit(1)).alias("n"))

@@ -126,7 +126,7 @@ def append_events(spark, d):
 
 @query(f"""WITH {sql.TASKS}, r AS (SELECT *, row_number() OVER (PARTITION BY model_id ORDER BY event_time DESC, id DESC) AS nth, first_value(event_time) OVER (PARTITION BY model_id ORDER BY event_time, id) AS created FROM tasks) SELECT model_id, id, status, code, created AS created_at FROM r WHERE nth=1""")
 def upsert_tasks(spark, d):
-    """S21, S25, S26, T5 as a batch: the last row of each key, with its first time."""
+    """S21, T5 as a batch: the last row of each key, with its first time (upsert_stored has a stored side)."""
     rows = V.tasks(spark, d).select("model_id", "id", "status", "code", F.col("event_time").alias("created_at"), "event_time")
     return state.upsert(rows.limit(0), rows, ["model_id"], ["event_time", "id"], ("created_at",)).drop("event_time")
 
@@ -151,7 +151,7 @@ def requeue_tasks(spark, d):
 
 @query(f"""WITH {sql.RAW}, inc AS (SELECT * FROM raw WHERE dstatus='NO'), keep AS (SELECT * FROM raw WHERE (run_key, task_key) NOT IN (SELECT (run_key, task_key) FROM inc)) SELECT id, price_text FROM keep UNION ALL SELECT id, '1' FROM inc""")
 def replace_task_rows(spark, d):
-    """Rows of the incoming tasks replaced."""
+    """Rows of the incoming tasks replaced."""
     rows = V.raw_quotes(spark, d)
     fresh = rows.where("dstatus = 'NO'").withColumn("price_text", F.lit("1"))
     return state.replace_for_tasks(rows, fresh, ["run_key", "task_key"]).select("id", "price_text")
@@ -166,14 +166,14 @@ def task_keys(spark, d):
 
 @query(f"""WITH {sql.BLACKLIST} SELECT CAST(p_partkey AS VARCHAR) AS model_id, CASE WHEN CAST(p_partkey AS VARCHAR) IN (SELECT model_id FROM blacklist WHERE enabled<>'0') THEN 'excluded' ELSE 'allowed' END AS verdict FROM part""")
 def blacklist_split(spark, d):
-    """Allowed and excluded catalog items."""
+    """Allowed and excluded catalog items."""
     allowed, excluded = state.split_blacklist(V.catalog(spark, d), V.blacklist(spark, d))
     return allowed.select("model_id", F.lit("allowed").alias("verdict")).unionByName(excluded.select("model_id", F.lit("excluded").alias("verdict")))
 
 
 @query(f"""WITH {sql.BLACKLIST}, b AS (SELECT *, 'new' AS origin FROM (SELECT CAST(p_partkey AS VARCHAR) AS model_id, p_brand AS brand_title FROM part WHERE p_size % 5 = 0)) SELECT model_id, brand_title, 'existing' AS origin FROM blacklist UNION ALL SELECT model_id, brand_title, origin FROM b WHERE model_id NOT IN (SELECT model_id FROM blacklist)""")
 def merge_blacklists(spark, d):
-    """A29, S10, S25."""
+    """A29."""
     new = V.catalog(spark, d).join(V.table(spark, d, "part").where("p_size % 5 = 0").select(F.col("p_partkey").cast("string").alias("model_id")), "model_id", "left_semi")
     cols = ["model_id", "brand_title", "series_title", "model_title"]
     return state.merge_blacklists(V.blacklist(spark, d).select(*cols), new.select(*cols)).select("model_id", "brand_title", "origin")
@@ -257,7 +257,7 @@ def retention_plan(spark, d):
 
 @query(f"""WITH {sql.QUOTES}, {sql.CLUSTERS.split(sql.QUOTES)[0].rstrip(', ')} SELECT run_key, count(*) AS quote_count, 0 AS snapshot_count, true AS ok FROM quotes GROUP BY run_key""")
 def release_gate(spark, d):
-    """A verdict per run."""
+    """A verdict per run without snapshots (release_gates has some)."""
     rows = V.quotes(spark, d)
     return reports.release_gate(rows.limit(0).select("run_key"), rows, ["run_key"]).select("run_key", "quote_count", "snapshot_count", "ok")
 

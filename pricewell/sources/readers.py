@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,18 +27,25 @@ def read_json_lines(spark: SparkSession, path: str, schema: T.StructType, strict
     return spark.read.schema(schema).option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(path)
 
 
+def read_objects(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """JSON objects, in an array over many lines or one on each line; the text's first character tells."""
+    first = spark.read.text(path).select(F.ltrim("value").alias("v")).where("v <> ''").limit(1).collect()  # one line
+    lines = bool(first) and first[0]["v"].startswith("{") and first[0]["v"].rstrip().endswith("}")
+    return spark.read.schema(schema).option("multiLine", not lines).json(path)
+
+
 def read_blacklist(spark: SparkSession, path: str) -> DataFrame:
     """Enabled model ids of a JSON, CSV (with or without header) or text blacklist."""
     if path.endswith(".json"):
-        rows = spark.read.schema(schemas.BLACKLIST).option("multiLine", True).json(path)
+        rows = read_objects(spark, path, schemas.BLACKLIST)
     else:
         lines = spark.read.text(path).where((F.trim("value") != "") & ~F.startswith(F.trim("value"), F.lit("#")))
         cells = F.split("value", ",")
-        header = spark.read.text(path).limit(1).where(F.contains("value", F.lit("model_id"))).select(F.split("value", ",").alias("names"))
-        names = [n.lstrip("﻿").strip() for r in header.collect() for n in r["names"]]  # one line at most
-        place = {n: i for i, n in enumerate(names)}
+        named = F.exists(cells, lambda c: F.regexp_replace(F.trim(c), "^\ufeff", "") == "model_id")  # a header has this name in one cell
+        header = lines.where(named).select(F.transform(cells, lambda c: F.regexp_replace(F.trim(c), "^\ufeff", "")).alias("names")).distinct().orderBy("names").limit(1)
+        place = {n: i for r in header.collect() for i, n in enumerate(r["names"])}  # one line at most
         pick = lambda n, other: F.trim(F.get(cells, F.lit(place[n]))) if n in place else other
-        rows = lines.where(~F.contains("value", F.lit("model_id")) if names else F.lit(True)).select(pick("model_id", F.trim(F.get(cells, F.lit(0)))).alias("model_id"), pick("enabled", F.lit("1")).alias("enabled"))
+        rows = lines.where(~named).select(pick("model_id", F.trim(F.get(cells, F.lit(0)))).alias("model_id"), pick("enabled", F.lit("1")).alias("enabled"))
     return rows.where(state.parse_enabled(F.col("enabled")) & (P.plain("model_id") != "")).select("model_id").distinct()
 
 
@@ -46,7 +56,7 @@ def latest_healthy_prices(spark: SparkSession, root: str, least_rows: int = 1000
     names = "brand_title series_title sku_title reference_price"
     if not best:
         return spark.createDataFrame([], "brand_title string, series_title string, sku_title string, reference_price bigint")
-    rows = read_csv(spark, best[0]["path"].rsplit("/", 1)[0] + "/prices.csv", T.StructType([T.StructField(n, T.StringType()) for n in names.split()]))
+    rows = read_csv(spark, re.sub(r"/summary\.json(/.*)?$", "", best[0]["path"]) + "/prices.csv", T.StructType([T.StructField(n, T.StringType()) for n in names.split()]))
     rows = rows.withColumn("_n", F.monotonically_increasing_id()).withColumn("reference_price", P.parse_price("reference_price"))
     return rows.groupBy("brand_title", "series_title", "sku_title").agg(F.max_by("reference_price", "_n").alias("reference_price"))
 
@@ -61,9 +71,9 @@ def read_catalog(spark: SparkSession, paths: list[str]) -> DataFrame:
     schema = "brand_id string, brand_title string, series_id string, series_title string, model_id string, model_title string"
     for path in paths:
         try:
-            return spark.read.schema(schema).option("multiLine", True).json(path)
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(e):
+            return read_objects(spark, path, schema)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
                 raise
     raise FileNotFoundError(f"none of {paths}")
 

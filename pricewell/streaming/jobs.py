@@ -7,16 +7,20 @@ from __future__ import annotations
 
 import os
 import sys
+import time
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from pricewell.operators import state as S
+from pricewell.sources import sinks
 
 
 def read_parquet_stream(spark: SparkSession, path: str, schema: T.StructType, files: int = 1) -> DataFrame:
@@ -28,20 +32,26 @@ def drop_repeated(events: DataFrame, key: list[str], ttl: str = "24 hours", at:
     return events.withWatermark(at, ttl).dropDuplicatesWithinWatermark(key)
 
 
-def process_once(spark: SparkSession, processed: str, out: str, key: str = "message_id") -> Callable[[DataFrame, int], None]:
+def _there(read: Callable[[], DataFrame]) -> DataFrame | None:
+    """The table, or None where nothing was written yet."""
+    try:
+        return read()
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+    return None
+
+
+def process_once(spark: SparkSession, out: str, key: str = "message_id") -> Callable[[DataFrame, int], None]:
     """For foreachBatch: appends messages that no earlier batch had. State lives in a table, not in the state store; a
     batch that is run again writes its own folder again."""
 
     def sink(batch: DataFrame, epoch: int) -> None:
         new = batch.dropDuplicates([key])
-        target = f"{out}/epoch={epoch}"
-        try:
-            done = spark.read.parquet(out).where(F.col("epoch") != epoch).select(key)
-            new = new.join(done, key, "left_anti")
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-        new.write.mode("overwrite").parquet(target)
+        done = _there(lambda: spark.read.parquet(out))
+        if done is not None:
+            new = new.join(done.where(F.col("epoch") != epoch).select(key), key, "left_anti")
+        new.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
     return sink
 
@@ -52,32 +62,37 @@ def count_by(events: DataFrame, column: str) -> DataFrame:
 
 
 def upsert_log(spark: SparkSession, table: str, keys: list[str], order: list[str]) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: last status per key. Each batch writes a new version and then the pointer to it."""
+    """For foreachBatch: last status per key. Each attempt writes a folder of its own, and then a line that names it; a
+    batch that is run again starts from the version of the batch before it, so a lost attempt leaves nothing behind."""
 
     def sink(batch: DataFrame, epoch: int) -> None:
-        pointer = f"{table}/current"
-        try:
-            version = spark.read.text(pointer).first()[0]
-            stored = spark.read.parquet(f"{table}/{version}")
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            stored = batch.limit(0)
-        S.upsert(stored, batch, keys, order).write.mode("overwrite").parquet(f"{table}/v{epoch}")
-        spark.range(1).select(F.lit(f"v{epoch}")).coalesce(1).write.mode("overwrite").text(pointer)
+        log = _there(lambda: spark.read.parquet(f"{table}/versions"))
+        before = log.where(F.col("epoch") < epoch).orderBy(F.desc("epoch"), F.desc("at")).limit(1).collect() if log is not None else []  # one line
+        stored = spark.read.parquet(f"{table}/{before[0]['version']}") if before else batch.limit(0)
+        version = f"v{epoch}-{uuid.uuid4().hex}"
+        S.upsert(stored, batch, keys, order).write.parquet(f"{table}/{version}")
+        spark.range(1).select(F.lit(epoch).cast("long").alias("epoch"), F.lit(version).alias("version"), F.lit(time.time_ns()).alias("at")).coalesce(1).write.mode("append").parquet(f"{table}/versions")
 
     return sink
 
 
-def on_change(marker: Callable[[], tuple], rebuild: Callable[[], None]) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: rebuilds only when the marker differs from the one before."""
-    last: list[tuple] = []
+def current_version(spark: SparkSession, table: str) -> DataFrame:
+    """The table that upsert_log has made so far."""
+    newest = spark.read.parquet(f"{table}/versions").orderBy(F.desc("epoch"), F.desc("at")).first()
+    return spark.read.parquet(f"{table}/{newest['version']}")
+
+
+def on_change(spark: SparkSession, state_path: str, marker: Callable[[], str], rebuild: Callable[[int], None]) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: rebuilds only when the marker differs from the one of the last rebuild, which is kept in the state
+    (see sources/sinks.py) and so outlives the driver. The state is set after the rebuild: a lost one is done again."""
 
     def sink(batch: DataFrame, epoch: int) -> None:
         now = marker()
-        if last != [now]:
-            rebuild()
-            last[:] = [now]
+        known = _there(lambda: sinks.get_state(spark, state_path, "index_marker"))
+        last = known.first() if known is not None else None
+        if last is None or last["state_value"] != now:
+            rebuild(epoch)
+            sinks.set_state(spark, state_path, "index_marker", now, f"{epoch:020d}")
 
     return sink
 
@@ -147,7 +162,6 @@ def run_available(stream: DataFrame, sink: Callable[[DataFrame, int], None] | No
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder for a stream's checkpoint and output, under the shared folder the session names."""
     import tempfile
-    import uuid
 
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
