@@ -5,6 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
+from pyspark.sql.types import BinaryType
 
 from pricewell.functions import columns as P
 from pricewell.operators import reports, state, textscan
@@ -79,7 +80,7 @@ def healthy_prices(spark, d):
     return readers.latest_healthy_prices(spark, root, min(n, 1000))
 
 
-@arrow_udf("binary")
+@arrow_udf(BinaryType())
 def _gb18030(texts: pa.Array) -> pa.Array:
     return pa.array([None if x is None else x.encode("gb18030") for x in texts.to_pylist()], pa.binary())
 
