@@ -38,7 +38,7 @@ from .common import bytes_of, new_dir, settle, slices
 
 #: Order of the model; text bytes per range of words; keys per range of n-grams; tokens per counted stretch; words a
 #: worker remembers before it begins anew; ranges that blocks are cut into at once.
-ORDER, RANGE_BYTES, RANGE_KEYS, STRETCH, REMEMBERED, FAN = 3, 32 << 20, 2_500_000, 1_000_000, 300_000, 1024
+ORDER, RANGE_BYTES, RANGE_KEYS, STRETCH, REMEMBERED, FAN = 2, 32 << 20, 2_500_000, 1_000_000, 300_000, 1024
 CACHE_BYTES = 256 << 20
 #: No word holds a blank, so none has this hash.
 END = xxhash.xxh64_intdigest(b" ")
