@@ -162,9 +162,11 @@ def release_gate(snapshots: DataFrame, quotes: DataFrame, required: list[str]) -
     return df.withColumn("ok", F.coalesce(good, F.lit(False)))
 
 
-def overview(marker: DataFrame, hot: DataFrame) -> DataFrame:
-    """The live marker with the hot list as one array."""
+def overview(marker: DataFrame, hot: DataFrame, *more: DataFrame) -> DataFrame:
+    """The live marker with the hot list as one array; all are of one row (more: such as run summary or reference counts)."""
     best = hot.agg(F.array_sort(F.collect_list(F.struct("place", "label"))).alias("hot"))
+    for one in more:
+        marker = marker.join(one, how="cross")
     return marker.join(best, how="cross").withColumn("hot_count", F.size("hot"))
 
 

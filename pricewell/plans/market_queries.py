@@ -117,13 +117,18 @@ def capacity_breakdown(spark, sf_dir):
     return made.select(*MODEL, "capacity_label", "row_count", "variant_count", "variant_labels", "capacity_rank")
 
 
-@query()
+#: The cluster CTEs keyed by capacity instead of the variant and its condition.
+_BY_CAPACITY = sql.CLUSTERS.replace(S, "brand_title, series_title, model_title, group_title").replace(", ranked AS (", ", capped AS (SELECT * REPLACE (regexp_extract(group_title,'[0-9]+G') AS group_title) FROM quotes), ranked AS (", 1).replace("AS nth FROM quotes\n), deduped", "AS nth FROM capped\n), deduped", 1)
+
+
+@query(f"""WITH {_BY_CAPACITY}, t AS (SELECT brand_title, series_title, model_title, group_title, count(*) AS row_count, 1 AS variant_count, 'color' AS variant_labels FROM capped GROUP BY 1,2,3,4)
+SELECT t.*, market_price, price_range, trusted_sample_count, confidence_score, row_number() OVER (PARTITION BY brand_title, series_title, model_title ORDER BY CAST(regexp_extract(group_title,'[0-9]+') AS INT), group_title) AS capacity_rank, group_title AS capacity_label FROM t LEFT JOIN snaps USING (brand_title, series_title, model_title, group_title)""")
 def capacity_markets(spark, sf_dir):
     """A4: the market of every capacity."""
     return M.capacity_breakdown(V.quotes(spark, sf_dir), V.demo_rules(), references(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH {sql.DEDUPED}, c AS (SELECT {S}, reject_reason AS reason, count(*) AS n FROM deduped WHERE reject_reason IS NOT NULL GROUP BY ALL) SELECT {S}, '{{' || string_agg('"'||reason||'":'||n, ',' ORDER BY reason) || '}}' AS reason_counts FROM c GROUP BY {S}""")
 def reason_maps(spark, sf_dir):
     """Rejections as one map per SKU."""
     return M.reason_maps(M.reject_counts(V.quotes(spark, sf_dir), V.demo_rules())).select(*M.SKU, F.to_json("reason_counts").alias("reason_counts"))

@@ -53,11 +53,16 @@ def stage_figures(spark, d):
     return reports.stage_figures(rows, deduped, M.recent_days_wide(deduped, 10, 3, ["whole"]))
 
 
-@query()
+@query(f"""WITH {sql.QUOTES}, {sql.TASKS}, {sql.EVENTS}, {sql.RUNS}, {sql.REFERENCES}, f AS (SELECT DISTINCT brand_title, series_title, model_title FROM quotes)
+SELECT *, (SELECT least(8, count(*)) FROM f)::INT AS hot_count FROM (SELECT count(*) AS quote_count, max(imported_at) AS latest_quote FROM raw), (SELECT count(*) AS task_count, max(event_time) AS latest_task, sum(total_rows_seen)::BIGINT AS total_rows_seen, sum(row_count)::BIGINT AS kept_rows FROM tasks), (SELECT count(*) AS event_count, strftime(max(ts),'%Y-%m-%d %H:%M:%S') AS latest_event FROM run_events), (SELECT count(*) AS run_count, max(created_at) AS latest_run FROM runs),
+ (SELECT count(*) AS reference_count, count(DISTINCT import_id) AS import_count, max(imported_at) AS latest_reference FROM refs)""")
 def status_overview(spark, d):
-    """The live marker with the hot list."""
-    marker = reports.live_marker(V.raw_quotes(spark, d), V.tasks(spark, d), V.events(spark, d), V.runs(spark, d))
-    return reports.overview(marker, T.hot_list(T.model_candidates(skus(spark, d)), F.lit("phone"))).drop("hot")
+    """The live marker, run summary, reference counts and hot list in one row."""
+    tasks = V.tasks(spark, d)
+    marker = reports.live_marker(V.raw_quotes(spark, d), tasks, V.events(spark, d), V.runs(spark, d))
+    summary = tasks.agg(F.sum("total_rows_seen").alias("total_rows_seen"), F.sum("row_count").alias("kept_rows"))
+    references = V.reference_rows(spark, d).agg(F.count(F.lit(1)).alias("reference_count"), F.count_distinct("import_id").alias("import_count"), F.max("imported_at").alias("latest_reference"))
+    return reports.overview(marker, T.hot_list(T.model_candidates(skus(spark, d)), F.lit("phone")), summary, references).drop("hot")
 
 
 @query(f"""WITH {sql.TASKS} SELECT task_key, CASE WHEN id % 4 = 0 THEN upper(brand_title) ELSE brand_title END AS brand_title, CASE WHEN id % 4 = 0 THEN '9' ELSE code END AS code, status FROM tasks WHERE status IN ('ok','error')""")

@@ -145,13 +145,16 @@ def _snapshots(spark, d):
     return M.live_snapshot(V.quotes(spark, d), V.demo_rules(), references(spark, d))
 
 
-@query()
+LEAF = f"WITH {sql.CLUSTERS}, t AS (SELECT {S}, count(DISTINCT lower(sname)) AS source_count, max(imported_at) AS latest_imported_at FROM quotes GROUP BY {S}), leaf AS (SELECT s.*, source_count, latest_imported_at, regexp_extract(group_title,'[0-9]+G') AS capacity, 'color' AS color FROM snaps s JOIN t USING ({S}))"
+
+
+@query(LEAF + """, b AS (SELECT brand_title, series_title, model_title, row_number() OVER (PARTITION BY brand_title, series_title ORDER BY max(trusted_sample_count) DESC, model_title)-1 AS branch_no FROM leaf GROUP BY 1,2,3), g AS (SELECT brand_title, series_title, model_title, capacity, row_number() OVER (PARTITION BY brand_title, series_title, model_title ORDER BY CAST(regexp_extract(capacity,'[0-9]+') AS INT), capacity)-1 AS group_no FROM leaf GROUP BY 1,2,3,4)
+SELECT brand_title, series_title, branch_no, model_title, group_no, capacity, row_number() OVER (PARTITION BY brand_title, series_title, model_title, capacity ORDER BY trusted_sample_count DESC, source_count DESC, color, market_price, price_range)-1 AS color_no, color, market_price AS price FROM leaf JOIN b USING (brand_title, series_title, model_title) JOIN g USING (brand_title, series_title, model_title, capacity)""")
 def detail_views(spark, d):
     """Nested views as leaf rows, in order."""
     return D.exploded(D.views(D.leaves(_snapshots(spark, d)))).drop("price_range")
 
 
-LEAF = f"WITH {sql.CLUSTERS}, t AS (SELECT {S}, count(DISTINCT lower(sname)) AS source_count, max(imported_at) AS latest_imported_at FROM quotes GROUP BY {S}), leaf AS (SELECT s.*, source_count, latest_imported_at, regexp_extract(group_title,'[0-9]+G') AS capacity, 'color' AS color FROM snaps s JOIN t USING ({S}))"
 
 
 @query(LEAF + """ SELECT brand_title, series_title, model_title, capacity, arg_max(market_price, struct_pack(a := trusted_sample_count, b := source_count, c := latest_imported_at, d := color, e := condition_bucket)) AS market_price, count(*) AS n_colors, max(trusted_sample_count) AS sample, max(latest_imported_at) AS latest FROM leaf GROUP BY 1,2,3,4""")
@@ -189,7 +192,7 @@ def refinement_reasons(spark, d):
     return D.refined(D.leaves(_snapshots(spark, d)), _requests(spark, d), ("phone",), ("small",))[1]
 
 
-@query()
+@query(f"""WITH {sql.CLUSTERS}, w AS (SELECT DISTINCT {S} FROM quotes) SELECT {S}, market_price, CASE WHEN cluster_count>1 THEN 'snapshot' WHEN cluster_count IS NOT NULL THEN 'computed' ELSE 'none' END AS origin FROM w LEFT JOIN snaps USING ({S})""")
 def branch_markets(spark, d):
     """Stored snapshot of each SKU, else the computed one."""
     made = _snapshots(spark, d)
@@ -222,7 +225,7 @@ def scan_text(spark, d):
     return textscan.scan_lines(V.table(spark, d, "documents"), ("password", "ß", "$$$"))
 
 
-@query()
+@query("""SELECT doc_id, generate_subscripts(string_split(text, chr(10)),1) AS line_no, unnest(string_split(text, chr(10))) AS repaired FROM documents""")
 def repair_text(spark, d):
     """lines read back; the damage is made from the documents' own lines, where GB18030 can hold it."""
     return textscan.repair_lines(textscan.damaged_lines(V.table(spark, d, "documents"))).select("doc_id", "line_no", "repaired")
