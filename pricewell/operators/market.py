@@ -158,12 +158,23 @@ def score_clusters(clusters: DataFrame, rules: R.Rules) -> DataFrame:
     return clusters.withColumns({"score": F.bround(score, 3), "confidence_score": sure, "price_range": F.concat_ws("-", F.col("band_low").cast("string"), F.col("band_high").cast("string"))}).withColumn("confidence_label", F.when(F.col("confidence_score") >= 80, "high").when(F.col("confidence_score") >= 58, "medium").otherwise("cautious"))
 
 
-def prepared(quotes: DataFrame, rules: R.Rules, by: list[str] = SKU) -> DataFrame:
-    """Latest rows per seller with price_value, reject_reason and the classes of the rules."""
+#: What is counted of a key before any filter.
+TOTALS = ["source_row_count", "source_count", "latest_imported_at", "min_price", "max_price"]
+
+
+def prepared(quotes: DataFrame, rules: R.Rules, by: list[str] = SKU, totals: bool = False) -> DataFrame:
+    """Latest rows per seller with price_value, reject_reason and the classes of the rules; with totals, TOTALS beside
+    every row, which ride on the same exchange as all that follows."""
     keys = quotes.withColumns({k: P.plain(k) for k in by if k in quotes.columns}).repartition(*by)
+    w, price = Window.partitionBy(*by), P.parse_price("price_text")
+    if totals:
+        keys = keys.withColumns({"source_row_count": F.count(F.lit(1)).over(w), "latest_imported_at": F.max(P.plain("imported_at")).over(w), "min_price": F.coalesce(F.min(price).over(w), F.lit(0)), "max_price": F.coalesce(F.max(price).over(w), F.lit(0))})
     if "condition_bucket" in by:
         keys = keys.withColumn("_stored_bucket", F.col("condition_bucket"))
-    rows = R.classify(latest_per_seller(keys, by), rules)
+    rows = latest_per_seller(keys, by)
+    if totals:  # one row of each seller is left
+        rows = rows.withColumn("source_count", F.count(F.lit(1)).over(w))
+    rows = R.classify(rows, rules)
     if "condition_bucket" in by:
         rows = rows.withColumn("condition_bucket", F.col("_stored_bucket")).drop("_stored_bucket")
     return rows.withColumns({"price_value": P.parse_price("price_text"), "reject_reason": R.reject_reason(rules)})
@@ -176,9 +187,9 @@ def latest_numeric_day(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.withColumn("raw_day", F.max(key).over(w)["label"])
 
 
-def market_clusters(quotes: DataFrame, rules: R.Rules, references: DataFrame | None = None, by: list[str] = SKU) -> DataFrame:
-    """One row per price cluster of every SKU, scored, with cluster_id and rank (1: best)."""
-    rows = latest_numeric_day(prepared(quotes, rules, by), by)
+def market_clusters(quotes: DataFrame, rules: R.Rules, references: DataFrame | None = None, by: list[str] = SKU, totals: bool = False) -> DataFrame:
+    """One row per price cluster of every SKU, scored, with cluster_id and rank (1: best); with totals, TOTALS of the SKU."""
+    rows = latest_numeric_day(prepared(quotes, rules, by, totals), by)
     good = recent_days(rows.where("reject_reason is null and price_value is not null"), rules.day_min_samples, rules.day_max_labels, by)
     good = good.withColumn("dstatus", F.coalesce(P.filled("dstatus"), F.lit("unlabeled")))
     w = Window.partitionBy(*by)
@@ -188,7 +199,7 @@ def market_clusters(quotes: DataFrame, rules: R.Rules, references: DataFrame | N
     alive = price_clusters(clean_prices(good, rules, group).where("alive"), group)
     clusters = alive.groupBy(*group, "_cluster").agg(
         F.count(F.lit(1)).alias("sample_count"), percentile("price_value", 0.5).alias("median_price"), percentile("price_value", 0.25).alias("q1"), percentile("price_value", 0.75).alias("q3"), F.min("price_value").alias("price_min"), F.max("price_value").alias("price_max"),
-        F.first("selected_rows").alias("selected_rows"), F.first("selected_label").alias("selected_label"), F.first("selected_day").alias("selected_day"), F.first("raw_day").alias("raw_day"), F.first("_status_newest").alias("_status_newest"), F.first("density").alias("cleaning_profile"), F.first("floor").alias("retention_floor"), (F.first("n_numeric")).alias("n_numeric"),
+        F.first("selected_rows").alias("selected_rows"), F.first("selected_label").alias("selected_label"), F.first("selected_day").alias("selected_day"), F.first("raw_day").alias("raw_day"), F.first("_status_newest").alias("_status_newest"), F.first("density").alias("cleaning_profile"), F.first("floor").alias("retention_floor"), (F.first("n_numeric")).alias("n_numeric"), *[F.first(c).alias(c) for c in TOTALS if totals],
     )
     if references is not None:
         clusters = with_reference(clusters, references)
@@ -223,7 +234,7 @@ def snapshots(clusters: DataFrame, by: list[str] = SKU) -> DataFrame:
         best("median_price").alias("market_price"), best("price_range").alias("price_range"), best("band_low").alias("band_low"), best("band_high").alias("band_high"), best("dstatus").alias("trusted_status"), best("sample_count").alias("trusted_sample_count"), best("confidence_score").alias("confidence_score"), best("confidence_label").alias("confidence_label"),
         best("interval_method").alias("interval_method"), F.max("reference_price").alias("reference_price"), F.count(F.lit(1)).alias("cluster_count"),
         F.count(F.when(F.col("_low"), 1)).alias("suspicious_low_clusters"), F.coalesce(F.sum(F.when(F.col("_low"), F.col("sample_count"))), F.lit(0)).alias("suspicious_low_rows"), F.count(F.when(F.col("_high"), 1)).alias("suspicious_high_clusters"), F.coalesce(F.sum(F.when(F.col("_high"), F.col("sample_count"))), F.lit(0)).alias("suspicious_high_rows"),
-        F.max("selected_rows").alias("selection_sample_count"), F.max("selected_label").alias("selected_gprice_label"), F.max("selected_day").alias("selected_day"), F.max("raw_day").alias("raw_day"),
+        F.max("selected_rows").alias("selection_sample_count"), F.max("selected_label").alias("selected_gprice_label"), F.max("selected_day").alias("selected_day"), F.max("raw_day").alias("raw_day"), *[F.max(c).alias(c) for c in TOTALS if c in clusters.columns],
     )
     return out.withColumns({"fallback_applied": ((F.col("raw_day") != "") & (F.col("selected_day") != "") & (F.col("raw_day") != F.col("selected_day"))).cast("int"), "low_quality": ((F.col("trusted_sample_count") <= 2) | F.col("interval_method").startswith("single_quote")).cast("int")})
 
@@ -239,7 +250,7 @@ def sku_totals(quotes: DataFrame, by: list[str] = SKU) -> DataFrame:
 def live_snapshot(quotes: DataFrame, rules: R.Rules, references: DataFrame | None = None) -> DataFrame:
     """Snapshot rows of all SKUs that have a market, with their totals and scope."""
     spec = P.group_spec("group_title")
-    made = snapshots(market_clusters(quotes, rules, references)).join(sku_totals(quotes), SKU)
+    made = snapshots(market_clusters(quotes, rules, references, totals=True))
     return made.withColumns({"scope_level": P.scope_level("group_title", spec), "capacity_label": spec["capacity"], "variant_label": spec["variant"], "selection_mode": F.lit("latest_valid_day_only"), "search_text": P.search_text(*SKU)}).withColumns({"search_text_normalized": P.normalize_search("search_text"), "model_group_normalized": P.normalize_search(P.search_text("model_title", "group_title"))})
 
 
