@@ -92,15 +92,23 @@ Tuples = tuple[list[np.ndarray], list[np.ndarray]]  # columns of word numbers (o
 
 
 def _pack(columns: list[np.ndarray], values: list[np.ndarray]) -> bytes:
-    """Byte planes, differences of the first column: what hardly changes is compressed away."""
-    first = np.concatenate([columns[0][:1], np.diff(columns[0])])
-    planes = [np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes() for x in (first, *columns[1:], *values)]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
+    """Byte planes, as many of each array as its greatest value needs, and differences of the first column: what hardly
+    changes is compressed away."""
+    arrays = [np.concatenate([columns[0][:1], np.diff(columns[0])]), *columns[1:], *values]
+    widths = bytes(max(1, (int(x.max()).bit_length() + 7) // 8) for x in arrays)
+    planes = [np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :w].T).tobytes() for x, w in zip(arrays, widths, strict=True)]
+    return zstandard.ZstdCompressor(level=1).compress(widths + b"".join(planes))
 
 
 def _unpack(data: bytes, width: int) -> list[np.ndarray]:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(width, 8, -1)
-    out = [np.ascontiguousarray(x.T).view("<u8").ravel() for x in planes]
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    widths, out, at = raw[:width].tolist(), [], width
+    n = (len(raw) - width) // sum(widths)
+    for w in widths:
+        whole = np.zeros((n, 8), np.uint8)
+        whole[:, :w] = raw[at : at + n * w].reshape(w, n).T
+        out.append(whole.view("<u8").ravel())
+        at += n * w
     return [np.cumsum(out[0], dtype=np.uint64), *out[1:]]
 
 
@@ -541,15 +549,17 @@ class Scorer:
             columns = [_before(ids, place, j, m.n_words)[at] for j in range(k - 1, 0, -1)]
             context = keys_of([c.astype(np.uint64) for c in columns])
             keys, back = np.unique(context, return_inverse=True)
-            stats = _values(level.contexts, CONTEXT_ARRAYS, keys)[back]
-            here = stats[:, 0] > 0
-            at, context, stats = at[here], context[here], stats[here]
-            p[at] *= stats[:, 1:] @ np.array(level.discounts) / stats[:, 0]
+            stats = _values(level.contexts, CONTEXT_ARRAYS, keys)
+            left = stats[:, 1:] @ np.array(level.discounts) / np.maximum(stats[:, 0], 1)  # of each different context
+            here = (stats[:, 0] > 0)[back]
+            at, context, back = at[here], context[here], back[here]
+            p[at] *= left[back]
             two = np.flatnonzero(ids[at] >= 0)
+            total = stats[:, 0].astype(float)[back[two]]
             gram = next_key(context[two], columns[0][here][two] if k == 2 else None, ids[at][two])
-            keys, back = np.unique(gram, return_inverse=True)
-            c = _values(level.grams, GRAM_ARRAYS, keys)[back, 0]
-            p[at[two]] += np.maximum(c - np.array([0.0, *level.discounts])[np.minimum(c, 3)], 0) / stats[two, 0]
+            keys, inside = np.unique(gram, return_inverse=True)
+            c = _values(level.grams, GRAM_ARRAYS, keys)[:, 0][inside]
+            p[at[two]] += np.maximum(c - np.array([0.0, *level.discounts])[np.minimum(c, 3)], 0) / total
         return base[inverse], np.log10(p)
 
 
