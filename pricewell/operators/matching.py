@@ -217,6 +217,8 @@ def model_candidates(skus: DataFrame, terms: Terms = Terms()) -> DataFrame:  # n
     norm = lambda *c: P.normalize_search(P.search_text(*c))
     out = out.withColumns({"candidate_id": F.concat_ws("|", "brand_title", "series_title", "family_title"), "label_norm": P.normalize_search("family_title"), "series_norm": P.normalize_search("series_title"), "keyword_text": F.lower(F.concat_ws(" ", "brand_title", "series_title", "family_title", "model_title"))})
     out = out.withColumns({"alias_texts": family_aliases(terms), "first_texts": F.array_union(F.array(norm("series_title", "family_title")), "branch_texts"), "second_texts": F.array_union(F.array(norm("brand_title", "series_title", "family_title")), "variant_texts"), "category_kind": category(F.col("keyword_text"), list(terms.categories.items()))})
+    lines = lambda c: F.concat(F.lit("\n"), F.array_join(c, "\n"), F.lit("\n"))
+    out = out.withColumns({"alias_lines": lines("alias_texts"), "first_lines": lines("first_texts"), "second_lines": lines("second_texts")})
     return out.withColumn("all_text", F.concat_ws("\n", "label_norm", "series_norm", "alias_texts", "first_texts", "second_texts"))
 
 
@@ -230,24 +232,27 @@ BARE_PHONE, BARE_OTHER, ANY_PHONE, ANY_ACCESSORY, ANY_DEVICE, DEVICE_PHONE, DEVI
 SOFT, ACCESSORIES, OTHER_DEVICES = ("charger", "case", "accessory"), ("charger", "case", "accessory"), ("earbuds", "tablet", "wearable", "laptop")
 
 
-def tier_score(norm: str = "norm", tokens: str = "tokens") -> Column:
-    """The text tier of a reading against a family; -1 where nothing fits."""
-    q, label, series = F.col(norm), F.col("label_norm"), F.col("series_norm")
-    some = lambda texts, fits: F.exists(texts, lambda t: fits(t, q))
-    equal, starts, ends, inside = (lambda t, x: t == x), F.startswith, F.endswith, F.contains
+def tier_score() -> tuple[Column, Column]:
+    """(sums over the tokens, to be the column _sums; tier): the tier of a text (norm, tokens) against a family; -1 where nothing fits. A family's texts are lines of one string,
+    so that any of them is equal, begins, ends or holds the text where the string holds it between line ends."""
+    q, label, series, line = F.col("norm"), F.col("label_norm"), F.col("series_norm"), F.lit("\n")
+    equal = lambda c: F.contains(c, F.concat(line, q, line))
+    begins, ends, holds = (lambda c: F.contains(c, F.concat(line, q))), (lambda c: F.contains(c, F.concat(q, line))), (lambda c: F.contains(c, q))
+    alias, first, second = F.col("alias_lines"), F.col("first_lines"), F.col("second_lines")
     tiers = [
         F.when(label == q, LABEL_TIERS[0]).when(F.endswith(label, q), LABEL_TIERS[1]).when(F.startswith(label, q), LABEL_TIERS[2]).when(F.contains(label, q), LABEL_TIERS[3]).otherwise(0),
-        F.when(some("alias_texts", equal), ALIAS_TIERS[0]).when(some("alias_texts", ends), ALIAS_TIERS[1]).when(some("alias_texts", inside), ALIAS_TIERS[2]).otherwise(0),
+        F.when(equal(alias), ALIAS_TIERS[0]).when(ends(alias), ALIAS_TIERS[1]).when(holds(alias), ALIAS_TIERS[2]).otherwise(0),
         F.when(series == q, SERIES_TIERS[0]).when(F.startswith(series, q), SERIES_TIERS[1]).when(F.contains(series, q), SERIES_TIERS[2]).otherwise(0),
-        F.when(some("first_texts", equal), FIRST_EQUAL).otherwise(0), F.when(some("second_texts", equal), SECOND_EQUAL).otherwise(0),
-        F.when(some("first_texts", starts), TEXT_TIERS[0]).when(some("first_texts", inside), TEXT_TIERS[1]).when(some("second_texts", starts), TEXT_TIERS[2]).when(some("second_texts", inside), TEXT_TIERS[3]).otherwise(0),
+        F.when(equal(first), FIRST_EQUAL).otherwise(0), F.when(equal(second), SECOND_EQUAL).otherwise(0),
+        F.when(begins(first), TEXT_TIERS[0]).when(holds(first), TEXT_TIERS[1]).when(begins(second), TEXT_TIERS[2]).when(holds(second), TEXT_TIERS[3]).otherwise(0),
     ]
-    others = F.filter(tokens, lambda t: (t != "") & (t != q))
-    gains = F.transform(others, lambda t: F.when(F.exists("first_texts", lambda x: F.contains(x, t)), FIRST_TOKEN).when(F.exists("second_texts", lambda x: F.contains(x, t)), SECOND_TOKEN).otherwise(0))
-    n, hit = F.size(others), F.size(F.filter(gains, lambda g: g > 0))
-    got = F.greatest(*tiers) + F.aggregate(gains, F.lit(0), lambda a, g: a + g)
+    others = F.filter("tokens", lambda t: (t != "") & (t != q))
+    met = lambda t: F.when(F.contains(first, t), FIRST_TOKEN).when(F.contains(second, t), SECOND_TOKEN).otherwise(0)
+    sums = F.aggregate(others, F.struct(F.lit(0).alias("gain"), F.lit(0).alias("hit"), F.lit(0).alias("n")), lambda a, t: F.struct((a["gain"] + met(t)).alias("gain"), (a["hit"] + F.when(F.contains(first, t) | F.contains(second, t), 1).otherwise(0)).alias("hit"), (a["n"] + 1).alias("n")))
+    n, hit = F.col("_sums.n"), F.col("_sums.hit")
+    got = F.greatest(*tiers) + F.col("_sums.gain")
     got = F.when(n == 0, got).when(hit == n, got + ALL_TOKENS).when(hit > 0, got + (n - hit) * MISSED_TOKEN).otherwise(got)
-    return F.when((q == "") | (((n == 0) | (hit == 0)) & (got <= 0)), -1).otherwise(got)
+    return sums, F.when((q == "") | (((n == 0) | (hit == 0)) & (got <= 0)), -1).otherwise(got)
 
 
 def category_score(terms: Terms) -> Column:
@@ -272,14 +277,18 @@ def search(readings: DataFrame, contexts: DataFrame, candidates: DataFrame, most
     The text score of a pair is that of its best reading, or of its best core (the reading without capacities and
     colours), which counts more; brand, series, category, capacity and colour hints and popularity come on top."""
     asked = readings.join(contexts.where("not only_refinement").select("query"), "query", "left_semi")
-    asked = asked.withColumns({"reading": F.concat_ws("#", "query", F.col("nth").cast("string")), "_all": F.array_union(F.array_union("tokens", "core_tokens"), F.array("norm", "core"))})
+    text = lambda norm, tokens, bonus: F.struct(F.col(norm).alias("norm"), F.col(tokens).alias("tokens"), F.lit(bonus).alias("bonus"))
+    asked = asked.select("query", F.explode(F.array(text("norm", "tokens", 0), text("core", "core_tokens", CORE))).alias("t")).select("query", "t.*").where("norm <> ''")
+    asked = settle(asked.withColumn("text", F.concat_ws("#", "norm", F.array_join("tokens", "#"))).distinct(), "asked")
+    texts = asked.select("text", "norm", "tokens").distinct()  # phrases share many of them; each is scored once
+    families = candidates.select("candidate_id", "all_text", "label_norm", "series_norm", "alias_lines", "first_lines", "second_lines")
     if block:
-        pairs = block_pairs(asked, "reading", "_all", candidates, "candidate_id", "all_text").join(asked, "reading").join(candidates, "candidate_id")
+        pairs = block_pairs(texts, "text", F.array_union("tokens", F.array("norm")), families, "candidate_id", "all_text").join(texts, "text").join(families, "candidate_id")
     else:
-        pairs = asked.join(candidates, how="cross")
-    core = tier_score("core", "core_tokens")
-    pairs = pairs.withColumns({"_plain": tier_score(), "_core": F.when(core >= 0, core + CORE).otherwise(-1)}).withColumn("tier", F.greatest("_plain", "_core")).where("tier >= 0")
-    per = pairs.groupBy("query", "candidate_id").agg(F.max("tier").alias("tier"))
+        pairs = texts.join(families, how="cross")
+    sums, tier = tier_score()
+    pairs = pairs.withColumn("_sums", sums).select("text", "candidate_id", tier.alias("tier")).where("tier >= 0")
+    per = settle(pairs, "tiers").join(asked.select("query", "text", "bonus"), "text").groupBy("query", "candidate_id").agg(F.max(F.col("tier") + F.col("bonus")).alias("tier"))
     per = per.join(candidates, "candidate_id").join(contexts.select("query", "has_core", *HINTS), "query")
     met = lambda hints, texts: F.size(F.filter(hints, lambda h: F.exists(texts, lambda t: F.contains(t, h))))
     size = F.size

@@ -115,7 +115,8 @@ def query_context(spark, d):
 
 def _search(spark, d):
     readings = settle(_readings(spark, d), "readings")
-    return T.search(readings, X.context(readings, TERMS), T.model_candidates(skus(spark, d), TERMS), terms=TERMS)
+    families = settle(T.model_candidates(skus(spark, d), TERMS), "families")
+    return T.search(readings, X.context(readings, TERMS), families, terms=TERMS)
 
 
 @query()
