@@ -134,10 +134,10 @@ def choose_item(items: DataFrame, keyword: str) -> DataFrame:
     word = keyword.strip().lower()
     tier = F.when(F.lower("ID") == word, 1).when(F.lower("title") == word, 2).when(F.contains(F.lower("title"), F.lit(word)), 3)
     ranked = items.withColumn("_tier", tier).where("_tier is not null")
-    w = Window.partitionBy(F.lit(1))
-    best = ranked.withColumn("_best", F.min("_tier").over(w)).where("_tier = _best")
-    checked = best.withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("ID", F.when(F.col("_n") == 1, F.col("ID")).otherwise(F.raise_error(F.lit("more than one item fits"))))
-    return checked.drop("_tier", "_best", "_n")
+    best = ranked.groupBy("_tier").agg(F.count(F.lit(1)).alias("_n")).orderBy("_tier").limit(1)  # of at most three rows
+    chosen = ranked.join(F.broadcast(best), "_tier")
+    checked = chosen.withColumn("ID", F.when(F.col("_n") == 1, F.col("ID")).otherwise(F.raise_error(F.lit("more than one item fits"))))
+    return checked.select(*items.columns)
 
 
 def resolve_prices(rows: DataFrame, cache: DataFrame) -> DataFrame:
@@ -182,9 +182,15 @@ def gap_lifecycle(events: DataFrame) -> DataFrame:
 
 
 def retention_plan(artifacts: DataFrame, keep: int, max_age_days: int, as_of: Column) -> DataFrame:
-    """What retention would remove: beyond the newest `keep` of its class, or too old; marked ones always stay."""
-    w = Window.partitionBy("class").orderBy(F.desc("mtime"), F.desc("artifact_id"))
-    df = artifacts.withColumn("place", F.row_number().over(w))
+    """What retention would remove: beyond the newest `keep` of its class, or too old; marked ones always stay.
+
+    A class may be most of the table, so places are those within a class's day plus the rows of its later days."""
+    df = artifacts.withColumn("_day", F.to_date("mtime"))
+    later = Window.partitionBy("class").orderBy(F.desc_nulls_last("_day")).rowsBetween(Window.unboundedPreceding, -1)
+    days = df.groupBy("class", "_day").agg(F.count(F.lit(1)).alias("_n")).select(F.col("class").alias("_class"), F.col("_day").alias("_of"), F.coalesce(F.sum("_n").over(later), F.lit(0)).alias("_before"))
+    df = df.join(days, F.col("class").eqNullSafe(F.col("_class")) & F.col("_day").eqNullSafe(F.col("_of")))
+    w = Window.partitionBy("class", "_day").orderBy(F.desc("mtime"), F.desc("artifact_id"))
+    df = df.withColumn("place", F.col("_before") + F.row_number().over(w)).drop("_day", "_class", "_of", "_before")
     stale = F.datediff(as_of, "mtime") > max_age_days
     why = F.when(F.col("marked"), None).when(F.col("place") > keep, "beyond_newest").when(stale, "too_old")
     return df.withColumn("remove_reason", why)
