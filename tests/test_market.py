@@ -115,3 +115,14 @@ def test_price_and_label_columns(spark):
     assert [tuple(r) for r in rows] == [("12300", "04-16", 5520), ("", "", None), ("", "", None)]
     texts = spark.createDataFrame([(["A ", "a", "", "b"],)], "x array<string>").select(P.distinct_texts(F.col("x")).alias("x")).first()["x"]
     assert texts == ["A", "b"]
+
+
+def test_approximate_statistics_stay_within_their_neighbours(spark):
+    from pricewell.operators import stats
+
+    df = spark.range(2000).selectExpr("id % 3 AS g", "(id * 7919) % 1000 AS price_value")
+    exact = {r["g"]: r for r in stats.price_stats(df, ["g"]).collect()}
+    for r in stats.price_stats(df, ["g"], approximate=True).collect():
+        e = exact[r["g"]]
+        assert (r["n"], r["price_min"], r["price_max"], r["trimmed_mean"]) == (e["n"], e["price_min"], e["price_max"], e["trimmed_mean"])
+        assert all(abs(r[c] - e[c]) <= 4 for c in ("median_price", "q1", "q3"))
