@@ -44,4 +44,10 @@ cand AS (SELECT m.doc_id, m.item, m.shift, x.s, x.ws, x.width FROM met m JOIN wi
 h AS (SELECT doc_id, count(DISTINCT p) AS n_hit, count(DISTINCT item) AS n_items FROM hit GROUP BY doc_id), hs AS (SELECT doc_id, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id), nn AS (SELECT doc_id, count(*) AS n_near_items FROM near WHERE (doc_id, item) NOT IN (SELECT (doc_id, item) FROM hit) GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit,0) AS n_hit, coalesce(n_items,0) AS n_items, sha256(coalesce(items,'')) AS items_sha256, coalesce(n_hit,0)>0 AND 20*coalesce(n_hit,0)>=len(w) AS contaminated, coalesce(n_near_items,0) AS n_near_items FROM docs LEFT JOIN h USING (doc_id) LEFT JOIN hs USING (doc_id) LEFT JOIN nn USING (doc_id)"""
 
-ORACLES: dict[str, str] = {"op1_chat_format": _CHAT, "op3_secret_scan": _SECRETS, "op4_warc": _WARC, "op5_html_extract": _HTML, "op10_decontaminate": _HITS}
+_REPEATS = r"""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text,''),'[\x20\x09-\x0D]+'), lambda w: w<>'') AS w FROM documents),
+win AS (SELECT doc_id, s, array_to_string(list_slice(w,s,s+12),' ') AS k FROM (SELECT doc_id, w, unnest(generate_series(1,len(w)-12)) AS s FROM d)), low AS (SELECT k, min(doc_id) AS lo FROM win GROUP BY k),
+gone AS (SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(generate_series(s,s+12)) AS p FROM win JOIN low USING (k) WHERE doc_id>lo)), tok AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w,1) AS p FROM d),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS t FROM tok ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id), n AS (SELECT doc_id, count(*) AS n_removed FROM gone GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed,0) AS n_removed, sha256(coalesce(t,'')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)"""
+
+ORACLES: dict[str, str] = {"op1_chat_format": _CHAT, "op3_secret_scan": _SECRETS, "op4_warc": _WARC, "op5_html_extract": _HTML, "op10_decontaminate": _HITS, "op13_substring_dedup": _REPEATS}

@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, decontaminate, html_extract, lm_score, near_dedup, quality_rules, secret_scan, url_filter, warc
+from . import byte_bpe, chat_format, decontaminate, html_extract, lm_score, near_dedup, quality_rules, secret_scan, substring_dedup, url_filter, warc
 from .common import settle, table
 
 #: The conversation that every run of op1 adds: texts that look like the template itself.
@@ -73,4 +73,9 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), items.alias("items_sha256"), "contaminated", F.size("near_items").cast("long").alias("n_near_items"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_quality_rules, op3_secret_scan, op4_warc, op5_html_extract, op6_near_dedup, op7_byte_bpe, op8_lm_score, op9_url_filter, op10_decontaminate)}
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_quality_rules, op3_secret_scan, op4_warc, op5_html_extract, op6_near_dedup, op7_byte_bpe, op8_lm_score, op9_url_filter, op10_decontaminate, op13_substring_dedup)}
