@@ -50,4 +50,26 @@ gone AS (SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(generate_series(s
 kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS t FROM tok ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id), n AS (SELECT doc_id, count(*) AS n_removed FROM gone GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed,0) AS n_removed, sha256(coalesce(t,'')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)"""
 
-ORACLES: dict[str, str] = {"op1_chat_format": _CHAT, "op3_secret_scan": _SECRETS, "op4_warc": _WARC, "op5_html_extract": _HTML, "op10_decontaminate": _HITS, "op13_substring_dedup": _REPEATS}
+
+def _crc(text: str) -> str:
+    """CRC-32 of an ASCII text, bit by bit: character codes are mixed in, and -1 stands for one shift."""
+    step = "CASE WHEN x=-1 THEN xor(a>>1, CASE WHEN a&1=1 THEN 3988292384 ELSE 0 END) ELSE xor(a,x) END"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split({text},''), lambda c: [ord(c)::BIGINT,-1,-1,-1,-1,-1,-1,-1,-1]))), lambda a, x: {step}), 4294967295)"
+
+
+def _leaf(text: str) -> str:
+    parts = [f"coalesce(strlen(({x})::VARCHAR)||':'||({x})::VARCHAR,'-')" for x in ("doc_id", "source", "lang", "n_chars", text)]
+    return f"sha256({'||'.join(parts)})"
+
+
+#: up: all nodes below the subroots and these; top: those above. steps: for each leaf the siblings left and right of its way, from its run (k=0) on.
+_MERKLE = f"""WITH RECURSIVE l0 AS (SELECT doc_id, source, {_leaf('text')} AS leaf, CASE WHEN {_crc('doc_id::VARCHAR')}&1=0 THEN {_leaf("replace(text,chr(10),'')")} END AS bad FROM documents),
+l AS (SELECT row_number() OVER () AS r, doc_id, source, leaf, coalesce(bad,leaf) AS t, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf)-1 AS i, count(*) OVER (PARTITION BY source) AS n FROM l0),
+up AS (SELECT source, 0 AS lvl, i, n, leaf AS d FROM l UNION ALL SELECT source, lvl+1, i//3, (any_value(n)+2)//3, sha256(string_agg(d,'' ORDER BY i)) FROM up WHERE n>1 GROUP BY source, lvl, i//3),
+subs AS (SELECT source, d AS subroot, row_number() OVER (ORDER BY source NULLS FIRST)-1 AS i, count(*) OVER () AS n FROM up WHERE n=1), top AS (SELECT 0 AS lvl, i, n, subroot AS d FROM subs UNION ALL SELECT lvl+1, i//3, (any_value(n)+2)//3, sha256(string_agg(d,'' ORDER BY i)) FROM top WHERE n>1 GROUP BY lvl, i//3),
+near AS (SELECT r, lvl, u.i, u.d, l.i//pow(3,lvl)::BIGINT AS own FROM l JOIN up u ON u.source IS NOT DISTINCT FROM l.source AND u.n>1 AND u.i//3=l.i//pow(3,lvl)::BIGINT//3 UNION ALL SELECT r, 1000+lvl, u.i, u.d, s.i//pow(3,lvl)::BIGINT FROM l JOIN subs s ON s.source IS NOT DISTINCT FROM l.source JOIN top u ON u.n>1 AND u.i//3=s.i//pow(3,lvl)::BIGINT//3),
+steps AS (SELECT r, row_number() OVER (PARTITION BY r ORDER BY lvl)-1 AS k, coalesce(string_agg(d,'' ORDER BY i) FILTER (i<own),'') AS a, coalesce(string_agg(d,'' ORDER BY i) FILTER (i>own),'') AS b FROM near GROUP BY r, lvl),
+folds AS (SELECT r, 0 AS k, t AS d FROM l UNION ALL SELECT r, k+1, sha256(a||d||b) FROM folds JOIN steps USING (r, k)), ends AS (SELECT r, arg_max(d,k) AS folded_root FROM folds GROUP BY r), proofs AS (SELECT r, sha256(string_agg(a||b,'' ORDER BY k)) AS p FROM steps GROUP BY r)
+SELECT doc_id, leaf, subroot, root, coalesce(p, sha256('')) AS proof_sha256, folded_root, folded_root=root AS verified FROM l JOIN ends USING (r) LEFT JOIN proofs USING (r) JOIN subs ON subs.source IS NOT DISTINCT FROM l.source CROSS JOIN (SELECT d AS root FROM top WHERE n=1)"""
+
+ORACLES: dict[str, str] = {"op1_chat_format": _CHAT, "op3_secret_scan": _SECRETS, "op4_warc": _WARC, "op5_html_extract": _HTML, "op10_decontaminate": _HITS, "op12_merkle_manifest": _MERKLE, "op13_substring_dedup": _REPEATS}
