@@ -72,4 +72,15 @@ steps AS (SELECT r, row_number() OVER (PARTITION BY r ORDER BY lvl)-1 AS k, coal
 folds AS (SELECT r, 0 AS k, t AS d FROM l UNION ALL SELECT r, k+1, sha256(a||d||b) FROM folds JOIN steps USING (r, k)), ends AS (SELECT r, arg_max(d,k) AS folded_root FROM folds GROUP BY r), proofs AS (SELECT r, sha256(string_agg(a||b,'' ORDER BY k)) AS p FROM steps GROUP BY r)
 SELECT doc_id, leaf, subroot, root, coalesce(p, sha256('')) AS proof_sha256, folded_root, folded_root=root AS verified FROM l JOIN ends USING (r) LEFT JOIN proofs USING (r) JOIN subs ON subs.source IS NOT DISTINCT FROM l.source CROSS JOIN (SELECT d AS root FROM top WHERE n=1)"""
 
-ORACLES: dict[str, str] = {"op1_chat_format": _CHAT, "op3_secret_scan": _SECRETS, "op4_warc": _WARC, "op5_html_extract": _HTML, "op10_decontaminate": _HITS, "op12_merkle_manifest": _MERKLE, "op13_substring_dedup": _REPEATS}
+_TRIE = rf"""WITH c AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role,''), coalesce(text,''))-1 AS p, coalesce(role,'') AS role, coalesce(text,'') AS text FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT conv_id, {_crc('conv_id::VARCHAR')}&3 AS h, conv_id-conv_id%20 AS base FROM (SELECT DISTINCT conv_id FROM c)),
+b AS (SELECT i.conv_id, 0 AS part, p, role, text FROM ids i JOIN c ON c.conv_id=i.base AND p<h UNION ALL SELECT conv_id, 1, p, role, text FROM ids JOIN c USING (conv_id) WHERE p>=h),
+s AS (SELECT conv_id, list(length(role)||':'||role||text ORDER BY part, p) AS ks, list(len(regexp_extract_all(text,'[^\x20\x09-\x0D]+')) ORDER BY part, p) AS ws FROM b GROUP BY conv_id),
+a AS (SELECT conv_id, coalesce(ks,[]) AS ks, coalesce(ws,[]) AS ws FROM ids LEFT JOIN s USING (conv_id)),
+pre AS (SELECT conv_id, d, sha256(array_to_string(list_transform(ks[1:d], lambda x: sha256(x)),'')) AS k, sha256(array_to_string(list_transform(ks[1:d-1], lambda x: sha256(x)),'')) AS up, CASE WHEN d>0 THEN ws[d] ELSE 0 END AS w, d=len(ks) AS fin FROM (SELECT *, unnest(generate_series(0,len(ks))) AS d FROM a)),
+nodes AS (SELECT d, k, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n, any_value(w) AS w, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (fin),'')) AS ends FROM pre GROUP BY d, k),
+kids AS (SELECT d-1 AS d, up AS k, count(*) AS nc FROM nodes WHERE d>0 GROUP BY d, up), own AS (SELECT nodes.*, coalesce(nc,0) AS nc, (n-1)*w AS saved FROM nodes LEFT JOIN kids USING (d, k)),
+ways AS (SELECT DISTINCT x.d, x.k, y.d AS vd, y.k AS vk FROM pre x JOIN pre y ON x.conv_id=y.conv_id AND y.d>=x.d), sums AS (SELECT ways.d, ways.k, sum(CASE WHEN nc=0 THEN 1 ELSE 0 END)::BIGINT AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM ways JOIN own o ON o.d=vd AND o.k=vk GROUP BY ways.d, ways.k)
+SELECT o.conv_id, o.d::BIGINT AS depth, p.conv_id AS parent_conv_id, o.n AS n_convs, o.nc AS n_children, n_leaves, saved_tokens, o.ends AS ends_sha256 FROM own o JOIN sums s ON s.d=o.d AND s.k=o.k LEFT JOIN nodes p ON p.d=o.d-1 AND p.k=o.up AND o.d>0"""
+
+ORACLES: dict[str, str] = {"op1_chat_format": _CHAT, "op3_secret_scan": _SECRETS, "op4_warc": _WARC, "op5_html_extract": _HTML, "op10_decontaminate": _HITS, "op11_prefix_trie": _TRIE, "op12_merkle_manifest": _MERKLE, "op13_substring_dedup": _REPEATS}

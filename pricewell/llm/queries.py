@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, decontaminate, html_extract, lm_score, merkle, near_dedup, quality_rules, secret_scan, substring_dedup, url_filter, warc
+from . import byte_bpe, chat_format, decontaminate, html_extract, lm_score, merkle, near_dedup, prefix_trie, quality_rules, secret_scan, substring_dedup, url_filter, warc
 from .common import settle, table
 
 #: The conversation that every run of op1 adds: texts that look like the template itself.
@@ -73,6 +73,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), items.alias("items_sha256"), "contaminated", F.size("near_items").cast("long").alias("n_near_items"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents")).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
 
@@ -82,4 +86,4 @@ def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_quality_rules, op3_secret_scan, op4_warc, op5_html_extract, op6_near_dedup, op7_byte_bpe, op8_lm_score, op9_url_filter, op10_decontaminate, op12_merkle_manifest, op13_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_quality_rules, op3_secret_scan, op4_warc, op5_html_extract, op6_near_dedup, op7_byte_bpe, op8_lm_score, op9_url_filter, op10_decontaminate, op11_prefix_trie, op12_merkle_manifest, op13_substring_dedup)}

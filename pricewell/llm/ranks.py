@@ -13,17 +13,17 @@ from pyspark.sql.types import LongType, StructField, StructType
 from .common import MOST_BROADCAST, settle
 
 
-def ranked(rows: DataFrame, group: str | None, order: list[str], name: str, place: str = "place") -> DataFrame:
+def ranked(rows: DataFrame, group: str | None, order: list[str], name: str, place: str = "place", keep: list[str] | None = None) -> DataFrame:
     """rows (settled) with `place`: 0, 1, ... in the order of the columns `order` (nulls first) within equal values of the
     number column `group`, or over all rows. A group may hold any share of the rows: the whole order is cut in ranges, each
     range numbers its own rows as they stream by, and a range's numbers then go up by what earlier ranges have of the group.
 
-    Rows that are equal in all of `order` are told apart by a random number, so that they too fall in many ranges."""
+    Of the columns only those in `keep` (all, if not given; with the group) are returned. Rows that are equal in all of `order` are told apart by a random number, so that they too fall in many ranges."""
     keys = [group] if group else []
     spread = rows.withColumn("_spread", F.rand(42))
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     by = [F.col(c).asc_nulls_first() for c in [*keys, *order, "_spread"]]
-    dealt = spread.repartitionByRange(parts, *by).sortWithinPartitions(*by).drop("_spread").withColumn("_range", F.spark_partition_id().cast("long"))
+    dealt = spread.repartitionByRange(parts, *by).sortWithinPartitions(*by).select(*(keep or rows.columns), F.spark_partition_id().cast("long").alias("_range"))
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, n = None, 0
