@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -32,8 +33,10 @@ from .common import slices
 
 SAMPLE_PAGES, RUNS, RUN_CHARS = 150, 200, 2_000
 
-TAG = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)>|<[!?][^>]*>", re.S)
-RAW = {x: re.compile(f"</{x}[^>]*>", re.I) for x in ("script", "style", "textarea", "title", "noscript", "template", "svg", "iframe")}
+OPENING = re.compile(r"<(?:(!--)|[!?]|(/?)([a-zA-Z][a-zA-Z0-9:-]*+))")
+#: What follows a tag's name: quotes hide a >.
+QUOTED = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
+RAW = {x: re.compile(f"</{x}", re.I) for x in ("script", "style", "textarea", "title", "noscript", "template", "svg", "iframe")}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 #: Opening one of these ends an open p.
@@ -63,6 +66,64 @@ class Node:
     marks: int = 0
 
 
+class Markup:
+    """Finds a page's tags one after the other. Nothing is scanned twice: where no > comes any more there are no tags, and
+    from the first tag on whose quotes never close, a table says for every place where a tag would end."""
+
+    def __init__(self, page: str) -> None:
+        self.page, self.last = page, page.rfind(">")
+        self.marks: list[int] | None = None
+        self.ends: list[int] = []
+
+    def tabulate(self) -> None:
+        """For each of > " ' where a tag ends whose scan comes there outside of quotes (-1: nowhere)."""
+        self.marks = [m.start() for m in re.finditer("[>\"']", self.page)]
+        self.ends, later = [-1] * (len(self.marks) + 1), {}
+        for k in range(len(self.marks) - 1, -1, -1):
+            mark = self.page[self.marks[k]]
+            if mark == ">":
+                self.ends[k] = self.marks[k]
+            else:
+                self.ends[k] = self.ends[later[mark] + 1] if mark in later else -1
+                later[mark] = k
+
+    def end_of(self, at: int) -> int:
+        """Where the tag ends whose name ends at `at`: at the first > outside of quotes, else at the first > at all."""
+        if self.marks is None:
+            if m := QUOTED.match(self.page, at):
+                return m.end() - 1
+            self.tabulate()
+        end = self.ends[bisect_left(self.marks, at)]
+        return end if end >= 0 else self.page.find(">", at)
+
+    def tag(self, at: int) -> tuple[int, int, str | None, str, str] | None:
+        """(start, end, "/" or "", name, attributes) of the next tag; of a comment or the like the third is None."""
+        m = OPENING.search(self.page, at)
+        if m and m.start() > self.last and not m[1]:
+            start = self.page.find("<!--", m.start())
+            return None if start < 0 else (start, len(self.page), None, "", "")
+        if not m:
+            return None
+        if m[1]:
+            end = self.page.find("-->", m.end())
+            return m.start(), len(self.page) if end < 0 else end + 3, None, "", ""
+        if not m[3]:
+            return m.start(), self.page.find(">", m.end()) + 1, None, "", ""
+        end = self.end_of(m.end())
+        return m.start(), end + 1, m[2], m[3].lower(), self.page[m.end() : end]
+
+    def tags(self) -> Iterator[tuple[int, int, str | None, str, str]]:
+        found = self.tag(0)
+        while found:
+            yield found
+            found = self.tag(found[1])
+
+    def closing(self, tag: str, at: int) -> tuple[int, int] | None:
+        """Where the next end tag of a raw element begins and ends."""
+        m = RAW[tag].search(self.page, at) if at <= self.last else None
+        return (m.start(), self.page.find(">", m.end()) + 1) if m and m.end() <= self.last else None
+
+
 def dom(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     """The page's elements in order, and its text runs in order, each with its element; '' stands for a line break.
 
@@ -79,14 +140,14 @@ def dom(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             blocks.pop()
 
     last = lambda *tags: max((p[-1] for t in tags if (p := places.get(t))), default=-1)
-    for m in iter(lambda: TAG.search(page, at), None):
-        if m.start() > at:
-            runs.append((stack[-1], page[at : m.start()]))
-        at = m.end()
-        if not m.lastindex:
+    markup = Markup(page)
+    while found := markup.tag(at):
+        start, until, ending, tag, attrs = found
+        if start > at:
+            runs.append((stack[-1], page[at:start]))
+        at = until
+        if ending is None:
             continue
-        ending, tag, attrs = m.group(1, 2, 3) if m[2] else m.group(4, 5, 6)
-        tag = tag.lower()
         if ending:
             open_at = last(tag)
             if open_at > 0 and (tag not in INLINE or open_at >= blocks[-1]):
@@ -105,13 +166,13 @@ def dom(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         if tag in VOID:  # as in browsers, a slash closes no other element
             continue
         if tag in RAW:
-            closing = RAW[tag].search(page, at) if tag not in unclosed else None
+            closing = markup.closing(tag, at) if tag not in unclosed else None
             if closing is None and tag in ("script", "style"):
                 at = end
                 break
             if closing is not None:
-                runs.append((len(nodes) - 1, page[at : closing.start()]))
-                at = closing.end()
+                runs.append((len(nodes) - 1, page[at : closing[0]]))
+                at = closing[1]
                 continue
             unclosed.add(tag)
         places.setdefault(tag, []).append(len(stack))
@@ -259,7 +320,7 @@ def layouts(texts: list[str], seed: int) -> Iterator[tuple[str, list[bool]]]:
             places[ord(part)].append(len(page)) if part in ("\x01", "\x02") else None
             page += "" if part in ("\x01", "\x02") else part
         nodes, runs = dom(page)
-        begins = [m.start() for m in TAG.finditer(page) if m.lastindex and not (m[1] or m[4])]
+        begins = [start for start, _, ending, _, _ in Markup(page).tags() if ending == ""]
         if len(begins) != len(nodes) - 1:
             continue
         (first, last), cuts = places[2], list(zip(places[1][::2], places[1][1::2], strict=True))

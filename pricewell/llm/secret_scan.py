@@ -8,7 +8,8 @@ consumed, then dropped. Spans are in code points, end exclusive.
 Rules end in a repeated class, so that a match's end is the last of a run of accepting places.
 
 Defined results: a null text is empty; an empty text has no spans; rows of equal doc_id are separate rows; null doc_ids
-are kept; an empty table gives no rows; of other columns, scan() reads none and redact() keeps all as they are."""
+are kept; a text is scanned whole, however long; an empty table gives no rows; of other columns, scan() reads none and
+redact() keeps all as they are, whatever their names."""
 
 from __future__ import annotations
 
@@ -126,22 +127,26 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The same rows and columns, each secret's place taken by <kind>; n_chars, where there is one, follows the text."""
-    names, compiled = docs.columns, automata(rules)
+    compiled, names = automata(rules), docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])  # names may hold dots, quotes and the like
+    lower = [n.lower() for n in names]
+    own = f"c{lower.index('text')}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in _groups(batches, "text"):
+        for batch, texts in _groups(batches, own):
             new = []
-            for text, null, found in zip(texts, batch["text"].is_null().to_pylist(), spans_of(rules, compiled, texts), strict=True):
-                plain, parts, at = text.decode(), [], 0
+            for text, null, found in zip(texts, batch[own].is_null().to_pylist(), spans_of(rules, compiled, texts), strict=True):
+                whole, parts, at = text.decode(), [], 0
                 for a, r, b in found:
                     if b > at:
-                        parts += [plain[at : max(a, at)], f"<{rules[r].kind}>"] if a >= at else []
+                        parts += [whole[at : max(a, at)], f"<{rules[r].kind}>"] if a >= at else []
                         at = b
-                new.append(None if null else "".join([*parts, plain[at:]]))
-            arrays = [pa.array(new, pa.string()) if n == "text" else batch.column(i) for i, n in enumerate(names)]
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
-
-    out = docs.mapInArrow(run, docs.schema)
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out
+                new.append(None if null else "".join([*parts, whole[at:]]))
+            arrays = [pa.array(new, pa.string()) if n == own else batch.column(i) for i, n in enumerate(batch.schema.names)]
+            yield pa.RecordBatch.from_arrays(arrays, names=batch.schema.names)
+
+    out = plain.mapInArrow(run, plain.schema)
+    if "n_chars" in lower:
+        chars = f"c{lower.index('n_chars')}"
+        out = out.withColumn(chars, F.when(F.col(own).isNull(), F.col(chars)).otherwise(F.length(own)).cast(plain.schema[chars].dataType))
+    return out.toDF(*names)

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import bytes_of
 
-WIDTH, CORE = 13, 5
+WIDTH, CORE = 13, 3
 BINS = 1 << 16
 #: A bin is hot beyond so many times the mean, and this many strings more.
 HOT_TIMES, HOT_LEAST = 4, 4096
@@ -132,7 +132,7 @@ def _ids(column: pa.Array) -> np.ndarray:
 
 
 def _pack(arrays: list[np.ndarray], text: bytes = b"") -> bytes:
-    return pa.compress(b"".join([*(a.tobytes() for a in arrays), text]), "zstd", asbytes=True)
+    return pa.Codec("zstd", compression_level=3).compress(b"".join([*(a.tobytes() for a in arrays), text]), asbytes=True)
 
 
 def _unpack(body: bytes, size: int, n: int, kinds: list) -> tuple[list[np.ndarray], bytes]:

@@ -3,7 +3,7 @@
 The reader checks each record: the member's CRC, the version line, the lengths, and the payload digest where it is one
 of a known kind (hex or base 32). Where a check fails it searches on from there for the next gzip member that begins a
 record, or the next version line in a plain file, and goes on; the bytes between are logged as a quarantined gap. Files
-of other writers may have many records in one member; there a record with a wrong digest is a gap of its own, and the
+of other writers may have many records in one member; there a record with a wrong digest is a gap of its own (the member's bytes so far, since it has no others), and the
 records of a member whose CRC is wrong are those that came before the damage.
 
 Digests are compared apart from payloads: equal pages meet by digest, and revisits meet their responses without any
@@ -37,6 +37,10 @@ ID = "urn:x-page:"
 #: An archive file is closed at this size.
 ROLL_BYTES = 64 << 20
 READ = 1 << 18
+#: A stated length beyond so many bytes more than are held is checked before the record is read.
+HOLD = 1 << 19
+#: What no header has: zero bytes, bare line feeds, a second version line.
+CUT = re.compile(rb"\0|[^\r]\n|\nWARC/1\.[01]\r\n")
 #: Digests of equal pages are broadcast up to so many (some 100 bytes each).
 MOST_DIGESTS = 200_000
 
@@ -105,25 +109,32 @@ class _Broken(Exception):
 class _Bytes:
     """The bytes of a plain file from a place on, or of the gzip member there, read as they are asked for."""
 
-    def __init__(self, file, at: int, packed: bool) -> None:
-        self.file, self.at, self.held = file, at, b""
+    def __init__(self, file, at: int, packed: bool, size: int) -> None:
+        self.file, self.at, self.size, self.held, self.step = file, at, size, b"", 1 << 12
         self.unpacker = zlib.decompressobj(31) if packed else None
         self.ended = False
 
+    def read(self, at: int) -> bytes:
+        """The next piece of the file; pieces grow, so that little is read for a short record."""
+        self.file.seek(at)
+        self.step = min(2 * self.step, READ)
+        return self.file.read(self.step)
+
     def fill(self, n: int) -> bool:
         """Reads on until n bytes are held; False where there are not so many."""
         parts, have = [self.held], len(self.held)
         try:
             while have < n and not self.ended:
-                self.file.seek(self.at)
-                data = self.file.read(READ)
-                self.at += len(data)
+                data = self.unpacker.unconsumed_tail if self.unpacker else b""
+                if not data:
+                    data = self.read(self.at)
+                    self.at += len(data)
                 if self.unpacker is None:
                     self.ended = not data
                 elif not data:
                     raise _Broken("truncated member")
                 else:
-                    data = self.unpacker.decompress(data)
+                    data = self.unpacker.decompress(data, READ)
                     if self.unpacker.eof:  # the check sum was right
                         self.ended, self.at = True, self.at - len(self.unpacker.unused_data)
                 parts.append(data)
@@ -134,27 +145,56 @@ class _Bytes:
             self.held = b"".join(parts)
         return len(self.held) >= n
 
+    def closes(self, end: int) -> bool:
+        """Whether a record that is `end` bytes long has its closing lines there; a long one is not held to find out."""
+        if end <= len(self.held) + HOLD:
+            return self.fill(end) and self.held[end - 4 : end] == b"\r\n\r\n"
+        if self.unpacker is None:
+            begin = self.at - len(self.held)
+            self.file.seek(min(begin + end - 4, self.size))
+            return self.file.read(4) == b"\r\n\r\n"
+        if self.ended:
+            return False
+        unpacker, at, seen, tail = self.unpacker.copy(), self.at, len(self.held), self.held[-4:]
+        try:
+            while seen < end and not unpacker.eof:
+                if not (data := unpacker.unconsumed_tail):
+                    data = self.read(at)
+                    at += len(data)
+                if not data:
+                    break
+                data = unpacker.decompress(data, READ)
+                tail, seen = (tail + data)[-(len(data) + 4) :], seen + len(data)
+                if seen < end:
+                    tail = tail[-4:]
+        except zlib.error as e:
+            raise _Broken("gzip check failed") from e
+        over = seen - end
+        return over >= 0 and tail[: len(tail) - over][-4:] == b"\r\n\r\n"
+
     def record(self) -> bytes:
-        """The next record's bytes, taken off; a header without its end or a length is broken."""
+        """The next record's bytes, taken off; a header without its end or a length is broken, and one that the next
+        version line cuts short."""
         self.fill(10)
         if not re.match(rb"WARC/1\.[01]\r\n", self.held):
             raise _Broken("no version line")
         seen = 0
         while (head := self.held.find(b"\r\n\r\n", max(seen - 3, 0))) < 0:
-            if b"\0" in self.held[seen:] or re.search(rb"[^\r]\n", self.held[max(seen - 1, 0) :]):
+            if CUT.search(self.held, max(seen - 11, 1)):
                 raise _Broken("no header")
             seen = len(self.held)
             if not self.fill(2 * seen) and len(self.held) == seen:
                 raise _Broken("no header")
-        found = re.search(rb"\r\ncontent-length:[ \t]*(\d+)[ \t]*\r\n", self.held[: head + 2], re.I)
+        if CUT.search(self.held, 1, head):
+            raise _Broken("no header")
+        found = re.search(rb"\r\ncontent-length:[ \t]*(\d{1,18})[ \t]*\r\n", self.held[: head + 2], re.I)
         if not found:
             raise _Broken("no length")
         end = head + 8 + int(found[1])
-        if not self.fill(end):
-            raise _Broken("truncated record")
-        data, self.held = self.held[:end], self.held[end:]
-        if data[-4:] != b"\r\n\r\n":
+        if not self.closes(end):
             raise _Broken("length check failed")
+        self.fill(end)
+        data, self.held = self.held[:end], self.held[end:]
         return data
 
 
@@ -187,11 +227,12 @@ def _record(data: bytes) -> dict | None:
 
 def _next_begin(file, at: int, size: int) -> int:
     """The next place from at where a gzip member with a version line, or a plain version line, begins; size if none."""
+    step = 1 << 12
     while at < size:
         file.seek(at)
-        data = file.read(READ + 16)
+        data = file.read(step + 16)
         for m in re.finditer(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n", data):
-            if m.start() >= READ:
+            if m.start() >= step:
                 break
             if m[0] != MAGIC:
                 return at + m.start()
@@ -201,7 +242,8 @@ def _next_begin(file, at: int, size: int) -> int:
                     return at + m.start()
             except zlib.error:
                 pass
-        at += READ
+        at += step
+        step = min(2 * step, READ)
     return size
 
 
@@ -216,8 +258,8 @@ def salvage(file, size: int) -> Iterator[tuple[int, dict] | tuple[int, int, str]
             if not start.startswith((MAGIC, b"WARC/1.")):
                 raise _Broken("no member or version line")
             packed = start.startswith(MAGIC)
-            source, first = _Bytes(file, at, packed), True
-            while first or packed and source.held:
+            source, nth = _Bytes(file, at, packed, size), 0
+            while not nth or packed and source.held:
                 data = source.record()
                 more = packed and source.fill(1)  # at the member's end its check sum is known
                 try:
@@ -225,10 +267,10 @@ def salvage(file, size: int) -> Iterator[tuple[int, dict] | tuple[int, int, str]
                     if record:
                         yield at, record
                 except _Broken as e:
-                    if first and not more:
+                    if not nth and not more:
                         raise
                     yield at, source.at, str(e)
-                first = False
+                nth += 1
             at = source.at if packed else at + len(data)
         except _Broken as e:
             end = _next_begin(file, at + 1, size)

@@ -93,7 +93,7 @@ def test_time_grows_with_length_alone():
     """Unclosed inline tags, stray ends and deep nests: twice the page takes some twice the time."""
     import time
 
-    for unit in ("<b>x<i>y", "<i><div>" + "<b>" * 50 + "</i>" * 50, "<div>a", "<b><p>c", "<textarea><li>", "</b></p>"):
+    for unit in ("<b>x<i>y", "<i><div>" + "<b>" * 50 + "</i>" * 50, "<div>a", "<b><p>c", "<textarea><li>", "</b></p>", '<a "x', '</b "', "<a x", "<!x", "<b '>'", "<a '\"x>", "<title></title", "<!--"):
         seconds = []
         for n in (2_000, 16_000):
             page = unit * (n // max(1, unit.count("<") // 2))
@@ -103,3 +103,18 @@ def test_time_grows_with_length_alone():
             html_extract.text_of(nodes, runs, set(judged))
             seconds.append(time.process_time() - began)
         assert seconds[1] < 24 * max(seconds[0], 0.02), (unit[:20], seconds)
+
+
+def test_tags_without_an_end():
+    """Quotes that never close, and pages that end within a tag: 64,000 repeats in a moment, and what a tag then is."""
+    import time
+
+    for unit in ('<a "x', '</b "', "<a x", "<!x", "</script", "<b '>'", "<a '\"x>"):
+        began = time.process_time()
+        html_extract.dom(unit * 64_000)
+        assert time.process_time() - began < 6, unit
+    tags = lambda page: [(n.tag, n.attrs) for n in html_extract.dom(page)[0][1:]]
+    assert tags('<a class="x>y">t<b id=\'>\'>') == [("a", "x>y"), ("b", ">")]
+    assert tags('<a class="x>t<b id=z>u<i') == [("a", '"x'), ("b", "z")]
+    assert html_extract.dom("<p>a < b <3 c<x")[1] == [(1, "a < b <3 c<x")]
+    assert html_extract.dom("<script>a</script")[1] == [] and html_extract.dom("<p>a<!-- b <i> ")[1] == [(1, "a")]

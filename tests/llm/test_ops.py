@@ -37,6 +37,7 @@ def clashing(spark, rows, doc_type="long", *, of=()):
     names = [*of, "bad_id", "bad_key", "bad_null", "bad_doc_id", "bad_row_key", "bad_text_key", "keep_id", "many_id", "text_key", "row_key", "fp", "first_id", "words", "salt", "g", "start", "x0", "n_words", "ids", "decoded", "spans", "distance", "id0", "no_id", "__nth", "__key", "__id", "__fp", "nth", "key", "part", "order", "whole"]
     kinds = ("map<string,int>", "string", "array<int>", "struct<a:int>")
     values = ({"a": 1}, None, [1], (1,))
+    names.append("a.b")
     schema = f"doc_id {doc_type}, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` {kinds[k % 4]}" for k, n in enumerate(names))
     return spark.createDataFrame([(i, t, "en", "s", len(t or ""), *[values[k % 4] for k in range(len(names))]) for i, t in rows], schema)
 
@@ -268,6 +269,33 @@ def test_warc_of_other_writers():
     assert [x[1]["page_id"] for x in got if len(x) == 2] == [0, 1, 2] and [x[2] for x in got if len(x) == 3] == ["digest check failed"]
 
 
+@pytest.mark.parametrize("packed", [True, False])
+def test_warc_damage_costs_no_more_than_the_file(packed):
+    """Thousands of bare version lines, and a length that is far too large: little time, and little is held."""
+    import gzip
+    import io
+    import time
+    import tracemalloc
+
+    lines = b"WARC/1.1\r\n" * 16_000
+    began = time.process_time()
+    got = list(warc.salvage(io.BytesIO(lines), len(lines)))
+    assert len(got) == 16_000 and got[0][:2] == (0, 10) and time.process_time() - began < 5
+    body = b"HTTP/1.1 200 OK\r\n\r\n" + b"y" * 2_000
+    record = lambda i, n: b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:x-page:%d>\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (i, n, body)
+    data = record(0, 90_000_000 + len(body)) + b"".join(record(i, len(body)) for i in range(1, 4_000))
+    data = gzip.compress(data[:9_000_000], 1) if packed else data
+    file = io.BytesIO(data)
+    tracemalloc.start()
+    got = [(x[1]["page_id"] if len(x) == 2 else x[2]) for x in warc.salvage(file, len(data))]
+    assert tracemalloc.get_traced_memory()[1] < (4 << 20)
+    tracemalloc.stop()
+    assert got == (["length check failed"] if packed else ["length check failed", *range(1, 4_000)])
+    large = record(5, len(body)).replace(body, body * 900).replace(b"%d\r\n" % len(body), b"%d\r\n" % (900 * len(body)))
+    data = gzip.compress(large + record(6, len(body))) if packed else large + record(6, len(body))
+    assert [x[1]["page_id"] for x in warc.salvage(io.BytesIO(data), len(data))] == [5, 6]
+
+
 @pytest.mark.parametrize("packed", [True, False])
 def test_warc_salvage(packed):
     import io
