@@ -115,17 +115,22 @@ def recent_labels(as_of: Column | date, days: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(max(1, days) - 1)), lambda i: F.date_format(F.date_sub(day, i), "MM-dd"))
 
 
-def tags_hit(text: Column, pairs: Sequence[tuple[str, str]]) -> Column:
-    """Sorted distinct tags of the (tag, keyword) pairs whose keyword is in the text."""
-    found = F.array(*[F.when(text.contains(k), F.lit(t)) for t, k in pairs if t and k]) if pairs else F.array().cast("array<string>")
-    return F.array_sort(F.array_distinct(F.filter(found, lambda t: t.isNotNull())))
+def tag_flags(text: Column, pairs: Sequence[tuple[str, str]]) -> dict[str, Column]:
+    """For each tag of the (tag, keyword) pairs, in sorted order, whether one of its keywords is in the text."""
+    tags = sorted({t for t, k in pairs if t and k})
+    return {t: any_of(text, [k for own, k in pairs if own == t]) for t in tags}
+
+
+def flagged(flags: dict[str, Column], separator: str = "|") -> Column:
+    """The names whose flags hold, in the given order, as one text."""
+    return F.concat_ws(separator, *[F.when(flag, F.lit(name)) for name, flag in flags.items()])
 
 
 def keywords_hit(text: Column, keywords: Sequence[str]) -> Column:
     """The keywords in the text, in their own order."""
     if not keywords:
         return F.array().cast("array<string>")
-    return F.filter(F.array(*[F.when(text.contains(k), F.lit(k)) for k in keywords]), lambda k: k.isNotNull())
+    return F.array_remove(F.array(*[F.when(text.contains(k), F.lit(k)).otherwise(F.lit("")) for k in keywords if k]), "")
 
 
 def join_text(*parts: Column | str) -> Column:
@@ -197,9 +202,15 @@ def filter_terms(x: Column | str) -> Column:
 
 
 def distinct_texts(values: Column) -> Column:
-    """Trimmed texts in order, the first of each case-folded form."""
+    """Trimmed texts in order, the first of each case-folded form.
+
+    Forms are sorted, so that each is compared with the one before it alone; bound() makes an array a variable of a lambda,
+    which is computed once."""
+    bound = lambda x, use: F.get(F.transform(F.array(x), use), F.lit(0))
     texts = F.filter(F.transform(values, lambda x: F.trim(x)), lambda x: x != "")
-    return F.filter(texts, lambda x, i: ~F.exists(F.slice(texts, F.lit(1), i), lambda y: F.lower(y) == F.lower(x)))
+    forms = F.array_sort(F.transform(texts, lambda x, i: F.struct(F.lower(x).alias("form"), i.alias("at"), x.alias("text"))))
+    first = bound(forms, lambda s: F.filter(s, lambda x, i: (i == 0) | (x["form"] != F.get(s, i - 1)["form"])))
+    return F.transform(F.array_sort(F.transform(first, lambda x: F.struct(x["at"].alias("at"), x["text"].alias("text")))), lambda x: x["text"])
 
 
 def fingerprint(payload: Column | str) -> Column:

@@ -45,7 +45,12 @@ def report(kind: str, tasks: DataFrame, quotes: DataFrame, run_key: str | None =
     if "gprice_label" in dims:
         df = df.withColumn("gprice_label", P.report_label("gprice"))
     made = _measures()
-    return df.groupBy(*dims).agg(*[made[n].alias(n) for n in names])
+    if "example_model" not in names:
+        return df.groupBy(*dims).agg(*[made[n].alias(n) for n in names])
+    # the least of a text needs a sort: first count by hash with the model as a key, then sort what few rows are left
+    sums = [n for n in names if n != "example_model"]
+    parts = df.groupBy(*dims, "model_title").agg(*[made[n].alias(n) for n in sums])
+    return parts.groupBy(*dims).agg(*[F.sum(n).alias(n) for n in sums], made["example_model"].alias("example_model"))
 
 
 def summary(tasks: DataFrame, quotes: DataFrame, events: DataFrame, runs: DataFrame) -> DataFrame:

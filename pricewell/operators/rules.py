@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
@@ -114,47 +116,47 @@ def keep_reason(rules: Rules, allowed_labels: Column) -> Column:
 
 
 def classify(df: DataFrame, rules: Rules) -> DataFrame:
-    """Adds condition_bucket, is_target_price, needs_review, tags, clean_scope, exclude_reason."""
-    status = P.plain("dstatus")
-    text = P.join_text("series_title", "model_title", "group_title", "dstatus")
-    negative = P.tags_hit(text, rules.negative)
-    dated = F.when(P.plain("activation") != "", F.array_sort(F.array_union(negative, F.array(F.lit("activation_date_present"))))).otherwise(negative)
-    df = df.withColumns({"_positive": P.tags_hit(text, rules.positive), "_negative": dated, "_sale": P.tags_hit(text, rules.sale), "_strict": P.plain("brand_title") == rules.strict_brand, "_special": P.any_of(text, rules.special_model), "_target": P.any_of(status, rules.target_keywords), "_open_hit": P.any_of(status, rules.open_exclude)})
-    hard = F.array_intersect("_negative", F.array(*map(F.lit, rules.hard_negative))) if rules.hard_negative else F.array().cast("array<string>")
-    df = df.withColumn("_hard", hard)
-    some, has = lambda c: F.size(c) > 0, lambda c, t: F.array_contains(c, t)
-    joined = F.array_join("_negative", "|")
-    sealed, opened = has("_positive", "factory_sealed"), has("_negative", "opened") | has("_negative", "activated") | has("_negative", "activation_date_present")
+    """Adds condition_bucket, is_target_price, needs_review, tags, clean_scope, exclude_reason.
+
+    The tags are known when the plan is made: each is one boolean column, which the branches ask and the texts join."""
+    status, dated = P.plain("dstatus"), "activation_date_present"
+    text = F.col("_text")
+    df = df.withColumn("_text", P.join_text("series_title", "model_title", "group_title", "dstatus"))
+    made = {"positive": P.tag_flags(text, rules.positive), "negative": P.tag_flags(text, rules.negative), "sale": P.tag_flags(text, rules.sale)}
+    made["negative"][dated] = made["negative"].get(dated, F.lit(False)) | (P.plain("activation") != "")
+    names = {(kind, t): f"_{kind}_{k}" for kind, flags in made.items() for k, t in enumerate(sorted(flags))}
+    own = {"_strict": P.plain("brand_title") == rules.strict_brand, "_special": P.any_of(text, rules.special_model), "_target": P.any_of(status, rules.target_keywords), "_open_hit": P.any_of(status, rules.open_exclude)}
+    df = df.withColumns(own | {name: made[kind][t] for (kind, t), name in names.items()})
+    flags = {kind: {t: F.col(names[kind, t]) for t in sorted(made[kind])} for kind in made}
+    either = lambda kind, *tags: reduce(or_, [flags[kind][t] for t in tags if t in flags[kind]], F.lit(False))
+    some = lambda kind: either(kind, *flags[kind])
+    df = df.withColumns({"_flagged": some("negative"), "_hard": either("negative", *rules.hard_negative), "_sealed": either("positive", "factory_sealed"), "matched_positive_tags": P.flagged(flags["positive"]), "matched_negative_tags": P.flagged(flags["negative"]), "matched_sale_tags": P.flagged(flags["sale"])})
+    joined, sealed, flagged = F.col("matched_negative_tags"), F.col("_sealed"), F.col("_flagged")
     branches = [  # (condition, bucket, reason); the first that holds decides
         (F.col("_special"), "strict_special_model_non_target", F.lit("special_model_tag")),
-        (F.col("_target") & ~some("_negative"), "strict_target", F.lit("")),
+        (F.col("_target") & ~flagged, "strict_target", F.lit("")),
         (F.col("_target"), "strict_target_but_excluded", joined),
-        (sealed & some("_negative"), "strict_sealed_but_excluded", joined),
+        (sealed & flagged, "strict_sealed_but_excluded", joined),
         (sealed, "strict_other_sealed_non_target", F.lit("not_target_sealed")),
-        (has("_negative", "opened_not_activated"), "strict_opened_not_activated", F.lit("opened_not_activated")),
-        (opened, "strict_opened_or_activated", joined),
-        (has("_positive", "pure_original"), "strict_pure_original_non_target", F.lit("pure_original_without_clean_sealed_status")),
-        (some("_negative"), "strict_flagged_non_target", joined),
-        (some("_sale"), "strict_condition_unspecified_non_target", F.lit("condition_unspecified")),
+        (either("negative", "opened_not_activated"), "strict_opened_not_activated", F.lit("opened_not_activated")),
+        (either("negative", "opened", "activated", dated), "strict_opened_or_activated", joined),
+        (either("positive", "pure_original"), "strict_pure_original_non_target", F.lit("pure_original_without_clean_sealed_status")),
+        (flagged, "strict_flagged_non_target", joined),
+        (some("sale"), "strict_condition_unspecified_non_target", F.lit("condition_unspecified")),
     ]
     bucket, reason = F.lit("strict_unknown_review"), F.lit("unknown_strict_condition")
     for condition, name, why in reversed(branches):
         bucket, reason = F.when(condition, name).otherwise(bucket), F.when(condition, why).otherwise(reason)
-    excluded = some("_hard") | F.col("_open_hit")
-    open_bucket = F.when(some("_hard"), "open_hard_excluded").when(F.col("_open_hit"), "open_excluded").otherwise("open_allowed")
-    open_reason = F.array_join(F.when(F.col("_open_hit"), F.array_union("_hard", F.array(F.lit("open_dstatus_keyword")))).otherwise(F.col("_hard")), "|")
+    open_bucket = F.when(F.col("_hard"), "open_hard_excluded").when(F.col("_open_hit"), "open_excluded").otherwise("open_allowed")
+    hard = {t: flags["negative"][t] for t in sorted(rules.hard_negative) if t in flags["negative"]}
+    open_reason = P.flagged(hard | {"open_dstatus_keyword": F.col("_open_hit") | hard.get("open_dstatus_keyword", F.lit(False))})
     strict = F.col("_strict")
+    df = df.withColumns({"condition_bucket": F.when(strict, bucket).otherwise(open_bucket), "exclude_reason": F.when(strict, reason).otherwise(open_reason), "clean_scope": F.when(strict, "strict").otherwise("guarded")})
     df = df.withColumns({
-        "condition_bucket": F.when(strict, bucket).otherwise(open_bucket),
-        "exclude_reason": F.when(strict, reason).otherwise(open_reason),
-        "clean_scope": F.when(strict, "strict").otherwise("guarded"),
-        "matched_positive_tags": F.array_join("_positive", "|"), "matched_negative_tags": F.array_join("_negative", "|"), "matched_sale_tags": F.array_join("_sale", "|"),
-    })
-    df = df.withColumns({
-        "is_target_price": F.when(strict, F.col("condition_bucket") == "strict_target").otherwise(~excluded).cast("int"),
+        "is_target_price": F.when(strict, F.col("condition_bucket") == "strict_target").otherwise(~(F.col("_hard") | F.col("_open_hit"))).cast("int"),
         "needs_review": (F.col("condition_bucket") == "strict_unknown_review").cast("int"),
     })
-    return df.drop("_positive", "_negative", "_sale", "_strict", "_special", "_target", "_open_hit", "_hard")
+    return df.drop("_text", "_flagged", "_hard", "_sealed", *own, *names.values())
 
 
 def noise_keywords(rules: Rules, strict: bool) -> list[str]:

@@ -14,15 +14,11 @@ from pricewell.operators import rules as R
 def upsert(stored: DataFrame, incoming: DataFrame, keys: list[str], order: list[str], keep_first: tuple[str, ...] = ()) -> DataFrame:
     """The last row of each key by arrival; columns of keep_first stay as first written. Incoming rows are newer than stored."""
     both = stored.withColumn("_new", F.lit(0)).unionByName(incoming.withColumn("_new", F.lit(1)), allowMissingColumns=True)
-    w = Window.partitionBy(*keys)
-    arrival = [F.asc("_new"), *[F.asc(c) for c in order]]
-    last = [F.desc("_new"), *[F.desc(c) for c in order]]
-    both = both.withColumn("_nth", F.row_number().over(w.orderBy(*last)))
-    for c in keep_first:
-        both = both.withColumn(f"_{c}", F.first(c).over(w.orderBy(*arrival).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    if keep_first:
-        both = both.withColumns({c: F.col(f"_{c}") for c in keep_first})
-    return both.where("_nth = 1").drop("_nth", "_new", *[f"_{c}" for c in keep_first])
+    names = [c for c in both.columns if c not in ("_new", *keys)]
+    at = F.struct(F.col("_new"), *[F.col(c) for c in order])
+    made = [F.max_by(F.struct(*names), at).alias("_last"), *[F.min_by(F.struct(F.col(c)), at).alias(f"_{c}") for c in keep_first]]
+    merged = both.groupBy(*keys).agg(*made)
+    return merged.select(*[F.col(c) if c in keys else F.col(f"_{c}")[c].alias(c) if c in keep_first else F.col("_last")[c].alias(c) for c in both.columns if c != "_new"])
 
 
 def seed_tasks(stored: DataFrame, planned: DataFrame, keys: list[str]) -> DataFrame:

@@ -152,21 +152,22 @@ def import_blacklist(spark, d):
     return state.import_blacklist(V.blacklist(spark, d).select("model_id", "enabled"), new).select("model_id", "enabled")
 
 
-@query(f"""WITH {sql.QUOTES} SELECT 'count' AS section, 'quotes' AS name, CAST(count(*) AS VARCHAR) AS value FROM quotes UNION ALL SELECT 'count', 'skus', CAST(count(*) AS VARCHAR) FROM (SELECT DISTINCT {S} FROM quotes) UNION ALL SELECT 'file', 'all there', 'true' UNION ALL SELECT 'version', 'app', '1.2'""")
+@query(f"""WITH {sql.QUOTES} SELECT 'count' AS section, 'quotes' AS name, CAST(count(*) AS VARCHAR) AS value FROM quotes UNION ALL SELECT 'count', 'skus', CAST(count(*) AS VARCHAR) FROM (SELECT DISTINCT {S} FROM quotes) UNION ALL SELECT 'file', 'skus/'||brand_title, CAST(sum(strlen(concat_ws(',', series_title, model_title, group_title, condition_bucket))+1) AS VARCHAR) FROM (SELECT DISTINCT {S} FROM quotes) GROUP BY brand_title UNION ALL SELECT 'version', 'app', '1.2'""")
 def release_manifest(spark, d):
-    """Row counts, versions, and whether files with their sizes are listed."""
+    """Row counts, versions, and the size of each folder of the release, by the sizes of its files."""
     folder, rows = new_dir(spark, "release"), V.quotes(spark, d)
     skus = rows.select(*reports.LINE).distinct()
-    skus.write.option("header", True).csv(f"{folder}/skus")
+    skus.write.partitionBy("brand_title").csv(f"{folder}/skus")
     made = sinks.release_manifest(spark, folder, {"quotes": rows, "skus": skus}, {"app": "1.2"})
-    files = made.where("section = 'file'").agg(((F.count(F.lit(1)) > 0) & (F.sum(F.col("value").cast("long")) > 0) & F.min(F.startswith("name", F.lit("skus/")))).cast("string").alias("value"))
-    return made.where("section <> 'file'").unionByName(files.select(F.lit("file").alias("section"), F.lit("all there").alias("name"), "value"))
+    brand = F.concat(F.lit("skus/"), F.url_decode(F.regexp_extract("name", "brand_title=([^/]+)/", 1)))
+    files = made.where("section = 'file'").groupBy(brand.alias("name")).agg(F.sum(F.col("value").cast("long")).cast("string").alias("value"))
+    return made.where("section <> 'file'").unionByName(files.select(F.lit("file").alias("section"), "name", "value"))
 
 
-@query("""WITH w AS (SELECT doc_id, trim(x, ' ') AS x, i FROM (SELECT doc_id, unnest(string_split(coalesce(text,''), ' ')[1:40]) AS x, generate_subscripts(string_split(coalesce(text,''), ' ')[1:40], 1) AS i FROM documents)), f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(x) ORDER BY i) AS n FROM w WHERE x<>'') SELECT doc_id, coalesce(string_agg(CASE WHEN n=1 THEN x END, ' ' ORDER BY i),'') AS labels FROM documents LEFT JOIN f USING (doc_id) GROUP BY doc_id""")
+@query("""WITH w AS (SELECT doc_id, trim(x, ' ') AS x, i FROM (SELECT doc_id, unnest(string_split(coalesce(text,''), ' ')) AS x, generate_subscripts(string_split(coalesce(text,''), ' '), 1) AS i FROM documents)), f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(x) ORDER BY i) AS n FROM w WHERE x<>'') SELECT doc_id, coalesce(string_agg(CASE WHEN n=1 THEN x END, ' ' ORDER BY i),'') AS labels FROM documents LEFT JOIN f USING (doc_id) GROUP BY doc_id""")
 def distinct_labels(spark, d):
-    """Ordered distinct texts, case-folded, of the labels that each text begins with (its first forty)."""
-    words = F.slice(F.split(F.coalesce("text", F.lit("")), " "), 1, 40)
+    """Ordered distinct texts, case-folded, of all words of each text."""
+    words = F.split(F.coalesce("text", F.lit("")), " ")
     return V.table(spark, d, "documents").select("doc_id", F.array_join(P.distinct_texts(words), " ").alias("labels"))
 
 
