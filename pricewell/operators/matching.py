@@ -271,24 +271,40 @@ def category_score(terms: Terms) -> Column:
 HINTS = ["brand_hints", "series_hints", "category_intents", "bare_model", "wants_device", "capacity_hints", "color_hints"]
 
 
-def search(readings: DataFrame, contexts: DataFrame, candidates: DataFrame, most: int = 6, block: bool = True, terms: Terms = Terms()) -> DataFrame:  # noqa: B008
-    """The best `most` families of every phrase, ranked; phrases that only refine find nothing.
-
-    The text score of a pair is that of its best reading, or of its best core (the reading without capacities and
-    colours), which counts more; brand, series, category, capacity and colour hints and popularity come on top."""
-    asked = readings.join(contexts.where("not only_refinement").select("query"), "query", "left_semi")
-    text = lambda norm, tokens, bonus: F.struct(F.col(norm).alias("norm"), F.col(tokens).alias("tokens"), F.lit(bonus).alias("bonus"))
-    asked = asked.select("query", F.explode(F.array(text("norm", "tokens", 0), text("core", "core_tokens", CORE))).alias("t")).select("query", "t.*").where("norm <> ''")
-    asked = settle(asked.withColumn("text", F.concat_ws("#", "norm", F.array_join("tokens", "#"))).distinct(), "asked")
-    texts = asked.select("text", "norm", "tokens").distinct()  # phrases share many of them; each is scored once
-    families = candidates.select("candidate_id", "all_text", "label_norm", "series_norm", "alias_lines", "first_lines", "second_lines")
-    if block:
-        pairs = block_pairs(texts, "text", F.array_union("tokens", F.array("norm")), families, "candidate_id", "all_text").join(texts, "text").join(families, "candidate_id")
-    else:
-        pairs = texts.join(families, how="cross")
-    sums, tier = tier_score()
-    pairs = pairs.withColumn("_sums", sums).select("text", "candidate_id", tier.alias("tier")).where("tier >= 0")
-    per = settle(pairs, "tiers").join(asked.select("query", "text", "bonus"), "text").groupBy("query", "candidate_id").agg(F.max(F.col("tier") + F.col("bonus")).alias("tier"))
+def term_postings(terms: DataFrame, families: DataFrame) -> DataFrame:
+    """(term, candidate_id, impact): the families with a term in their texts, and the most it can add to a score there."""
+    own = families.select("candidate_id", F.explode(all_grams(F.col("all_text"))).alias("g"))
+    met = rarest_grams(terms, "term", F.array("term"), families, "all_text").join(own, "g").select("term", "candidate_id")
+    texts = families.select("candidate_id", "all_text", "first_lines", "second_lines")
+    impact = F.when(F.contains("first_lines", F.col("term")), FIRST_TOKEN).when(F.contains("second_lines", F.col("term")), SECOND_TOKEN).otherwise(0)
+    return met.join(texts, "candidate_id").where(F.contains("all_text", F.col("term"))).select("term", "candidate_id", impact.alias("impact"))
+
+
+def _terms_of(texts: DataFrame) -> DataFrame:
+    """Texts with the terms that a family of theirs must have: the tokens beside the text itself, or else the text."""
+    others = F.filter("tokens", lambda t: (t != "") & (t != F.col("norm")))
+    return texts.withColumn("n", F.size(others)).withColumn("terms", F.when(F.size(others) > 0, F.array_distinct(others)).otherwise(F.array("norm")))
+
+
+def _ordered(texts: DataFrame, postings: DataFrame) -> DataFrame:
+    """Texts with their terms by how few families have them, and `most`: for m = 0, 1, ... the most that a family without m
+    of the terms can score. Without any term missing there is no bound; with one missing no text tier holds, the missing
+    ones cost, and the others add their impacts at most."""
+    sizes = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("impact").alias("impact"))
+    one = F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term", F.coalesce("impact", F.lit(0)).alias("impact"), "times")
+    times = F.size(F.filter("tokens", lambda t: t == F.col("term")))
+    terms = texts.withColumn("term", F.explode("terms")).withColumn("times", F.greatest(times, F.lit(1))).join(_bounded(sizes), "term", "left")
+    out = terms.groupBy("text", "norm", "tokens", "n").agg(F.array_sort(F.collect_list(one)).alias("t"))
+    gains = F.array_sort(F.transform("t", lambda x: x["impact"] * x["times"]))  # least first: those are the ones to be missing
+    whole = F.aggregate("t", F.lit(0), lambda s, x: s + x["impact"] * x["times"])
+    lost = lambda m: F.aggregate(F.slice(F.col("gains"), F.lit(1), m), F.lit(0), lambda s, x: s + x)
+    out = out.withColumns({"gains": gains, "whole": whole})
+    bound = F.transform(F.sequence(F.lit(1), F.size("t")), lambda m: F.when(m < F.size("t"), F.col("whole") - lost(m) + m * MISSED_TOKEN))
+    return out.select("text", "norm", "tokens", "n", F.transform("t", lambda x: x["term"]).alias("terms"), bound.alias("most"))
+
+
+def _with_hints(per: DataFrame, candidates: DataFrame, contexts: DataFrame, terms: Terms) -> DataFrame:
+    """Pairs (query, candidate_id, tier) with their scores; those under 0 and in ruled-out categories are gone."""
     per = per.join(candidates, "candidate_id").join(contexts.select("query", "has_core", *HINTS), "query")
     met = lambda hints, texts: F.size(F.filter(hints, lambda h: F.exists(texts, lambda t: F.contains(t, h))))
     size = F.size
@@ -298,11 +314,104 @@ def search(readings: DataFrame, contexts: DataFrame, candidates: DataFrame, most
     series = F.when(size("series_hints") == 0, 0).when(lines > 0, lines * SERIES_HIT).otherwise(SERIES_MISS)
     sizes = met("capacity_hints", "variant_texts")
     capacity = F.when(size("capacity_hints") == 0, 0).when(sizes > 0, sizes * CAPACITY_HIT).when(F.col("has_core"), -F.least(size("capacity_hints") * 120, F.lit(280))).otherwise(0)
-    popular = F.least("row_count", F.lit(500)) + F.least(F.col("variant_count") * 25, F.lit(180)) + F.least(F.col("source_count") * 4, F.lit(120))
-    score = F.col("tier") + brand + series + category_score(terms) + capacity + met("color_hints", "variant_texts") * COLOR_HIT + popular
-    per = per.withColumns({"score": score, "preferred": (size("brand_hints") > 0) & hinted}).where("score >= 0")
+    score = F.col("tier") + brand + series + category_score(terms) + capacity + met("color_hints", "variant_texts") * COLOR_HIT + popularity()
+    return per.withColumns({"score": score, "preferred": (size("brand_hints") > 0) & hinted}).where("score >= 0")
+
+
+def popularity() -> Column:
+    return F.least("row_count", F.lit(500)) + F.least(F.col("variant_count") * 25, F.lit(180)) + F.least(F.col("source_count") * 4, F.lit(120))
+
+
+def _rest_bounds(contexts: DataFrame, candidates: DataFrame, terms: Terms) -> DataFrame:
+    """(query, preferred, rest): the most that anything but texts can add to a family of a phrase, by whether the phrase
+    names its brand. Hints count only where some family has them."""
+    kinds = candidates.groupBy("category_kind").agg(F.max(popularity()).alias("popular")).withColumn("keyword_text", F.lit(" ".join(w for ws in terms.categories.values() for w in ws)))
+    hints = contexts.select(F.explode(F.array_union("capacity_hints", "color_hints")).alias("term")).distinct()
+    variants = candidates.select("candidate_id", F.array_join("variant_texts", "\n").alias("all_text"))
+    own = variants.select("candidate_id", F.explode(all_grams(F.col("all_text"))).alias("g"))
+    there = rarest_grams(hints, "term", F.array("term"), variants, "all_text").join(own, "g").join(variants, "candidate_id").where(F.contains("all_text", F.col("term"))).select("term").distinct()
+    known = contexts.select("query", F.explode(F.array_union("capacity_hints", "color_hints")).alias("term")).join(_bounded(there), "term").groupBy("query").agg(F.collect_set("term").alias("known"))
+    found = contexts.join(known, "query", "left").withColumn("known", F.coalesce("known", F.array().cast("array<string>")))
+    size = lambda c: F.size(F.filter(c, lambda h: F.array_contains("known", h)))
+    rest = F.size("series_hints") * SERIES_HIT + size("capacity_hints") * CAPACITY_HIT + size("color_hints") * COLOR_HIT
+    named = F.when(F.size("brand_hints") > 0, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))
+    found = found.withColumn("rest", rest).withColumn("preferred", F.explode(named))
+    brand = F.when(F.size("brand_hints") == 0, 0).when(F.col("preferred"), BRAND_HIT).otherwise(BRAND_MISS)
+    scored = found.join(F.broadcast(kinds), how="cross").withColumn("category", category_score(terms)).where("category is not null")  # a few categories
+    return scored.groupBy("query", "preferred").agg(F.max(F.col("rest") + brand + F.col("category") + F.col("popular")).alias("rest"))
+
+
+def search(readings: DataFrame, contexts: DataFrame, candidates: DataFrame, most: int = 6, block: bool = True, terms: Terms = Terms()) -> DataFrame:  # noqa: B008
+    """The best `most` families of every phrase, ranked; phrases that only refine find nothing.
+
+    The text score of a pair is that of its best reading, or of its best core (the reading without capacities and
+    colours), which counts more; brand, series, category, capacity and colour hints and popularity come on top.
+
+    Families are found by bounds, in rounds: in round m those that lack at most m terms of some text of the phrase. Such a
+    family has one of the text's m + 1 rarest terms, so only these terms' postings are read. A phrase is done when what is
+    left cannot reach its last result: families lacking more than m terms of every text score at most the sum of the other
+    terms' greatest impacts, less the missing ones, and the most that its hints can add. block=False scores all pairs."""
+    most = max(1, min(most, 6))
+    contexts = settle(contexts, "contexts")
+    asked = readings.join(contexts.where("not only_refinement").select("query"), "query", "left_semi")
+    text = lambda norm, tokens, bonus: F.struct(F.col(norm).alias("norm"), F.col(tokens).alias("tokens"), F.lit(bonus).alias("bonus"))
+    asked = asked.select("query", F.explode(F.array(text("norm", "tokens", 0), text("core", "core_tokens", CORE))).alias("t")).select("query", "t.*").where("norm <> ''")
+    asked = asked.withColumn("text", F.concat_ws("#", "norm", F.array_join("tokens", "#"))).groupBy("query", "text", "norm", "tokens").agg(F.max("bonus").alias("bonus"))
+    asked = settle(asked, "asked")
+    families = candidates.select("candidate_id", "all_text", "label_norm", "series_norm", "alias_lines", "first_lines", "second_lines")
+    sums, tier = tier_score()
+    parts = int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a few pairs are much work: they are spread
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        """Pairs (query, candidate_id) with the score of their best text."""
+        each = pairs.repartition(parts, "query", "candidate_id").join(asked, "query").join(families, "candidate_id").withColumn("_sums", sums).withColumn("tier", tier).where("tier >= 0")
+        return _with_hints(each.groupBy("query", "candidate_id").agg(F.max(F.col("tier") + F.col("bonus")).alias("tier")), candidates, contexts, terms)
+
     order = [F.desc("preferred"), F.desc("score"), F.desc(bucket_priority(F.col("condition_bucket"))), F.desc("row_count"), F.desc("variant_count"), F.desc("source_count"), F.desc("latest_imported_at"), "candidate_id"]
-    return per.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(*order))).where(F.col("place") <= max(1, min(most, 6))).select("query", "place", "candidate_id", "score", "brand_title", "series_title", "family_title")
+    best = lambda df: df.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(*order))).where(F.col("place") <= most)
+    if not block:
+        return best(scored(asked.select("query").distinct().join(candidates.select("candidate_id"), how="cross"))).select("query", "place", "candidate_id", "score", "brand_title", "series_title", "family_title")
+    texts = settle(_terms_of(asked.select("text", "norm", "tokens").distinct()), "texts")
+    postings = settle(term_postings(texts.select(F.explode("terms").alias("term")).distinct(), families), "postings")
+    texts = settle(_ordered(texts, postings), "ordered-texts")
+    rest = settle(_rest_bounds(contexts, candidates, terms), "rest-bounds")
+    bounds = settle(asked.join(texts.select("text", "terms", "most"), "text").select("query", "text", "bonus", "terms", "most"), "bounds")
+    longest = texts.agg(F.max(F.size("terms"))).first()[0] or 0
+    hinted = contexts.select("query", F.explode("brand_hints").alias("brand")).join(asked.select("query").distinct(), "query", "left_semi")
+    columns = ["query", "candidate_id", "preferred", "score", "condition_bucket", "row_count", "variant_count", "source_count", "latest_imported_at", "brand_title", "series_title", "family_title"]
+    found = None
+    for preferred in (True, False):
+        # families of a brand that the phrase names come before all others: the others count where these are too few
+        if preferred:
+            asks, posted = bounds.join(hinted, "query"), postings.join(candidates.select("candidate_id", F.col("brand_title").alias("brand")), "candidate_id")
+        else:
+            full = [] if found is None else [found.where(F.col("place") == most).select("query")]
+            asks, posted = bounds.withColumn("brand", F.lit("")), postings.withColumn("brand", F.lit(""))
+            for df in full:
+                asks = asks.join(df, "query", "left_anti")
+        asks = settle(asks, "asks")
+        if asks.isEmpty():
+            continue
+        seen = None
+        for m in range(longest):
+            reach = asks.where(F.size("terms") > m).select("text", "brand", "terms").distinct().repartition(parts, "text").withColumn("term", F.explode(F.slice("terms", 1, m + 1)))
+            missing = F.size(F.filter("terms", lambda t: ~F.contains("all_text", t)))
+            near = reach.join(posted.select("term", "brand", "candidate_id"), ["term", "brand"]).join(families.select("candidate_id", "all_text"), "candidate_id").where(missing <= m)
+            pairs = near.select("text", "brand", "candidate_id").distinct().join(asks.select("query", "text", "brand"), ["text", "brand"]).select("query", "candidate_id").distinct()
+            pairs = settle(pairs if seen is None else pairs.join(seen, ["query", "candidate_id"], "left_anti"), "pairs")
+            seen = pairs if seen is None else seen.unionByName(pairs)
+            made = scored(pairs).where(F.col("preferred") == preferred).select(columns)
+            found = settle(best(made if found is None else made.unionByName(found.select(columns))), "best")
+            last = found.where(F.col("place") == most).select("query", F.col("preferred").alias("last_preferred"), F.col("score").alias("last_score"))
+            # a family that lacks more than m terms of a text can reach a place by it only if the text's bound does
+            could = asks.withColumn("could", F.get("most", F.lit(m)) + F.col("bonus")).where("could is not null").join(rest.where(F.col("preferred") == preferred).drop("preferred"), "query").withColumn("could", F.col("could") + F.col("rest"))
+            could = could.where("could >= 0").join(last, "query", "left").where(F.col("last_score").isNull() | ((F.col("last_preferred") == preferred) & (F.col("could") >= F.col("last_score"))))
+            asks = settle(could.select(asks.columns), "asks")
+            if asks.isEmpty():
+                break
+    if found is None:
+        found = best(scored(asked.select("query", F.lit("").alias("candidate_id")).limit(0)))
+    return found.select("query", "place", "candidate_id", "score", "brand_title", "series_title", "family_title")
 
 
 def hot_list(candidates: DataFrame, kind: Column, most: int = 8) -> DataFrame:
