@@ -7,13 +7,11 @@ from __future__ import annotations
 
 import os
 import sys
-import time
 import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +19,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from pricewell.operators import state as S
 from pricewell.sources import sinks
+from pricewell.streaming.stores import LastRows, SeenIds, there
 
 
 def read_parquet_stream(spark: SparkSession, path: str, schema: T.StructType, files: int = 1) -> DataFrame:
@@ -32,28 +31,51 @@ def drop_repeated(events: DataFrame, key: list[str], ttl: str = "24 hours", at:
     return events.withWatermark(at, ttl).dropDuplicatesWithinWatermark(key)
 
 
-def _there(read: Callable[[], DataFrame]) -> DataFrame | None:
-    """The table, or None where nothing was written yet."""
-    try:
-        return read()
-    except AnalysisException as e:
-        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise
-    return None
+def process_once(spark: SparkSession, out: str, key: str = "message_id") -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: appends messages that no earlier batch had, by a table of ids (stores.SeenIds)."""
+    return SeenIds(spark, out, key).write
 
 
-def process_once(spark: SparkSession, out: str, key: str = "message_id") -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: appends messages that no earlier batch had. State lives in a table, not in the state store; a
-    batch that is run again writes its own folder again."""
+def _micros(t: pd.Timestamp) -> int:
+    """Microseconds since 1970; as whole numbers, since they come back out."""
+    return t.value // 1000
 
-    def sink(batch: DataFrame, epoch: int) -> None:
-        new = batch.dropDuplicates([key])
-        done = _there(lambda: spark.read.parquet(out))
-        if done is not None:
-            new = new.join(done.where(F.col("epoch") != epoch).select(key), key, "left_anti")
-        new.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
-    return sink
+class Renewed(StatefulProcessor):
+    """One state per key: when it was last seen. A row passes if the key was not seen for `seconds`; every sight renews."""
+
+    def __init__(self, seconds: float, at: str) -> None:
+        self.renew, self.at = int(seconds * 1_000_000), at
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.last = handle, handle.getValueState("last", T.StructType([T.StructField("us", T.LongType())]))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        last = self.last.get()[0] if self.last.exists() else None
+        for chunk in rows:
+            chunk = chunk.sort_values(self.at)
+            us = chunk[self.at].map(_micros)
+            before = us.shift(fill_value=us.iloc[0] - self.renew - 1 if last is None else last)
+            last = us.iloc[-1] if last is None else max(us.iloc[-1], last)
+            yield chunk[us - before > self.renew]
+        self.last.update((int(last),))
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        self.handle.registerTimer((int(last) + self.renew) // 1000 + 1)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.last.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def drop_renewed(events: DataFrame, key: list[str], seconds: float, at: str = "ts", delay: str = "0 seconds") -> DataFrame:
+    """Rows of each key that come more than `seconds` after the key's last sight, whether that passed or not. The state is
+    let go when the watermark passes the end of the time to live. Needs the RocksDB state store."""
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    return events.withWatermark(at, delay).groupBy(*key).transformWithStateInPandas(Renewed(seconds, at), events.schema, "Append", "EventTime")
 
 
 def count_by(events: DataFrame, column: str) -> DataFrame:
@@ -62,24 +84,13 @@ def count_by(events: DataFrame, column: str) -> DataFrame:
 
 
 def upsert_log(spark: SparkSession, table: str, keys: list[str], order: list[str]) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: last status per key. Each attempt writes a folder of its own, and then a line that names it; a
-    batch that is run again starts from the version of the batch before it, so a lost attempt leaves nothing behind."""
-
-    def sink(batch: DataFrame, epoch: int) -> None:
-        log = _there(lambda: spark.read.parquet(f"{table}/versions"))
-        before = log.where(F.col("epoch") < epoch).orderBy(F.desc("epoch"), F.desc("at")).limit(1).collect() if log is not None else []  # one line
-        stored = spark.read.parquet(f"{table}/{before[0]['version']}") if before else batch.limit(0)
-        version = f"v{epoch}-{uuid.uuid4().hex}"
-        S.upsert(stored, batch, keys, order).write.parquet(f"{table}/{version}")
-        spark.range(1).select(F.lit(epoch).cast("long").alias("epoch"), F.lit(version).alias("version"), F.lit(time.time_ns()).alias("at")).coalesce(1).write.mode("append").parquet(f"{table}/versions")
-
-    return sink
+    """For foreachBatch: last status per key, merged when read (stores.LastRows)."""
+    return LastRows(spark, table, keys, order).write
 
 
 def current_version(spark: SparkSession, table: str) -> DataFrame:
     """The table that upsert_log has made so far."""
-    newest = spark.read.parquet(f"{table}/versions").orderBy(F.desc("epoch"), F.desc("at")).first()
-    return spark.read.parquet(f"{table}/{newest['version']}")
+    return LastRows.of(spark, table).read()
 
 
 def on_change(spark: SparkSession, state_path: str, marker: Callable[[], str], rebuild: Callable[[int], None]) -> Callable[[DataFrame, int], None]:
@@ -88,7 +99,7 @@ def on_change(spark: SparkSession, state_path: str, marker: Callable[[], str], r
 
     def sink(batch: DataFrame, epoch: int) -> None:
         now = marker()
-        known = _there(lambda: sinks.get_state(spark, state_path, "index_marker"))
+        known = there(lambda: sinks.get_state(spark, state_path, "index_marker"))
         last = known.first() if known is not None else None
         if last is None or last["state_value"] != now:
             rebuild(epoch)
@@ -97,8 +108,8 @@ def on_change(spark: SparkSession, state_path: str, marker: Callable[[], str], r
     return sink
 
 
-SESSION = T.StructType([T.StructField("phase", T.StringType()), T.StructField("since", T.DoubleType()), T.StructField("turns", T.LongType())])
-SESSION_OUT = "user_id string, message_id string, phase string, turns long, expired boolean"
+SESSION = T.StructType([T.StructField("phase", T.StringType()), T.StructField("since", T.LongType()), T.StructField("turns", T.LongType()), T.StructField("lapsed", T.BooleanType())])
+SESSION_OUT = "user_id string, message_id string, phase string, turns long, expired boolean, at timestamp"
 PENDING = ("awaiting_choice", "awaiting_image")
 
 
@@ -114,36 +125,140 @@ def next_phase(phase: str, intent: str) -> str:
 
 
 class Sessions(StatefulProcessor):
-    """One state per user: phase, when it began, turns. A pending phase older than `minutes` is idle again; that is
-    looked at when the next message comes, so no timer emits anything."""
+    """One state per user: phase, when it began, turns. A pending phase is idle again after `minutes`: a timer says so
+    when the watermark passes, or the next message if that comes first; either way one row without a message tells it."""
 
     def __init__(self, minutes: float = 15) -> None:
-        self.seconds = minutes * 60
+        self.wait = int(minutes * 60_000_000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.value = handle.getValueState("session", SESSION)
+        self.handle, self.value = handle, handle.getValueState("session", SESSION)
+
+    def _lapse(self, key, since: int, turns: int) -> tuple:
+        return (key[0], None, "idle", turns, True, pd.Timestamp(since + self.wait, unit="us"))
+
+    def _rows(self, rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["user_id", "message_id", "phase", "turns", "expired", "at"])
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        phase, since, turns = self.value.get() if self.value.exists() else ("idle", 0.0, 0)
-        got = pd.concat(list(rows)).sort_values(["ts", "message_id"])
-        out = []
-        for r in got.itertuples():
-            at = r.ts.timestamp()
-            expired = phase in PENDING and at - since > self.seconds
-            phase = next_phase("idle" if expired else phase, r.intent)
-            since, turns = at, turns + 1
-            out.append((key[0], r.message_id, phase, turns, expired))
-        self.value.update((phase, since, turns))
-        yield pd.DataFrame(out, columns=["user_id", "message_id", "phase", "turns", "expired"])
+        phase, since, turns, lapsed = self.value.get() if self.value.exists() else ("idle", 0, 0, False)
+        for chunk in rows:
+            out = []
+            for r in chunk.sort_values(["ts", "message_id"]).itertuples():
+                at = _micros(r.ts)
+                if phase in PENDING and at - since > self.wait:
+                    out.append(self._lapse(key, since, turns))
+                    phase, lapsed = "idle", True
+                phase = next_phase(phase, r.intent)
+                since, turns = at, turns + 1
+                out.append((key[0], r.message_id, phase, turns, lapsed, pd.Timestamp(at, unit="us")))
+                lapsed = False
+            yield self._rows(out)
+        self.value.update((phase, since, turns, lapsed))
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        if phase in PENDING:
+            self.handle.registerTimer((since + self.wait) // 1000 + 1)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        phase, since, turns, lapsed = self.value.get()
+        if phase in PENDING:
+            self.value.update(("idle", since, turns, True))
+            yield self._rows([self._lapse(key, since, turns)])
 
     def close(self) -> None:
         pass
 
 
-def sessions(messages: DataFrame, minutes: float = 15) -> DataFrame:
+def sessions(messages: DataFrame, minutes: float = 15, delay: str = "0 seconds") -> DataFrame:
     """messages: user_id, message_id, ts, intent. Needs the RocksDB state store (spark.sql.streaming.stateStore.providerClass)."""
     cloudpickle.register_pickle_by_value(sys.modules[__name__])  # the state worker does not see shipped packages
-    return messages.groupBy("user_id").transformWithStateInPandas(Sessions(minutes), SESSION_OUT, "Append", "None")
+    return messages.withWatermark("ts", delay).groupBy("user_id").transformWithStateInPandas(Sessions(minutes), SESSION_OUT, "Append", "EventTime")
+
+
+ITEM = T.StructType([T.StructField("status", T.StringType()), T.StructField("opened", T.LongType()), T.StructField("attempts", T.LongType()), T.StructField("claimed", T.LongType())])
+CLAIM = T.StructType([T.StructField("id", T.LongType())])
+ARCHIVE = "task_key string, opened_id long, closed_id long, outcome string, attempts long, claims string"
+
+
+class WorkQueue(StatefulProcessor):
+    """One open item per task key: queued, or processing since a claim; a list of its claims. A claim that is not closed
+    within `lease` seconds lapses by a timer. A failed item waits again until its attempts are used up; completed and
+    given-up items leave for the archive."""
+
+    def __init__(self, lease: float, most: int) -> None:
+        self.lease, self.most = int(lease * 1_000_000), most
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.item, self.claims = handle, handle.getValueState("item", ITEM), handle.getListState("claims", CLAIM)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        item = self.item.get() if self.item.exists() else None
+        for chunk in rows:
+            out = []
+            for r in chunk.sort_values(["ts", "id"]).itertuples():
+                status, opened, attempts, claimed = item or (None, 0, 0, 0)
+                at = _micros(r.ts)
+                if status == "processing" and at - claimed > self.lease:
+                    status = "queued"
+                if r.action == "queue" and status is None:
+                    item = ("queued", r.id, 0, 0)
+                elif r.action == "claim" and status == "queued":
+                    item = ("processing", opened, attempts + 1, at)
+                    self.claims.appendValue((r.id,))
+                elif r.action in ("complete", "fail") and status == "processing" and (r.action == "complete" or attempts >= self.most):
+                    claims = ",".join(str(c[0]) for c in self.claims.get())
+                    out.append((key[0], opened, r.id, "completed" if r.action == "complete" else "given_up", attempts, claims))
+                    self.claims.clear()
+                    item = None
+                elif status is not None:
+                    item = ("queued" if r.action == "fail" else status, opened, attempts, claimed)
+            yield pd.DataFrame(out, columns=["task_key", "opened_id", "closed_id", "outcome", "attempts", "claims"])
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        if item is None:
+            self.item.clear()
+            return
+        self.item.update(item)
+        if item[0] == "processing":
+            self.handle.registerTimer((item[3] + self.lease) // 1000 + 1)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        status, opened, attempts, claimed = self.item.get()
+        if status == "processing":
+            self.item.update(("queued", opened, attempts, claimed))
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def work_queue(actions: DataFrame, lease_seconds: float = 1800, most_attempts: int = 3, delay: str = "0 seconds") -> DataFrame:
+    """actions: task_key, id, ts, action (queue, claim, complete, fail); the archive of closed items."""
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    return actions.withWatermark("ts", delay).groupBy("task_key").transformWithStateInPandas(WorkQueue(lease_seconds, most_attempts), ARCHIVE, "Append", "EventTime")
+
+
+def gap_counts(events: DataFrame) -> DataFrame:
+    """A batch's part of the gap lifecycle of each task; parts add up (see gap_sink)."""
+    return S.gap_lifecycle(events).join(events.groupBy("task_key").agg(F.max("id").alias("last_id")), "task_key")
+
+
+def gap_sink(spark: SparkSession, path: str) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: every task's lifecycle so far, as a table of last rows: a batch's part is added to what the table
+    has of its tasks from other epochs."""
+    store = LastRows(spark, path, ["task_key"], ["last_id"])
+
+    def sink(batch: DataFrame, epoch: int) -> None:
+        part = gap_counts(batch)
+        if epoch:
+            known = store.read(before=epoch).select("task_key", *[F.col(c).alias(f"_{c}") for c in ("first_detected", "attempts", "last_event", "n_events", "last_id")])
+            zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+            newer = F.coalesce(F.col("_last_id") > F.col("last_id"), F.lit(False))
+            part = part.join(known, "task_key", "left").select("task_key", F.least("first_detected", "_first_detected").alias("first_detected"), (F.col("attempts") + zero("_attempts")).alias("attempts"), F.when(newer, F.col("_last_event")).otherwise(F.col("last_event")).alias("last_event"), (F.col("n_events") + zero("_n_events")).alias("n_events"), F.greatest("last_id", "_last_id").alias("last_id"))
+        store.write(part, epoch)
+
+    return sink
 
 
 def session_windows(messages: DataFrame, gap: str = "15 minutes") -> DataFrame:
