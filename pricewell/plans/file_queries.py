@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
@@ -9,11 +11,13 @@ from pyspark.sql.types import BinaryType
 
 from pricewell.functions import columns as P
 from pricewell.operators import reports, state, textscan
+from pricewell.operators import rules as R
 from pricewell.plans import sql
 from pricewell.plans.sql import S
 from pricewell.settled import new_dir
-from pricewell.sources import readers, schemas, sinks
+from pricewell.sources import readers, schemas, sinks, versions
 from pricewell.sources import views as V
+from pricewell.sources.versions import Versions
 
 QUERIES, ORACLES = {}, {}
 
@@ -140,10 +144,43 @@ def published_runs(spark, d):
         sinks.publish(rows.where(F.col("run_key") == run).drop("run_key"), path, states, run, f"2026-01-01 00:00:{at:02d}", events)
     live = sinks.live_state(sinks.get_state(spark, states, "live_run")).select(F.col("run_key").alias("live_key"))
     told = spark.read.parquet(events).groupBy("run_key").agg(F.max_by(F.from_json("details_json", "n long")["n"], "ts").alias("published"))
-    kept = spark.read.parquet(path).groupBy("run_key").agg(F.count(F.lit(1)).alias("n")).join(told, "run_key").join(F.broadcast(live), how="cross")
+    kept = Versions(spark, path).read().groupBy("run_key").agg(F.count(F.lit(1)).alias("n")).join(told, "run_key").join(F.broadcast(live), how="cross")
     return kept.select(F.col("run_key").cast("string").alias("run_key"), "n", (F.col("run_key") == F.col("live_key")).alias("live"), "published")
 
 
+@query(f"""WITH {sql.QUOTES}, q AS (SELECT *, CAST(substr(run_key,5,4) AS INT) % 2 = 1 AND condition_bucket='open_excluded' AS stale FROM quotes) SELECT run_key, count(*) AS n, count(CASE WHEN stale THEN 1 END) AS updated, bool_or(stale) AS rewritten, sum(CASE WHEN condition_bucket='open_excluded' THEN 1 ELSE is_target_price END)::BIGINT AS targets FROM q GROUP BY 1""")
+def written_back(spark, d):
+    """Stored rows classified again under changed rules; runs with a change are rewritten under a new version and
+    logged, other runs (here the even ones, which the changed rules have classified already) keep their files. Done twice:
+    the second time nothing changes."""
+    path, events = new_dir(spark, "stored"), new_dir(spark, "events")
+    table, changed, raw = Versions(spark, path), replace(V.demo_rules(), open_exclude=()), V.raw_quotes(spark, d)
+    odd = F.substring("run_key", 5, 4).cast("int") % 2 == 1
+    rows = R.classify(raw.where(odd), V.demo_rules()).unionByName(R.classify(raw.where(~odd), changed))
+    table.replace(rows.select("run_key", "id", "brand_title", "series_title", "model_title", "group_title", "dstatus", "activation", "condition_bucket", "is_target_price"))
+    before = table.snapshot()
+    versions.write_back(table, changed, ["condition_bucket", "is_target_price"], "2026-01-01 00:00:00", events)
+    again = versions.write_back(table, changed, ["condition_bucket", "is_target_price"], "2026-01-02 00:00:00", events)
+    after = spark.createDataFrame([(p, v != before[p]) for p, v in table.snapshot().items()], "run_key string, rewritten boolean")  # a row for each run
+    told = spark.read.parquet(events).select("run_key", F.from_json("details_json", "updated long")["updated"].alias("told"))
+    rows = table.read().groupBy("run_key").agg(F.count(F.lit(1)).alias("n"), F.sum("is_target_price").alias("targets"))
+    out = rows.join(after, "run_key").join(told, "run_key", "left").join(again.where("updated = 0").select("run_key"), "run_key")
+    return out.select("run_key", "n", F.coalesce("told", F.lit(0)).alias("updated"), "rewritten", "targets")
+
+
+@query(f"""WITH {sql.QUOTES}, t AS (SELECT DISTINCT run_key, task_key FROM quotes WHERE run_key IN ('run_1994-01-01','run_1996-01-01') AND CAST(task_key AS BIGINT) % 5 = 0) SELECT run_key, count(*) AS n, count(CASE WHEN (run_key, task_key) IN (SELECT (run_key, task_key) FROM t) THEN 1 END) AS replaced, run_key IN ('run_1994-01-01','run_1996-01-01') AS rewritten FROM (SELECT run_key, task_key FROM quotes WHERE (run_key, task_key) NOT IN (SELECT (run_key, task_key) FROM t) UNION ALL SELECT * FROM t) GROUP BY 1""")
+def replaced_in_place(spark, d):
+    """A run's rows of some tasks replaced by one row each, in stored partitions; other runs keep their files."""
+    table, rows = Versions(spark, new_dir(spark, "stored")), V.quotes(spark, d).select("run_key", "task_key", "price_text")
+    table.replace(rows)
+    before = table.snapshot()
+    some = rows.where(F.col("run_key").isin("run_1994-01-01", "run_1996-01-01") & (F.col("task_key").cast("long") % 5 == 0)).select("run_key", "task_key").distinct()
+    versions.replace_task_rows(table, some.withColumn("price_text", F.lit("new")), ["task_key"])
+    after = spark.createDataFrame([(p, v != before.get(p)) for p, v in table.snapshot().items()], "run_key string, rewritten boolean")  # a row for each run
+    made = table.read().groupBy("run_key").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("price_text") == "new", 1)).alias("replaced"))
+    return made.join(after, "run_key")
+
+
 @query(f"""WITH {sql.BLACKLIST}, n AS (SELECT CAST(p_partkey AS VARCHAR) AS model_id, CASE WHEN p_partkey % 2 = 0 THEN '0' ELSE '1' END AS enabled FROM part WHERE p_size % 15 = 0) SELECT coalesce(n.model_id, b.model_id) AS model_id, coalesce(n.enabled, b.enabled) AS enabled FROM blacklist b FULL JOIN n ON b.model_id=n.model_id""")
 def import_blacklist(spark, d):
     """A blacklist upserted by model id, enabled flags parsed."""

@@ -113,6 +113,17 @@ def query_context(spark, d):
     return X.context(_readings(spark, d), TERMS)
 
 
+@query("""WITH p AS (SELECT DISTINCT unnest(string_split(lower(regexp_replace(p_name,'^([a-z])([a-z])','\\2\\1')),' ')) AS token FROM part), t AS (SELECT token FROM p WHERE regexp_matches(token,'^[a-z]{3,}$')), l AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text),'[a-z]{3,12}')) AS word FROM documents UNION SELECT DISTINCT unnest(string_split(lower(p_name),' ')) FROM part),
+m AS (SELECT token, word, damerau_levenshtein(token, word) AS d FROM t, l WHERE abs(length(token)-length(word)) <= 2), n AS (SELECT *, row_number() OVER (PARTITION BY token ORDER BY d, word) AS k FROM m WHERE d <= CASE WHEN length(word)<=5 THEN 1 ELSE 2 END) SELECT token, word FROM n WHERE k=1""")
+def mended_words(spark, d):
+    """Misspelt words of product names against the lexicon of all words of documents and names, by shortened forms."""
+    part, docs = V.table(spark, d, "part"), V.table(spark, d, "documents")
+    tokens = part.select(F.explode(F.split(F.lower(F.regexp_replace("p_name", "^([a-z])([a-z])", "$2$1")), " ")).alias("token"))
+    words = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{3,12})"), F.lit(1))).alias("word")).unionByName(part.select(F.explode(F.split(F.lower("p_name"), " ")).alias("word")))
+    lexicon = settle(words.distinct().withColumn("place", F.col("word")), "lexicon")
+    return X.mends(tokens.where(F.col("token").rlike("^[a-z]{3,}$")), lexicon)
+
+
 def _search(spark, d):
     readings = settle(_readings(spark, d), "readings")
     families = settle(T.model_candidates(skus(spark, d), TERMS), "families")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pricewell.operators import rules as R
 from pricewell.sources import readers, schemas
+from pricewell.sources.versions import Versions
 
 
 def replace_partitions(df: DataFrame, path: str, by: str = "run_key") -> None:
@@ -20,7 +21,8 @@ def append_quotes(df: DataFrame, path: str) -> None:
 
 def import_run(spark: SparkSession, csv_path: str, table_path: str, rules: R.Rules, run_key: str, imported_at: str) -> DataFrame:
     """A CSV run classified and put in place of the run's old rows; returns what was written."""
-    rows = readers.read_csv(spark, csv_path, schemas.QUOTE_CSV).withColumns({"run_key": F.lit(run_key), "imported_at": F.lit(imported_at), "id": F.monotonically_increasing_id()})
+    rows = readers.read_csv(spark, csv_path, schemas.QUOTE_CSV).withColumns({"run_key": F.lit(run_key), "imported_at": F.lit(imported_at)})
+    rows = rows.withColumn("id", F.xxhash64(*rows.columns).bitwiseAND(F.lit((1 << 60) - 1)))  # the same for a repeated task, another in other runs
     replace_partitions(R.classify(rows, rules), table_path)
     return spark.read.parquet(table_path).where(F.col("run_key") == run_key)
 
@@ -45,12 +47,14 @@ def live_state(state: DataFrame, summary: str = "run_key string, published_at st
 
 
 def publish(snapshots: DataFrame, path: str, state_path: str, run_key: str, published_at: str, events_path: str | None = None) -> None:
-    """Replaces the run's snapshots, then points to them, then logs that they were published."""
-    replace_partitions(snapshots.withColumns({"run_key": F.lit(run_key), "published_at": F.lit(published_at)}), path)
+    """Replaces the run's snapshots under a new version (versions.Versions), then points to them, then logs that they were
+    published; a reader meanwhile finds the run's old rows."""
     spark = snapshots.sparkSession
+    table = Versions(spark, path)
+    table.replace(snapshots.withColumns({"run_key": F.lit(run_key), "published_at": F.lit(published_at)}), [run_key])
     set_state(spark, state_path, "live_run", run_key, published_at)
     if events_path:
-        n = spark.read.parquet(path).where(F.col("run_key") == run_key).agg(F.count(F.lit(1)).alias("n"))
+        n = table.read(only=[run_key]).agg(F.count(F.lit(1)).alias("n"))
         event = n.select(F.lit(run_key).alias("run_key"), F.lit("publish_live_market").alias("event_type"), F.lit(published_at).alias("ts"), F.to_json(F.struct("n")).alias("details_json"))
         event.coalesce(1).write.mode("append").parquet(events_path)
 
