@@ -167,11 +167,18 @@ def stream_renewed(spark, d):
 
 
 #: A state machine over each user's events in order; e has user_id, n (from 1), at (epoch microseconds), intent.
-_MACHINE = """e AS (SELECT CAST(user_id AS VARCHAR) AS user_id, epoch_us(ts) AS us, CASE event_type WHEN 'click' THEN 'choice' WHEN 'error' THEN 'reset' WHEN 'purchase' THEN 'image' ELSE 'query' END AS intent, row_number() OVER (PARTITION BY user_id ORDER BY ts, CAST(event_id AS VARCHAR)) AS n FROM events),
+_MACHINE = """e AS (SELECT CAST(user_id AS VARCHAR) AS user_id, CAST(event_id AS VARCHAR) AS message_id, epoch_us(ts) AS us, CASE event_type WHEN 'click' THEN 'choice' WHEN 'error' THEN 'reset' WHEN 'purchase' THEN 'image' ELSE 'query' END AS intent, row_number() OVER (PARTITION BY user_id ORDER BY ts, CAST(event_id AS VARCHAR)) AS n FROM events),
 s AS (SELECT user_id, 0::BIGINT AS n, 'idle' AS phase, 0::BIGINT AS us FROM e WHERE n=1 UNION ALL SELECT user_id, e.n, CASE intent WHEN 'reset' THEN 'idle' WHEN 'image' THEN 'awaiting_image' WHEN 'choice' THEN CASE WHEN was='awaiting_choice' THEN 'ready' ELSE was END ELSE 'awaiting_choice' END, e.us
  FROM (SELECT s.user_id, s.n, e.n AS m, CASE WHEN s.phase IN ('awaiting_choice','awaiting_image') AND e.us-s.us > 900000000 THEN 'idle' ELSE s.phase END AS was FROM s JOIN e ON e.user_id=s.user_id AND e.n=s.n+1) x JOIN e USING (user_id) WHERE e.n=x.m)"""
 
 
+@query(f"""WITH RECURSIVE {_MACHINE}, m AS (SELECT s.user_id, s.n, message_id, phase, s.us, lag(phase) OVER w AS was, lag(s.us) OVER w AS before FROM s JOIN e ON e.user_id=s.user_id AND e.n=s.n WINDOW w AS (PARTITION BY s.user_id ORDER BY s.n)) SELECT user_id, message_id, phase, n AS turns, coalesce(was IN ('awaiting_choice','awaiting_image') AND us-before > 900000000, false) AS expired FROM m""")
+def stream_sessions(spark, d):
+    """The session state machine."""
+    with _rocks(spark):
+        return _result(spark, jobs.sessions(_intents(_stream(spark, d)))).where("message_id is not null").drop("at")
+
+
 @query(f"""WITH RECURSIVE {_MACHINE}, p AS (SELECT *, lead(us) OVER (PARTITION BY user_id ORDER BY n) AS next_at FROM s WHERE n>0), top AS (SELECT max(us) AS m FROM e) SELECT user_id, n AS turns, (us+900000000)//1000 AS lapsed_ms FROM p, top WHERE phase IN ('awaiting_choice','awaiting_image') AND coalesce(next_at-us > 900000000, us+900000000 < m)""")
 def stream_lapses(spark, d):
     """Pending choices that lapse after 15 minutes, as rows of their own, whether or not a message follows."""
@@ -214,13 +221,6 @@ def _intents(df):
     return df.withColumn("intent", F.when(F.col("event_type") == "click", "choice").when(F.col("event_type") == "error", "reset").when(F.col("event_type") == "purchase", "image").otherwise("query"))
 
 
-@query()
-def stream_sessions(spark, d):
-    """The session state machine."""
-    with _rocks(spark):
-        return _result(spark, jobs.sessions(_intents(_stream(spark, d)))).where("message_id is not null").drop("at")
-
-
 @query("""WITH e AS (SELECT CAST(user_id AS VARCHAR) AS user_id, ts, CASE event_type WHEN 'click' THEN 'choice' WHEN 'error' THEN 'reset' WHEN 'purchase' THEN 'image' ELSE 'query' END AS intent, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 15 MINUTE THEN 0 ELSE 1 END AS b FROM events), s AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM e) SELECT user_id, min(ts) AS begins, count(*) AS n, arg_max(intent, ts) AS last_intent FROM s GROUP BY user_id, k""")
 def session_windows(spark, d):
     """T3 as a batch: sessions by gaps of 15 minutes."""
