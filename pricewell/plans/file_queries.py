@@ -17,7 +17,7 @@ from pricewell.plans.sql import S
 from pricewell.settled import new_dir
 from pricewell.sources import readers, schemas, sinks, versions
 from pricewell.sources import views as V
-from pricewell.sources.versions import Versions
+from pricewell.sources.versions import Clustered, Versions
 
 QUERIES, ORACLES = {}, {}
 
@@ -181,6 +181,18 @@ def replaced_in_place(spark, d):
     return made.join(after, "run_key")
 
 
+@query(f"""WITH {sql.QUOTES}, n AS (SELECT brand_title, series_title, model_title, count(*) AS n FROM quotes GROUP BY ALL), k AS (SELECT brand_title, series_title, model_title FROM n ORDER BY n DESC, brand_title, series_title, model_title LIMIT 1) SELECT id, group_title, condition_bucket, gprice, price_text, true AS few_files FROM quotes JOIN k USING (brand_title, series_title, model_title)""")
+def sku_lookup(spark, d):
+    """The quotes of one product, the most quoted one, from a clustered layout; the lookup reads few of its files."""
+    rows, keys = V.quotes(spark, d), ["brand_title", "series_title", "model_title"]
+    table = Clustered(spark, new_dir(spark, "clustered"), keys)
+    table.write(rows.select(*keys, "id", "group_title", "condition_bucket", "gprice", "price_text"), 40)
+    best = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), *keys).first()
+    found = table.lookup(**{k: best[k] for k in keys})
+    few = len(found.inputFiles()) * 8 <= table.manifest().count()
+    return found.select("id", "group_title", "condition_bucket", "gprice", "price_text", F.lit(few).alias("few_files"))
+
+
 @query(f"""WITH {sql.BLACKLIST}, n AS (SELECT CAST(p_partkey AS VARCHAR) AS model_id, CASE WHEN p_partkey % 2 = 0 THEN '0' ELSE '1' END AS enabled FROM part WHERE p_size % 15 = 0) SELECT coalesce(n.model_id, b.model_id) AS model_id, coalesce(n.enabled, b.enabled) AS enabled FROM blacklist b FULL JOIN n ON b.model_id=n.model_id""")
 def import_blacklist(spark, d):
     """A blacklist upserted by model id, enabled flags parsed."""

@@ -97,3 +97,37 @@ def replace_task_rows(table: Versions, incoming: DataFrame, keys: list[str]) ->
     there_now = [p for p in touched if p in before]
     rows = state.replace_for_tasks(table.read(before, there_now), incoming, [table.by, *keys]) if there_now else incoming
     table.replace(rows, touched)
+
+
+class Clustered:
+    """A table laid out for lookups by key: ranges of the keys in files of their own, sorted, with Bloom filters, and a
+    manifest of every file's first and last key. A lookup reads the files whose range holds the key, and no others."""
+
+    def __init__(self, spark: SparkSession, path: str, keys: list[str]) -> None:
+        self.spark, self.path, self.keys = spark, path.rstrip("/"), keys
+
+    def write(self, df: DataFrame, files: int) -> None:
+        """Keys are texts (null is empty). A key with many rows may fill several files; a lookup then reads them all."""
+        rows = df.withColumns({k: F.coalesce(F.col(k).cast("string"), F.lit("")) for k in self.keys})
+        spread = rows.withColumn("_spread", F.rand(42)).repartitionByRange(files, *self.keys, "_spread").sortWithinPartitions(*self.keys).drop("_spread")
+        spread.write.options(**{f"parquet.bloom.filter.enabled#{k}": "true" for k in self.keys}).parquet(f"{self.path}/data")
+        key = F.struct(*self.keys)
+        made = self.spark.read.parquet(f"{self.path}/data").groupBy(F.input_file_name().alias("file")).agg(F.min(key).alias("first"), F.max(key).alias("last"), F.count(F.lit(1)).alias("n"))
+        made.coalesce(1).write.parquet(f"{self.path}/manifest")
+
+    def manifest(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/manifest")
+
+    def lookup(self, **values: str) -> DataFrame:
+        """The rows with these values of the first keys (any number of them, from the first on)."""
+        names = self.keys[: len(values)]
+        if sorted(names) != sorted(values):
+            raise ValueError(f"values are needed for {self.keys} from the first on")
+        own = F.struct(*[F.lit(values[k]).alias(k) for k in names])
+        part = lambda side: F.struct(*[F.col(side)[k].alias(k) for k in names])
+        files = [r["file"] for r in self.manifest().where((part("first") <= own) & (part("last") >= own)).select("file").collect()]  # those of one key
+        table = self.spark.read.parquet(f"{self.path}/data")
+        rows = self.spark.read.schema(table.schema).parquet(*files) if files else table.limit(0)
+        for k in names:
+            rows = rows.where(F.col(k) == values[k])
+        return rows

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pricewell.functions import phrases as X
 from pricewell.operators import rules as R
 from pricewell.sources import sinks, versions
-from pricewell.sources.versions import Versions
+from pricewell.sources.versions import Clustered, Versions
 from pricewell.streaming import jobs
 from pricewell.streaming.stores import LastRows, SeenIds
 
@@ -34,11 +34,7 @@ def test_last_rows_write_what_the_batch_has(spark, tmp_path):
         before = written(path)
         for _ in range(2 if epoch == 3 else 1):  # one batch is run again
             store.write(spark.createDataFrame(rows, "k long, n long, v string"), epoch)
-        last = {}
-        for k, n, v in rows:
-            if k not in last or (n, v) > last[k][:2] or n > last[k][0]:
-                last[k] = (n, v) if k not in last or n >= last[k][0] else last[k]
-        for k in last:
+        for k in {r[0] for r in rows}:
             want[k] = max(((n, v) for kk, n, v in rows if kk == k), key=lambda x: x[0])
         compacted = any(x["kind"] == "base" for x in store._lines())
         assert compacted or written(path) - before < first / 4, epoch
@@ -150,3 +146,17 @@ def test_substitutions_and_codes():
     assert table.of("cab a") == ["cx a", "cy a", "czb z"] and table.of("cab", (frozenset(["ab"]), frozenset(["x"]))) == ["cy", "czb"]
     assert X.closed_codes("k 80 pro mate 60 pro gan 65w", ("pro",)) == ["k80 pro mate 60 pro gan 65w", "k 80 pro mate60 pro gan 65w", "k 80 pro mate 60 pro gan65w"]
     assert X.read_digits("1o24l") == "10241" and X.read_digits("oil") == "oil"
+
+
+def test_lookups_read_the_files_of_their_key(spark, tmp_path):
+    rows = [(f"b{k % 7}", f"m{k % 50:02d}", k) for k in range(3_000)] + [("hot", "one", k) for k in range(2_000)] + [(None, "x", 1)]
+    table = Clustered(spark, f"file://{tmp_path}/c", ["brand", "model"])
+    table.write(spark.createDataFrame(rows, "brand string, model string, v long"), 20)
+    want = lambda b, m=None: sorted(v for x, y, v in rows if (x or "") == b and m in (None, y))
+    for b, m in (("b3", "m10"), ("hot", "one"), ("", "x"), ("none", "m10")):
+        found = table.lookup(brand=b, model=m)
+        assert sorted(r["v"] for r in found.collect()) == want(b, m)
+        assert b == "hot" or len(found.inputFiles()) <= 2
+    assert sorted(r["v"] for r in table.lookup(brand="b5").collect()) == want("b5")
+    with pytest.raises(ValueError):
+        table.lookup(model="m10")
