@@ -107,10 +107,29 @@ def _readings(spark, d):
     return X.expand(_phrases(spark, d), TERMS)
 
 
-@query()
+_APART = lambda x: f"trim(regexp_replace(regexp_replace(regexp_replace({x},'[^a-z0-9]+',' ','g'),'([0-9])([a-z])','\\1 \\2','g'),'([a-z]{{2,}})([0-9])','\\1 \\2','g'))"
+_HINTS = lambda words, one: "concat_ws(','," + ",".join(f"CASE WHEN {one(w)} THEN '{w}' END" for w in sorted(words)) + ")"
+_INSIDE = lambda w: f"contains(texts,'{w}')"
+
+
+@query(f"""WITH p AS (SELECT DISTINCT lower(p_brand)||' '||CASE WHEN p_partkey%7=0 THEN replace(p_name,'widget','widegt') ELSE p_name END||CASE WHEN p_partkey%2=0 THEN ' '||p_size||'G' ELSE '' END AS query FROM part),
+s AS (SELECT query, {_APART("lower(query)")} AS written, regexp_replace(lower(query),'[^a-z0-9]+','','g') AS shut FROM p),
+w AS (SELECT query, unnest(string_split(written,' ')) AS token, generate_subscripts(string_split(written,' '),1) AS i FROM s),
+known AS (SELECT unnest({list(WORDS)!r}) AS word, generate_subscripts({list(WORDS)!r},1) AS place),
+m AS (SELECT token, arg_min(word, struct_pack(d := damerau_levenshtein(token,word), p := place)) AS word FROM (SELECT DISTINCT token FROM w WHERE regexp_matches(token,'^[a-z]{{3,}}$')), known WHERE damerau_levenshtein(token,word) <= CASE WHEN length(word)<=5 THEN 1 ELSE 2 END GROUP BY 1),
+r AS (SELECT query, string_agg(coalesce(word,token),' ' ORDER BY i) AS mended FROM w LEFT JOIN m USING (token) GROUP BY 1),
+x AS (SELECT query, written, mended, array_to_string(list_transform(range(1,length(shut)+1), lambda i: CASE WHEN regexp_matches(substr(' '||shut,i,1)||substr(shut||' ',i+1,1),'[0-9]') THEN translate(substr(shut,i,1),'oil','011') ELSE substr(shut,i,1) END),'') AS digits FROM s JOIN r USING (query)),
+t AS (SELECT query, written, regexp_replace(written||chr(10)||mended||chr(10)||{_APART("digits")},'([0-9]) (gb?|tb?)\\b','\\1\\2','g') AS closed, written||chr(10)||mended||chr(10)||{_APART("digits")} AS texts FROM x),
+k AS (SELECT *, regexp_split_to_array(closed,'\\s') AS toks FROM t),
+c AS (SELECT query, {_HINTS([f"Brand#{i}" for i in range(1, 26)], lambda b: f"contains(texts,'brand {b[6:]} ')")} AS brand_hints, {_HINTS(("small", "hot"), _INSIDE)} AS series_hints, {_HINTS(CATEGORIES, _INSIDE)} AS category_intents,
+ array_to_string(list_sort(list_distinct(list_transform(list_filter(toks, lambda y: regexp_matches(y,'^([0-9]+[gt]b?|64|128|256|512|1024|2048)$')), lambda y: regexp_replace(y,'^(64|128|256|512|1024|2048)gb?$','\\1')))),',') AS capacity_hints, {_HINTS(("red", "blue"), lambda h: f"list_contains(toks,'{h}')")} AS color_hints,
+ len(list_filter(toks, lambda y: NOT regexp_matches(y,'^([0-9]+[gt]b?|64|128|256|512|1024|2048)$') AND y NOT IN ('red','blue')))>0 AS has_core, len(list_filter(string_split(written,' '), lambda y: NOT regexp_matches(y,'^[a-z]$')))<=3 AS short FROM k)
+SELECT query, brand_hints, series_hints, category_intents, capacity_hints, color_hints, short AND brand_hints='' AND category_intents='' AS bare_model, (capacity_hints<>'' OR color_hints<>'') AND NOT has_core AS only_refinement, has_core, category_intents='' AND (contains(series_hints,'hot') OR (short AND brand_hints='')) AS wants_device FROM c""")
 def query_context(spark, d):
-    """Readings and hints of every phrase."""
-    return X.context(_readings(spark, d), TERMS)
+    """Hints of every phrase, over all its readings; lists joined by commas."""
+    made = X.context(_readings(spark, d), TERMS)
+    lists = ("brand_hints", "series_hints", "category_intents", "capacity_hints", "color_hints")
+    return made.select("query", *[F.array_join(c, ",").alias(c) for c in lists], "bare_model", "only_refinement", "has_core", "wants_device")
 
 
 @query("""WITH p AS (SELECT DISTINCT unnest(string_split(lower(regexp_replace(p_name,'^([a-z])([a-z])','\\2\\1')),' ')) AS token FROM part), t AS (SELECT token FROM p WHERE regexp_matches(token,'^[a-z]{3,}$')), l AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text),'[a-z]{3,12}')) AS word FROM documents UNION SELECT DISTINCT unnest(string_split(lower(p_name),' ')) FROM part),
@@ -181,24 +200,47 @@ def refine_views(spark, d):
     return D.refine(D.leaves(_snapshots(spark, d)), ["12g", "30g"], ["purple"]).select(*M.SKU, "market_price")
 
 
+_TEXT_POINTS = lambda text, q: f"CASE WHEN {text}='' OR {q}='' THEN 0 WHEN {text}={q} THEN 320 WHEN starts_with({text},{q}) THEN 220 WHEN contains({text},{q}) THEN 140 ELSE 0 END"
+#: The refinement of detail views step by step: requests, vocabulary, leaf points, groups; `left_over` holds the rows that stay.
+REFINED = LEAF + f""", lines AS (SELECT p_brand AS brand_title, p_type AS series_title, min(p_name) AS m, ('0x'||substr(md5(p_brand||'|'||p_type),1,8))::BIGINT % 6 AS k FROM part GROUP BY 1,2),
+asked AS (SELECT *, brand_title||'|'||series_title AS request_id, CASE k WHEN 0 THEN '12G' WHEN 1 THEN '30g color' WHEN 2 THEN m WHEN 3 THEN 'unheard of' WHEN 4 THEN 'the phone 12g' ELSE '' END AS phrase FROM lines),
+asked2 AS (SELECT brand_title, series_title, request_id, {_N("phrase")} AS q, list_filter(list_transform(string_split(lower(phrase),' '), lambda t: {_N("t")}), lambda t: t<>'') AS toks FROM asked),
+asked3 AS (SELECT *, list_filter(toks, lambda t: regexp_matches(t,'^[0-9]+g$')) AS caps, list_filter(toks, lambda t: t='color') AS cols FROM asked2),
+w0 AS (SELECT DISTINCT brand_title, series_title, unnest([{_N("series_title")},{_N("model_title")},{_N("capacity")},{_N("color")},{_N("group_title")}]) AS w FROM leaf),
+w1 AS (SELECT brand_title, series_title, w FROM w0 UNION SELECT brand_title, series_title, regexp_replace(w,'^iphone','') FROM w0),
+w2 AS (SELECT brand_title, series_title, list(w) AS words FROM (SELECT * FROM w1 UNION SELECT brand_title, series_title, replace(w,'promax','pm') FROM w1) WHERE w<>'' GROUP BY 1,2),
+known AS (SELECT a.*, CASE WHEN q='' THEN 'empty_query' WHEN len(toks)=0 OR contains(q,'phone') OR words IS NULL OR (len(caps)=0 AND len(cols)=0 AND len(list_filter(toks, lambda t: len(list_filter(words, lambda v: contains(v,t) OR contains(t,v)))=0))>0) THEN 'not_applicable' END AS why FROM asked3 a LEFT JOIN w2 USING (brand_title, series_title)),
+r0 AS (SELECT leaf.*, request_id, q, toks, caps, cols, {_N("group_title||color")} AS txt, {_N("capacity")} AS cap FROM leaf JOIN known USING (brand_title, series_title) WHERE why IS NULL),
+r1 AS (SELECT *, len(list_filter(caps, lambda h: NOT contains(cap,h)))=0 AS in_group, len(list_filter(caps, lambda h: NOT contains(txt,h)))=0 AS in_text, len(cols)=0 OR len(list_filter(cols, lambda c: contains(c,txt) OR contains(txt,c)))>0 AS hued,
+ coalesce(list_sum(list_transform(toks, lambda t: CASE WHEN txt=t THEN 320 WHEN starts_with(txt,t) THEN 220 WHEN contains(txt,t) OR contains(t,txt) THEN 140 ELSE 0 END)),0) AS tp FROM r0),
+r2 AS (SELECT *, len(toks)>0 AND len(cols)=0 AND (len(caps)=0 OR NOT in_group) AS by_text, in_group OR in_text AS sized FROM r1),
+r3 AS (SELECT *, sized AND hued AND (NOT by_text OR tp>0) AS matched FROM r2),
+r4 AS (SELECT *, CASE WHEN matched THEN 160 ELSE 0 END + {_TEXT_POINTS("txt", "q")} + tp + CASE WHEN hued THEN 80 ELSE 0 END + CASE WHEN sized THEN 80 ELSE 0 END AS leaf_points, matched OR (len(cols)=0 AND NOT by_text) AS kept0, NOT contains(txt,'small') OR contains(q,'small') AS whole FROM r3),
+r5 AS (SELECT *, kept0 AND (whole OR NOT bool_or(kept0 AND whole) OVER g) AS kept FROM r4 WINDOW g AS (PARTITION BY request_id, model_title, capacity)),
+r6 AS (SELECT *, bool_or(kept) OVER g AS any_kept, coalesce(max(CASE WHEN kept THEN leaf_points END) OVER g,0) AS lead_points FROM r5 WINDOW g AS (PARTITION BY request_id, model_title, capacity)),
+r7 AS (SELECT *, in_group OR any_kept AS cm, {_TEXT_POINTS("cap", "q")}>0 OR len(list_filter(toks, lambda t: contains(cap,t)))>0 AS gt FROM r6),
+r8 AS (SELECT *, cm AND (len(cols)=0 OR any_kept) AS gm FROM r7),
+left_over AS (SELECT * FROM r8 WHERE (kept OR NOT any_kept) AND CASE WHEN len(caps)>0 OR len(cols)>0 THEN gm ELSE CASE WHEN gm THEN 220 ELSE 0 END + CASE WHEN cm THEN 120 ELSE 0 END + CASE WHEN gt THEN 80 ELSE 0 END + lead_points > 0 END)"""
+
+
 def _requests(spark, d):
     """A phrase for every product line of the catalog: of sizes, colours, model words or tokens that no view has."""
     lines = V.catalog(spark, d).select("brand_title", "series_title", "model_title").groupBy("brand_title", "series_title").agg(F.min("model_title").alias("m"), F.count(F.lit(1)).alias("n"))
-    k = F.pmod(F.xxhash64("brand_title", "series_title"), F.lit(6))
+    k = F.conv(F.substring(F.md5(F.concat_ws("|", "brand_title", "series_title")), 1, 8), 16, 10).cast("long") % 6
     text = F.when(k == 0, "12G").when(k == 1, "30g color").when(k == 2, F.col("m")).when(k == 3, "unheard of").when(k == 4, "the phone 12g").otherwise("")
     tokens = F.filter(F.transform(F.split(F.lower(text), " "), P.normalize_search), lambda t: t != "")
     sizes = F.filter(tokens, lambda t: t.rlike("^[0-9]+g$"))
     return lines.select(F.concat_ws("|", "brand_title", "series_title").alias("request_id"), "brand_title", "series_title", P.normalize_search(text).alias("q"), tokens.alias("tokens"), sizes.alias("capacities"), F.filter(tokens, lambda t: t == "color").alias("colors"))
 
 
-@query()
+@query(REFINED + """ SELECT request_id, brand_title, series_title, model_title, capacity, min(CAST(split_part(price_range,'-',1) AS BIGINT)) AS low, max(CAST(split_part(price_range,'-',2) AS BIGINT)) AS high, arg_max(market_price, struct_pack(p := leaf_points, g := group_title, c := color, b := condition_bucket)) AS price, count(DISTINCT color) AS n_labels, count(*) AS n_leaves FROM left_over GROUP BY 1,2,3,4,5""")
 def refined_details(spark, d):
     """Detail views of all product lines refined by a phrase each; the surviving groups, re-summarised."""
     kept, _ = D.refined(D.leaves(_snapshots(spark, d)), _requests(spark, d), ("phone",), ("small",))
     return D.group_summary(kept, ["request_id", *D.GROUP])
 
 
-@query()
+@query(REFINED + """, n AS (SELECT request_id, count(DISTINCT model_title) AS branches, count(DISTINCT model_title||'|'||capacity) AS groups, count(*) AS colors_left FROM left_over GROUP BY 1) SELECT request_id, coalesce(why, CASE WHEN branches>0 THEN 'applied' ELSE 'no_match' END) AS reason, coalesce(branches,0) AS branches, coalesce(groups,0) AS groups, coalesce(colors_left,0) AS colors_left FROM known LEFT JOIN n USING (request_id)""")
 def refinement_reasons(spark, d):
     """Why each phrase refined its view or not, and what was left."""
     return D.refined(D.leaves(_snapshots(spark, d)), _requests(spark, d), ("phone",), ("small",))[1]
