@@ -15,9 +15,11 @@ from pricewell.operators.textscan import decode_content
 from pricewell.sources import schemas
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Header-driven CSV, all strings, byte-order mark allowed; columns of the schema that a file lacks are null."""
-    found = spark.read.option("header", True).option("encoding", "UTF-8").option("multiLine", True).csv(path)
+def read_csv(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = False) -> DataFrame:
+    """Header-driven CSV, all strings, byte-order mark allowed; columns of the schema that a file lacks are null.
+
+    Files are split among tasks; with multi_line cells may hold line ends, and a file is one task."""
+    found = spark.read.option("header", True).option("encoding", "UTF-8").option("multiLine", multi_line).csv(path)
     names = {c.lstrip("﻿").strip(): c for c in found.columns}
     return found.select(*[(F.col(f"`{names[f.name]}`") if f.name in names else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields])
 
