@@ -5,7 +5,7 @@ Empty text and null are alike: every function takes both and returns '' (or null
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -110,9 +110,10 @@ def report_label(gprice: Column | str) -> Column:
 
 
 def recent_labels(as_of: Column | date, days: int) -> Column:
-    """MM-DD labels of as_of and the days before it."""
-    day = as_of if isinstance(as_of, Column) else F.lit(as_of)
-    return F.transform(F.sequence(F.lit(0), F.lit(max(1, days) - 1)), lambda i: F.date_format(F.date_sub(day, i), "MM-dd"))
+    """MM-DD labels of as_of and the days before it; those of a known date are literals, made once for all rows."""
+    if isinstance(as_of, date):
+        return F.lit([(as_of - timedelta(days=i)).strftime("%m-%d") for i in range(max(1, days))])
+    return F.transform(F.sequence(F.lit(0), F.lit(max(1, days) - 1)), lambda i: F.date_format(F.date_sub(as_of, i), "MM-dd"))
 
 
 def tag_flags(text: Column, pairs: Sequence[tuple[str, str]]) -> dict[str, Column]:

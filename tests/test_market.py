@@ -126,3 +126,11 @@ def test_approximate_statistics_stay_within_their_neighbours(spark):
         e = exact[r["g"]]
         assert (r["n"], r["price_min"], r["price_max"], r["trimmed_mean"]) == (e["n"], e["price_min"], e["price_max"], e["trimmed_mean"])
         assert all(abs(r[c] - e[c]) <= 4 for c in ("median_price", "q1", "q3"))
+
+
+def test_recent_labels_of_a_known_date_are_made_once(spark):
+    from datetime import date
+
+    df = spark.range(2).select(P.recent_labels(date(2024, 3, 1), 3).alias("known"), P.recent_labels(F.to_date(F.lit("2024-03-01")), 3).alias("column"))
+    assert [r["known"] for r in df.collect()] == [["03-01", "02-29", "02-28"]] * 2 == [r["column"] for r in df.collect()]
+    assert "lambda" not in df.select("known")._jdf.queryExecution().optimizedPlan().toString()
