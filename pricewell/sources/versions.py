@@ -106,9 +106,13 @@ class Clustered:
     def __init__(self, spark: SparkSession, path: str, keys: list[str]) -> None:
         self.spark, self.path, self.keys = spark, path.rstrip("/"), keys
 
-    def write(self, df: DataFrame, files: int) -> None:
-        """Keys are texts (null is empty). A key with many rows may fill several files; a lookup then reads them all."""
-        rows = df.withColumns({k: F.coalesce(F.col(k).cast("string"), F.lit("")) for k in self.keys})
+    def write(self, df: DataFrame, files: int, most_rows: int = 500_000) -> None:
+        """Keys are texts (null is empty). There are `files` files, or more where a file would have over `most_rows` rows, so
+        a task's rows are bounded. A key with many rows may fill several files; a lookup then reads them all."""
+        from pricewell.settled import settle
+
+        rows = settle(df.withColumns({k: F.coalesce(F.col(k).cast("string"), F.lit("")) for k in self.keys}), "unclustered")
+        files = max(files, -(-rows.count() // most_rows))
         spread = rows.withColumn("_spread", F.rand(42)).repartitionByRange(files, *self.keys, "_spread").sortWithinPartitions(*self.keys).drop("_spread")
         spread.write.options(**{f"parquet.bloom.filter.enabled#{k}": "true" for k in self.keys}).parquet(f"{self.path}/data")
         key = F.struct(*self.keys)

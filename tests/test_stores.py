@@ -160,3 +160,11 @@ def test_lookups_read_the_files_of_their_key(spark, tmp_path):
     assert sorted(r["v"] for r in table.lookup(brand="b5").collect()) == want("b5")
     with pytest.raises(ValueError):
         table.lookup(model="m10")
+
+
+def test_clustered_files_have_bounded_rows(spark, tmp_path):
+    rows = spark.range(3_000).selectExpr("concat('b', id % 7) AS brand", "id AS v")
+    table = Clustered(spark, f"file://{tmp_path}/c", ["brand"])
+    table.write(rows, 2, most_rows=200)
+    assert table.manifest().agg(F.max("n")).first()[0] <= 400 and table.manifest().count() >= 10
+    assert sorted(r["v"] for r in table.lookup(brand="b3").collect()) == list(range(3, 3_000, 7))
