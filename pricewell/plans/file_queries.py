@@ -14,7 +14,7 @@ from pricewell.operators import reports, state, textscan
 from pricewell.operators import rules as R
 from pricewell.plans import sql
 from pricewell.plans.sql import S
-from pricewell.settled import new_dir
+from pricewell.settled import new_dir, settle
 from pricewell.sources import readers, schemas, sinks, versions
 from pricewell.sources import views as V
 from pricewell.sources.versions import Clustered, Versions
@@ -138,7 +138,7 @@ def exported_snapshots(spark, d):
 def published_runs(spark, d):
     """Every run published in turn, one of them twice; the pointer names the last, events tell the rows."""
     path, states, events = new_dir(spark, "published"), new_dir(spark, "state"), new_dir(spark, "events")
-    rows = V.quotes(spark, d).select("run_key", *reports.LINE).distinct()
+    rows = settle(V.quotes(spark, d).select("run_key", *reports.LINE).distinct(), "run-lines")  # every run reads it: the joins run once
     runs = [r["run_key"] for r in rows.select("run_key").distinct().orderBy("run_key").collect()]  # one per year
     for at, run in enumerate([runs[0], *runs]):
         sinks.publish(rows.where(F.col("run_key") == run).drop("run_key"), path, states, run, f"2026-01-01 00:00:{at:02d}", events)

@@ -168,3 +168,14 @@ def test_clustered_files_have_bounded_rows(spark, tmp_path):
     table.write(rows, 2, most_rows=200)
     assert table.manifest().agg(F.max("n")).first()[0] <= 400 and table.manifest().count() >= 10
     assert sorted(r["v"] for r in table.lookup(brand="b3").collect()) == list(range(3, 3_000, 7))
+
+
+def test_published_runs_read_settled_rows(spark, monkeypatch):
+    """Each publication reads the runs' settled rows, not the tables that they are joined from."""
+    from pricewell.plans import file_queries
+
+    read, publish = [], file_queries.sinks.publish
+    monkeypatch.setattr(file_queries.sinks, "publish", lambda df, *a: (read.extend(df.inputFiles()), publish(df, *a)))
+    made = file_queries.QUERIES["published_runs"](spark, "/root/testdata/sf0.001").collect()
+    assert len(made) > 1 and all(r["n"] == r["published"] for r in made)
+    assert read and not any("lineitem" in f or "supplier" in f for f in read)
