@@ -108,12 +108,56 @@ def title_pairs(q: DataFrame, c: DataFrame) -> Callable[[DataFrame], DataFrame]:
     return pairs
 
 
+def group_score() -> tuple[Column, Column]:
+    """(score, tokens): what a title (q_*) scores by a candidate's group, core and model (c_*) alone, and how many of its
+    tokens are outside the group; each of these scores 200 or costs 120, by the candidate's whole text."""
+    q, group = F.col("q_norm"), F.col("c_group")
+    core = F.when((F.col("q_core") == "") | (F.col("c_core") == ""), 0).when(F.col("q_core") == F.col("c_core"), 2600).when(F.startswith("c_core", F.col("q_core")) | F.startswith("q_core", F.col("c_core")), 1900).otherwise(0)
+    model = F.when((F.col("q_model") == "") | (F.col("c_model") == ""), 0).when(F.col("q_model") == F.col("c_model"), 700).when(F.contains("q_model", F.col("c_model")) | F.contains("c_model", F.col("q_model")), 320).otherwise(0)
+    part = F.when(group == q, 5600).when(F.startswith(group, q), 2200).when(F.contains(group, q), 1800).otherwise(0)
+    tokens = F.filter("q_tokens", lambda t: (t != "") & (t != q))
+    met = F.size(F.filter(tokens, lambda t: F.contains(group, t)))
+    return core + model + part + met * 320, F.size(tokens) - met
+
+
+def best_pairs(q: DataFrame, c: DataFrame, margin: float) -> DataFrame:
+    """Pairs of titles and candidates, each once, with the columns of both: at least all that score over 0 and are a title's
+    best or within the margin of it.
+
+    Candidates of equal group, core and model (a family) differ in their whole texts and popularity alone, so a family has a
+    greatest and a least score with a title. A title's best is at least the greatest of the least scores; families that
+    cannot come within the margin of it are left out. Where a whole text holds the title and the group does not, or is the
+    title, the pair is made by itself. Titles whose best bound is so low that a family without any token of theirs could
+    come near it meet all their pairs (title_pairs)."""
+    family = ["c_group", "c_core", "c_model"]
+    popular = F.least(F.coalesce("row_count", F.lit(0)), F.lit(200)) * 0.2
+    name = F.to_json(F.struct(*family))  # one text for three
+    families = settle(c.groupBy(*family).agg(F.max(F.least(F.coalesce("row_count", F.lit(0)), F.lit(200))).alias("row_count")).select(*family, "row_count", F.col("c_group").alias("c_full"), name.alias("candidate_id")), "title-families")
+    score, outside = group_score()
+    near = title_pairs(q, families)(q).where("q_norm <> ''").select("raw_title", F.col("candidate_id").alias("family"), score.alias("_known"), outside.alias("_outside"), popular.alias("_popular"))
+    near = settle(near.select("raw_title", "family", (F.col("_known") - 120 * F.col("_outside") + F.col("_popular")).alias("least"), (F.col("_known") + 200 * F.col("_outside") + F.col("_popular")).alias("greatest")), "title-bounds")
+    floor = near.groupBy("raw_title").agg(F.max("least").alias("floor"))
+    others = F.size(F.filter("q_tokens", lambda t: (t != "") & (t != F.col("q_norm")))) * 200 + 40  # the most that a family not met can score
+    bound = settle(q.join(floor, "raw_title", "left").select("raw_title", "floor", F.coalesce((F.col("floor") > 0) & (others <= F.col("floor") - margin) & (margin > 0), F.lit(False)).alias("known")), "title-floors")
+    known, other = bound.where("known"), bound.where("not known").select("raw_title")
+    keys = rarest_grams(q.join(known.select("raw_title"), "raw_title"), "raw_title", F.array("q_norm"), c, "c_full").join(q.select("raw_title", "q_norm"), "raw_title")
+    spread = c.select("candidate_id", "c_full", "c_group", F.explode(all_grams(F.col("c_full"))).alias("g"))
+    whole = spread.join(_bounded(keys), "g").where(F.contains("c_full", F.col("q_norm")) & (~F.contains("c_group", F.col("q_norm")) | (F.col("c_full") == F.col("q_norm")))).select("raw_title", "candidate_id")
+    kept = near.join(known, "raw_title").where((F.col("greatest") > F.col("floor") - margin) & (F.col("greatest") > 0)).select("raw_title", "family")
+    found = kept.join(c.select("candidate_id", name.alias("family")), "family").select("raw_title", "candidate_id").unionByName(whole).distinct()
+    made = settle(found, "title-best-pairs").join(q, "raw_title").join(c, "candidate_id")
+    if other.isEmpty():
+        return made
+    rest = settle(q.join(other, "raw_title"), "title-others")
+    return made.unionByName(title_pairs(rest, c)(rest))
+
+
 def match_references(rows: DataFrame, candidates: DataFrame, threshold: float = 1900, margin: float = 120, block: bool = True) -> DataFrame:
     """Best candidate of every title and how sure it is: exact, model_only or unmatched.
 
-    Equal titles are scored once. Scores are made twice: for the best of each title, and for the pairs within the margin
-    of it, which alone decide; only those are sorted. block=False meets all pairs, with the same results where
-    threshold - margin is at least 40, the most that popularity gives.
+    Equal titles are scored once. Bounds leave out the pairs that cannot come within the margin of a title's best
+    (best_pairs), which alone decide; only those that do are sorted. block=False meets all pairs, with the same results
+    where threshold - margin is at least 40, the most that popularity gives.
 
     rows: row_id, raw_title; candidates: candidate_id, brand_title, series_title, model_title, group_title, condition_bucket, row_count."""
     core, model = signatures(F.col("raw_title"))
@@ -123,10 +167,10 @@ def match_references(rows: DataFrame, candidates: DataFrame, threshold: float =
     c_core, _ = signatures(title)
     c = candidates.select("candidate_id", "brand_title", "series_title", "model_title", "group_title", "condition_bucket", "row_count", P.normalize_search(P.search_text("brand_title", "series_title", "model_title", "group_title", "condition_bucket")).alias("c_full"), P.normalize_search(title).alias("c_group"), c_core.alias("c_core"), P.normalize_search("model_title").alias("c_model"))
     q, c = settle(q, "titles"), settle(c, "candidates")
-    pairs = title_pairs(q, c) if block else lambda x: x.join(c, how="cross")
-    met = lambda x: pairs(x).withColumn("score", match_score()).where("score > 0")
-    top = settle(met(q).groupBy("raw_title").agg(F.max("score").alias("_top")), "title-scores")
-    scored = met(q.join(top, "raw_title")).where((F.col("score") == F.col("_top")) | (F.col("score") > F.col("_top") - margin))
+    pairs = best_pairs(q, c, margin) if block else q.join(c, how="cross")
+    met = settle(pairs.withColumn("score", match_score()).where("score > 0"), "title-scores")
+    top = met.groupBy("raw_title").agg(F.max("score").alias("_top"))
+    scored = met.join(top, "raw_title").where((F.col("score") == F.col("_top")) | (F.col("score") > F.col("_top") - margin))
     w = Window.partitionBy("raw_title")
     order = w.orderBy(F.desc("score"), "candidate_id")
     scored = scored.withColumns({"place": F.row_number().over(order), "next_score": F.coalesce(F.lead("score").over(order), F.lit(0.0)), "_family": F.count(F.lit(1)).over(Window.partitionBy("raw_title", "score", "brand_title", "series_title", "model_title"))})

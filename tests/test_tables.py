@@ -195,3 +195,24 @@ def test_entry_and_catalog(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("margin", [120, 700])
+def test_titles_meet_few_candidates(spark, margin):
+    """Bounds keep a small part of the pairs that share a token, and every pair that decides; also for titles of a brand, of a
+    whole text, of one word, of unknown words, and of nothing."""
+
+    names = [f"{a} {b}" for a in ("red", "blue", "hot", "cold") for b in ("widget", "gizmo", "ring", "bolt")]
+    skus = [(f"{b}|{m}|{g}|{c}", f"Brand#{b}", f"TYPE {b % 3}", m, f"color {g}G", c, 1 + (b * 37 + g) % 230) for b in range(12) for m in names for g in (1, 5, 10, 15, 25) for c in ("open_allowed", "strict_target")]
+    skus = spark.createDataFrame(skus, "candidate_id string, brand_title string, series_title string, model_title string, group_title string, condition_bucket string, row_count long")
+    titles = [f"{m} {g}G" for m in names for g in (1, 5, 10, 33)] + ["red", "brand 3", "Brand#3 TYPE 0", "widget open allowed", "red widget color 5G", "Brand#5 TYPE 2 red ring color 10G strict_target", "type 1 red widget", "nothing known", "gcolor", "", "5G strict", "brand#7 hot bolt 15G unknown"]
+    rows = spark.createDataFrame(list(enumerate(titles)), "row_id long, raw_title string")
+    met, best = [], T.best_pairs
+    try:
+        T.best_pairs = lambda *a: (met.append(best(*a)), met[-1])[1]
+        got = {tuple(r) for r in T.match_references(rows, skus, margin=margin).collect()}
+    finally:
+        T.best_pairs = best
+    assert got == {tuple(r) for r in T.match_references(rows, skus, margin=margin, block=False).collect()}
+    many = met[0].where(F.col("raw_title").isin(titles[:64]))
+    assert margin > 120 or many.select("raw_title", "candidate_id").distinct().count() == many.count() < 64 * 1920 / 20
