@@ -163,7 +163,10 @@ def _stateful(spark, d, make):
 @query("""SELECT CAST(event_id AS VARCHAR) AS message_id FROM (SELECT event_id, ts - lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts) AS gap FROM events) WHERE gap IS NULL OR gap > INTERVAL 6 HOUR""")
 def stream_renewed(spark, d):
     """Callbacks of one key dropped until six hours pass without any; each sight renews the time to live."""
-    return _stateful(spark, d, lambda stream: jobs.drop_renewed(stream, ["key"], 6 * 3600)).select("message_id")
+    out, checkpoint = jobs.scratch(spark, "renewed"), jobs.scratch(spark, "checkpoint")
+    sink = jobs.renewed_sink(spark, out, ["key"], 6 * 3600)
+    _restarted(spark, d, lambda stream: jobs.run_available(stream, sink, checkpoint))
+    return spark.read.parquet(f"{out}/rows").select("message_id")
 
 
 #: A state machine over each user's events in order; e has user_id, n (from 1), at (epoch microseconds), intent.

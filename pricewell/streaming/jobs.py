@@ -12,12 +12,13 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from pricewell.operators import state as S
+from pricewell.settled import settle
 from pricewell.sources import sinks
 from pricewell.streaming.stores import LastRows, SeenIds, there
 
@@ -78,6 +79,35 @@ def drop_renewed(events: DataFrame, key: list[str], seconds: float, at: str = "t
     return events.withWatermark(at, delay).groupBy(*key).transformWithStateInPandas(Renewed(seconds, at), events.schema, "Append", "EventTime")
 
 
+def renewed_sink(spark: SparkSession, path: str, key: list[str], seconds: float, at: str = "ts", delay: float = 0) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: what drop_renewed keeps, by a window over the batch's rows of each key instead of a call of Python for
+    each key. Rows go to {path}/rows. {path}/state has the last sight of the keys whose time to live the watermark (the
+    newest time so far less `delay` seconds) has not passed; others are let go, and rows before the watermark are dropped.
+    A batch reads the state of the one before it and overwrites its own, so it may be run again."""
+    renew = int(seconds * 1_000_000)
+
+    def sink(batch: DataFrame, epoch: int) -> None:
+        rows = batch.withColumns({"_us": F.unix_micros(at), "_last": F.lit(None).cast("long")})
+        mark = None
+        if epoch:
+            mark = spark.read.parquet(f"{path}/mark/epoch={epoch - 1}").first()["us"]  # one row
+            if mark is not None:
+                rows = rows.where(F.col("_us") >= mark - int(delay * 1_000_000))
+            rows = rows.unionByName(spark.read.parquet(f"{path}/state/epoch={epoch - 1}"), allowMissingColumns=True)
+        w = Window.partitionBy(*key)
+        before = F.greatest(F.lag("_us").over(w.orderBy("_us")), F.max("_last").over(w))
+        rows = settle(rows.withColumn("_before", before), "renewed")
+        kept = rows.where(F.col("_us").isNotNull() & (F.col("_before").isNull() | (F.col("_us") - F.col("_before") > renew)))
+        kept.select(batch.columns).write.mode("overwrite").parquet(f"{path}/rows/epoch={epoch}")
+        newest = rows.agg(F.greatest(F.max("_us"), F.lit(mark).cast("long")).alias("us")).first()["us"]
+        live = rows.groupBy(*key).agg(F.greatest(F.max("_us"), F.max("_last")).alias("_last"))
+        live = live.where(F.col("_last") + renew >= (newest or 0) - int(delay * 1_000_000))
+        live.write.mode("overwrite").parquet(f"{path}/state/epoch={epoch}")
+        spark.createDataFrame([(newest,)], "us long").coalesce(1).write.mode("overwrite").parquet(f"{path}/mark/epoch={epoch}")
+
+    return sink
+
+
 def count_by(events: DataFrame, column: str) -> DataFrame:
     """Running counters; run in update mode with a processing-time trigger of some seconds."""
     return events.groupBy(column).agg(F.count(F.lit(1)).alias("n"))

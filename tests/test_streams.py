@@ -34,3 +34,33 @@ def test_upsert_log_survives_a_lost_attempt(spark, tmp_path):
     for _ in range(2):
         sink(batch(("b", 3), ("c", 3)), 2)
     assert {tuple(r) for r in jobs.current_version(spark, table).collect()} == {("a", 2), ("b", 3), ("c", 3)}
+
+
+def test_renewals_by_batches_against_plain_python(spark, tmp_path):
+    """Three batches, each run twice: keys seen again within the time to live, at its end, after it, and across batches."""
+    import random
+
+    rng = random.Random(8)
+    rows = sorted((rng.randrange(9_000), f"k{rng.randrange(40)}", i) for i in range(600))
+    rows = [(k, at, i) for n, (at, k, i) in enumerate(rows) if not n or rows[n - 1][0] != at]  # no equal times
+    want, last = set(), {}
+    for k, at, i in rows:
+        if k not in last or at - last[k] > 600:
+            want.add(i)
+        last[k] = at
+    out, sent, calls = f"file://{tmp_path}/renewed", "k string, s long, i long", []
+    sink = jobs.renewed_sink(spark, out, ["k"], 600)
+    for epoch, (low, high) in enumerate(((0, 3_000), (3_000, 3_300), (3_300, 9_000))):
+        batch = spark.createDataFrame([r for r in rows if low <= r[1] < high], sent).selectExpr("k", "timestamp_seconds(s) AS ts", "i")
+        for _ in range(2):
+            sink(batch, epoch)
+        calls.append(spark.read.parquet(f"{out}/state/epoch={epoch}").count())
+    assert {r["i"] for r in spark.read.parquet(f"{out}/rows").collect()} == want and 40 < len(want) < 500
+    assert calls[2] == sum(at + 600 >= max(r[1] for r in rows) for at in last.values()) < 40
+
+
+def test_stream_renewed_calls_no_python_for_each_key(spark, monkeypatch):
+    monkeypatch.setattr(jobs.Renewed, "handleInputRows", None)
+    monkeypatch.setattr(jobs, "drop_renewed", None)
+    got = sorted(r[0] for r in stream_queries.QUERIES["stream_renewed"](spark, SF).collect())
+    assert got and len(got) == len(set(got))
