@@ -249,7 +249,7 @@ def refinement_reasons(spark, d):
 @query(f"""WITH {sql.CLUSTERS}, w AS (SELECT DISTINCT {S} FROM quotes) SELECT {S}, market_price, CASE WHEN cluster_count>1 THEN 'snapshot' WHEN cluster_count IS NOT NULL THEN 'computed' ELSE 'none' END AS origin FROM w LEFT JOIN snaps USING ({S})""")
 def branch_markets(spark, d):
     """Stored snapshot of each SKU, else the computed one."""
-    made = _snapshots(spark, d)
+    made = settle(_snapshots(spark, d), "snapshots")  # read twice: stored and computed
     keys = [*M.SKU]
     return D.branch_markets(V.quotes(spark, d).select(*keys).distinct(), made.where("cluster_count > 1"), made, keys)
 

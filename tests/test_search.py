@@ -145,3 +145,13 @@ def test_refined_views(spark):
     # matched 160; 白色512 is not inside 512g白色白色: 0; 白色 140 and 512 begins: 220; colour 80, capacity 80; group 220 + 120 + 80
     assert one["leaf_points"] == 160 + 140 + 220 + 80 + 80 and one["group_points"] == one["leaf_points"] + 420 and one["branch_points"] == one["group_points"]
     assert D.refined(leaf.limit(0), requests)[1].where("reason = 'applied'").count() == 0 and D.refined(leaf, requests.limit(0))[0].count() == 0
+
+
+def test_branch_markets_build_the_snapshots_once(spark):
+    from pricewell.plans import search_queries
+
+    made = search_queries.QUERIES["branch_markets"](spark, "/root/testdata/sf0.001")
+    assert any("snapshots" in f for f in made.inputFiles())
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("percentile") == 0
+    origins = {r["origin"] for r in made.select("origin").distinct().collect()}
+    assert "computed" in origins
