@@ -155,3 +155,12 @@ def test_branch_markets_build_the_snapshots_once(spark):
     assert made._jdf.queryExecution().optimizedPlan().toString().count("percentile") == 0
     origins = {r["origin"] for r in made.select("origin").distinct().collect()}
     assert "computed" in origins
+
+
+@pytest.mark.parametrize("name", ["refined_details", "refinement_reasons"])
+def test_refinements_build_the_market_once(spark, name):
+    from pricewell.plans import search_queries
+
+    made = search_queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert not any("lineitem" in f for f in made.inputFiles()) and any("leaves" in f for f in made.inputFiles())
+    assert made.count() > 0
