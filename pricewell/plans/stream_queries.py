@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pricewell.operators import state
 from pricewell.plans import sql
 from pricewell.sources import views as V
-from pricewell.streaming import jobs
+from pricewell.streaming import jobs, walks
 
 QUERIES, ORACLES = {}, {}
 
@@ -178,15 +178,19 @@ s AS (SELECT user_id, 0::BIGINT AS n, 'idle' AS phase, 0::BIGINT AS us FROM e WH
 @query(f"""WITH RECURSIVE {_MACHINE}, m AS (SELECT s.user_id, s.n, message_id, phase, s.us, lag(phase) OVER w AS was, lag(s.us) OVER w AS before FROM s JOIN e ON e.user_id=s.user_id AND e.n=s.n WINDOW w AS (PARTITION BY s.user_id ORDER BY s.n)) SELECT user_id, message_id, phase, n AS turns, coalesce(was IN ('awaiting_choice','awaiting_image') AND us-before > 900000000, false) AS expired FROM m""")
 def stream_sessions(spark, d):
     """The session state machine."""
-    with _rocks(spark):
-        return _result(spark, jobs.sessions(_intents(_stream(spark, d)))).where("message_id is not null").drop("at")
+    out, checkpoint = jobs.scratch(spark, "sessions"), jobs.scratch(spark, "checkpoint")
+    jobs.run_available(_session_messages(_stream(spark, d)), walks.sessions_sink(spark, out), checkpoint)
+    return spark.read.parquet(f"{out}/rows").where("message_id is not null").drop("at_us", "epoch")
 
 
 @query(f"""WITH RECURSIVE {_MACHINE}, p AS (SELECT *, lead(us) OVER (PARTITION BY user_id ORDER BY n) AS next_at FROM s WHERE n>0), top AS (SELECT max(us) AS m FROM e) SELECT user_id, n AS turns, (us+900000000)//1000 AS lapsed_ms FROM p, top WHERE phase IN ('awaiting_choice','awaiting_image') AND coalesce(next_at-us > 900000000, us+900000000 < m)""")
 def stream_lapses(spark, d):
     """Pending choices that lapse after 15 minutes, as rows of their own, whether or not a message follows."""
-    rows = _stateful(spark, d, lambda stream: jobs.sessions(_intents(stream)))
-    return rows.where("message_id is null").select("user_id", "turns", F.unix_millis("at").alias("lapsed_ms"))
+    out, checkpoint = jobs.scratch(spark, "sessions"), jobs.scratch(spark, "checkpoint")
+    sink = walks.sessions_sink(spark, out)
+    _restarted(spark, d, lambda stream: jobs.run_available(_session_messages(stream), sink, checkpoint))
+    rows = spark.read.parquet(f"{out}/rows").where("message_id is null")
+    return rows.select("user_id", "turns", F.unix_millis(F.timestamp_micros("at_us")).alias("lapsed_ms"))
 
 
 #: The queue's machine: status, opened, attempts, claimed and claims after each action of a task; out is what leaves.
@@ -220,6 +224,10 @@ def stream_gaps(spark, d):
     return jobs.current_version(spark, table).drop("last_id")
 
 
+def _session_messages(stream):
+    return _intents(stream).select("user_id", "message_id", "ts", "intent")
+
+
 def _intents(df):
     return df.withColumn("intent", F.when(F.col("event_type") == "click", "choice").when(F.col("event_type") == "error", "reset").when(F.col("event_type") == "purchase", "image").otherwise("query"))
 

@@ -1,9 +1,13 @@
 """Stateful streams against plain Python."""
 
+import random
 from collections import Counter
 
+import pytest
+from pyspark.sql import functions as F
+
 from pricewell.plans import stream_queries
-from pricewell.streaming import jobs
+from pricewell.streaming import jobs, walks
 
 SF = "/root/testdata/sf0.001"
 INTENT = {"click": "choice", "error": "reset", "purchase": "image"}
@@ -64,3 +68,38 @@ def test_stream_renewed_calls_no_python_for_each_key(spark, monkeypatch):
     monkeypatch.setattr(jobs, "drop_renewed", None)
     got = sorted(r[0] for r in stream_queries.QUERIES["stream_renewed"](spark, SF).collect())
     assert got and len(got) == len(set(got))
+
+
+def _in_batches(spark, sink, rows, schema, bounds):
+    """Sends rows (key, seconds, ...) in batches between the bounds, every batch twice."""
+    for epoch, (low, high) in enumerate(zip(bounds, bounds[1:], strict=False)):
+        batch = spark.createDataFrame([r for r in rows if low <= r[1] < high], schema).withColumn("ts", F.timestamp_seconds("s")).drop("s")
+        for _ in range(2):
+            sink(batch, epoch)
+
+
+def test_sessions_by_batches_against_plain_python(spark, tmp_path):
+    """Lapses before a message, at a batch's end, across batches and after the last message; each is told once."""
+    rng = random.Random(5)
+    rows = [(f"u{rng.randrange(25)}", at, f"m{at}", rng.choice(["query", "choice", "image", "reset"])) for at in sorted(rng.sample(range(9_000), 400))]
+    want, states, top = Counter(), {}, max(r[1] for r in rows)
+    for u, at, m, intent in rows:
+        phase, since, turns = states.get(u, ("idle", 0, 0))
+        lapsed = phase in jobs.PENDING and at - since > 900
+        if lapsed:
+            want[u, None, "idle", turns, True, since + 900] += 1
+        phase = jobs.next_phase("idle" if lapsed else phase, intent)
+        states[u] = phase, at, turns + 1
+        want[u, m, phase, turns + 1, lapsed, at] += 1
+    want.update((u, None, "idle", turns, True, since + 900) for u, (phase, since, turns) in states.items() if phase in jobs.PENDING and since + 900 < top)
+    out = f"file://{tmp_path}/sessions"
+    _in_batches(spark, walks.sessions_sink(spark, out), rows, "user_id string, s long, message_id string, intent string", (0, 3_000, 3_400, 9_000))
+    got = Counter((r["user_id"], r["message_id"], r["phase"], r["turns"], r["expired"], r["at_us"] // 1_000_000) for r in spark.read.parquet(f"{out}/rows").collect())
+    assert got == want and sum(k[1] is None for k in want) > 10
+
+
+@pytest.mark.parametrize("name", ["stream_sessions", "stream_lapses"])
+def test_machines_call_no_python_for_each_key(spark, monkeypatch, name):
+    monkeypatch.setattr(jobs, "sessions", None)
+    monkeypatch.setattr(jobs, "work_queue", None)
+    assert stream_queries.QUERIES[name](spark, SF).count() >= 0
