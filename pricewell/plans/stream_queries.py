@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from contextlib import contextmanager
-
 from pyspark.sql import functions as F
 
 from pricewell.operators import state
@@ -37,13 +35,6 @@ def _is_folder(spark, path):
     return name.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(name).isDirectory()
 
 
-def _result(spark, stream, mode="append"):
-    """Writes the stream's rows as a table and reads it back."""
-    out, checkpoint = jobs.scratch(spark, "out"), jobs.scratch(spark, "checkpoint")
-    jobs.run_available(stream, lambda batch, epoch: batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}"), checkpoint, mode)
-    return spark.read.parquet(out).drop("epoch")
-
-
 def _restarted(spark, d, run, parts=3):
     """Calls run(stream) again and again while the events' files arrive in `parts` portions by time: every call is a restart
     from the same checkpoint, and a batch of its own."""
@@ -140,26 +131,6 @@ def stream_rebuilds(spark, d):
     return newest.join(count, "event_type").select("event_type", "s.n", "s.newest", "n_rebuilds")
 
 
-@contextmanager
-def _rocks(spark):
-    """Streams with timers and lists need this state store."""
-    name = "spark.sql.streaming.stateStore.providerClass"
-    old = spark.conf.get(name)
-    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        yield
-    finally:
-        spark.conf.set(name, old)
-
-
-def _stateful(spark, d, make):
-    """What make(stream) gives over three batches with restarts."""
-    out, checkpoint = jobs.scratch(spark, "out"), jobs.scratch(spark, "checkpoint")
-    with _rocks(spark):
-        _restarted(spark, d, lambda stream: jobs.run_available(make(stream), lambda batch, epoch: batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}"), checkpoint))
-    return spark.read.parquet(out).drop("epoch")
-
-
 @query("""SELECT CAST(event_id AS VARCHAR) AS message_id FROM (SELECT event_id, ts - lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts) AS gap FROM events) WHERE gap IS NULL OR gap > INTERVAL 6 HOUR""")
 def stream_renewed(spark, d):
     """Callbacks of one key dropped until six hours pass without any; each sight renews the time to live."""
@@ -203,9 +174,12 @@ w AS (SELECT task_key, 0::BIGINT AS n, NULL::VARCHAR AS status, 0::BIGINT AS ope
 
 @query(f"""WITH RECURSIVE {_QUEUE} SELECT task_key, opened AS opened_id, id AS closed_id, outcome, attempts, claims FROM w WHERE outcome IS NOT NULL""")
 def stream_queue(spark, d):
-    """A work queue with claims, leases of a day by timers, attempts, and an archive of what was completed or given up."""
+    """A work queue with claims, leases of a day, attempts, and an archive of what was completed or given up."""
     action = F.when(F.col("event_type") == "click", "claim").when(F.col("event_type") == "error", "fail").when(F.col("event_type") == "purchase", "complete").otherwise("queue")
-    return _stateful(spark, d, lambda stream: jobs.work_queue(stream.select(F.col("user_id").alias("task_key"), F.col("message_id").cast("long").alias("id"), "ts", action.alias("action")), 86400))
+    out, checkpoint = jobs.scratch(spark, "queue"), jobs.scratch(spark, "checkpoint")
+    sink = walks.queue_sink(spark, out, 86400)
+    _restarted(spark, d, lambda stream: jobs.run_available(stream.select(F.col("user_id").alias("task_key"), F.col("message_id").cast("long").alias("id"), "ts", action.alias("action")), sink, checkpoint))
+    return spark.read.parquet(f"{out}/rows").drop("epoch")
 
 
 @query(f"""WITH {sql.EVENTS}, g AS (SELECT id, task_key, CASE event_type WHEN 'error' THEN 'gap_detected' WHEN 'click' THEN 'gap_replay' WHEN 'purchase' THEN 'gap_resolved' ELSE 'gap_unresolved' END AS event_type FROM run_events) SELECT task_key, min(CASE WHEN event_type='gap_detected' THEN id END) AS first_detected, count(CASE WHEN event_type='gap_replay' THEN 1 END) AS attempts, arg_max(event_type,id) AS last_event, count(*) AS n_events FROM g GROUP BY 1""")

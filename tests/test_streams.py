@@ -98,7 +98,32 @@ def test_sessions_by_batches_against_plain_python(spark, tmp_path):
     assert got == want and sum(k[1] is None for k in want) > 10
 
 
-@pytest.mark.parametrize("name", ["stream_sessions", "stream_lapses"])
+def test_queue_by_batches_against_plain_python(spark, tmp_path):
+    """Claims that lapse, attempts used up, items that stay open over batches."""
+    rng = random.Random(6)
+    rows = [(f"t{rng.randrange(20)}", at, at, rng.choice(["queue", "claim", "claim", "fail", "complete"])) for at in sorted(rng.sample(range(9_000), 700))]
+    want, items = Counter(), {}
+    for t, at, number, action in rows:
+        item = items.get(t)
+        if item and item["claimed"] is not None and at - item["claimed"] > 600:
+            item["claimed"] = None
+        if item is None:
+            if action == "queue":
+                items[t] = {"opened": number, "claimed": None, "claims": []}
+        elif action == "claim" and item["claimed"] is None:
+            item["claimed"], item["claims"] = at, [*item["claims"], number]
+        elif action in ("fail", "complete") and item["claimed"] is not None and (action == "complete" or len(item["claims"]) >= 3):
+            want[t, item["opened"], number, "completed" if action == "complete" else "given_up", len(item["claims"]), ",".join(map(str, item["claims"]))] += 1
+            del items[t]
+        elif action == "fail":
+            item["claimed"] = None
+    out = f"file://{tmp_path}/queue"
+    _in_batches(spark, walks.queue_sink(spark, out, 600, 3), rows, "task_key string, s long, id long, action string", (0, 3_000, 3_400, 9_000))
+    got = Counter(tuple(r) for r in spark.read.parquet(f"{out}/rows").select("task_key", "opened_id", "closed_id", "outcome", "attempts", "claims").collect())
+    assert got == want and len({k[3] for k in want}) == 2
+
+
+@pytest.mark.parametrize("name", ["stream_sessions", "stream_lapses", "stream_queue"])
 def test_machines_call_no_python_for_each_key(spark, monkeypatch, name):
     monkeypatch.setattr(jobs, "sessions", None)
     monkeypatch.setattr(jobs, "work_queue", None)
