@@ -10,6 +10,7 @@ from pricewell.operators import market as M
 from pricewell.operators import matching as T
 from pricewell.plans import sql
 from pricewell.plans.search_queries import skus
+from pricewell.settled import settle
 from pricewell.sources import readers
 from pricewell.sources import views as V
 
@@ -49,7 +50,7 @@ SELECT 'source_rows' AS name, count(*) AS n FROM quotes UNION ALL SELECT 'dedupe
 def stage_figures(spark, d):
     """The newest quote of each seller over all products, recent days, targets, brands."""
     rows = V.quotes(spark, d).withColumn("whole", F.lit(1))
-    deduped = M.latest_per_seller(rows, ["whole"])
+    deduped = settle(M.latest_per_seller(rows, ["whole"]), "stage-sellers")  # a row for each seller, read by every figure
     return reports.stage_figures(rows, deduped, M.recent_days_wide(deduped, 10, 3, ["whole"]))
 
 
