@@ -66,15 +66,14 @@ def day_label(gprice: Column | str = "gprice", gprice_two: Column | str = "gpric
 
 
 def month_day(label: Column) -> Column:
-    """struct(month, day) of a label, zeros where there is none."""
-    part = lambda k: F.coalesce(F.regexp_extract(label, r"([0-9]{2})-([0-9]{2})", k).try_cast("int"), F.lit(0))
-    return F.struct(part(1).alias("month"), part(2).alias("day"))
+    """struct(month, day) of a day_label(), zeros where there is none."""
+    part = lambda at: F.coalesce(F.substring(label, at, 2).try_cast("int"), F.lit(0))
+    return F.struct(part(1).alias("month"), part(4).alias("day"))
 
 
 def stamp_key(x: Column | str) -> Column:
     """'YYYY-MM-DD HH:MM:SS' found in the text, zeros where there is none; sorts as the time does."""
-    date_part, time_part = (F.regexp_extract(plain(x), STAMP, k) for k in (1, 2))
-    return F.when(date_part != "", F.concat_ws(" ", date_part, time_part)).otherwise("0000-00-00 00:00:00")
+    return F.greatest(F.translate(F.regexp_extract(plain(x), STAMP, 0), "T", " "), F.lit("0000-00-00 00:00:00"))
 
 
 def imported_day(x: Column | str) -> Column:
@@ -93,9 +92,9 @@ def catalog_seller() -> Column:
     return F.coalesce(filled("sname"), filled("sno"), F.col("id").cast("string"))
 
 
-def day_bucket() -> Column:
-    """struct(key, label, kind): quote day label, else import day, else unlabelled."""
-    label, day = day_label(), imported_day("imported_at")
+def day_bucket(label: Column | None = None) -> Column:
+    """struct(key, label, kind): quote day label (day_label(), if not given), else import day, else unlabelled."""
+    label, day = day_label() if label is None else label, imported_day("imported_at")
     make = lambda key, lab, kind: F.struct(key.alias("key"), lab.alias("label"), F.lit(kind).alias("kind"))
     return F.when(label != "", make(F.concat(F.lit("label:"), label), label, "label")).when(day != "", make(F.concat(F.lit("day:"), day), day, "day")).otherwise(make(F.lit("unlabelled"), F.lit(""), "unlabelled"))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pricewell.functions import columns as P
 from pricewell.operators import rules as R
-from pricewell.operators.stats import half_even, percentile, with_deviation
+from pricewell.operators.stats import half_even, of_sorted, percentile, with_deviation
 
 SKU = ["brand_title", "series_title", "model_title", "group_title", "condition_bucket"]
 
@@ -25,11 +25,16 @@ def newest() -> list[Column]:
     return [F.desc("_stamp"), F.desc("_md"), F.desc("_rid")]
 
 
+def with_seller(df: DataFrame) -> DataFrame:
+    """Adds the recency key and the seller, _merchant."""
+    gid = F.col("gid") if "gid" in df.columns else F.lit(None)
+    return recency(df).withColumn("_merchant", P.merchant(group_id=gid))
+
+
 def latest_per_seller(df: DataFrame, by: list[str] = SKU) -> DataFrame:
     """The newest row of each seller within the key; the row id decides ties."""
-    gid = F.col("gid") if "gid" in df.columns else F.lit(None)
-    df = recency(df).withColumn("_merchant", P.merchant(group_id=gid))
     w = Window.partitionBy(*by, "_merchant").orderBy(*newest())
+    df = df if "_merchant" in df.columns else with_seller(df)
     return df.withColumn("_nth", F.row_number().over(w)).where("_nth = 1").drop("_nth", "_merchant")
 
 
@@ -37,18 +42,17 @@ def recent_days(df: DataFrame, min_samples: int, max_labels: int, by: list[str]
     """Rows of the newest day buckets: buckets ordered by newest row, size and label, taken until there are enough rows or
     buckets. Adds day_label, day_rank, day_rows."""
     w = Window.partitionBy(*by, "_bucket.key")
-    df = (df if "_stamp" in df.columns else recency(df)).withColumn("_bucket", P.day_bucket())
-    newest_row = F.max(F.struct("_stamp", "_md", "_rid"))
-    df = df.withColumns({"_newest": newest_row.over(w), "day_rows": F.count(F.lit(1)).over(w), "_first": F.row_number().over(w.orderBy(*newest()))})
+    df = (df if "_stamp" in df.columns else recency(df)).withColumn("_bucket", P.day_bucket(F.col("_label")))
+    df = df.withColumns({"_newest": F.max(F.struct("_stamp", "_md", "_rid")).over(w), "day_rows": F.count(F.lit(1)).over(w)})
     ordered = Window.partitionBy(*by).orderBy(F.desc("_newest"), F.desc("day_rows"), F.desc("_bucket.label"), F.desc("_bucket.key"))
-    df = df.withColumns({"day_rank": F.dense_rank().over(ordered), "_upto": F.sum(F.when(F.col("_first") == 1, F.col("day_rows")).otherwise(0)).over(ordered)})
-    taken = (F.col("_upto") - F.col("day_rows") < max(1, min_samples)) & (F.col("day_rank") <= max(1, max_labels))
-    return df.withColumn("day_label", F.col("_bucket.label")).where(taken).drop("_newest", "_first", "_upto", "_bucket")
+    df = df.withColumns({"day_rank": F.dense_rank().over(ordered), "_after": F.rank().over(ordered)})  # rows of newer buckets, and one
+    taken = (F.col("_after") <= max(1, min_samples)) & (F.col("day_rank") <= max(1, max_labels))
+    return df.withColumn("day_label", F.col("_bucket.label")).where(taken).drop("_newest", "_after", "_bucket")
 
 
 def recent_days_wide(df: DataFrame, min_samples: int, max_labels: int, by: list[str]) -> DataFrame:
     """The same rows for few and large keys: buckets are aggregated first, ranked as the small table they are, and joined back."""
-    df = recency(df).withColumn("_bucket", P.day_bucket())
+    df = recency(df).withColumn("_bucket", P.day_bucket(F.col("_label")))
     days = df.groupBy(*by, F.col("_bucket.key").alias("_key")).agg(F.max(F.struct("_stamp", "_md", "_rid")).alias("_newest"), F.count(F.lit(1)).alias("day_rows"), F.first("_bucket.label").alias("day_label"))
     ordered = Window.partitionBy(*by).orderBy(F.desc("_newest"), F.desc("day_rows"), F.desc("day_label"), F.desc("_key"))
     days = days.withColumns({"day_rank": F.row_number().over(ordered), "_upto": F.sum("day_rows").over(ordered.rowsBetween(Window.unboundedPreceding, 0))})
@@ -117,15 +121,58 @@ def clean_prices(df: DataFrame, rules: R.Rules, by: list[str]) -> DataFrame:
     return df.drop("_out", "_n", "_left", "_price", "_live", "_median", "_mad", "_q1", "_q3", "_pos", "_gap", "_widest", "_cut", "_width", "_low", "_minor", "_major", "_small", "_center", "_spread", "_nmajor", "_nminor", "_minor_spread")
 
 
-def price_clusters(df: DataFrame, by: list[str]) -> DataFrame:
-    """Adds _cluster: prices in order, cut where the gap reaches max(80, 1.2 % of the median, 1.5 IQR); two rows never part."""
-    w = Window.partitionBy(*by)
-    df = df.withColumns({"_n": F.count(F.lit(1)).over(w), "_median": percentile("price_value", 0.5, w), "_iqr": percentile("price_value", 0.75, w) - percentile("price_value", 0.25, w)})
-    gap = F.greatest(F.lit(80), half_even(F.col("_median") * 0.012), half_even(F.greatest(F.col("_iqr"), F.lit(0)) * 1.5))
-    ordered = w.orderBy("price_value", "_rid")
-    begins = (F.col("_n") > 2) & (F.col("price_value") - F.lag("price_value").over(ordered) >= gap)
-    df = df.withColumn("_begins", F.coalesce(begins, F.lit(False)).cast("int"))
-    return df.withColumn("_cluster", F.sum("_begins").over(ordered)).drop("_n", "_median", "_iqr", "_begins")
+def clean_sorted(df: DataFrame, rules: R.Rules) -> DataFrame:
+    """clean_prices() for one row per group with its prices as a sorted array `_live`: the steps leave the survivors in it.
+
+    Adds `density`, `floor`, `n_numeric`. Rows of one price are alike to every step, so the array holds all that is asked."""
+    df = df.withColumn("n_numeric", F.size("_live").cast("bigint"))
+    df = df.withColumns({"density": density(F.col("n_numeric")), "floor": retained_floor(F.col("n_numeric"), rules)})
+    plans = {"balanced": rules.balanced, "dense": rules.dense}
+    setting = lambda f: F.when(F.col("density") == "balanced", F.lit(f(plans["balanced"]))).when(F.col("density") == "dense", F.lit(f(plans["dense"])))
+    live = F.col("_live")
+    n = F.size(live)
+
+    def step(df: DataFrame, enabled: Column, kept: Column) -> DataFrame:
+        df = df.withColumn("_kept", F.when(F.coalesce(enabled, F.lit(False)) & (n >= 5) & (n > F.col("floor")), kept))
+        return df.withColumn("_live", F.when(F.size("_kept") >= F.col("floor"), F.col("_kept")).otherwise(live))
+
+    gap = F.greatest(setting(lambda t: t.gap_floor), half_even(F.col("_median") * setting(lambda t: t.gap_ratio)))
+    far = lambda p: F.abs(p - F.col("_median")) >= F.col("_far")
+    df = df.withColumn("_median", of_sorted(live, 0.5)).withColumns({"_off": F.sort_array(F.transform(live, lambda p: F.abs(p - F.col("_median")))), "_far": gap})
+    df = df.withColumns({"_mad": of_sorted(F.col("_off"), 0.5), "_z": setting(lambda t: float(t.zscore or 0))})
+    z = lambda p: F.abs(0.6745 * (p - F.col("_median")) / F.greatest(F.col("_mad"), F.lit(1)))
+    df = step(df, setting(lambda t: t.zscore is not None) & (F.col("_mad") >= 1), F.filter(live, lambda p: ~((z(p) > F.col("_z")) & far(p))))
+
+    df = df.withColumns({"_median": of_sorted(live, 0.5), "_q1": of_sorted(live, 0.25), "_q3": of_sorted(live, 0.75)})
+    df = df.withColumns({"_far": gap, "_reach": setting(lambda t: float(t.fence or 0)) * F.greatest(F.col("_q3") - F.col("_q1"), F.lit(1))})
+    outside = lambda p: (p < F.col("_q1") - F.col("_reach")) | (p > F.col("_q3") + F.col("_reach"))
+    df = step(df, setting(lambda t: t.fence is not None), F.filter(live, lambda p: ~(outside(p) & far(p))))
+
+    df = df.withColumn("_widest", F.array_max(F.transform(live, lambda p, i: F.struct((F.get(live, i + 1) - p).alias("gap"), (-1 - i).alias("cut")))))
+    df = df.withColumns({"_width": F.col("_widest.gap"), "_cut": -F.col("_widest.cut")})
+    head, tail = F.slice(live, F.lit(1), F.col("_cut")), F.slice(live, F.col("_cut") + 1, n - F.col("_cut"))
+    low = F.col("_cut") <= n - F.col("_cut")
+    df = df.withColumns({"_major": F.when(low, tail).otherwise(head), "_minor": F.when(low, head).otherwise(tail)})
+    size, spread = F.size, lambda c: F.get(c, F.size(c) - 1) - F.get(c, F.lit(0))
+    df = df.withColumns({"_center": of_sorted(F.col("_major"), 0.5), "_spread": spread("_major"), "_minor_spread": F.coalesce(spread("_minor"), F.lit(0))})
+    compact = F.col("_spread") <= F.greatest(F.lit(120), half_even(F.col("_center") * 0.015))
+    few = (size("_major") >= 3) & (size("_minor") <= F.greatest(F.lit(2), F.floor(n / 3)))
+    wide = F.col("_width") >= F.greatest(F.lit(120), F.col("_spread") * 2, F.greatest(F.lit(20), F.col("_minor_spread")) * 2)
+    df = step(df, setting(lambda t: t.tail) & few & compact & wide, F.col("_major"))
+    return df.drop("_kept", "_median", "_off", "_far", "_mad", "_z", "_q1", "_q3", "_reach", "_widest", "_width", "_cut", "_major", "_minor", "_center", "_spread", "_minor_spread")
+
+
+def price_clusters(df: DataFrame) -> DataFrame:
+    """One row per price cluster of the sorted array `_live` of each row: _cluster (0, 1, ...) and its prices `_own`. Prices
+    are cut where the gap reaches max(80, 1.2 % of the median, 1.5 IQR); two never part."""
+    live, n = F.col("_live"), F.size("_live")
+    df = df.withColumns({"_median": of_sorted(live, 0.5), "_iqr": of_sorted(live, 0.75) - of_sorted(live, 0.25)})
+    df = df.withColumn("_gap", F.greatest(F.lit(80), half_even(F.col("_median") * 0.012), half_even(F.greatest(F.col("_iqr"), F.lit(0)) * 1.5)))
+    begins = lambda i: (i == 0) | ((n > 2) & (F.get(live, i) - F.get(live, i - 1) >= F.col("_gap")))
+    df = df.withColumn("_begins", F.filter(F.sequence(F.lit(0), n - 1), begins))
+    own = F.transform("_begins", lambda i, k: F.slice(live, i + 1, F.coalesce(F.get("_begins", k + 1), n) - i))
+    kept = [c for c in df.columns if c not in ("_live", "_median", "_iqr", "_gap", "_begins")]
+    return df.select(*kept, F.posexplode(own).alias("_cluster", "_own"))
 
 
 def status_weight(rules: R.Rules) -> Column:
@@ -165,9 +212,10 @@ TOTALS = ["source_row_count", "source_count", "latest_imported_at", "min_price",
 def prepared(quotes: DataFrame, rules: R.Rules, by: list[str] = SKU, totals: bool = False) -> DataFrame:
     """Latest rows per seller with price_value, reject_reason and the classes of the rules; with totals, TOTALS beside
     every row, which ride on the same exchange as all that follows."""
-    keys = quotes.withColumns({k: P.plain(k) for k in by if k in quotes.columns}).repartition(*by)
-    w, price = Window.partitionBy(*by), P.parse_price("price_text")
-    if totals:
+    keys = with_seller(quotes.withColumns({k: P.plain(k) for k in by if k in quotes.columns}).repartition(*by)).withColumn("price_value", P.parse_price("price_text"))
+    w, price = Window.partitionBy(*by), F.col("price_value")
+    if totals:  # in the order of the sellers, so that both windows have one sort
+        keys = keys.sortWithinPartitions(*by, "_merchant", *newest())
         keys = keys.withColumns({"source_row_count": F.count(F.lit(1)).over(w), "latest_imported_at": F.max(P.plain("imported_at")).over(w), "min_price": F.coalesce(F.min(price).over(w), F.lit(0)), "max_price": F.coalesce(F.max(price).over(w), F.lit(0))})
     if "condition_bucket" in by:
         keys = keys.withColumn("_stored_bucket", F.col("condition_bucket"))
@@ -177,13 +225,13 @@ def prepared(quotes: DataFrame, rules: R.Rules, by: list[str] = SKU, totals: boo
     rows = R.classify(rows, rules)
     if "condition_bucket" in by:
         rows = rows.withColumn("condition_bucket", F.col("_stored_bucket")).drop("_stored_bucket")
-    return rows.withColumns({"price_value": P.parse_price("price_text"), "reject_reason": R.reject_reason(rules)})
+    return rows.withColumn("reject_reason", R.reject_reason(rules))
 
 
 def latest_numeric_day(rows: DataFrame, by: list[str]) -> DataFrame:
     """Adds raw_day: the newest day label among numeric rows, rejected ones included."""
     w = Window.partitionBy(*by)
-    key = F.when(F.col("price_value").isNotNull(), F.struct("_stamp", "_md", "_rid", P.day_bucket()["label"].alias("label")))
+    key = F.when(F.col("price_value").isNotNull(), F.struct("_stamp", "_md", "_rid", P.day_bucket(F.col("_label"))["label"].alias("label")))
     return rows.withColumn("raw_day", F.max(key).over(w)["label"])
 
 
@@ -192,15 +240,16 @@ def market_clusters(quotes: DataFrame, rules: R.Rules, references: DataFrame | N
     rows = latest_numeric_day(prepared(quotes, rules, by, totals), by)
     good = recent_days(rows.where("reject_reason is null and price_value is not null"), rules.day_min_samples, rules.day_max_labels, by)
     good = good.withColumn("dstatus", F.coalesce(P.filled("dstatus"), F.lit("unlabeled")))
-    w = Window.partitionBy(*by)
-    newest_row = F.struct("_stamp", "_md", "_rid")
-    good = good.withColumns({"selected_rows": F.count(F.lit(1)).over(w), "selected_label": F.max(F.struct("_stamp", "_md", "_rid", "_label")).over(w)["_label"], "selected_day": F.max(F.struct("_stamp", "_md", "_rid", "day_label")).over(w)["day_label"], "_status_newest": F.max(newest_row).over(Window.partitionBy(*by, "dstatus"))})
-    group = [*by, "dstatus"]
-    alive = price_clusters(clean_prices(good, rules, group).where("alive"), group)
-    clusters = alive.groupBy(*group, "_cluster").agg(
-        F.count(F.lit(1)).alias("sample_count"), percentile("price_value", 0.5).alias("median_price"), percentile("price_value", 0.25).alias("q1"), percentile("price_value", 0.75).alias("q3"), F.min("price_value").alias("price_min"), F.max("price_value").alias("price_max"),
-        F.first("selected_rows").alias("selected_rows"), F.first("selected_label").alias("selected_label"), F.first("selected_day").alias("selected_day"), F.first("raw_day").alias("raw_day"), F.first("_status_newest").alias("_status_newest"), F.first("density").alias("cleaning_profile"), F.first("floor").alias("retention_floor"), (F.first("n_numeric")).alias("n_numeric"), *[F.first(c).alias(c) for c in TOTALS if totals],
+    w, group = Window.partitionBy(*by), [*by, "dstatus"]
+    newest_row = ["_stamp", "_md", "_rid"]
+    per = good.groupBy(*group).agg(
+        F.sort_array(F.collect_list("price_value")).alias("_live"), F.max(F.struct(*newest_row)).alias("_status_newest"), F.max(F.struct(*newest_row, "_label")).alias("_newest_label"), F.max(F.struct(*newest_row, "day_label")).alias("_newest_day"), F.first("raw_day").alias("raw_day"), *[F.first(c).alias(c) for c in TOTALS if totals],
     )
+    per = per.withColumns({"selected_rows": F.sum(F.size("_live")).over(w), "selected_label": F.max("_newest_label").over(w)["_label"], "selected_day": F.max("_newest_day").over(w)["day_label"]}).drop("_newest_label", "_newest_day")
+    own = F.col("_own")
+    clusters = price_clusters(clean_sorted(per, rules)).withColumns({
+        "sample_count": F.size(own).cast("bigint"), "median_price": of_sorted(own, 0.5), "q1": of_sorted(own, 0.25), "q3": of_sorted(own, 0.75), "price_min": F.get(own, F.lit(0)), "price_max": F.get(own, F.size(own) - 1),
+    }).withColumnsRenamed({"density": "cleaning_profile", "floor": "retention_floor"}).drop("_own")
     if references is not None:
         clusters = with_reference(clusters, references)
     else:

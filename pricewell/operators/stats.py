@@ -44,6 +44,14 @@ def _running(counts: DataFrame, by: list[str]) -> DataFrame:
     return counts.withColumns({"_upto": F.sum("_c").over(w.orderBy("_v")), "_n": F.sum("_c").over(w)})
 
 
+def of_sorted(values: Column, ratio: float) -> Column:
+    """percentile() of a sorted array without nulls; an empty one gives 0."""
+    n = F.size(values)
+    place = (n - 1) * F.lit(float(ratio))
+    at = lambda k: F.get(values, k(place).cast("int"))
+    return F.coalesce(_between(at(F.floor), at(F.ceil), n, ratio), F.lit(0))
+
+
 def price_stats(df: DataFrame, by: list[str], price: str = "price_value", trim: float = 0.1, approximate: bool = False) -> DataFrame:
     """Per group: n, median, q1, q3, min, max, iqr, mad, trimmed and winsorised mean.
 
