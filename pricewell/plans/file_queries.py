@@ -111,10 +111,12 @@ def first_catalog(spark, d):
 def import_runs(spark, d):
     """CSV runs imported, classified, one of them again; the runs' rows by class, and those of a second import of all."""
     table, raw, out = new_dir(spark, "quotes"), V.raw_quotes(spark, d), None
-    csv, other = new_dir(spark, "run"), new_dir(spark, "run")
-    sinks.write_csv(raw.where("run_key <> 'run_1995-01-01'"), csv, schemas.QUOTE_CSV.names)
-    sinks.write_csv(raw, other, schemas.QUOTE_CSV.names)
-    for path, run in ((other, "run_a"), (csv, "run_a"), (other, "run_b")):
+    csv, rest = new_dir(spark, "run"), new_dir(spark, "run")
+    late = F.coalesce(F.col("run_key") == "run_1995-01-01", F.lit(True))
+    sinks.write_csv(raw.where(~late), csv, schemas.QUOTE_CSV.names)
+    sinks.write_csv(raw.where(late), rest, schemas.QUOTE_CSV.names)
+    both = [csv, rest]  # every row is written once, and all of them are two folders
+    for path, run in ((both, "run_a"), (csv, "run_a"), (both, "run_b")):
         sinks.import_run(spark, path, table, V.demo_rules(), run, "2026-01-01 00:00:00")
     out = spark.read.parquet(table)
     return out.groupBy("run_key", "model_id", "condition_bucket", F.col("is_target_price").cast("long").alias("is_target_price")).agg(F.count(F.lit(1)).alias("n")).drop("run_key")

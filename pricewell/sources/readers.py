@@ -15,7 +15,7 @@ from pricewell.operators.textscan import decode_content
 from pricewell.sources import schemas
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = False) -> DataFrame:
+def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType, multi_line: bool = False) -> DataFrame:
     """Header-driven CSV, all strings, byte-order mark allowed; columns of the schema that a file lacks are null.
 
     Files are split among tasks; with multi_line cells may hold line ends, and a file is one task."""

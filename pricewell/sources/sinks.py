@@ -19,8 +19,8 @@ def append_quotes(df: DataFrame, path: str) -> None:
     df.write.mode("append").partitionBy("run_key").parquet(path)
 
 
-def import_run(spark: SparkSession, csv_path: str, table_path: str, rules: R.Rules, run_key: str, imported_at: str, multi_line: bool = False) -> DataFrame:
-    """A CSV run classified and put in place of the run's old rows; returns what was written. multi_line: see read_csv."""
+def import_run(spark: SparkSession, csv_path: str | list[str], table_path: str, rules: R.Rules, run_key: str, imported_at: str, multi_line: bool = False) -> DataFrame:
+    """A CSV run (one folder or more) classified and put in place of the run's old rows; returns what was written. multi_line: see read_csv."""
     rows = readers.read_csv(spark, csv_path, schemas.QUOTE_CSV, multi_line).withColumns({"run_key": F.lit(run_key), "imported_at": F.lit(imported_at)})
     rows = rows.withColumn("id", F.xxhash64(*rows.columns).bitwiseAND(F.lit((1 << 60) - 1)))  # the same for a repeated task, another in other runs
     replace_partitions(R.classify(rows, rules), table_path)
