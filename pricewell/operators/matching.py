@@ -5,8 +5,11 @@ token is inside the text. Every token meets texts; `block=False` scores all pair
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -276,27 +279,55 @@ BARE_PHONE, BARE_OTHER, ANY_PHONE, ANY_ACCESSORY, ANY_DEVICE, DEVICE_PHONE, DEVI
 SOFT, ACCESSORIES, OTHER_DEVICES = ("charger", "case", "accessory"), ("charger", "case", "accessory"), ("earbuds", "tablet", "wearable", "laptop")
 
 
-def tier_score() -> tuple[Column, Column]:
-    """(sums over the tokens, to be the column _sums; tier): the tier of a text (norm, tokens) against a family; -1 where nothing fits. A family's texts are lines of one string,
-    so that any of them is equal, begins, ends or holds the text where the string holds it between line ends."""
-    q, label, series, line = F.col("norm"), F.col("label_norm"), F.col("series_norm"), F.lit("\n")
-    equal = lambda c: F.contains(c, F.concat(line, q, line))
-    begins, ends, holds = (lambda c: F.contains(c, F.concat(line, q))), (lambda c: F.contains(c, F.concat(q, line))), (lambda c: F.contains(c, q))
-    alias, first, second = F.col("alias_lines"), F.col("first_lines"), F.col("second_lines")
-    tiers = [
-        F.when(label == q, LABEL_TIERS[0]).when(F.endswith(label, q), LABEL_TIERS[1]).when(F.startswith(label, q), LABEL_TIERS[2]).when(F.contains(label, q), LABEL_TIERS[3]).otherwise(0),
-        F.when(equal(alias), ALIAS_TIERS[0]).when(ends(alias), ALIAS_TIERS[1]).when(holds(alias), ALIAS_TIERS[2]).otherwise(0),
-        F.when(series == q, SERIES_TIERS[0]).when(F.startswith(series, q), SERIES_TIERS[1]).when(F.contains(series, q), SERIES_TIERS[2]).otherwise(0),
-        F.when(equal(first), FIRST_EQUAL).otherwise(0), F.when(equal(second), SECOND_EQUAL).otherwise(0),
-        F.when(begins(first), TEXT_TIERS[0]).when(holds(first), TEXT_TIERS[1]).when(begins(second), TEXT_TIERS[2]).when(holds(second), TEXT_TIERS[3]).otherwise(0),
-    ]
-    others = F.filter("tokens", lambda t: (t != "") & (t != q))
-    met = lambda t: F.when(F.contains(first, t), FIRST_TOKEN).when(F.contains(second, t), SECOND_TOKEN).otherwise(0)
-    sums = F.aggregate(others, F.struct(F.lit(0).alias("gain"), F.lit(0).alias("hit"), F.lit(0).alias("n")), lambda a, t: F.struct((a["gain"] + met(t)).alias("gain"), (a["hit"] + F.when(F.contains(first, t) | F.contains(second, t), 1).otherwise(0)).alias("hit"), (a["n"] + 1).alias("n")))
-    n, hit = F.col("_sums.n"), F.col("_sums.hit")
-    got = F.greatest(*tiers) + F.col("_sums.gain")
-    got = F.when(n == 0, got).when(hit == n, got + ALL_TOKENS).when(hit > 0, got + (n - hit) * MISSED_TOKEN).otherwise(got)
-    return sums, F.when((q == "") | (((n == 0) | (hit == 0)) & (got <= 0)), -1).otherwise(got)
+def other_tokens() -> Column:
+    """A text's tokens beside the text itself."""
+    return F.filter("tokens", lambda t: (t != "") & (t != F.col("norm")))
+
+
+def tier(q: str, others: list[str], label: str, series: str, alias: str, first: str, second: str, impacts: dict[str, int]) -> int:
+    """The tier of a text (q, others: its other_tokens) against a family; negative where it does not fit. A family's texts
+    are lines of one string, so that any of them is equal, begins, ends or holds the text where the string holds it between
+    line ends. impacts: what the family's tokens so far were worth, kept for its next text."""
+    gain = hit = best = 0
+    for t in others:
+        worth = impacts.get(t)
+        if worth is None:
+            worth = impacts[t] = FIRST_TOKEN if t in first else SECOND_TOKEN if t in second else 0
+        gain, hit = gain + worth, hit + (worth > 0)
+    line, begin, end = f"\n{q}\n", f"\n{q}", f"{q}\n"
+    if q in label:
+        best = LABEL_TIERS[0 if label == q else 1 if label.endswith(q) else 2 if label.startswith(q) else 3]
+    if q in alias:
+        best = max(best, ALIAS_TIERS[0 if line in alias else 1 if end in alias else 2])
+    if q in series:
+        best = max(best, SERIES_TIERS[0 if series == q else 1 if series.startswith(q) else 2])
+    if q in first:
+        best = max(best, FIRST_EQUAL if line in first else TEXT_TIERS[0 if begin in first else 1])
+    if q in second:
+        best = max(best, SECOND_EQUAL if line in second else TEXT_TIERS[2 if begin in second else 3])
+    if not q or (hit == 0 and best == 0):
+        return -1
+    return best + gain + (0 if hit == 0 else ALL_TOKENS if hit == len(others) else (len(others) - hit) * MISSED_TOKEN)
+
+
+def best_tiers(pairs: DataFrame) -> DataFrame:
+    """(query, candidate_id, tier) of pairs with the phrase's texts (texts: JSON of its norm, others, bonus) and the family's:
+    the best tier of the texts that fit, with their bonus; pairs without any are gone."""
+    kept = ("query", "candidate_id", "texts", "label_norm", "series_norm", "alias_lines", "first_lines", "second_lines")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts_of = lru_cache(4096)(lambda texts: [(t["norm"], t["others"], t["bonus"]) for t in json.loads(texts)])
+        impacts_of = lru_cache(16384)(lambda candidate: {})
+        for batch in batches:
+            out: list[int | None] = []
+            for candidate, texts, *family in zip(*(batch[c].to_pylist() for c in kept[1:]), strict=True):
+                lines, impacts = [x or "" for x in family], impacts_of(candidate)
+                fits = [got + bonus for q, others, bonus in texts_of(texts) if (got := tier(q, others, *lines, impacts)) >= 0]
+                out.append(max(fits, default=None))
+            made = pa.array(out, pa.int32())
+            yield pa.RecordBatch.from_arrays([batch["query"], batch["candidate_id"], made], names=["query", "candidate_id", "tier"]).filter(made.is_valid())
+
+    return pairs.select(*kept).mapInArrow(run, "query string, candidate_id string, tier int")
 
 
 def category_score(terms: Terms) -> Column:
@@ -326,7 +357,7 @@ def term_postings(terms: DataFrame, families: DataFrame) -> DataFrame:
 
 def _terms_of(texts: DataFrame) -> DataFrame:
     """Texts with the terms that a family of theirs must have: the tokens beside the text itself, or else the text."""
-    others = F.filter("tokens", lambda t: (t != "") & (t != F.col("norm")))
+    others = other_tokens()
     return texts.withColumn("n", F.size(others)).withColumn("terms", F.when(F.size(others) > 0, F.array_distinct(others)).otherwise(F.array("norm")))
 
 
@@ -350,15 +381,15 @@ def _ordered(texts: DataFrame, postings: DataFrame) -> DataFrame:
 def _with_hints(per: DataFrame, candidates: DataFrame, contexts: DataFrame, terms: Terms) -> DataFrame:
     """Pairs (query, candidate_id, tier) with their scores; those under 0 and in ruled-out categories are gone."""
     per = per.join(candidates, "candidate_id").join(contexts.select("query", "has_core", *HINTS), "query")
-    met = lambda hints, texts: F.size(F.filter(hints, lambda h: F.exists(texts, lambda t: F.contains(t, h))))
+    met = lambda hints, text: F.size(F.filter(hints, lambda h: F.contains(text, h)))
     size = F.size
     hinted = F.array_contains("brand_hints", F.col("brand_title"))
     brand = F.when(size("brand_hints") == 0, 0).when(hinted, BRAND_HIT).otherwise(BRAND_MISS)
-    lines = met("series_hints", F.array("all_text"))
+    lines = met("series_hints", F.col("all_text"))
     series = F.when(size("series_hints") == 0, 0).when(lines > 0, lines * SERIES_HIT).otherwise(SERIES_MISS)
-    sizes = met("capacity_hints", "variant_texts")
+    sizes = met("capacity_hints", F.col("variant_lines"))
     capacity = F.when(size("capacity_hints") == 0, 0).when(sizes > 0, sizes * CAPACITY_HIT).when(F.col("has_core"), -F.least(size("capacity_hints") * 120, F.lit(280))).otherwise(0)
-    score = F.col("tier") + brand + series + category_score(terms) + capacity + met("color_hints", "variant_texts") * COLOR_HIT + popularity()
+    score = F.col("tier") + brand + series + category_score(terms) + capacity + met("color_hints", F.col("variant_lines")) * COLOR_HIT + popularity()
     return per.withColumns({"score": score, "preferred": (size("brand_hints") > 0) & hinted}).where("score >= 0")
 
 
@@ -402,14 +433,16 @@ def search(readings: DataFrame, contexts: DataFrame, candidates: DataFrame, most
     asked = asked.select("query", F.explode(F.array(text("norm", "tokens", 0), text("core", "core_tokens", CORE))).alias("t")).select("query", "t.*").where("norm <> ''")
     asked = asked.withColumn("text", F.concat_ws("#", "norm", F.array_join("tokens", "#"))).groupBy("query", "text", "norm", "tokens").agg(F.max("bonus").alias("bonus"))
     asked = settle(asked, "asked")
+    texts_of = settle(asked.groupBy("query").agg(F.to_json(F.collect_list(F.struct("norm", other_tokens().alias("others"), "bonus"))).alias("texts")), "asked-texts")
+    kept = ["candidate_id", "preferred", "score", "condition_bucket", "row_count", "variant_count", "source_count", "latest_imported_at", "brand_title", "series_title", "family_title"]
+    hinted_by = candidates.select(*[c for c in kept if c in candidates.columns], "all_text", "category_kind", "keyword_text", F.array_join("variant_texts", "\n").alias("variant_lines"))
     families = candidates.select("candidate_id", "all_text", "label_norm", "series_norm", "alias_lines", "first_lines", "second_lines")
-    sums, tier = tier_score()
     parts = int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a few pairs are much work: they are spread
 
     def scored(pairs: DataFrame) -> DataFrame:
         """Pairs (query, candidate_id) with the score of their best text."""
-        each = pairs.repartition(parts, "query", "candidate_id").join(asked, "query").join(families, "candidate_id").withColumn("_sums", sums).withColumn("tier", tier).where("tier >= 0")
-        return _with_hints(each.groupBy("query", "candidate_id").agg(F.max(F.col("tier") + F.col("bonus")).alias("tier")), candidates, contexts, terms)
+        each = pairs.repartition(parts, "query", "candidate_id").join(texts_of, "query").join(families, "candidate_id")
+        return _with_hints(best_tiers(each), hinted_by, contexts, terms)
 
     order = [F.desc("preferred"), F.desc("score"), F.desc(bucket_priority(F.col("condition_bucket"))), F.desc("row_count"), F.desc("variant_count"), F.desc("source_count"), F.desc("latest_imported_at"), "candidate_id"]
     best = lambda df: df.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(*order))).where(F.col("place") <= most)
@@ -422,7 +455,7 @@ def search(readings: DataFrame, contexts: DataFrame, candidates: DataFrame, most
     bounds = settle(asked.join(texts.select("text", "terms", "most"), "text").select("query", "text", "bonus", "terms", "most"), "bounds")
     longest = texts.agg(F.max(F.size("terms"))).first()[0] or 0
     hinted = contexts.select("query", F.explode("brand_hints").alias("brand")).join(asked.select("query").distinct(), "query", "left_semi")
-    columns = ["query", "candidate_id", "preferred", "score", "condition_bucket", "row_count", "variant_count", "source_count", "latest_imported_at", "brand_title", "series_title", "family_title"]
+    columns = ["query", *kept]
     found = None
     for preferred in (True, False):
         # families of a brand that the phrase names come before all others: the others count where these are too few
@@ -436,11 +469,12 @@ def search(readings: DataFrame, contexts: DataFrame, candidates: DataFrame, most
         asks = settle(asks, "asks")
         if asks.isEmpty():
             continue
+        posted = _bounded(posted.select("term", "brand", "candidate_id"))  # few rows, each met often: texts stay where they are dealt
         seen = None
         for m in range(longest):
             reach = asks.where(F.size("terms") > m).select("text", "brand", "terms").distinct().repartition(parts, "text").withColumn("term", F.explode(F.slice("terms", 1, m + 1)))
             missing = F.size(F.filter("terms", lambda t: ~F.contains("all_text", t)))
-            near = reach.join(posted.select("term", "brand", "candidate_id"), ["term", "brand"]).join(families.select("candidate_id", "all_text"), "candidate_id").where(missing <= m)
+            near = reach.join(posted, ["term", "brand"]).join(families.select("candidate_id", "all_text"), "candidate_id").where(missing <= m)
             pairs = near.select("text", "brand", "candidate_id").distinct().join(asks.select("query", "text", "brand"), ["text", "brand"]).select("query", "candidate_id").distinct()
             pairs = settle(pairs if seen is None else pairs.join(seen, ["query", "candidate_id"], "left_anti"), "pairs")
             seen = pairs if seen is None else seen.unionByName(pairs)
